@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut
 
 #: Passages are windows of three blocks, one block apart.
-BLOCK_WORDS, BLOCKS = 32, 3
+BLOCK_WORDS, BLOCKS = 16, 3
 #: Words that an item is cut into for retrieval, so that a passage holds any piece; pieces overlap by half.
-PIECE_WORDS = 64
-RANK, OVERSAMPLE = 256, 16
+PIECE_WORDS = 32
+RANK, OVERSAMPLE = 320, 16
 #: Terms in more than this share of documents don't tell items apart; each item keeps its five rarest.
 STOP_SHARE, LEAST_TERMS = 0.02, 5
-COSINE = 0.35
+COSINE = 0.2
+#: Words that are worked on at once; longer texts are cut, with an overlap where passages are searched.
+SLICE_WORDS = 100_000
 #: Share of an item's words in common, in order, that counts alone, and with the answer present.
 LCS_ALONE, LCS_WITH_ANSWER = 0.8, 0.5
 #: Without an answer of its own, an item's last words are its answer.
@@ -120,45 +122,68 @@ def term_weights(items: Items, frequencies: np.ndarray, documents: int) -> tuple
     return weights, float(used.mean()) if len(used) else 1.0
 
 
-def _rows(docs: list[np.ndarray], basis: np.ndarray, weights: np.ndarray, other: float, block: int):
-    """Per block of each document: its weighted terms in ``basis``, squared norms (all, known terms), document, start."""
-    sizes = np.array([len(d) for d in docs])
-    per = -(-sizes // block)
-    owner = np.repeat(np.arange(len(docs)), per)
-    first = np.concatenate(([0], np.cumsum(per)))[:-1]
-    start = (np.arange(per.sum()) - np.repeat(first, per)) * block
-    ids = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-    place = np.arange(len(ids)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes)
-    at = np.repeat(first, sizes) + place // block
-    known = np.bincount(at, weights[ids] ** 2, minlength=len(owner))
-    norms = known + other**2 * np.bincount(at[ids == 0], minlength=len(owner))
-    tell = weights[ids] > 0
-    ids, at = ids[tell], at[tell]
-    sums = np.zeros((len(owner), basis.shape[1]), basis.dtype)
-    if len(ids):
-        turn = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        for low in range(0, len(turn), 4096):
-            some = turn[low : low + 4096]
-            end = turn[low + 4096] if low + 4096 < len(turn) else len(ids)
-            part = basis[ids[some[0] : end]]
-            sums[at[some]] = np.add.reduceat(part, some - some[0], axis=0)
-    return sums, norms, known, owner, start, ids, at
+def _slices(docs: list[np.ndarray], step: int, overlap: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """All texts as lists of (text, first word, words), each list of about SLICE_WORDS words; cuts fall on multiples of ``step``."""
+    held, size, most = [], 0, SLICE_WORDS // step * step
+    for k, doc in enumerate(docs):
+        for at in range(0, max(1, len(doc)), most):
+            part = doc[at : at + most + overlap]
+            if held and size + len(part) > most:
+                yield held
+                held, size = [], 0
+            held.append((k, at, part))
+            size += len(part)
+    if held:
+        yield held
+
+
+class _Blocks:
+    """Blocks of words of some texts: where they are, their squared norms, and their telling terms in order."""
+
+    def __init__(self, parts: list[tuple[int, int, np.ndarray]], weights: np.ndarray, other: float, block: int):
+        sizes = np.array([len(p) for _, _, p in parts])
+        per = -(-sizes // block)
+        first = np.concatenate(([0], np.cumsum(per)))[:-1]
+        self.part = np.repeat(np.arange(len(parts)), per)
+        self.start = (np.arange(per.sum()) - np.repeat(first, per)) * block
+        ids = np.concatenate([p for _, _, p in parts])
+        place = np.arange(len(ids)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes)
+        at = np.repeat(first, sizes) + place // block
+        self.known = np.bincount(at, weights[ids] ** 2, minlength=len(self.part))
+        self.norms = self.known + other**2 * np.bincount(at[ids == 0], minlength=len(self.part))
+        tell = weights[ids] > 0
+        self.terms = ids[tell]
+        self.ends = np.searchsorted(at[tell], np.arange(len(self.part) + 1))  # terms of block b: ends[b] to ends[b + 1]
+
+    def sums(self, blocks: np.ndarray, basis: np.ndarray) -> np.ndarray:
+        """Rows of ``basis`` summed over the terms of each block."""
+        out = np.zeros((len(blocks), basis.shape[1]), basis.dtype)
+        for low in range(0, len(blocks), 4096):
+            some = blocks[low : low + 4096]
+            sizes = self.ends[some + 1] - self.ends[some]
+            begin = np.concatenate(([0], np.cumsum(sizes)))
+            where = np.repeat(self.ends[some] - begin[:-1], sizes) + np.arange(begin[-1])
+            full = np.flatnonzero(sizes)
+            if len(full):
+                out[low + full] = np.add.reduceat(basis[self.terms[where]], begin[full], axis=0)
+        return out
 
 
 def _gram_times(ids: DataFrame, basis: np.ndarray, weights: np.ndarray, other: float) -> np.ndarray:
     """A'A times ``basis`` over the passages of all documents; tasks send one matrix each, summed in two steps."""
-    shape = basis.shape
+    shape, passage = basis.shape, BLOCK_WORDS * BLOCKS
     sent = ids.sparkSession.sparkContext.broadcast((basis * weights[:, None]).astype(np.float32))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
-            docs = _unpack(batch)
-            for low in range(0, len(docs), 512):
-                rows, norms, _, _, _, terms, at = _rows(docs[low : low + 512], sent.value, weights, other, BLOCK_WORDS * BLOCKS)
-                rows /= np.maximum(norms, 1e-9)[:, None]  # a unit row, met twice
-                order = np.argsort(terms, kind="stable")
-                terms, at = terms[order], at[order]
+            for parts in _slices(_unpack(batch), passage, 0):
+                blocks = _Blocks(parts, weights, other, passage)
+                full = np.flatnonzero(blocks.ends[1:] > blocks.ends[:-1])
+                rows = blocks.sums(full, sent.value) / np.maximum(blocks.norms[full], 1e-9)[:, None]  # a unit row, met twice
+                at = np.repeat(np.arange(len(full)), blocks.ends[full + 1] - blocks.ends[full])
+                order = np.argsort(blocks.terms, kind="stable")
+                terms, at = blocks.terms[order], at[order]
                 turn = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1]))) if len(terms) else []
                 for k in range(0, len(turn), 256):
                     some = turn[k : k + 256]
@@ -248,30 +273,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             docs = _unpack(batch)
             hits: list[dict[int, tuple[float, float, bool]]] = [{} for _ in docs]
-            for low in range(0, len(docs), 512):
-                some = docs[low : low + 512]
-                sums, norms, known, owner, start, _, _ = _rows(some, matrix, weights, other, BLOCK_WORDS)
-                if not len(owner):
-                    continue
-                total, all_norms, all_known = sums.copy(), norms.copy(), known.copy()
+            for parts in _slices(docs, BLOCK_WORDS, BLOCK_WORDS * (BLOCKS - 1)):
+                blocks = _Blocks(parts, weights, other, BLOCK_WORDS)
+                all_norms, all_known = blocks.norms.copy(), blocks.known.copy()
                 for ahead in range(1, BLOCKS):
-                    same = np.flatnonzero(owner[ahead:] == owner[:-ahead])
-                    total[same] += sums[same + ahead]
-                    all_norms[same] += norms[same + ahead]
-                    all_known[same] += known[same + ahead]
+                    same = np.flatnonzero(blocks.part[ahead:] == blocks.part[:-ahead])
+                    all_norms[same] += blocks.norms[same + ahead]
+                    all_known[same] += blocks.known[same + ahead]
                 # the product is at most the known terms' norm, so other passages cannot reach the threshold
                 alive = np.flatnonzero(all_known >= COSINE**2 * np.maximum(all_norms, 1e-9))
                 for k in range(0, len(alive), 4096):
                     rows = alive[k : k + 4096]
-                    cosines = (total[rows] @ queries.T) / np.sqrt(all_norms[rows])[:, None]
+                    total = blocks.sums(rows, matrix)
+                    for ahead in range(1, BLOCKS):
+                        same = np.flatnonzero(np.append(blocks.part, np.full(BLOCKS, -1))[rows + ahead] == blocks.part[rows])
+                        total[same] += blocks.sums(rows[same] + ahead, matrix)
+                    cosines = (total @ queries.T) / np.sqrt(np.maximum(all_norms[rows], 1e-9))[:, None]
                     for i, piece in zip(*np.nonzero(cosines >= COSINE), strict=True):
-                        row = rows[i]
-                        doc, item = low + owner[row], owners[piece]
+                        doc, offset, _ = parts[blocks.part[rows[i]]]
+                        at, item = offset + blocks.start[rows[i]], owners[piece]
                         best = hits[doc].get(item)
                         if best and best[1] >= 1.0:
                             continue
-                        begin = max(0, start[row] - lengths[item])
-                        region = docs[doc][begin : start[row] + BLOCKS * BLOCK_WORDS + lengths[item]].tolist()
+                        region = docs[doc][max(0, at - lengths[item]) : at + BLOCKS * BLOCK_WORDS + lengths[item]].tolist()
                         share = longest_common(masks[item], lengths[item], region) / lengths[item]
                         said = share >= LCS_WITH_ANSWER and _holds(region, answers[item])
                         if (share >= LCS_ALONE or said) and (not best or share > best[1]):
