@@ -80,4 +80,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_mixing,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_UPPER_LOWER = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+
+
+def _canonical(text: str) -> str:
+    out = f"translate(coalesce({text}, ''), {_UPPER_LOWER})"
+    out = f"regexp_replace({out}, {_text(licenses.COPYRIGHT_LINE)}, '', 'g')"
+    out = f"regexp_replace({out}, '[\\x00-\\x09\\x0B-\\x2F:-@\\[-`{{-\\x7F]+', ' ', 'g')"
+    for pattern, replacement in licenses.EQUIVALENT:
+        out = f"regexp_replace({out}, {_text(pattern)}, {_text(replacement.replace('$1', chr(92) + '1'))}, 'g')"
+    return out
+
+
+def _line(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[ \\n]+', ' ', 'g'))"
+
+
+_KNOWN = " UNION ".join(
+    f"SELECT {_text(name)} AS license, sha256({_line(_canonical(_text(text)))}) AS digest" for name, text in licenses.KNOWN
+)
+_ESCAPED = r"replace(replace(replace(text, '\', '\\'), '<turn:', '<\turn:'), '</turn>', '<\/turn>')"
+_TURNS = rf"""SELECT *, sum(length('<turn:' || url_encode(role) || '>' || {_ESCAPED} || '</turn>') + 1) OVER (PARTITION BY conv_id ORDER BY rn) AS upto FROM (
+ SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM (
+ SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok') u) t"""
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+_GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": f"""WITH known AS ({_KNOWN}), docs AS (SELECT doc_id, {_canonical('text')} AS normal FROM documents),
+ units AS (SELECT doc_id, 0 AS part, {_line('normal')} AS unit FROM docs UNION ALL
+ SELECT doc_id, 1, trim(regexp_replace(l, ' +', ' ', 'g')) FROM (SELECT doc_id, unnest(string_split(normal, chr(10))) AS l FROM docs) s)
+ SELECT u.doc_id, min(k.license) FILTER (part = 0) AS license, coalesce(string_agg(DISTINCT k.license, ',' ORDER BY k.license), '') AS licenses,
+ count(*) FILTER (part = 1 AND k.license IS NOT NULL) AS n_lines FROM units u LEFT JOIN known k ON k.digest = sha256(u.unit) GROUP BY u.doc_id""",
+    "op4_url_filter": f"""WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_UPPER_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ fit AS (SELECT page_id, arg_max(rh || rp, length(rh) + length(rp)) AS rule, arg_max(v, length(rh) + length(rp)) AS verdict
+ FROM p JOIN (VALUES {_RULES}) r(v, rh, rp) ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+ SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, 'allow') AS verdict FROM p LEFT JOIN fit ON fit.page_id = p.page_id""",
+    "op6_embedding_dedup": f"""WITH RECURSIVE good AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE {_GOOD}),
+ links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+ WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.95),
+ reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.c, e.vec_id)) AS component_id, e.vec_id <= coalesce(c.c, e.vec_id) AS kept
+ FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON c.a = e.vec_id""",
+    "op7_chat_format": f"""WITH t AS ({_TURNS})
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(upto) FILTER (role = 'assistant' OR rn = n) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+}
