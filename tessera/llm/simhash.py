@@ -233,10 +233,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     judged = near_duplicates(docs)
     kept = cut(judged.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies")))
-    once = docs.join(kept.where("copies = 1").select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    named = docs.select(F.struct(*docs.columns).alias("doc"))
+    one, more = kept.where("copies = 1").select("kept_id"), kept.where("copies > 1").select("kept_id")
+    once = docs.join(one, docs["doc_id"] == one["kept_id"], "left_semi")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"))
     repeated = (
-        named.join(kept.where("copies > 1").select("kept_id"), F.col("doc.doc_id") == F.col("kept_id"), "left_semi")
+        packed.join(more, packed["doc"]["doc_id"] == more["kept_id"], "left_semi")
         .groupBy(F.col("doc.doc_id").alias("key"))
         .agg(F.first("doc").alias("doc"))
         .select("doc.*")

@@ -32,7 +32,7 @@ EDGES = [
 @pytest.fixture(scope="module")
 def edge_docs(spark):
     df = spark.createDataFrame(EDGES, "doc_id long, text string, source string")
-    return df.withColumn("size", F.lit(9)).withColumn("fp", F.lit("x")).withColumn("key", F.lit(1)).withColumn("words", F.lit(0))
+    return df.withColumn("size", F.lit(9)).withColumn("fp", F.lit("x")).withColumn("key", F.lit(1)).withColumn("words", F.lit(0)).withColumn("kept_id", F.lit(5)).withColumn("copies", F.lit(1))
 
 
 def find_base(text):
