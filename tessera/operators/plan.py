@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
+from tessera.operators.ordering import global_rank
 
 PLAN = ["cell_key", "rx", "rz", "size", "status"]
 KEY = ["cell_key"]
@@ -111,7 +112,7 @@ def assign_numbers(known: DataFrame, fresh: DataFrame) -> DataFrame:
     """``known(key, number)`` with numbers for new keys of ``fresh(key)``: from the largest on, in order of key."""
     new = fresh.select("key").distinct().join(known, "key", "left_anti")
     top = known.agg(F.coalesce(F.max("number"), F.lit(0)).alias("top"))
-    numbered = new.join(F.broadcast(top)).select("key", (F.col("top") + F.row_number().over(Window.orderBy("key"))).alias("number"))
+    numbered = global_rank(new, "place", "key").join(F.broadcast(top)).select("key", (F.col("top") + F.col("place")).alias("number"))
     return known.select("key", "number").unionByName(numbered)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators.ordering import global_rank
 
 FAILED = ["failed", "drift", "collision"]
 BUCKET = "20 seconds"
@@ -37,16 +38,15 @@ def run_summary(cells: DataFrame) -> DataFrame:
     """One row: merged, failed, incomplete, retries, and durations of merged cells: fastest, slowest, upper median, average."""
     done = F.col("status") == "merged"
     timed = done & (F.col("duration_s") > 0)
-    ordered = cells.where(timed).withColumn("rn", F.row_number().over(Window.orderBy("duration_s", "cell_key")))
-    n = cells.where(timed).agg(F.count("*").alias("n"))
-    median = ordered.join(F.broadcast(n), F.col("rn") == F.floor(F.col("n") / 2) + 1).agg(F.max("duration_s").alias("cell_median_s"))
     totals = cells.agg(
         F.count("*").alias("total"), F.count_if(done).alias("merged"), F.count_if(F.col("status").isin(*FAILED)).alias("failed"),
         F.count_if(~done & ~F.col("status").isin(*FAILED)).alias("incomplete"), F.sum(F.greatest(F.lit(0), F.col("attempts") - 1)).alias("retries"),
         F.min(F.when(timed, F.col("duration_s"))).alias("cell_fastest_s"), F.max(F.when(timed, F.col("duration_s"))).alias("cell_slowest_s"),
         F.round(F.avg(F.when(timed, F.col("duration_s"))), 1).alias("cell_avg_s"), (F.max("worker") + 1).alias("workers_peak"),
+        # from above, the discrete median is the upper one
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN status = 'merged' AND duration_s > 0 THEN duration_s END DESC)").alias("cell_median_s"),
     )
-    return totals.join(F.broadcast(median))  # one row each
+    return totals
 
 
 def timeline(samples: DataFrame) -> DataFrame:
@@ -118,12 +118,14 @@ def top_cells(cells: DataFrame, n: int = 200) -> DataFrame:
 def systematic(df: DataFrame, k: int, *order: str) -> DataFrame:
     """The rows at places floor(i * N / k), i from 0, in the given order: a row is taken iff a multiple of N/k falls on it.
 
-    The global ranks are counted per range of the first order column, then inside it.
+    The order must tell rows apart.
     """
     total = df.count()
-    ranked = df.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
-    taken = F.floor((F.col("place") + 1) * k / total - 1e-12) - F.ceil(F.col("place") * k / total - 1e-12) >= 0
-    return ranked.where(taken & (F.lit(total) > 0))
+    if not total:
+        return df.withColumn("place", F.lit(0).cast("long"))
+    ranked = global_rank(df, "place", *order).withColumn("place", F.col("place") - 1)
+    i = F.ceil(F.col("place") * k / total - 1e-12)  # the only multiple of N/k that can fall on this row
+    return ranked.where((i < k) & (F.floor(i * total / k + 1e-12) == F.col("place")))
 
 
 def zone_transitions(positions: DataFrame) -> DataFrame:

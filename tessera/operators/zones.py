@@ -123,7 +123,11 @@ def zone_members(spec: DataFrame, countries: DataFrame) -> DataFrame:
     """``spec(zone, names)`` with the known countries of each zone; unknown names are ignored, a zone with none raises."""
     asked = spec.select("zone", F.explode("names").alias("name")).select("zone", F.lower(F.trim("name")).alias("key"))
     known = countries.select(F.lower(F.trim("name")).alias("key"), "country_id")
-    return asked.join(known, "key").select("zone", "country_id").distinct()
+    found = asked.join(known, "key").select("zone", "country_id").distinct()
+    lost = spec.select("zone").distinct().join(found, "zone", "left_anti").limit(1).collect()
+    if lost:
+        raise ValueError(f"no known country in zone {lost[0]['zone']}")
+    return found
 
 
 def realm_join(points: DataFrame, boxes: DataFrame) -> DataFrame:

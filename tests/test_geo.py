@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geo
 from tessera.operators import generate, merge, osm, plan, raster, runs, zones
 from tessera.fixtures import view
+from tessera.operators.ordering import global_rank
 from tessera.plans import pipelines
 
 ORIGIN = (46.0, 25.0)
@@ -123,6 +124,20 @@ def test_param_drift(spark):
     assert {r["world"]: r["drift"] for r in plan.param_drift(meta, 0.3, 46.0, 25.0).collect()} == {"a": False, "b": True, "c": False}
 
 
+def test_global_rank(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("a"), (F.col("id") % 7).alias("b"))
+    ranked = global_rank(df, "place", "b", "a").collect()
+    want = sorted((r["b"], r["a"]) for r in ranked)
+    assert [(r["b"], r["a"]) for r in sorted(ranked, key=lambda r: r["place"])] == want and sorted(r["place"] for r in ranked) == list(range(1, 5001))
+    assert global_rank(df.limit(0), "place", "a").count() == 0
+
+
+def test_zone_without_country(spark):
+    spec = spark.createDataFrame([("z", ["Nowhere"])], "zone string, names array<string>")
+    with pytest.raises(ValueError):
+        zones.zone_members(spec, spark.createDataFrame([("A", 1)], "name string, country_id int"))
+
+
 def test_systematic(spark):
     df = spark.range(1, 101).select(F.col("id").alias("k"))
     assert [r["k"] for r in runs.systematic(df, 10, "k").orderBy("k").collect()] == [1 + i * 10 for i in range(10)]
