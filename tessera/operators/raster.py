@@ -156,3 +156,10 @@ def overview(tiles: DataFrame, k: int) -> DataFrame:
     full = tops.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("tx", "ty", (F.col("tx") * side + F.col("i")).alias("x"), (F.col("ty") * side + F.col("j")).alias("y"))
     met = full.join(tiles.select("x", "y", "mean_m"), ["x", "y"], "left")
     return met.groupBy("tx", "ty").agg(F.avg("mean_m").alias("mean_m"), F.count_if(F.col("mean_m").isNull()).alias("missing"))
+
+
+def upsample(tiles: DataFrame, pixels: DataFrame, zoom: int, width: int) -> DataFrame:
+    """Pixels of ``tiles(z, x, y)`` below the data's ``zoom``: crops of their ancestors there, resampled as in :func:`overzoom`."""
+    shift = lambda c: F.expr(f"shiftright({c}, z - {zoom})")
+    match = tiles.where(F.col("z") > zoom).select("z", "x", "y", F.lit(zoom).alias("zp"), shift("x").alias("xp"), shift("y").alias("yp"))
+    return overzoom(match, pixels, width)

@@ -69,3 +69,18 @@ def run_report(events: DataFrame, samples: DataFrame, current: DataFrame) -> Dat
 def raster_repair(pixels: DataFrame, parents: DataFrame, width: int, levels: int) -> DataFrame:
     """Pixels with holes repaired from their parents, and the levels above."""
     return raster.pyramid(raster.repair(pixels, parents, width), width, levels)
+
+
+def zone_points(points: DataFrame, spec: DataFrame, countries: DataFrame, borders: DataFrame, olat: float, olon: float, scale: float, soft_km: float, hard_km: float) -> DataFrame:
+    """``points`` with band and rule against the union of the countries that ``spec(zone, names)`` lists.
+
+    ``countries(name, country_id)``; ``borders(zone_id, seq, lon, lat)`` holds their rings by country.
+    """
+    members = zones.zone_members(spec, countries).select(F.col("country_id").alias("zone_id")).distinct()
+    rings = borders.join(members, "zone_id", "left_semi")
+    return zones.zone_rule(zones.zone_band(points, rings, olat, olon, scale, soft_km, hard_km))
+
+
+def gap_list(current: DataFrame, files: DataFrame) -> DataFrame:
+    """Merged cells with a region missing, to run again."""
+    return merge.missing_cells(current, files)

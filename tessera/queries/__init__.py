@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from tessera.fixtures import with_views
-from tessera.queries import coords, osm, planning, rasters, runs
+from tessera.queries import composed, coords, osm, planning, rasters, runs, streams
 
-MODULES = (coords, osm, planning, rasters, runs)
+MODULES = (coords, osm, planning, rasters, runs, streams, composed)
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLE_SQL = {name: with_views(sql) for module in MODULES for name, sql in module.SQL.items()}
