@@ -15,8 +15,9 @@ KINDS = ("card", "phone", "ip", "iban", "ssn", "date", "email")
 # Patterns of each kind; a match counts only if its validator agrees.
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b)"
-    r"|(?P<phone>\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}\b)"
+    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<phone>(?<![0-9A-Za-z.-])(?:\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}"
+    r"|[0-9]{3}(?P<gap>[ .-])[0-9]{3}(?P=gap)[0-9]{4})(?![0-9-]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<date>(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
@@ -79,7 +80,7 @@ def valid(kind: str, text: str) -> bool:
     if kind == "ip":
         return all(int(x) < 256 for x in text.split("."))
     if kind == "iban":
-        return iban_rest(text) == 1
+        return iban_rest(text.replace(" ", "")) == 1
     if kind == "date":
         return _parse_date(text) is not None
     if kind == "ssn":
@@ -113,8 +114,8 @@ def pseudonym(kind: str, text: str, key: bytes, inverse: bool = False) -> str:
         return ".".join(map(str, permute(number, 1 << 32, key, "ip", inverse).to_bytes(4, "big")))
     if kind == "iban":
         # Letters and digits of the account keep their places; the check digits follow from it.
-        body = _alike(text[4:], key, "iban" + text[:2], inverse)
-        return text[:2] + f"{98 - iban_rest(text[:2] + '00' + body):02d}" + body
+        body = _alike(text.replace(" ", "")[4:], key, "iban" + text[:2], inverse)
+        return _refill(text, text[:2] + f"{98 - iban_rest(text[:2] + '00' + body):02d}" + body, "[A-Z0-9]")
     if kind == "ssn":
         while True:
             digits = _digits(digits, 10**9, key, "ssn", inverse)
@@ -150,7 +151,8 @@ def rewrite(text: str, key: bytes, inverse: bool = False) -> tuple[str, dict[str
     counts = dict.fromkeys(KINDS, 0)
 
     def swap(match: re.Match) -> str:
-        kind, found = match.lastgroup, match.group()
+        found = match.group()
+        kind = next(k for k in KINDS if match[k] is not None)
         if not valid(kind, found):
             return found
         counts[kind] += 1

@@ -82,8 +82,8 @@ def test_licenses(spark):
 
 KEY = b"test key"
 VALUES = {
-    "card": ["4539578763621486", "4539 5787 6362 1486", "378282246310005"], "phone": ["+1 (768) 555-9731", "+44 7685559731"],
-    "ip": ["10.0.0.1", "235.58.234.215"], "iban": ["DE89370400440532013000", "GB82WEST12345698765432"], "ssn": ["123-45-6789"],
+    "card": ["4539578763621486", "4539 5787 6362 1486", "378282246310005"], "phone": ["+1 (768) 555-9731", "+44 7685559731", "(768) 555-9731", "768-555-9731"],
+    "ip": ["10.0.0.1", "235.58.234.215"], "iban": ["DE89370400440532013000", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00"], "ssn": ["123-45-6789"],
     "date": ["2024-02-29", "31.12.1999", "01/02/2003"], "email": ["of.92@mail6.example.com"],
 }
 
@@ -93,8 +93,9 @@ def test_pseudonyms_are_valid_and_undone():
         for value in values:
             assert pii.valid(kind, value), value
             other = pii.pseudonym(kind, value, KEY)
-            assert other != value and pii.valid(kind, other) and re.sub("[0-9]", "9", other.upper() if kind == "x" else other).__len__() <= len(value) + 8
-            assert pii.PATTERN.fullmatch(other).lastgroup == kind
+            assert other != value and pii.valid(kind, other)
+            assert kind == "ip" or re.sub("[0-9]", "9", re.sub("[a-z]", "a", other)) == re.sub("[0-9]", "9", re.sub("[a-z]", "a", value)) or kind == "iban"
+            assert pii.PATTERN.fullmatch(other)[kind] == other
             assert pii.pseudonym(kind, other, KEY, inverse=True) == value
             assert pii.pseudonym(kind, value, b"another") != other
 
