@@ -170,7 +170,7 @@ class _Blocks:
 
 
 def _gram_times(ids: DataFrame, basis: np.ndarray, weights: np.ndarray, other: float) -> np.ndarray:
-    """A'A times ``basis`` over the passages of all documents; tasks send one matrix each, summed in two steps."""
+    """A'A times ``basis`` over the passages of all documents; tasks send one matrix each, summed eight at a time."""
     shape, passage = basis.shape, BLOCK_WORDS * BLOCKS
     sent = ids.sparkSession.sparkContext.broadcast((basis * weights[:, None]).astype(np.float32))
 
@@ -189,17 +189,24 @@ def _gram_times(ids: DataFrame, basis: np.ndarray, weights: np.ndarray, other: f
                     some = turn[k : k + 256]
                     end = turn[k + 256] if k + 256 < len(turn) else len(terms)
                     total[terms[some]] += np.add.reduceat(rows[at[some[0] : end]], some - some[0], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+        yield packed(total)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        for batch in batches:
-            for m in batch["m"]:
-                total += np.frombuffer(m.as_py()).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["m"])
 
-    sums = ids.mapInArrow(part, "m binary").repartition(4).mapInArrow(add, "m binary").collect()
-    total = sum((np.frombuffer(r["m"]).reshape(shape) for r in sums), np.zeros(shape))
+    def added(blobs) -> np.ndarray:
+        return sum((np.frombuffer(m, np.float32).reshape(shape).astype(np.float64) for m in blobs), np.zeros(shape))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed(sum((added(m.as_py() for m in batch["m"]) for batch in batches), np.zeros(shape)))
+
+    sums, count = ids.mapInArrow(part, "m binary"), ids.rdd.getNumPartitions()
+    while True:
+        count = max(4, -(-count // 8))
+        sums = sums.repartition(count).mapInArrow(add, "m binary")
+        if count <= 8:
+            break
+    total = added(r["m"] for r in sums.collect())  # eight at most
     sent.unpersist()
     return total * weights[:, None]
 
@@ -324,4 +331,4 @@ def judge_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they were, whose doc_id no contaminated row has; null doc_ids stay."""
     found = judge_leaks(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("leaked_id"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["leaked_id"], "left_anti")
