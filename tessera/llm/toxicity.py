@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Labelled documents that the models are fitted on at most, drawn by hash of doc_id.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 #: Words and beginnings of words that the models see at most: those in most of the labelled documents.
 VOCABULARY = 1 << 15
 STEMS = (3, 4, 5, 6, 7)
-FOLDS = 3
+FOLDS = 2
 #: From this probability of its last category on, a document counts as toxic.
 THRESHOLD = 0.4
 #: Penalty of the linear models; the L1 share leaves weight only on words that tell.
-PENALTY, L1_SHARE, ITERATIONS = 0.0005, 0.9, 30
+PENALTY, L1_SHARE, ITERATIONS = 0.0005, 0.9, 20
 
 
-def words(text: Column) -> Column:
-    """Distinct lower-case letter runs and their beginnings of each length in STEMS; a null text has none.
+_RUN = re.compile(r"[^\W\d_]+")
 
-    Beginnings carry what inflected or compound words share.
+
+def terms_of(text: str | None, known: set[str] | None = None) -> set[str]:
+    """Distinct lower-case letter runs and their beginnings of each length in STEMS, of ``known`` ones only if given.
+
+    Beginnings carry what inflected or compound words share. A null text has none.
     """
-    runs = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
-    runs = F.filter(runs, lambda w: w != "")
-    return F.array_distinct(F.concat(runs, *[F.array_distinct(_beginnings(runs, k)) for k in STEMS]))
+    runs = set(_RUN.findall(text.lower())) if text else set()
+    levels = [runs, *({run[:k] for run in runs} for k in STEMS)]
+    return set().union(*levels) if known is None else set().union(*(known & level for level in levels))
+
+
+def with_words(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, <categories>)`` with the terms of the text as ``words`` in its place."""
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([sorted(terms_of(t.as_py())) for t in batch["text"]], pa.list_(pa.string()))
+            names = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), found], [*names, "words"])
 
-def _beginnings(runs: Column, k: int) -> Column:
-    return F.transform(runs, lambda w: F.substring(w, 1, k))
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    return docs.mapInArrow(apply, StructType([*kept, StructField("words", ArrayType(StringType()))]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str], bound: int = MAX_LABELLED) -> DataFrame:
@@ -48,23 +64,57 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
         .limit(bound)
         .withColumnRenamed("doc_id", "label_id")
     )
-    texts = docs.select("doc_id", words(F.col("text")).alias("words")).join(
-        F.broadcast(judged), F.col("doc_id") == F.col("label_id")
-    )  # at most `bound` rows are broadcast
-    once = texts.groupBy("doc_id", *categories).agg(F.min("words").alias("words"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(judged), F.col("doc_id") == F.col("label_id"))
+    once = texts.groupBy("doc_id", *categories).agg(F.min("text").alias("text"))  # at most `bound` rows
+    once = with_words(once)
     return once.withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS)))
 
 
 class ChainModel:
-    """Fitted links of the chain; :meth:`score` adds ``p_<category>`` columns to rows with ``words``."""
+    """The fitted chain: per category an intercept and the terms' weights other than 0, or a constant probability."""
+
+    def __init__(self, categories: Sequence[str], links: list[float | tuple[float, dict[str, float]]]):
+        self.categories, self.links = list(categories), links
+        self.known = {term for link in links if not isinstance(link, float) for term in link[1]}
+
+    def probabilities(self, text: str | None) -> list[float]:
+        """The categories' probabilities, each link fed with those before it."""
+        terms, out = terms_of(text, self.known), []
+        for category, link in zip(self.categories, self.links, strict=True):
+            if isinstance(link, float):
+                out.append(link)
+            else:
+                score = link[0] + math.fsum(link[1][t] for t in link[1].keys() & terms)
+                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, score)))))
+            terms |= {f"{category} >= 0.{k}" for k in range(1, min(9, int(out[-1] * 10)) + 1)}
+        return out
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """``docs(doc_id, text)`` as doc_id and ``p_<category>``."""
+        names = [f"p_{c}" for c in self.categories]
 
-    def __init__(self, categories: Sequence[str], counter: CountVectorizerModel, links: list):
-        self.categories, self.counter, self.links = list(categories), counter, links
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [self.probabilities(t.as_py()) for t in batch["text"]]
+                columns = [pa.array([p[k] for p in found], pa.float64()) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", *names])
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        for k, (category, link) in enumerate(zip(self.categories, self.links, strict=True)):
-            rows = _link(rows, self.categories[:k], self.counter, link, f"p_{category}")
-        return rows
+        return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+
+    def keep(self, docs: DataFrame, threshold: float) -> DataFrame:
+        """The rows of ``docs``, all columns, whose last category's probability is below ``threshold``."""
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([self.probabilities(t.as_py())[-1] < threshold for t in batch["text"]], pa.bool_()))
+
+        return docs.mapInArrow(apply, docs.schema)
+
+
+def _weights(link, counter: CountVectorizerModel) -> float | tuple[float, dict[str, float]]:
+    if isinstance(link, float):
+        return link
+    return float(link.intercept), {t: float(w) for t, w in zip(counter.vocabulary, link.coefficients.toArray(), strict=True) if w}
 
 
 def _counter(rows: DataFrame, categories: Sequence[str]) -> CountVectorizerModel:
@@ -84,8 +134,9 @@ def _features(rows: DataFrame, earlier: Sequence[str], counter: CountVectorizerM
 
 
 def _tenths(category: str) -> Column:
-    reached = F.filter(F.array(*[F.lit(k) for k in range(1, 10)]), lambda k: F.col(f"p_{category}") * 10 >= k)
-    return F.transform(reached, lambda k: F.concat(F.lit(f"{category} >= 0."), k.cast("string")))
+    """The terms ``<category> >= 0.k`` that hold; the probability stands once, so it is computed once."""
+    terms = F.array(*[F.lit(f"{category} >= 0.{k}") for k in range(1, 10)])
+    return F.slice(terms, 1, F.least(F.lit(9), F.floor(F.col(f"p_{category}") * 10)).cast("int"))
 
 
 def _link(rows: DataFrame, earlier: Sequence[str], counter: CountVectorizerModel, link, out: str) -> DataFrame:
@@ -118,7 +169,7 @@ def fit_chain(rows: DataFrame, categories: Sequence[str], folds: int = FOLDS) ->
     them; for scoring, from the model fitted on all rows. A category with one class only, or no
     rows at all, gets its share as a constant.
     """
-    rows = rows.coalesce(8).persist()  # bounded by the sample
+    rows = rows.coalesce(6).persist()  # bounded by the sample
     counter = _counter(rows, categories)
     links, earlier = [], []
     for category in categories:
@@ -129,8 +180,8 @@ def fit_chain(rows: DataFrame, categories: Sequence[str], folds: int = FOLDS) ->
         for f in range(folds):
             link = _fit(rows.where(F.col("fold") != f), category, earlier, counter)
             parts.append(_link(rows.where(F.col("fold") == f), earlier, counter, link, f"p_{category}"))
-        rows, earlier = reduce(DataFrame.unionByName, parts).coalesce(8).persist(), [*earlier, category]
-    return ChainModel(categories, counter, links)
+        rows, earlier = reduce(DataFrame.unionByName, parts).coalesce(6).persist(), [*earlier, category]
+    return ChainModel(categories, [_weights(link, counter) for link in links])
 
 
 def judge_toxicity(
@@ -145,7 +196,7 @@ def judge_toxicity(
     documents are fitted on; all documents are scored. Other columns are ignored.
     """
     model = fit_chain(training_rows(docs, labels, categories), categories)
-    scored = model.score(docs.select("doc_id", words(F.col("text")).alias("words")))
+    scored = model.score(docs)
     last = f"p_{categories[-1]}"
     return scored.select("doc_id", *[f"p_{c}" for c in categories], (F.col(last) >= threshold).alias("toxic"))
 
@@ -153,8 +204,7 @@ def judge_toxicity(
 def drop_toxic(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"), threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they were, that :func:`judge_toxicity` would not call toxic."""
     model = fit_chain(training_rows(docs, labels, categories), categories)
-    scored = model.score(docs.select(F.struct(*docs.columns).alias("doc"), words(F.col("text")).alias("words")))
-    return scored.where(F.col(f"p_{categories[-1]}") < threshold).select("doc.*")
+    return model.keep(docs, threshold)
 
 
 def low_quality_labels(labels: DataFrame) -> DataFrame:
