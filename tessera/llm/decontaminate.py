@@ -206,9 +206,9 @@ def _gram_times(ids: DataFrame, basis: np.ndarray, weights: np.ndarray, other: f
         sums = sums.repartition(count).mapInArrow(add, "m binary")
         if count <= 8:
             break
-    total = added(r["m"] for r in sums.collect())  # eight at most
-    sent.unpersist()
-    return total * weights[:, None]
+    total = np.frombuffer(sums.repartition(1).mapInArrow(add, "m binary").first()["m"], np.float32).reshape(shape)  # of eight at most
+    sent.destroy()
+    return total * weights[:, None].astype(np.float32)
 
 
 def latent_basis(ids: DataFrame, queries: np.ndarray, weights: np.ndarray, other: float, rank: int = RANK) -> np.ndarray:
@@ -218,12 +218,14 @@ def latent_basis(ids: DataFrame, queries: np.ndarray, weights: np.ndarray, other
     """
     terms = len(weights)
     width = min(rank + OVERSAMPLE, terms)
-    q = np.random.default_rng(11).standard_normal((terms, width)) * (weights > 0)[:, None]
+    q = np.random.default_rng(11).standard_normal((terms, width), np.float32)
+    q *= (weights > 0)[:, None]
     for last in (False, True):
         product = _gram_times(ids, q, weights, other)
         focus = queries.T @ (queries @ q)
-        focus *= max(1.0, np.linalg.norm(product) / max(np.linalg.norm(focus), 1e-12))
+        focus *= np.float32(max(1.0, np.linalg.norm(product) / max(np.linalg.norm(focus), 1e-12)))
         product += focus
+        del focus
         if not last:
             q = np.linalg.qr(product)[0]
     values, turn = np.linalg.eigh((q.T @ product + product.T @ q) / 2)
@@ -260,7 +262,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids = cut(word_ids(docs, items))
     frequencies, documents = document_frequencies(ids, len(items.vocabulary))
     weights, other = term_weights(items, frequencies, documents)
-    pieces = np.zeros((len(items.pieces), len(weights)))
+    pieces = np.zeros((len(items.pieces), len(weights)), np.float32)
     for row, (_, words) in zip(pieces, items.pieces, strict=True):
         np.add.at(row, words, weights[words])
     lengths = np.linalg.norm(pieces, axis=1, keepdims=True)
