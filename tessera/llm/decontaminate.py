@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,10 @@ BLOCK_WORDS, BLOCKS = 16, 3
 #: Words that an item is cut into for retrieval, so that a passage holds any piece; pieces overlap by half.
 PIECE_WORDS = 32
 RANK, OVERSAMPLE = 320, 16
+#: Pieces that share a basis; a larger benchmark has more bases, of which so many are sent to the tasks at once.
+GROUP_PIECES, GROUPS_AT_ONCE = 400, 4
+#: Share of its squared length that every piece keeps in its basis, which gets more directions where it has to.
+KEPT = 0.95
 #: Terms in more than this share of documents don't tell items apart; each item keeps its five rarest.
 STOP_SHARE, LEAST_TERMS = 0.02, 5
 COSINE = 0.2
@@ -34,6 +39,7 @@ LCS_ALONE, LCS_WITH_ANSWER = 0.8, 0.5
 ANSWER_WORDS = 5
 #: The benchmark is sent to every task; more words than this raise an error.
 MAX_BENCHMARK_WORDS = 5_000_000
+HITS = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:boolean>>"
 _WORD = re.compile(r"\w+")
 
 
@@ -140,7 +146,7 @@ def _slices(docs: list[np.ndarray], step: int, overlap: int) -> Iterator[list[tu
 class _Blocks:
     """Blocks of words of some texts: where they are, their squared norms, and their telling terms in order."""
 
-    def __init__(self, parts: list[tuple[int, int, np.ndarray]], weights: np.ndarray, other: float, block: int):
+    def __init__(self, parts: list[tuple[int, int, np.ndarray]], weights: np.ndarray, other: float, block: int, local: np.ndarray):
         sizes = np.array([len(p) for _, _, p in parts])
         per = -(-sizes // block)
         first = np.concatenate(([0], np.cumsum(per)))[:-1]
@@ -149,10 +155,12 @@ class _Blocks:
         ids = np.concatenate([p for _, _, p in parts])
         place = np.arange(len(ids)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes)
         at = np.repeat(first, sizes) + place // block
-        self.known = np.bincount(at, weights[ids] ** 2, minlength=len(self.part))
-        self.norms = self.known + other**2 * np.bincount(at[ids == 0], minlength=len(self.part))
-        tell = weights[ids] > 0
-        self.terms = ids[tell]
+        squares = weights[ids] ** 2
+        self.norms = np.bincount(at, squares, minlength=len(self.part)) + other**2 * np.bincount(at[ids == 0], minlength=len(self.part))
+        terms = local[ids]
+        tell = terms >= 0
+        self.known = np.bincount(at[tell], squares[tell], minlength=len(self.part))
+        self.terms = terms[tell]
         self.ends = np.searchsorted(at[tell], np.arange(len(self.part) + 1))  # terms of block b: ends[b] to ends[b + 1]
 
     def sums(self, blocks: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -169,16 +177,41 @@ class _Blocks:
         return out
 
 
-def _gram_times(ids: DataFrame, basis: np.ndarray, weights: np.ndarray, other: float) -> np.ndarray:
+class Group:
+    """Some pieces of the benchmark as unit rows over their own telling terms, numbered from 0; ``local`` is -1 for all other words."""
+
+    def __init__(self, pieces: Sequence[tuple[int, list[int]]], weights: np.ndarray):
+        self.owners = [k for k, _ in pieces]
+        terms = sorted({t for _, words in pieces for t in words if weights[t] > 0})
+        self.local = np.full(len(weights), -1, np.int32)
+        self.local[terms] = np.arange(len(terms))
+        self.weights = weights[terms]
+        self.rows = np.zeros((len(pieces), len(terms)), np.float32)
+        for row, (_, words) in zip(self.rows, pieces, strict=True):
+            known = [t for t in words if weights[t] > 0]
+            np.add.at(row, self.local[known], weights[known])
+        self.lengths = np.linalg.norm(self.rows, axis=1)
+        self.rows /= np.maximum(self.lengths, 1e-12)[:, None]
+
+
+def groups(items: Items, weights: np.ndarray) -> Iterator[Group]:
+    """All pieces that have telling terms, in groups small enough for one basis."""
+    pieces = [(k, words) for k, words in items.pieces if any(weights[t] > 0 for t in words)]
+    count = -(-len(pieces) // GROUP_PIECES)
+    for g in range(count):
+        yield Group(pieces[g * len(pieces) // count : (g + 1) * len(pieces) // count], weights)
+
+
+def _gram_times(ids: DataFrame, basis: np.ndarray, group: Group, weights: np.ndarray, other: float) -> np.ndarray:
     """A'A times ``basis`` over the passages of all documents; tasks send one matrix each, summed eight at a time."""
-    shape, passage = basis.shape, BLOCK_WORDS * BLOCKS
-    sent = ids.sparkSession.sparkContext.broadcast((basis * weights[:, None]).astype(np.float32))
+    shape, passage, local = basis.shape, BLOCK_WORDS * BLOCKS, group.local
+    sent = ids.sparkSession.sparkContext.broadcast((basis * group.weights[:, None]).astype(np.float32))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
             for parts in _slices(_unpack(batch), passage, 0):
-                blocks = _Blocks(parts, weights, other, passage)
+                blocks = _Blocks(parts, weights, other, passage, local)
                 full = np.flatnonzero(blocks.ends[1:] > blocks.ends[:-1])
                 rows = blocks.sums(full, sent.value) / np.maximum(blocks.norms[full], 1e-9)[:, None]  # a unit row, met twice
                 at = np.repeat(np.arange(len(full)), blocks.ends[full + 1] - blocks.ends[full])
@@ -208,20 +241,20 @@ def _gram_times(ids: DataFrame, basis: np.ndarray, weights: np.ndarray, other: f
             break
     total = np.frombuffer(sums.repartition(1).mapInArrow(add, "m binary").first()["m"], np.float32).reshape(shape)  # of eight at most
     sent.destroy()
-    return total * weights[:, None].astype(np.float32)
+    return total * group.weights[:, None].astype(np.float32)
 
 
-def latent_basis(ids: DataFrame, queries: np.ndarray, weights: np.ndarray, other: float, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the passages and, weighing as much together, the items' pieces.
+def latent_basis(ids: DataFrame, group: Group, weights: np.ndarray, other: float, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the passages and, weighing as much together, the group's pieces.
 
     Randomised SVD: a random basis through A'A, made orthonormal, then once more for the values.
+    What pieces of less than KEPT in that basis lack is added to it.
     """
-    terms = len(weights)
+    queries, terms = group.rows, len(group.weights)
     width = min(rank + OVERSAMPLE, terms)
     q = np.random.default_rng(11).standard_normal((terms, width), np.float32)
-    q *= (weights > 0)[:, None]
     for last in (False, True):
-        product = _gram_times(ids, q, weights, other)
+        product = _gram_times(ids, q, group, weights, other)
         focus = queries.T @ (queries @ q)
         focus *= np.float32(max(1.0, np.linalg.norm(product) / max(np.linalg.norm(focus), 1e-12)))
         product += focus
@@ -229,7 +262,22 @@ def latent_basis(ids: DataFrame, queries: np.ndarray, weights: np.ndarray, other
         if not last:
             q = np.linalg.qr(product)[0]
     values, turn = np.linalg.eigh((q.T @ product + product.T @ q) / 2)
-    return q @ turn[:, np.argsort(-values)[:rank]]
+    return completed(q @ turn[:, np.argsort(-values)[:rank]], queries)
+
+
+def completed(basis: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """``basis`` with directions added until each unit row of ``queries`` keeps KEPT of its squared length."""
+    basis = basis.astype(np.float64)
+    while True:
+        inside = queries @ basis
+        short = np.flatnonzero((inside**2).sum(axis=1) < KEPT)
+        if not len(short):
+            return basis.astype(np.float32)
+        lacking = queries[short] - inside[short] @ basis.T
+        _, values, turned = np.linalg.svd(lacking, full_matrices=False)
+        more = turned[values > 1e-3 * values[0]].T
+        more -= basis @ (basis.T @ more)
+        basis = np.hstack([basis, np.linalg.qr(more)[0]])
 
 
 def longest_common(masks: dict[int, int], length: int, region: Sequence[int]) -> int:
@@ -256,66 +304,76 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     finds nothing. Words are ``\\w`` runs in lower case. Other columns are ignored.
     """
     items = read_items(benchmark)
-    schema = "doc_id long, hits array<struct<item_id:bigint,cosine:double,lcs:double,answer:boolean>>"
     if not items.words:
-        return docs.select("doc_id", F.array().cast(schema.split("hits ")[1]).alias("hits"))
+        return docs.select("doc_id", F.array().cast(HITS).alias("hits"))
     ids = cut(word_ids(docs, items))
     frequencies, documents = document_frequencies(ids, len(items.vocabulary))
     weights, other = term_weights(items, frequencies, documents)
-    pieces = np.zeros((len(items.pieces), len(weights)), np.float32)
-    for row, (_, words) in zip(pieces, items.pieces, strict=True):
-        np.add.at(row, words, weights[words])
-    lengths = np.linalg.norm(pieces, axis=1, keepdims=True)
-    pieces /= np.maximum(lengths, 1e-12)
-    basis = latent_basis(ids, pieces, weights, other)
     masks = [{} for _ in items.words]
     for mask, words in zip(masks, items.words, strict=True):
         for at, term in enumerate(words):
             mask[term] = mask.get(term, 0) | (1 << at)
-    sent = docs.sparkSession.sparkContext.broadcast(
-        ((basis * weights[:, None]).astype(np.float32), (pieces @ basis).astype(np.float32), [k for k, _ in items.pieces], masks,
-         [len(w) for w in items.words], items.answers, items.ids)
-    )
+    exact = docs.sparkSession.sparkContext.broadcast((masks, [len(w) for w in items.words], items.answers, items.ids, weights))
+    found, held = ids, []
+    for group in groups(items, weights):
+        if len(held) == GROUPS_AT_ONCE:
+            found, held = cut(_searched(found, held, exact, other)), []
+        basis = latent_basis(ids, group, weights, other)
+        queries = group.rows @ basis
+        queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+        held.append((basis * group.weights[:, None].astype(np.float32), queries, group.owners, group.local))
+    found = _searched(found, held, exact, other, keep=False)
+    return found.select("doc_id", F.transform("hits", lambda h: F.struct(*[h[c].alias(c) for c in ("item_id", "cosine", "lcs", "answer")])).alias("hits"))
+
+
+def _searched(ids: DataFrame, bases: list, exact: Broadcast, other: float, keep: bool = True) -> DataFrame:
+    """``ids(doc_id, ids[, hits])`` with the hits of the pieces of some groups, beside those it has; ids go on if ``keep``."""
+    sent, again = ids.sparkSession.sparkContext.broadcast(bases), "hits" in ids.columns
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, queries, owners, masks, lengths, answers, item_ids = sent.value
+        masks, lengths, answers, item_ids, weights = exact.value
         for batch in batches:
             docs = _unpack(batch)
             hits: list[dict[int, tuple[float, float, bool]]] = [{} for _ in docs]
+            if again:
+                for known, before in zip(hits, batch["hits"].to_pylist(), strict=True):
+                    known.update((h["key"], (h["cosine"], h["lcs"], h["answer"])) for h in before)
             for parts in _slices(docs, BLOCK_WORDS, BLOCK_WORDS * (BLOCKS - 1)):
-                blocks = _Blocks(parts, weights, other, BLOCK_WORDS)
-                all_norms, all_known = blocks.norms.copy(), blocks.known.copy()
-                for ahead in range(1, BLOCKS):
-                    same = np.flatnonzero(blocks.part[ahead:] == blocks.part[:-ahead])
-                    all_norms[same] += blocks.norms[same + ahead]
-                    all_known[same] += blocks.known[same + ahead]
-                # the product is at most the known terms' norm, so other passages cannot reach the threshold
-                alive = np.flatnonzero(all_known >= COSINE**2 * np.maximum(all_norms, 1e-9))
-                for k in range(0, len(alive), 4096):
-                    rows = alive[k : k + 4096]
-                    total = blocks.sums(rows, matrix)
+                for matrix, queries, owners, local in sent.value:
+                    blocks = _Blocks(parts, weights, other, BLOCK_WORDS, local)
+                    all_norms, all_known = blocks.norms.copy(), blocks.known.copy()
                     for ahead in range(1, BLOCKS):
-                        same = np.flatnonzero(np.append(blocks.part, np.full(BLOCKS, -1))[rows + ahead] == blocks.part[rows])
-                        total[same] += blocks.sums(rows[same] + ahead, matrix)
-                    cosines = (total @ queries.T) / np.sqrt(np.maximum(all_norms[rows], 1e-9))[:, None]
-                    for i, piece in zip(*np.nonzero(cosines >= COSINE), strict=True):
-                        doc, offset, _ = parts[blocks.part[rows[i]]]
-                        at, item = offset + blocks.start[rows[i]], owners[piece]
-                        best = hits[doc].get(item)
-                        if best and best[1] >= 1.0:
-                            continue
-                        region = docs[doc][max(0, at - lengths[item]) : at + BLOCKS * BLOCK_WORDS + lengths[item]].tolist()
-                        share = longest_common(masks[item], lengths[item], region) / lengths[item]
-                        said = share >= LCS_WITH_ANSWER and _holds(region, answers[item])
-                        if (share >= LCS_ALONE or said) and (not best or share > best[1]):
-                            hits[doc][item] = (float(cosines[i, piece]), share, said)
+                        same = np.flatnonzero(blocks.part[ahead:] == blocks.part[:-ahead])
+                        all_norms[same] += blocks.norms[same + ahead]
+                        all_known[same] += blocks.known[same + ahead]
+                    # the product is at most the known terms' norm, so other passages cannot reach the threshold
+                    alive = np.flatnonzero((all_known > 0) & (all_known >= COSINE**2 * all_norms))
+                    for k in range(0, len(alive), 4096):
+                        rows = alive[k : k + 4096]
+                        total = blocks.sums(rows, matrix)
+                        for ahead in range(1, BLOCKS):
+                            same = np.flatnonzero(np.append(blocks.part, np.full(BLOCKS, -1))[rows + ahead] == blocks.part[rows])
+                            total[same] += blocks.sums(rows[same] + ahead, matrix)
+                        cosines = (total @ queries.T) / np.sqrt(all_norms[rows])[:, None]
+                        for i, piece in zip(*np.nonzero(cosines >= COSINE), strict=True):
+                            doc, offset, _ = parts[blocks.part[rows[i]]]
+                            at, item = offset + blocks.start[rows[i]], owners[piece]
+                            best = hits[doc].get(item)
+                            if best and best[1] >= 1.0:
+                                continue
+                            region = docs[doc][max(0, at - lengths[item]) : at + BLOCKS * BLOCK_WORDS + lengths[item]].tolist()
+                            share = longest_common(masks[item], lengths[item], region) / lengths[item]
+                            said = share >= LCS_WITH_ANSWER and _holds(region, answers[item])
+                            if (share >= LCS_ALONE or said) and (not best or share > best[1]):
+                                hits[doc][item] = (float(cosines[i, piece]), share, said)
             column = [
-                [{"item_id": item_ids[k], "cosine": c, "lcs": s, "answer": a} for k, (c, s, a) in sorted(found.items())] for found in hits
+                [{"item_id": item_ids[k], "cosine": c, "lcs": s, "answer": a, "key": k} for k, (c, s, a) in sorted(found.items())] for found in hits
             ]
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(column, kind)], ["doc_id", "hits"])
+            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.bool_()), ("key", pa.int64())]))
+            out = {"doc_id": batch["doc_id"], "ids": batch["ids"], "hits": pa.array(column, kind)}
+            yield pa.RecordBatch.from_pydict(out if keep else {k: out[k] for k in ("doc_id", "hits")})
 
-    return ids.mapInArrow(search, schema)
+    return ids.mapInArrow(search, f"doc_id long, {'ids binary, ' if keep else ''}hits {HITS[:-2]},key:bigint>>")
 
 
 def judge_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -152,6 +152,20 @@ def test_leaks_planted(spark, sf_dir):
     assert decontaminate.judge_leaks(mixed.limit(0), benchmark).count() == 0
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    """2,000 items, more pieces than a basis has directions: every one is found in long texts."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(6000)]
+    docs = [[rng.choice(words) for _ in range(300)] for _ in range(400)]
+    items = [[rng.choice(words) for _ in range(20)] for _ in range(2000)]
+    for k, item in enumerate(items):
+        docs[k % 400][100:100] = item
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: {h["item_id"] for h in r["hits"]} for r in decontaminate.leaks(df, bench).collect()}
+    assert all(got[d] == set(range(d, 2000, 400)) for d in range(400))
+
+
 def test_answers(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "beta gamma one two zeta eta three four")], "doc_id long, text string")
     docs = docs.unionByName(spark.range(100, 400).select("id", F.lit("other words of no interest").alias("text")).toDF("doc_id", "text"))
