@@ -2,8 +2,9 @@
 
 Passages of all documents and the benchmark's items are rows of a TF-IDF matrix over the items'
 terms. A randomised SVD, distributed over the passages, gives a latent basis; passages whose cosine
-with an item in it is high are candidates. A candidate counts if its longest common subsequence of
-words with the item is long, or a shorter one comes with the item's answer.
+with an item in it is high, or that hold much of an item's own weight, are candidates. A candidate
+counts if its longest common subsequence of words with the item is long, or a shorter one comes
+with the item's answer.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ GROUP_PIECES, GROUPS_AT_ONCE = 400, 4
 KEPT = 0.95
 #: Terms in more than this share of documents don't tell items apart; each item keeps its five rarest.
 STOP_SHARE, LEAST_TERMS = 0.02, 5
-COSINE = 0.2
+#: A passage is a candidate by its cosine with a piece, or by its share of the piece's own squared weights, whatever words stand around.
+COSINE, HELD = 0.2, 0.4
 #: Words that are worked on at once; longer texts are cut, with an overlap where passages are searched.
 SLICE_WORDS = 100_000
 #: Share of an item's words in common, in order, that counts alone, and with the answer present.
@@ -163,6 +165,10 @@ class _Blocks:
         self.terms = terms[tell]
         self.ends = np.searchsorted(at[tell], np.arange(len(self.part) + 1))  # terms of block b: ends[b] to ends[b + 1]
 
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """A value per telling term, summed over the terms of each block."""
+        return np.bincount(np.repeat(np.arange(len(self.part)), np.diff(self.ends)), values, minlength=len(self.part))
+
     def sums(self, blocks: np.ndarray, basis: np.ndarray) -> np.ndarray:
         """Rows of ``basis`` summed over the terms of each block."""
         out = np.zeros((len(blocks), basis.shape[1]), basis.dtype)
@@ -192,6 +198,8 @@ class Group:
             np.add.at(row, self.local[known], weights[known])
         self.lengths = np.linalg.norm(self.rows, axis=1)
         self.rows /= np.maximum(self.lengths, 1e-12)[:, None]
+        #: The largest share of a piece's squared weights that one word of a passage brings, per term.
+        self.reach = (self.rows / self.lengths[:, None]).max(axis=0) * self.weights
 
 
 def groups(items: Items, weights: np.ndarray) -> Iterator[Group]:
@@ -320,8 +328,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             found, held = cut(_searched(found, held, exact, other)), []
         basis = latent_basis(ids, group, weights, other)
         queries = group.rows @ basis
-        queries /= np.linalg.norm(queries, axis=1, keepdims=True)
-        held.append((basis * group.weights[:, None].astype(np.float32), queries, group.owners, group.local))
+        kept = np.linalg.norm(queries, axis=1)
+        queries /= kept[:, None]
+        held.append((basis * group.weights[:, None].astype(np.float32), queries, group.owners, group.local, HELD * kept * group.lengths, group.reach))
     found = _searched(found, held, exact, other, keep=False)
     return found.select("doc_id", F.transform("hits", lambda h: F.struct(*[h[c].alias(c) for c in ("item_id", "cosine", "lcs", "answer")])).alias("hits"))
 
@@ -339,23 +348,28 @@ def _searched(ids: DataFrame, bases: list, exact: Broadcast, other: float, keep:
                 for known, before in zip(hits, batch["hits"].to_pylist(), strict=True):
                     known.update((h["key"], (h["cosine"], h["lcs"], h["answer"])) for h in before)
             for parts in _slices(docs, BLOCK_WORDS, BLOCK_WORDS * (BLOCKS - 1)):
-                for matrix, queries, owners, local in sent.value:
+                for matrix, queries, owners, local, enough, reach in sent.value:
                     blocks = _Blocks(parts, weights, other, BLOCK_WORDS, local)
-                    all_norms, all_known = blocks.norms.copy(), blocks.known.copy()
+                    part_held = blocks.summed(reach[blocks.terms])
+                    all_norms, all_known, all_held = blocks.norms.copy(), blocks.known.copy(), part_held.copy()
                     for ahead in range(1, BLOCKS):
                         same = np.flatnonzero(blocks.part[ahead:] == blocks.part[:-ahead])
                         all_norms[same] += blocks.norms[same + ahead]
                         all_known[same] += blocks.known[same + ahead]
-                    # the product is at most the known terms' norm, so other passages cannot reach the threshold
-                    alive = np.flatnonzero((all_known > 0) & (all_known >= COSINE**2 * all_norms))
+                        all_held[same] += part_held[same + ahead]
+                    # the product is at most the known terms' norm, and the share at most the sum of the terms' largest,
+                    # so other passages cannot reach the thresholds
+                    alive = np.flatnonzero((all_known > 0) & ((all_known >= COSINE**2 * all_norms) | (all_held >= HELD - 1e-6)))
                     for k in range(0, len(alive), 4096):
                         rows = alive[k : k + 4096]
                         total = blocks.sums(rows, matrix)
                         for ahead in range(1, BLOCKS):
                             same = np.flatnonzero(np.append(blocks.part, np.full(BLOCKS, -1))[rows + ahead] == blocks.part[rows])
                             total[same] += blocks.sums(rows[same] + ahead, matrix)
-                        cosines = (total @ queries.T) / np.sqrt(all_norms[rows])[:, None]
-                        for i, piece in zip(*np.nonzero(cosines >= COSINE), strict=True):
+                        products = total @ queries.T
+                        norms = np.sqrt(all_norms[rows]).astype(np.float32)
+                        near = (products >= COSINE * norms[:, None]) | (products >= enough)
+                        for i, piece in zip(*np.nonzero(near), strict=True):
                             doc, offset, _ = parts[blocks.part[rows[i]]]
                             at, item = offset + blocks.start[rows[i]], owners[piece]
                             best = hits[doc].get(item)
@@ -365,7 +379,7 @@ def _searched(ids: DataFrame, bases: list, exact: Broadcast, other: float, keep:
                             share = longest_common(masks[item], lengths[item], region) / lengths[item]
                             said = share >= LCS_WITH_ANSWER and _holds(region, answers[item])
                             if (share >= LCS_ALONE or said) and (not best or share > best[1]):
-                                hits[doc][item] = (float(cosines[i, piece]), share, said)
+                                hits[doc][item] = (float(products[i, piece] / norms[i]), share, said)
             column = [
                 [{"item_id": item_ids[k], "cosine": c, "lcs": s, "answer": a, "key": k} for k, (c, s, a) in sorted(found.items())] for found in hits
             ]

@@ -166,6 +166,21 @@ def test_leaks_of_a_large_benchmark(spark):
     assert all(got[d] == set(range(d, 2000, 400)) for d in range(400))
 
 
+def test_leaks_of_short_items_of_common_words(spark):
+    """Items of 2 to 15 words that each stand in about every twentieth document, copied into long texts of rarer words."""
+    rng = random.Random(8)
+    rare = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(5000)]
+    common = [f"common{k}" for k in range(60)]
+    docs = [[rng.choice(rare) for _ in range(300)] + rng.sample(common, 3) for _ in range(600)]
+    items = [rng.sample(common, n) for n in range(2, 16)]
+    for k, item in enumerate(items):
+        docs[k][100:100] = item
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: {h["item_id"] for h in r["hits"]} for r in decontaminate.leaks(df, bench).collect()}
+    assert [k for k in range(len(items)) if k not in got[k]] == []
+
+
 def test_answers(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "beta gamma one two zeta eta three four")], "doc_id long, text string")
     docs = docs.unionByName(spark.range(100, 400).select("id", F.lit("other words of no interest").alias("text")).toDF("doc_id", "text"))
