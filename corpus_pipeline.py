@@ -36,9 +36,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document what the mix takes of it."""
-    return mixing.mix(docs)
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Write the mix's blocks of text to ``path``, or to a new shared folder; per document what the mix takes of it."""
+    return mixing.mix(docs, path=path)
 
 
 STAGES = [
@@ -54,9 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each result written to the shared folder and read again."""
+    """Apply the stages to ``documents``, each result, and the mix, written to the shared folder and read again."""
     docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    name, stage = STAGES[-1]
+    return stage(spark, docs, sf_dir, f"{folder}/{name}")

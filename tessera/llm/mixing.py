@@ -8,12 +8,13 @@ indices that changes with each pass. Slots and blocks meet by (source, block) in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, cut
+from tessera.llm.common import WORD, cut, shared_folder
 
 WEIGHTS = (3, 1, 2)
 #: Words of a block at most; a source of few words has shorter blocks, so that it has 256 of them.
@@ -32,7 +33,8 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    """Size of each row, and a hash of its text, which orders rows that agree in all else."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -158,100 +160,115 @@ def permuted(k: Column, n: Column, source: Column, seed: int) -> Column:
     return F.pmod(step * (k % n) + start, n)
 
 
-def placed(sizes: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
-    """``sizes(doc_id, source, size)`` with each document's place in its source's stream: rank, start, block_words.
+def placed(rows: DataFrame, sizes: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
+    """``rows``, which are ``sizes(doc_id, source, size, tie)`` or those with a text, each with its place in its source's stream.
 
-    Running sums go over small parts of a source (by hash of doc_id), then over the parts' totals.
+    That is rank, start and block_words, beside source_size and target. Running sums go over small
+    parts of a source (by hash of doc_id), then over the parts' totals, by rank, so that the rows
+    are dealt out once.
     """
-    parts = sizes.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(STREAM_PARTS)))
-    inside = Window.partitionBy("source", "part").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
-    before = Window.partitionBy("source").orderBy("part")
-    totals = parts.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    offsets = totals.select(
-        F.col("source").alias("o_source"),
-        F.col("part").alias("o_part"),
-        (F.sum("part_size").over(before) - F.col("part_size")).alias("offset"),
-    )
-    local = parts.withColumn(
+    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(STREAM_PARTS)).alias("part")
+    table = plan.select(F.col("source").alias("p_source"), "rank", "block_words", "source_size", "target")
+
+    def ranked(df: DataFrame) -> DataFrame:
+        return df.select("*", part).join(F.broadcast(table), F.col("source").eqNullSafe(F.col("p_source")))
+
+    inside = Window.partitionBy("rank", "part").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "tie")
+    before = Window.partitionBy("o_rank").orderBy("o_part")
+    totals = ranked(sizes).groupBy(F.col("rank").alias("o_rank"), F.col("part").alias("o_part")).agg(F.sum("size").alias("part_size"))
+    offsets = totals.select("o_rank", "o_part", (F.sum("part_size").over(before) - F.col("part_size")).alias("offset"))
+    local = ranked(rows).withColumn(
         "inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     )
-    table = plan.select(F.col("source").alias("p_source"), "rank", "block_words", "blocks", "source_size", "target")
-    return (
-        local.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("part") == F.col("o_part")))
-        .join(F.broadcast(table), F.col("source").eqNullSafe(F.col("p_source")))
-        .select(
-            "doc_id", "source", "size", "rank", "source_size", "target", "block_words",
-            (F.col("offset") + F.col("inside")).alias("start"),
-        )
+    return local.join(offsets, (F.col("rank") == F.col("o_rank")) & (F.col("part") == F.col("o_part"))).select(
+        "doc_id", "source", "size", "rank", "source_size", "target", "block_words",
+        (F.col("offset") + F.col("inside")).alias("start"), *[c for c in rows.columns if c == "text"],
     )
 
 
 def pieces(places: DataFrame) -> DataFrame:
-    """The parts of documents that blocks hold: ``(doc_id, rank, start, block, from, words)``, from counting words."""
+    """The parts of documents that blocks hold, cut from ``places`` with text: ``(doc_id, source, rank, start, block, words, part)``.
+
+    A document's words are found once, in its one row; ``words`` counts those of the part.
+    """
     first = F.floor(F.col("start") / F.col("block_words"))
     last = F.floor((F.col("start") + F.col("size") - 1) / F.col("block_words"))
-    held = places.where("size > 0").select(
-        "doc_id", "source", "size", "rank", "source_size", "target", "start", "block_words",
-        F.explode(F.sequence(first, last)).alias("block"),
+
+    def parts(found: Column) -> Column:
+        def part(block: Column) -> Column:
+            low = F.greatest(block * F.col("block_words"), F.col("start")) - F.col("start")
+            high = F.least((block + 1) * F.col("block_words") - F.col("start"), F.col("size"))
+            return F.struct(block.alias("block"), F.slice(found, (low + 1).cast("int"), (high - low).cast("int")).alias("held"))
+
+        return F.transform(F.sequence(first, last), part)
+
+    # the array of one array binds the words to a variable, so that they aren't searched again for each part
+    every = F.transform(F.array(F.regexp_extract_all("text", F.lit(f"({WORD})"))), parts)[0]
+    return (
+        places.where("size > 0")
+        .select("doc_id", "source", "rank", "start", F.explode(every).alias("p"))
+        .select(
+            "doc_id", "source", "rank", "start", F.col("p.block").alias("block"),
+            F.size("p.held").cast("long").alias("words"), F.array_join("p.held", " ").alias("part"),
+        )
     )
-    low = F.greatest(F.col("block") * F.col("block_words"), F.col("start"))
-    high = F.least((F.col("block") + 1) * F.col("block_words"), F.col("start") + F.col("size"))
-    return held.withColumn("from", low - F.col("start")).withColumn("words", high - low)
 
 
-def mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
-    """Mix ``docs(doc_id, text, source)``; per document what the mix takes of it.
+def mix(docs: DataFrame, seed: int = 7, path: str | None = None, **options) -> DataFrame:
+    """Mix ``docs(doc_id, text, source)`` and write the mix; per document what the mix takes of it.
 
-    Returns doc_id, size, source_size, target (words of its source), taken (words the mix takes of
-    it, repeats counted) and source, one row for each row of ``docs``. A null text has no words; a
-    null source is a source of its own, last in order. Rows that agree in doc_id, source and size
-    are packed one after the other. Empty tables give empty results. The result depends on the
-    rows, ``seed`` and the constants alone, not on partitions or their order. Other columns are
-    ignored.
+    The rows of :func:`mixed_blocks` are written as Parquet to ``path``, or to a new folder in the
+    shared one, and read again for the counts. Returns doc_id, size, source_size, target (words of
+    its source), taken (words the mix holds of it, repeats counted) and source, one row for each
+    row of ``docs``. A null text has no words; a null source is a source of its own, last in order.
+    Rows that agree in doc_id, source and size are packed one after the other. Empty tables give
+    empty results. The result depends on the rows, ``seed`` and the constants alone, not on
+    partitions or their order. Other columns are ignored.
     """
+    spark = docs.sparkSession
+    path = path or f"{shared_folder(spark)}/mix-{uuid.uuid4().hex}"
     sizes = cut(sized(docs))
     plan = cut(plan_targets(sizes, **options))
-    places = placed(sizes, plan, seed)
-    used = draw_slots(plan, seed).groupBy("source_rank", "block").agg(F.count("*").alias("uses"))
-    held = pieces(places)
+    _filled(docs, sizes, plan, seed).write.parquet(path)
     taken = (
-        held.join(used, (F.col("rank") == F.col("source_rank")) & (held["block"] == used["block"]), "left")
-        .groupBy("doc_id", "source", "size", "source_size", "target", "start")
-        .agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).cast("long").alias("taken"))
+        spark.read.parquet(path)
+        .select("source_rank", F.explode("pieces").alias("p"))
+        .groupBy("source_rank", F.col("p.start").alias("p_start"))
+        .agg(F.sum("p.words").alias("taken"))
+    )
+    places = placed(sizes, sizes, plan, seed)
+    met = (F.col("size") > 0) & (F.col("rank") == F.col("source_rank")) & (F.col("start") == F.col("p_start"))
+    return places.join(taken, met, "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
     )
-    columns = ["doc_id", "size", "source_size", "target", "taken", "source"]
-    empty = places.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return taken.select(columns).unionByName(empty.select(columns))
 
 
 def mixed_blocks(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
-    """The mix itself: one row per output slot ``(shard, source, k, block, text, n_words)``, words joined by spaces.
+    """The mix itself: a row per output slot ``(shard, source, source_rank, k, block, text, n_words, pieces)``, words joined by spaces.
 
-    Blocks are cut once from the texts in the task that reads them, then joined to slots by index.
-    A block holds at most ``BLOCK_WORDS`` words, so the groups that join its pieces are bounded.
-    Needs unique doc_ids; see :func:`mix` for nulls.
+    ``pieces`` tells in order of which documents the words are: (start, doc_id, words), where
+    source_rank and start, a document's place in its source's stream, tell equal doc_ids apart.
+    See :func:`mix` for nulls.
     """
     sizes = cut(sized(docs))
-    plan = cut(plan_targets(sizes, **options))
-    held = pieces(placed(sizes, plan, seed)).select(
-        F.col("doc_id").alias("p_doc"), "source", F.col("rank").alias("p_rank"), "start", F.col("block").alias("p_block"), "from", "words"
-    )
-    texts = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"({WORD})")).alias("all_words"))
+    return _filled(docs, sizes, cut(plan_targets(sizes, **options)), seed)
+
+
+def _filled(docs: DataFrame, sizes: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Slots with their blocks. A block holds at most ``BLOCK_WORDS`` words, so the groups that join its pieces are bounded."""
+    size = word_count(F.col("text")).alias("size")
+    texts = docs.select("doc_id", "source", size, F.xxhash64("text").alias("tie"), "text")
     blocks = (
-        held.join(texts, F.col("p_doc").eqNullSafe(F.col("doc_id")))
+        pieces(placed(texts, sizes, plan, seed))
+        .groupBy(F.col("rank").alias("p_rank"), F.col("block").alias("p_block"))
+        .agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("start", "doc_id", "words", "part"))).alias("held"))
         .select(
-            "source", "p_rank", "p_block", "start", "words",
-            F.array_join(F.slice("all_words", (F.col("from") + 1).cast("int"), F.col("words").cast("int")), " ").alias("part"),
-        )
-        .groupBy("source", "p_rank", "p_block")
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), " "
-            ).alias("text"),
-            F.sum("words").alias("n_words"),
+            "source", "p_rank", "p_block",
+            F.array_join(F.transform("held", lambda x: x["part"]), " ").alias("text"),
+            F.aggregate("held", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("n_words"),
+            F.transform("held", lambda x: F.struct(x["start"].alias("start"), x["doc_id"].alias("doc_id"), x["words"].alias("words"))).alias("pieces"),
         )
     )
-    slots = draw_slots(plan, seed)
-    return slots.join(
+    return draw_slots(plan, seed).join(
         blocks, (F.col("source_rank") == F.col("p_rank")) & (F.col("block") == F.col("p_block"))
-    ).select("shard", "source", "k", "block", "text", "n_words")
+    ).select("shard", "source", "source_rank", "k", "block", "text", "n_words", "pieces")

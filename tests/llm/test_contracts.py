@@ -259,3 +259,22 @@ def test_mixed_blocks(spark, sf_dir):
     taken = {r["source"]: r["t"] for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
     got = blocks.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("t"), F.sum("n_words").alias("n")).collect()
     assert {r["source"]: r["t"] for r in got} == {r["source"]: r["n"] for r in got} == taken
+
+
+def test_mix_is_written_with_its_documents(spark, sf_dir, edge_docs, tmp_path):
+    """Counts are those of the written text, whose words are the documents' own, also where doc_ids repeat."""
+    for n, df in enumerate((read(spark, sf_dir, "documents"), edge_docs)):
+        taken, words, got = defaultdict(int), defaultdict(list), defaultdict(int)
+        for r in mixing.mix(df, path=f"{tmp_path}/{n}").collect():
+            taken[r["doc_id"]] += r["taken"]
+        for r in df.collect():
+            words[r["doc_id"]].append(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        texts = {d: [" " + " ".join(w) + " " for w in ws] for d, ws in words.items()}
+        for r in spark.read.parquet(f"{tmp_path}/{n}").collect():
+            held = r["text"].split(" ")
+            assert len(held) == r["n_words"] == sum(p["words"] for p in r["pieces"])
+            for p in r["pieces"]:
+                part, held = held[: p["words"]], held[p["words"] :]
+                assert any(" " + " ".join(part) + " " in t for t in texts[p["doc_id"]])
+                got[p["doc_id"]] += len(part)
+        assert {d: t for d, t in taken.items() if t} == dict(got)
