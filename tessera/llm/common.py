@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,23 +32,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Connected components of undirected edges ``(a, b)``: rows ``(node, root)``, root the smallest node.
 
     Alternates large-star and small-star steps, each of them one ``min`` per node (combined before
     the shuffle) and one equi-join, until the edges no longer change. Nodes without an edge to
     another node are not returned. Every round is checkpointed, so a lost executor costs one round.
+    ``max_rounds`` is for callers that would rather have an error than more rounds.
     """
     stars = cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     )
     before = None
-    for _ in range(max_rounds):
+    for done in count():
         state = stars.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")
         ).first()
         if state["n"] == 0 or state == before:
             break
+        if done == max_rounds:
+            raise RuntimeError(f"components have not settled after {max_rounds} rounds")
         before = state
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
             stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))

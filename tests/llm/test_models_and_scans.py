@@ -222,6 +222,13 @@ def test_components(spark):
     assert got == {x: find(x) for x in linked}
 
 
+def test_components_do_not_stop_early(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(edges, max_rounds=1)
+    assert {r["root"] for r in components(edges).collect()} == {0}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
