@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from itertools import count
 
@@ -17,12 +18,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset, as in tests, a temporary folder."""
+    """The session's ``spark.checkpoint.dir``, which all executors see."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))  # one machine: its own folder will do
     return context.getCheckpointDir()
 
 
@@ -32,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, which are counted; larger ones are joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Connected components of undirected edges ``(a, b)``: rows ``(node, root)``, root the smallest node.
 

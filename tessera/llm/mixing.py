@@ -1,9 +1,9 @@
-"""Mix sources to target weights: fixed-length blocks, multinomial draws per shard, index permutations.
+"""Mix sources to target weights: fixed-length blocks, draws per shard, index permutations.
 
-Every source's texts, in an order by hash, form one stream of words cut into blocks of fixed length.
-Output slots are dealt to sources by multinomial draws, shard by shard. The k-th slot of a source
-takes block ``perm(k mod n)`` of its n blocks, where perm is a pseudorandom permutation of the
-indices that changes with each pass. Slots and blocks meet by (source, block) index.
+Every source's texts are packed into blocks of a fixed number of words. Each output shard draws how
+many of its slots each source gets; the k-th slot of a source takes block ``perm(k mod n)`` of its
+n blocks, where perm is a pseudorandom permutation of the indices that changes with each pass. Slots
+and blocks meet by (source, block) index.
 """
 
 from __future__ import annotations
@@ -14,36 +14,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, cut, shared_folder
+from tessera.llm.common import WORD, cut, shared_folder, small
 
 WEIGHTS = (3, 1, 2)
-#: Words of a block at most; a source of few words has shorter blocks, so that it has 256 of them.
-BLOCK_WORDS, LEAST_BLOCKS = 64, 256
-SHARDS = 1024
-#: Parts that each source's stream is summed up in, so that no task holds a whole source.
-STREAM_PARTS = 512
-#: More sources than this raise an error: their table of targets (a row per source) is read by the driver.
-MAX_SOURCES = 50_000
-# Primes above 2**30, multipliers of the index permutations.
-PRIMES = (1073741827, 1073741831, 1073741833, 1073741839, 1073741843, 1073741857, 1073741891, 1073741909)
+#: Words of a block; only the last block of a part may be shorter.
+BLOCK_WORDS = 64
+#: Words of a part of a source's stream: what one task packs. Their number grows with the source.
+PART_WORDS = 1 << 20
+#: Output slots of a shard.
+SHARD_SLOTS = 4096
+#: Slots that one row of the plan is unrolled to.
+SLOT_CHUNK = 1 << 14
+#: Rounds of the index permutations.
+ROUNDS = 16
+SPACES = " \t\n\x0b\f\r"
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *more: str) -> DataFrame:
     """Size of each row, and a hash of its text, which orders rows that agree in all else."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), *more)
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Per source of ``sizes(source, size)``: source_size and target.
+    """Per source of ``sizes(source, size)``: rank, source_size and target.
 
     Sources by code point, null last, weigh ``weights`` repeating and share ``share`` times all
     words. No target is above ``most`` times its source; the excess goes to the others by weight.
     That is one level for all sources that aren't full: those fill first whose limit over weight is
-    least, so a running sum in that order finds the level without iterating.
+    least, so a running sum in that order finds the level without iterating. The table has a row
+    per source, and its windows see all of it.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -76,199 +79,182 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
     )
 
 
-def _blocks_of(size: Column) -> tuple[Column, Column]:
-    """Words of a block, and number of blocks, of a source."""
-    words = F.least(F.lit(BLOCK_WORDS), F.greatest(F.lit(1), F.floor(size / LEAST_BLOCKS))).cast("long")
-    return words, F.ceil(size / words).cast("long")
+def in_parts(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """``rows(doc_id, source, size, tie)`` with the columns of their source and ``part``, dealt by hash."""
+    table = sources.select(F.col("source").alias("s_source"), "rank", "source_size", "target")
+    count = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / PART_WORDS).cast("long"))
+    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "tie"), count)
+    return rows.join(small(table), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source").withColumn("part", part)
 
 
-def plan_targets(sizes: DataFrame, **options) -> DataFrame:
-    """:func:`targets` with each source's block length, number of blocks and number of slots."""
-    words, blocks = _blocks_of(F.col("source_size"))
-    return (
-        targets(sizes, **options)
-        .withColumn("block_words", words)
-        .withColumn("blocks", blocks)
-        .withColumn(
-            "slots",
-            F.when(F.col("source_size") == 0, 0)
-            .otherwise(F.round(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))))
-            .cast("long"),
-        )
-    )
+def part_table(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """Per part that holds words: rank, part, its number of blocks, and the index of the first in its source."""
+    words = in_parts(sizes, sources, seed).where("size > 0").groupBy("rank", "part").agg(F.sum("size").alias("words"))
+    blocks = words.select("rank", "part", F.ceil(F.col("words") / BLOCK_WORDS).cast("long").alias("blocks"))
+    before = Window.partitionBy("rank").orderBy("part")
+    return blocks.select("rank", "part", "blocks", (F.sum("blocks").over(before) - F.col("blocks")).alias("first"))
 
 
-def draw_slots(plan: DataFrame, seed: int = 7) -> DataFrame:
-    """Output slots ``(shard, source_rank, k, block)``, drawn for a :func:`plan_targets` table.
+def plan_slots(sources: DataFrame, parts: DataFrame) -> DataFrame:
+    """Per source that holds words: rank, its blocks, its slots (of the target's share) and the slots of the sources before."""
+    blocks = parts.groupBy("rank").agg(F.sum("blocks").alias("blocks"))
+    slots = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
+    met = sources.join(small(blocks), "rank").withColumn("slots", slots)
+    return met.select(
+        "rank", "blocks", "slots", (F.sum("slots").over(Window.orderBy("rank")) - F.col("slots")).alias("low"),
+        F.sum("slots").over(Window.partitionBy()).alias("total"),
+    )
 
-    Each slot of each shard draws its source; a shard's counts are therefore multinomial. Running
-    sums over the shards number a source's slots. As draws miss the targets by their standard
-    deviation, numbers past a source's slots are left out and missing ones are dealt over the
-    shards in turn, so that no block is used more than the limit allows and targets are met.
+
+def round_keys(seed: int, n: Column, *of: Column) -> Column:
+    """Keys of the rounds of a permutation of 0..n-1."""
+    return F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: F.pmod(F.xxhash64(F.lit(seed), *of, r), n))
+
+
+def permuted(x: Column, n: Column, keys: Column) -> Column:
+    """Where a keyed permutation of 0..n-1 takes ``x``; exact for any n below 2**62, without products that could overflow.
+
+    Swap-or-not rounds: each key pairs x with key - x mod n, and one hash bit of the pair swaps it
+    or doesn't.
     """
-    spark = plan.sparkSession
-    rows = plan.orderBy("rank").limit(MAX_SOURCES + 1).collect()  # a row per source
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    bounds, total = [], 0
-    for row in rows:
-        total += row["slots"]
-        bounds.append(total)
-    edges = F.array(*[F.lit(b) for b in bounds[:-1]]).cast("array<long>")
-    drawn = spark.range(total).select(
-        (F.col("id") % SHARDS).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1))).alias("u")
-    )
-    counts = (
-        drawn.select("shard", F.size(F.filter(edges, lambda b: b <= F.col("u"))).alias("rank"))
-        .groupBy("rank", "shard")
-        .agg(F.count("*").alias("n"))
-    )
-    running = Window.partitionBy("rank").orderBy("shard")
-    whole = Window.partitionBy("rank")
-    counts = counts.withColumn("end", F.sum("n").over(running)).withColumn("all", F.sum("n").over(whole))
-    table = plan.select("rank", "blocks", "slots")
-    dealt = counts.join(F.broadcast(table), "rank").select(
-        "rank", "shard", "blocks", (F.col("end") - F.col("n")).alias("from"), F.least("end", "slots").alias("to")
-    )
-    missing = (
-        table.join(counts.select("rank", "all").distinct(), "rank", "left")
-        .withColumn("all", F.coalesce("all", F.lit(0)))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARDS - 1).cast("long"))))
-        .withColumn("lack", F.greatest(F.col("slots") - F.col("all"), F.lit(0)))
-        .select(
-            "rank",
-            "shard",
-            "blocks",
-            (F.col("all") + F.floor(F.col("lack") * F.col("shard") / SHARDS)).alias("from"),
-            (F.col("all") + F.floor(F.col("lack") * (F.col("shard") + 1) / SHARDS)).alias("to"),
-        )
-    )
-    ranges = dealt.unionByName(missing).where(F.col("from") < F.col("to"))
-    k = F.explode(F.sequence(F.col("from"), F.col("to") - 1))
-    slots = ranges.select("shard", F.col("rank").alias("source_rank"), "blocks", k.alias("k"))
-    return slots.withColumn("block", permuted(F.col("k"), F.col("blocks"), F.col("source_rank"), seed)).drop("blocks")
 
+    def step(at: Column, key: Column) -> Column:
+        other = F.pmod(key - at, n)
+        return F.when(F.xxhash64(key, F.greatest(at, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(at)
 
-def permuted(k: Column, n: Column, source: Column, seed: int) -> Column:
-    """Index ``k mod n`` through the permutation of pass ``k div n``: multiply by a prime that doesn't divide n, shift."""
-    turn = F.floor(k / n)
-    primes = F.array(*[F.lit(p) for p in PRIMES]).cast("array<long>")
-    fit = F.filter(primes, lambda p: n % p != 0)
-    pick = F.pmod(F.xxhash64(F.lit(seed), source, turn), F.size(fit).cast("long")).cast("int") + 1
-    step = F.pmod(F.element_at(fit, pick), n)
-    start = F.pmod(F.xxhash64(source, turn, F.lit(seed + 1)), n)
-    return F.pmod(step * (k % n) + start, n)
+    return F.aggregate(keys, x, step)
 
 
-def placed(rows: DataFrame, sizes: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
-    """``rows``, which are ``sizes(doc_id, source, size, tie)`` or those with a text, each with its place in its source's stream.
+def draw_slots(plan: DataFrame, seed: int = 7) -> DataFrame:
+    """Output slots ``(shard, slot, source_rank, k, block)`` of a :func:`plan_slots` table.
 
-    That is rank, start and block_words, beside source_size and target. Running sums go over small
-    parts of a source (by hash of doc_id), then over the parts' totals, by rank, so that the rows
-    are dealt out once.
+    All slots are dealt to places by a permutation, and SHARD_SLOTS places in turn are a shard. So a
+    shard's counts per source are multinomial draws on condition that all shards together give each
+    source its slots: independent draws would miss a source's target by the root of its slots, and
+    use some blocks of a source at its limit once too often. The k-th slot of a source takes the
+    block that the permutation of pass ``k div blocks`` gives for ``k mod blocks``.
     """
-    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(STREAM_PARTS)).alias("part")
-    table = plan.select(F.col("source").alias("p_source"), "rank", "block_words", "source_size", "target")
-
-    def ranked(df: DataFrame) -> DataFrame:
-        return df.select("*", part).join(F.broadcast(table), F.col("source").eqNullSafe(F.col("p_source")))
-
-    inside = Window.partitionBy("rank", "part").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "tie")
-    before = Window.partitionBy("o_rank").orderBy("o_part")
-    totals = ranked(sizes).groupBy(F.col("rank").alias("o_rank"), F.col("part").alias("o_part")).agg(F.sum("size").alias("part_size"))
-    offsets = totals.select("o_rank", "o_part", (F.sum("part_size").over(before) - F.col("part_size")).alias("offset"))
-    local = ranked(rows).withColumn(
-        "inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    spark = plan.sparkSession
+    turns = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.col("blocks"))))
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / SLOT_CHUNK)))
+    first = F.col("chunk") * SLOT_CHUNK
+    at = F.explode(F.sequence(first, F.least(first + SLOT_CHUNK, F.col("count")) - 1))
+    k = F.col("turn") * F.col("blocks") + F.col("at")
+    slots = (
+        plan.where("slots > 0")
+        .withColumn("turn", turns)
+        .withColumn("count", F.least("blocks", F.col("slots") - F.col("turn") * F.col("blocks")))
+        .withColumn("chunk", chunks)
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rank", "turn", "chunk")
+        .withColumn("block_keys", round_keys(seed, F.col("blocks"), F.col("rank"), F.col("turn")))
+        .withColumn("place_keys", round_keys(seed + 1, F.col("total")))
+        .withColumn("at", at)
     )
-    return local.join(offsets, (F.col("rank") == F.col("o_rank")) & (F.col("part") == F.col("o_part"))).select(
-        "doc_id", "source", "size", "rank", "source_size", "target", "block_words",
-        (F.col("offset") + F.col("inside")).alias("start"), *[c for c in rows.columns if c == "text"],
-    )
+    return slots.select(
+        F.col("rank").alias("source_rank"), k.alias("k"), permuted(F.col("at"), F.col("blocks"), F.col("block_keys")).alias("block"),
+        permuted(F.col("low") + k, F.col("total"), F.col("place_keys")).alias("place"),
+    ).select(F.floor(F.col("place") / SHARD_SLOTS).alias("shard"), (F.col("place") % SHARD_SLOTS).alias("slot"), "source_rank", "k", "block")
 
 
-def pieces(places: DataFrame) -> DataFrame:
-    """The parts of documents that blocks hold, cut from ``places`` with text: ``(doc_id, source, rank, start, block, words, part)``.
+def placed(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """``rows(doc_id, source, size, tie, ...)`` with rank, part and start, the place of their first word in their part.
 
-    A document's words are found once, in its one row; ``words`` counts those of the part.
+    One shuffle by part, in which the rows then stay.
     """
-    first = F.floor(F.col("start") / F.col("block_words"))
-    last = F.floor((F.col("start") + F.col("size") - 1) / F.col("block_words"))
+    order = Window.partitionBy("rank", "part").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "tie")
+    start = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    return in_parts(rows, sources, seed).withColumn("start", start)
 
-    def parts(found: Column) -> Column:
-        def part(block: Column) -> Column:
-            low = F.greatest(block * F.col("block_words"), F.col("start")) - F.col("start")
-            high = F.least((block + 1) * F.col("block_words") - F.col("start"), F.col("size"))
-            return F.struct(block.alias("block"), F.slice(found, (low + 1).cast("int"), (high - low).cast("int")).alias("held"))
 
-        return F.transform(F.sequence(first, last), part)
+def pack_blocks(docs: DataFrame, sources: DataFrame, parts: DataFrame, seed: int) -> DataFrame:
+    """Blocks ``(source, p_rank, p_block, text, n_words, pieces)``: words joined by spaces, pieces (part, start, doc_id, words) in order.
 
-    # the array of one array binds the words to a variable, so that they aren't searched again for each part
-    every = F.transform(F.array(F.regexp_extract_all("text", F.lit(f"({WORD})"))), parts)[0]
-    return (
-        places.where("size > 0")
-        .select("doc_id", "source", "rank", "start", F.explode(every).alias("p"))
-        .select(
-            "doc_id", "source", "rank", "start", F.col("p.block").alias("block"),
-            F.size("p.held").cast("long").alias("words"), F.array_join("p.held", " ").alias("part"),
-        )
+    A text is cut into its words once, in its one row; the pieces of a block are joined where the
+    window left them, without another shuffle. A block has at most BLOCK_WORDS words, hence pieces.
+    """
+    rows = placed(sized(docs.where(F.col("text").rlike(WORD)), "text"), sources, seed)
+    first = F.floor(F.col("start") / BLOCK_WORDS)
+    last = F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS)
+
+    def pieces(found: Column) -> Column:
+        def piece(block: Column) -> Column:
+            low = F.greatest(block * BLOCK_WORDS, F.col("start")) - F.col("start")
+            high = F.least((block + 1) * BLOCK_WORDS - F.col("start"), F.col("size"))
+            held = F.slice(found, (low + 1).cast("int"), (high - low).cast("int"))
+            return F.struct(block.alias("block"), F.array_join(held, " ").alias("words"))
+
+        return F.transform(F.sequence(first, last), piece)
+
+    # the array of one array binds the words to a variable, so that they aren't searched again for each piece
+    words = F.split(F.trim("text", F.lit(SPACES)), r"[\x20\x09-\x0D]+")
+    cut_up = rows.select("source", "rank", "part", "start", "doc_id", F.explode(F.transform(F.array(words), pieces)[0]).alias("p"))
+    joined = (
+        cut_up.groupBy("rank", "part", F.col("p.block").alias("local"))
+        .agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("start", "doc_id", F.col("p.words").alias("words")))).alias("held"))
+        .join(parts.select(F.col("rank").alias("b_rank"), F.col("part").alias("b_part"), "first"), (F.col("rank") == F.col("b_rank")) & (F.col("part") == F.col("b_part")))
+    )
+    counted = F.transform(
+        "held",
+        lambda x: F.struct(F.col("part").alias("part"), x["start"].alias("start"), x["doc_id"].alias("doc_id"), F.size(F.split(x["words"], " ")).cast("long").alias("words")),
     )
+    return joined.select(
+        "source", F.col("rank").alias("p_rank"), (F.col("first") + F.col("local")).alias("p_block"),
+        F.array_join(F.transform("held", lambda x: x["words"]), " ").alias("text"), counted.alias("pieces"),
+    ).select("source", "p_rank", "p_block", "text", F.aggregate("pieces", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("n_words"), "pieces")
 
 
-def mix(docs: DataFrame, seed: int = 7, path: str | None = None, **options) -> DataFrame:
-    """Mix ``docs(doc_id, text, source)`` and write the mix; per document what the mix takes of it.
-
-    The rows of :func:`mixed_blocks` are written as Parquet to ``path``, or to a new folder in the
-    shared one, and read again for the counts. Returns doc_id, size, source_size, target (words of
-    its source), taken (words the mix holds of it, repeats counted) and source, one row for each
-    row of ``docs``. A null text has no words; a null source is a source of its own, last in order.
-    Rows that agree in doc_id, source and size are packed one after the other. Empty tables give
-    empty results. The result depends on the rows, ``seed`` and the constants alone, not on
-    partitions or their order. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    path = path or f"{shared_folder(spark)}/mix-{uuid.uuid4().hex}"
+def _planned(docs: DataFrame, seed: int, options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
     sizes = cut(sized(docs))
-    plan = cut(plan_targets(sizes, **options))
-    _filled(docs, sizes, plan, seed).write.parquet(path)
-    taken = (
-        spark.read.parquet(path)
-        .select("source_rank", F.explode("pieces").alias("p"))
-        .groupBy("source_rank", F.col("p.start").alias("p_start"))
-        .agg(F.sum("p.words").alias("taken"))
-    )
-    places = placed(sizes, sizes, plan, seed)
-    met = (F.col("size") > 0) & (F.col("rank") == F.col("source_rank")) & (F.col("start") == F.col("p_start"))
-    return places.join(taken, met, "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
+    sources = cut(targets(sizes, **options))
+    return sizes, sources, cut(part_table(sizes, sources, seed))
+
+
+def _filled(docs: DataFrame, sources: DataFrame, parts: DataFrame, seed: int) -> DataFrame:
+    blocks = pack_blocks(docs, sources, parts, seed)
+    slots = draw_slots(cut(plan_slots(sources, parts)), seed)
+    return slots.join(blocks, (F.col("source_rank") == F.col("p_rank")) & (F.col("block") == F.col("p_block"))).select(
+        "shard", "slot", "source", "source_rank", "k", "block", "text", "n_words", "pieces"
     )
 
 
 def mixed_blocks(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
-    """The mix itself: a row per output slot ``(shard, source, source_rank, k, block, text, n_words, pieces)``, words joined by spaces.
+    """The mix itself: a row per output slot ``(shard, slot, source, source_rank, k, block, text, n_words, pieces)``.
 
-    ``pieces`` tells in order of which documents the words are: (start, doc_id, words), where
-    source_rank and start, a document's place in its source's stream, tell equal doc_ids apart.
+    ``pieces`` tells in order of which documents the words are: (part, start, doc_id, words), where
+    source_rank, part and start, a document's place in its source, tell equal doc_ids apart.
     See :func:`mix` for nulls.
     """
-    sizes = cut(sized(docs))
-    return _filled(docs, sizes, cut(plan_targets(sizes, **options)), seed)
+    _, sources, parts = _planned(docs, seed, options)
+    return _filled(docs, sources, parts, seed)
 
 
-def _filled(docs: DataFrame, sizes: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """Slots with their blocks. A block holds at most ``BLOCK_WORDS`` words, so the groups that join its pieces are bounded."""
-    size = word_count(F.col("text")).alias("size")
-    texts = docs.select("doc_id", "source", size, F.xxhash64("text").alias("tie"), "text")
-    blocks = (
-        pieces(placed(texts, sizes, plan, seed))
-        .groupBy(F.col("rank").alias("p_rank"), F.col("block").alias("p_block"))
-        .agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("start", "doc_id", "words", "part"))).alias("held"))
-        .select(
-            "source", "p_rank", "p_block",
-            F.array_join(F.transform("held", lambda x: x["part"]), " ").alias("text"),
-            F.aggregate("held", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("n_words"),
-            F.transform("held", lambda x: F.struct(x["start"].alias("start"), x["doc_id"].alias("doc_id"), x["words"].alias("words"))).alias("pieces"),
-        )
-    )
-    return draw_slots(plan, seed).join(
-        blocks, (F.col("source_rank") == F.col("p_rank")) & (F.col("block") == F.col("p_block"))
-    ).select("shard", "source", "source_rank", "k", "block", "text", "n_words", "pieces")
+def mix(docs: DataFrame, seed: int = 7, path: str | None = None, **options) -> DataFrame:
+    """What the mix of ``docs(doc_id, text, source)`` takes of each document, counted in the pieces of :func:`mixed_blocks`.
+
+    Returns doc_id, size, source_size, target (words of its source), taken (words the mix holds of
+    it, repeats counted) and source, one row for each row of ``docs``. With ``path`` the mix is
+    written there as Parquet first and counted from what was written. A null text has no words; a
+    null source is a source of its own, last in order. Rows that agree in doc_id, source and text
+    are packed one after the other. Empty tables give empty results. The result depends on the
+    rows, ``seed`` and the constants alone, not on partitions or their order. Other columns are
+    ignored.
+    """
+    sizes, sources, parts = _planned(docs, seed, options)
+    mixed = _filled(docs, sources, parts, seed)
+    if path:
+        mixed.write.option("compression", "zstd").parquet(path)
+        mixed = docs.sparkSession.read.parquet(path)
+    taken = (
+        mixed.select("source_rank", F.explode_outer("pieces").alias("p"))  # never empty; outer spares a filter that would cut them twice
+        .groupBy("source_rank", F.col("p.part").alias("t_part"), F.col("p.start").alias("t_start"))
+        .agg(F.sum("p.words").alias("taken"))
+    )
+    met = (F.col("rank") == F.col("source_rank")) & (F.col("part") == F.col("t_part")) & (F.col("start") == F.col("t_start"))
+    return placed(sizes, sources, seed).join(taken, met & (F.col("size") > 0), "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
+    )
+
+
+def written_mix(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+    """:func:`mix` with the mix written to ``path``, or to a new folder in the shared one."""
+    return mix(docs, path=path or f"{shared_folder(docs.sparkSession)}/mix-{uuid.uuid4().hex}", **options)
