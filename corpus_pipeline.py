@@ -38,7 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
     """Write the mix's blocks of text to ``path``, or to a new shared folder; per document what the mix takes of it."""
-    return mixing.mix(docs, path=path)
+    return mixing.written_mix(docs, path=path)
 
 
 STAGES = [
