@@ -212,7 +212,8 @@ def _planned(docs: DataFrame, seed: int, options: dict) -> tuple[DataFrame, Data
 def _filled(docs: DataFrame, sources: DataFrame, parts: DataFrame, seed: int) -> DataFrame:
     blocks = pack_blocks(docs, sources, parts, seed)
     slots = draw_slots(cut(plan_slots(sources, parts)), seed)
-    return slots.join(blocks, (F.col("source_rank") == F.col("p_rank")) & (F.col("block") == F.col("p_block"))).select(
+    # both sides grow with the corpus, whatever size the plan guesses for the unrolled slots
+    return slots.hint("merge").join(blocks, (F.col("source_rank") == F.col("p_rank")) & (F.col("block") == F.col("p_block"))).select(
         "shard", "slot", "source", "source_rank", "k", "block", "text", "n_words", "pieces"
     )
 
@@ -250,7 +251,7 @@ def mix(docs: DataFrame, seed: int = 7, path: str | None = None, **options) -> D
         .agg(F.sum("p.words").alias("taken"))
     )
     met = (F.col("rank") == F.col("source_rank")) & (F.col("part") == F.col("t_part")) & (F.col("start") == F.col("t_start"))
-    return placed(sizes, sources, seed).join(taken, met & (F.col("size") > 0), "left").select(
+    return placed(sizes, sources, seed).hint("merge").join(taken, met & (F.col("size") > 0), "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
     )
 
