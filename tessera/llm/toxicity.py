@@ -1,60 +1,51 @@
-"""Toxicity: a chain of linear classifiers, each fed the earlier ones' out-of-fold probabilities."""
+"""Toxicity: a chain of linear classifiers, each fed the earlier ones' out-of-fold probabilities.
+
+The labelled sample is bounded, so a model is fitted in one task; the models of a category, one per
+fold and one for all rows, are fitted side by side. Scoring is one pass over all documents.
+"""
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterator, Sequence
-from functools import reduce
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from tessera.llm.common import cut
 
 #: Labelled documents that the models are fitted on at most, drawn by hash of doc_id.
 MAX_LABELLED = 10_000
-#: Words and beginnings of words that the models see at most: those in most of the labelled documents.
-VOCABULARY = 1 << 15
+#: Lengths of the beginnings of words that are terms beside the words.
 STEMS = (3, 4, 5, 6, 7)
-FOLDS = 2
+FOLDS = 3
 #: From this probability of its last category on, a document counts as toxic.
-THRESHOLD = 0.4
-#: Penalty of the linear models; the L1 share leaves weight only on words that tell.
-PENALTY, L1_SHARE, ITERATIONS = 0.0005, 0.9, 20
-
+THRESHOLD = 0.3
+ITERATIONS = 60
+#: Penalties of the linear models on the sum of weights' sizes and of half their squares.
+L1, L2 = 0.0003, 0.00003
+#: Words whose terms a scoring task remembers before it starts anew.
+REMEMBERED = 200_000
 
 _RUN = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str | None, known: set[str] | None = None) -> set[str]:
-    """Distinct lower-case letter runs and their beginnings of each length in STEMS, of ``known`` ones only if given.
+def terms_of_word(word: str) -> set[int]:
+    """A lower-case word and its beginnings, as 32-bit hashes; beginnings carry what inflected or compound words share."""
+    return {zlib.crc32(word[:k].encode("utf-8", "surrogatepass")) for k in (*STEMS, len(word))}
 
-    Beginnings carry what inflected or compound words share. A null text has none.
-    """
-    runs = set(_RUN.findall(text.lower())) if text else set()
-    levels = [runs, *({run[:k] for run in runs} for k in STEMS)]
-    return set().union(*levels) if known is None else set().union(*(known & level for level in levels))
 
-
-def with_words(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, <categories>)`` with the terms of the text as ``words`` in its place."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([sorted(terms_of(t.as_py())) for t in batch["text"]], pa.list_(pa.string()))
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), found], [*names, "words"])
-
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    return docs.mapInArrow(apply, StructType([*kept, StructField("words", ArrayType(StringType()))]))
+def words_of(text: str | None) -> set[str]:
+    """Distinct lower-case letter runs; a null text has none."""
+    return set(_RUN.findall(text.lower())) if text else set()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str], bound: int = MAX_LABELLED) -> DataFrame:
-    """``words``, the categories as 0/1 doubles and ``fold`` of at most ``bound`` labelled documents."""
+    """doc_id, the categories as 0/1 doubles, fold and ``terms`` (packed hashes) of at most ``bound`` labelled documents."""
     judged = (
         labels.where(F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -64,124 +55,226 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
         .limit(bound)
         .withColumnRenamed("doc_id", "label_id")
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(judged), F.col("doc_id") == F.col("label_id"))
-    once = texts.groupBy("doc_id", *categories).agg(F.min("text").alias("text"))  # at most `bound` rows
-    once = with_words(once)
-    return once.withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS)))
+    texts = docs.select("doc_id", "text").join(F.broadcast(judged), F.col("doc_id") == F.col("label_id"))  # at most `bound` rows
+    once = texts.groupBy("doc_id", *categories).agg(F.min("text").alias("text"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, set[int]] = {}
+        for batch in batches:
+            packed = []
+            for text in batch["text"]:
+                found = [known.setdefault(w, terms_of_word(w)) if w not in known else known[w] for w in words_of(text.as_py())]
+                packed.append(np.array(sorted(set().union(*found)), np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", *categories)), pa.array(packed, pa.binary())], ["doc_id", *categories, "terms"])
+
+    schema = "doc_id long, " + ", ".join(f"`{c}` double" for c in categories) + ", terms binary"
+    return once.mapInArrow(apply, schema).withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS)))
+
+
+def telling_terms(rows: DataFrame, count: int) -> np.ndarray:
+    """Hashes of the terms that can get a weight at all, in order.
+
+    The loss changes with a weight by at most the share of rows that hold its term, so the L1
+    penalty holds the weights of all rarer terms at 0: leaving those out changes nothing.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(t.as_py(), np.uint32) for batch in batches for t in batch["terms"]]
+        terms, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+
+    counts = rows.select("terms").mapInArrow(apply, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    # at most the sample's terms divided by the least count, and the sample is bounded
+    kept = counts.where(F.col("n") > L1 * count * len_share(FOLDS)).select("term").toPandas()["term"]
+    return np.sort(kept.to_numpy(np.int64)).astype(np.uint32)
+
+
+def len_share(folds: int) -> float:
+    """Share of the rows that the smallest fit sees, roughly; halved, so that no fold of less than half of that is harmed."""
+    return 0.5 * (1 - 1 / folds)
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def fit_logistic(terms: list[np.ndarray], dense: np.ndarray, y: np.ndarray, width: int) -> tuple[float, np.ndarray]:
+    """Intercept and weights of an elastic-net logistic regression on binary ``terms`` (below ``width``) and ``dense`` columns.
+
+    Quasi-Newton steps inside the orthant that the L1 penalty allows (OWL-QN): directions from the
+    last few gradients, and no step takes a weight across 0.
+    """
+    n, size = max(len(y), 1), width + dense.shape[1]
+    begin = np.concatenate(([0], np.cumsum([len(t) for t in terms]))).astype(np.int64)
+    columns = np.concatenate(terms) if len(terms) else np.zeros(0, np.int32)
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(begin))
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Penalised loss, and the gradient of all but the L1 penalty; the intercept comes last and has no penalty."""
+        sums = np.concatenate(([0.0], np.cumsum(w[columns])))
+        margin = sums[begin[1:]] - sums[begin[:-1]] + dense @ w[width:size] + w[size]
+        rest = _logistic(margin) - y
+        gradient = np.concatenate((np.bincount(columns, rest[rows], width), dense.T @ rest, [rest.sum()])) / n
+        gradient[:size] += L2 * w[:size]
+        value = np.logaddexp(0, margin).sum() / n - (y * margin).sum() / n + L2 / 2 * (w[:size] ** 2).sum()
+        return value + L1 * np.abs(w[:size]).sum(), gradient
+
+    def steepest(w: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        """The gradient with the L1 penalty, 0 where the penalty holds a weight at 0."""
+        slope = gradient + L1 * penalised * np.sign(w)
+        at_zero = (w == 0) & penalised
+        slope[at_zero] = np.sign(gradient[at_zero]) * np.maximum(np.abs(gradient[at_zero]) - L1, 0)
+        return slope
+
+    penalised = np.arange(size + 1) < size
+    share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
+    w = np.zeros(size + 1)
+    w[size] = np.log(share / (1 - share))
+    value, gradient = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(ITERATIONS):
+        slope = steepest(w, gradient)
+        if np.abs(slope).max() < 1e-6:
+            break
+        turn, used = slope.copy(), []
+        for s, g, by in reversed(past):
+            used.append(float(s @ turn) / by)
+            turn -= used[-1] * g
+        if past:
+            turn *= past[-1][2] / float(past[-1][1] @ past[-1][1])
+        for (s, g, by), alpha in zip(past, reversed(used), strict=True):
+            turn += (alpha - float(g @ turn) / by) * s
+        turn[turn * slope <= 0] = 0  # only downhill
+        if not turn.any():
+            turn = slope
+        orthant = np.where(w != 0, np.sign(w), -np.sign(slope))
+        length = 1.0 if past else min(1.0, 1 / float(np.abs(slope).sum()))
+        while True:
+            moved = w - length * turn
+            moved[penalised & (moved * orthant < 0)] = 0
+            after, changed = loss(moved)
+            if after <= value + 1e-4 * float(slope @ (moved - w)) or length < 1e-9:
+                break
+            length /= 2
+        s, g = moved - w, changed - gradient
+        by = float(s @ g)
+        if by > 1e-12:
+            past = [*past[-9:], (s, g, by)]
+        done = value - after < 1e-7 * value
+        w, value, gradient = moved, after, changed
+        if done:
+            break
+    return float(w[size]), w[:size]
 
 
 class ChainModel:
-    """The fitted chain: per category an intercept and the terms' weights other than 0, or a constant probability."""
+    """The fitted chain: per category the intercept, the weights other than 0 by term hash, and those of the earlier probabilities."""
 
-    def __init__(self, categories: Sequence[str], links: list[float | tuple[float, dict[str, float]]]):
+    def __init__(self, categories: Sequence[str], links: list[tuple[float, dict[int, float], list[float]]]):
         self.categories, self.links = list(categories), links
-        self.known = {term for link in links if not isinstance(link, float) for term in link[1]}
-
-    def probabilities(self, text: str | None) -> list[float]:
-        """The categories' probabilities, each link fed with those before it."""
-        terms, out = terms_of(text, self.known), []
-        for category, link in zip(self.categories, self.links, strict=True):
-            if isinstance(link, float):
-                out.append(link)
-            else:
-                score = link[0] + math.fsum(link[1][t] for t in link[1].keys() & terms)
-                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, score)))))
-            terms |= {f"{category} >= 0.{k}" for k in range(1, min(9, int(out[-1] * 10)) + 1)}
-        return out
+        self.known = set().union(*(link[1] for link in links)) if links else set()
+
+    def scorer(self) -> Callable[[str | None], list[float]]:
+        """A function from a text to the categories' probabilities, each link fed with those before it."""
+        remembered: dict[str, frozenset[int]] = {}
+        nothing: frozenset[int] = frozenset()
+
+        def terms(word: str) -> frozenset[int]:
+            if len(remembered) >= REMEMBERED:
+                remembered.clear()
+            remembered[word] = found = frozenset(terms_of_word(word) & self.known) or nothing
+            return found
+
+        def probabilities(text: str | None) -> list[float]:
+            held = nothing.union(*[remembered.get(w) or terms(w) if w not in remembered else remembered[w] for w in words_of(text)])
+            out: list[float] = []
+            for bias, weights, earlier in self.links:
+                score = bias + sum(weights.get(t, 0.0) for t in sorted(held)) + sum(w * p for w, p in zip(earlier, out, strict=True))
+                out.append(float(_logistic(np.float64(score))))
+            return out
+
+        return probabilities
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs(doc_id, text)`` as doc_id and ``p_<category>``."""
         names = [f"p_{c}" for c in self.categories]
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            probabilities = self.scorer()
             for batch in batches:
-                found = [self.probabilities(t.as_py()) for t in batch["text"]]
+                found = [probabilities(t.as_py()) for t in batch["text"]]
                 columns = [pa.array([p[k] for p in found], pa.float64()) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", *names])
 
-        return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+        return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, " + ", ".join(f"`{n}` double" for n in names))
 
     def keep(self, docs: DataFrame, threshold: float) -> DataFrame:
         """The rows of ``docs``, all columns, whose last category's probability is below ``threshold``."""
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            probabilities = self.scorer()
             for batch in batches:
-                yield batch.filter(pa.array([self.probabilities(t.as_py())[-1] < threshold for t in batch["text"]], pa.bool_()))
+                yield batch.filter(pa.array([probabilities(t.as_py())[-1] < threshold for t in batch["text"]], pa.bool_()))
 
         return docs.mapInArrow(apply, docs.schema)
 
 
-def _weights(link, counter: CountVectorizerModel) -> float | tuple[float, dict[str, float]]:
-    if isinstance(link, float):
-        return link
-    return float(link.intercept), {t: float(w) for t, w in zip(counter.vocabulary, link.coefficients.toArray(), strict=True) if w}
-
-
-def _counter(rows: DataFrame, categories: Sequence[str]) -> CountVectorizerModel:
-    """The vocabulary: one term per category and tenth of probability, then the words of most rows."""
-    terms = [f"{category} >= 0.{k}" for category in categories for k in range(1, 10)]
-    counts = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    model = CountVectorizerModel.from_vocabulary(terms + [r["word"] for r in top], "chain_terms", "chain_features")
-    return model.setBinary(True)
-
+def _fitted(rows: DataFrame, category: str, earlier: Sequence[str], kept: np.ndarray, models: Sequence[int]) -> dict[int, tuple[float, dict[int, float], list[float]]]:
+    """Links of ``category``: model f is fitted without fold f, model FOLDS on all rows."""
+    width = len(kept)
 
-def _features(rows: DataFrame, earlier: Sequence[str], counter: CountVectorizerModel) -> DataFrame:
-    """Words, and for each earlier category one more term per tenth that its probability reaches."""
-    tenths = [_tenths(category) for category in earlier]
-    terms = F.concat(F.col("words"), *tenths) if tenths else F.col("words")
-    return counter.transform(rows.withColumn("chain_terms", terms))
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        terms = [np.searchsorted(kept, t[np.isin(t, kept, assume_unique=True)]).astype(np.int32) for t in (np.frombuffer(x, np.uint32) for x in group["terms"])]
+        bias, weights = fit_logistic(terms, group[[f"p_{c}" for c in earlier]].to_numpy(float), group[category].to_numpy(float), width)
+        some = np.flatnonzero(weights[:width])
+        return pd.DataFrame({
+            "model": [group["model"].iloc[0]], "bias": [bias], "terms": [kept[some].astype(np.int64).tolist()], "weights": [weights[some].tolist()], "earlier": [weights[width:].tolist()],
+        })
 
+    each = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).where("fold <> model")
+    out = each.groupBy("model").applyInPandas(fit, "model int, bias double, terms array<long>, weights array<double>, earlier array<double>").collect()
+    return {r["model"]: (r["bias"], dict(zip(r["terms"], r["weights"], strict=True)), list(r["earlier"])) for r in out}
 
-def _tenths(category: str) -> Column:
-    """The terms ``<category> >= 0.k`` that hold; the probability stands once, so it is computed once."""
-    terms = F.array(*[F.lit(f"{category} >= 0.{k}") for k in range(1, 10)])
-    return F.slice(terms, 1, F.least(F.lit(9), F.floor(F.col(f"p_{category}") * 10)).cast("int"))
 
+def _out_of_fold(rows: DataFrame, category: str, earlier: Sequence[str], links: dict[int, tuple[float, dict[int, float], list[float]]]) -> DataFrame:
+    """``rows`` with the probability of ``category`` from the model that did not see the row."""
 
-def _link(rows: DataFrame, earlier: Sequence[str], counter: CountVectorizerModel, link, out: str) -> DataFrame:
-    """``rows`` with the probability that ``link`` gives, a constant if there was nothing to learn."""
-    if isinstance(link, float):
-        return rows.withColumn(out, F.lit(link))
-    scored = link.transform(_features(rows, earlier, counter))
-    return scored.withColumn(out, vector_to_array("chain_probability").getItem(1)).drop(
-        "chain_terms", "chain_features", "chain_raw", "chain_probability", "chain_prediction"
-    )
-
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = [batch[f"p_{c}"].to_pylist() for c in earlier]
+            out = []
+            for k, (terms, fold) in enumerate(zip(batch["terms"], batch["fold"].to_pylist(), strict=True)):
+                bias, weights, more = links[fold]
+                score = bias + sum(weights.get(t, 0.0) for t in np.frombuffer(terms.as_py(), np.uint32).tolist()) + sum(w * p[k] for w, p in zip(more, before, strict=True))
+                out.append(float(_logistic(np.float64(score))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, f"p_{category}"])
 
-def _fit(rows: DataFrame, category: str, earlier: Sequence[str], counter: CountVectorizerModel):
-    seen = rows.agg(F.count("*").alias("n"), F.sum(category).alias("ones")).first()
-    if not seen["n"] or seen["ones"] in (0.0, float(seen["n"])):
-        return float(seen["ones"] or 0.0) / max(seen["n"], 1)
-    learner = LogisticRegression(
-        featuresCol="chain_features", labelCol=category, probabilityCol="chain_probability",
-        rawPredictionCol="chain_raw", predictionCol="chain_prediction",
-        regParam=PENALTY, elasticNetParam=L1_SHARE, maxIter=ITERATIONS, standardization=False,
-    )
-    return learner.fit(_features(rows, earlier, counter))
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, (f"p_{category}", "double")])
+    return rows.mapInArrow(apply, schema)
 
 
-def fit_chain(rows: DataFrame, categories: Sequence[str], folds: int = FOLDS) -> ChainModel:
+def fit_chain(rows: DataFrame, categories: Sequence[str]) -> ChainModel:
     """Fit the chain on :func:`training_rows`.
 
-    A link sees the words and the probabilities of the earlier categories. For fitting,
-    these come from models that did not see the row's fold, so later links learn how far to trust
-    them; for scoring, from the model fitted on all rows. A category with one class only, or no
-    rows at all, gets its share as a constant.
+    A link sees the terms and the probabilities of the earlier categories. For fitting, these come
+    from models that did not see the row's fold, so later links learn how far to trust them; for
+    scoring, from the model fitted on all rows. Without rows every probability is 0; a category of
+    one class only gets that class's share, held off 0 and 1.
     """
-    rows = rows.coalesce(6).persist()  # bounded by the sample
-    counter = _counter(rows, categories)
-    links, earlier = [], []
+    rows = cut(rows)
+    count = rows.count()
+    if not count:
+        return ChainModel(categories, [(-500.0, {}, [0.0] * k) for k in range(len(categories))])
+    kept, links, earlier = telling_terms(rows, count), [], []
     for category in categories:
-        links.append(_fit(rows, category, earlier, counter))
-        if category == categories[-1]:
-            break
-        parts = []
-        for f in range(folds):
-            link = _fit(rows.where(F.col("fold") != f), category, earlier, counter)
-            parts.append(_link(rows.where(F.col("fold") == f), earlier, counter, link, f"p_{category}"))
-        rows, earlier = reduce(DataFrame.unionByName, parts).coalesce(6).persist(), [*earlier, category]
-    return ChainModel(categories, [_weights(link, counter) for link in links])
+        last = category == categories[-1]
+        found = _fitted(rows, category, earlier, kept, [FOLDS] if last else [*range(FOLDS), FOLDS])
+        links.append(found[FOLDS])
+        if not last:
+            missing = found[FOLDS]  # a fold that holds all rows, as only tiny samples have
+            rows = _out_of_fold(rows, category, earlier, {f: found.get(f, missing) for f in range(FOLDS)})
+            earlier = [*earlier, category]
+    return ChainModel(categories, links)
 
 
 def judge_toxicity(

@@ -63,7 +63,7 @@ def test_earlier_categories_feed_later_ones(spark):
     labels = [(k, k % 2, k % 2) for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.fit_chain(toxicity.training_rows(docs, spark.createDataFrame(labels, "doc_id long, first int, second int"), ("first", "second")), ("first", "second"))
-    assert any(term.startswith("first >= ") for term in model.links[1][1])
+    assert model.links[1][2][0] > 0
 
 
 def test_licenses(spark):
