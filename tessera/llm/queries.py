@@ -28,7 +28,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.report(secret_scan.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return secret_scan.scan_report(read(spark, sf_dir, "documents"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut
+
 # The base kinds in their order, as (kind, pattern, least length, group the length counts).
 BASE = [
     (
@@ -35,12 +37,17 @@ ENCODINGS = [
         "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
     ),
 ]
-#: Share of true random strings, per encoding and length class, that may be taken for text.
-FALSE_REJECTIONS = 0.05
-#: Steps of -ln(p) that p-values are counted in, and the most.
-STEPS_PER_LN, MOST_STEPS = 20, 800
-
-
+#: Expected share of ordinary text among the tokens that are reported as secrets, per encoding and length class.
+FALSE_DISCOVERIES = 0.1
+#: Steps that p-values are rounded up to, and the length classes (twice the binary logarithm) they are known for.
+P_STEPS, CLASSES = (0.002, 0.01, 0.05, 0.2), range(8, 17)
+# What identifiers, paths and numbers are made of, by encoding; from these come the p-values.
+TEXT_WORDS = (
+    "get set user name value item list data file path index count config client server request response handler manager service "
+    "factory build test main source node tree event state table query result error message thread stream buffer version update "
+    "create delete default option parse format print open close read write start stop begin end first last next size type"
+).split()
+HEX_WORDS = "dead beef cafe babe face feed fade decade added bead deed ace bad cab dad fee 0000 1111 1234 2024 2023 9999 0001 00ff abcd 100 255 10 12 7 42".split()
 def spans(text: Column, pattern: str, kind: str, rank: int) -> Column:
     """All matches of ``pattern``, leftmost first and not overlapping: structs (start, rank, end, kind, match).
 
@@ -157,8 +164,47 @@ def _tail(items: Column, name: str) -> Column:
     )
 
 
+def text_null(spark: SparkSession, each: int = 2000) -> DataFrame:
+    """How random ordinary text looks: ``(code, class, x)`` of ``each`` made-up tokens per encoding and length class.
+
+    Tokens are words in the encoding's letters, joined as in identifiers, paths and numbers, of the
+    least length of their class; longer ones look less random still.
+    """
+    ids = spark.range(each).select("id", F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("class"), F.explode(F.array(*[F.lit(k) for k in range(len(ENCODINGS))])).alias("code"))
+    pick = lambda words, i, salt: F.element_at(words, (F.pmod(F.xxhash64("id", "code", "class", i, F.lit(salt)), F.size(words)) + 1).cast("int"))
+    words, hexes = (F.array(*[F.lit(w) for w in some]) for some in (TEXT_WORDS, HEX_WORDS))
+    joints = F.array(F.lit(""), F.lit(""), F.lit(""), F.lit("/"), F.lit("2"))
+    dashes = F.array(F.lit("_"), F.lit("-"), F.lit(""), F.lit("7"))
+    made = F.transform(
+        F.sequence(F.lit(1), F.lit(90)),
+        lambda i: F.when(F.col("code") == 0, pick(hexes, i, 1))
+        .when(F.col("code") == 1, F.upper(pick(hexes, i, 1)))
+        .when(F.col("code") == 2, F.concat(F.upper(pick(words, i, 1)), F.when(i % 3 == 0, "2").otherwise("")))
+        .when(F.col("code") == 3, F.concat(F.initcap(pick(words, i, 1)), pick(joints, i, 2)))
+        .otherwise(F.concat(pick(words, i, 1), pick(dashes, i, 2))),
+    )
+    alphabets = F.array(*[F.lit(alphabet) for *_, alphabet in ENCODINGS])
+    body = F.substring(F.array_join(made, ""), F.lit(1), F.ceil(F.pow(F.lit(2.0), F.col("class") / 2)).cast("int"))
+    token = F.array(F.struct(body.alias("body"), F.element_at(alphabets, F.col("code") + 1).alias("alphabet")))
+    return ids.select("code", "class", battery(token)[0]["x"].alias("x"))
+
+
+# Quantiles of text_null at P_STEPS, per encoding as listed and length class from the least on.
+TEXT_QUANTILES = [
+    [(4.33, 6.14, 8.81, 13.0), (8.45, 10.2, 13.4, 19.0), (13.3, 16.0, 21.1, 28.4), (21.9, 25.3, 32.4, 41.9), (34.5, 38.9, 48.6, 63.5), (60.6, 65.8, 80.1, 104.0), (92.5, 111.0, 133.0, 171.0), (186.0, 206.0, 240.0, 299.0), (327.0, 368.0, 442.0, 540.0)],
+    [(3.93, 6.05, 8.97, 13.6), (7.46, 9.89, 13.8, 18.8), (12.6, 15.8, 19.7, 27.2), (19.2, 25.3, 32.1, 42.4), (34.0, 41.2, 50.1, 63.9), (58.9, 67.8, 81.3, 104.0), (94.9, 113.0, 138.0, 170.0), (179.0, 201.0, 237.0, 299.0), (339.0, 364.0, 422.0, 526.0)],
+    [(0.553, 0.884, 1.64, 2.89), (1.02, 1.69, 2.74, 4.61), (2.42, 3.65, 5.19, 8.4), (5.71, 7.66, 10.9, 17.2), (15.2, 19.3, 25.8, 37.2), (38.5, 47.5, 60.0, 83.2), (99.5, 113.0, 142.0, 182.0), (224.0, 262.0, 313.0, 399.0), (547.0, 610.0, 691.0, 693.0)],
+    [(0.665, 0.97, 1.76, 3.37), (1.91, 2.46, 3.73, 6.55), (4.85, 5.78, 8.97, 14.4), (13.6, 17.0, 22.4, 33.4), (34.2, 40.0, 52.4, 70.5), (88.2, 102.0, 125.0, 160.0), (207.0, 233.0, 278.0, 353.0), (492.0, 544.0, 620.0, 693.0), (692.0, 692.0, 693.0, 694.0)],
+    [(1.11, 1.74, 2.83, 4.89), (2.67, 3.72, 6.04, 10.1), (7.88, 9.81, 13.7, 21.6), (23.4, 27.2, 36.0, 51.3), (55.3, 66.5, 84.0, 111.0), (147.0, 165.0, 197.0, 249.0), (343.0, 373.0, 442.0, 531.0), (694.0, 694.0, 695.0, 696.0), (695.0, 696.0, 697.0, 698.0)],
+]
+
+
 def tested(text: Column) -> Column:
-    """Candidate tokens of ``text`` in a known encoding: structs (start, end, code, length class, step of -ln p)."""
+    """Candidate tokens of ``text`` in a known encoding: structs (start, end, code, class, step).
+
+    ``step`` counts the P_STEPS that the token's p-value under :func:`text_null` is above. Lengths
+    past the last class count as that class.
+    """
     found = F.filter(spans(text, CANDIDATE, RANDOM, len(BASE)), lambda s: s["match"].rlike("[A-Za-z]"))
 
     def code_of(s: Column) -> Column:
@@ -169,84 +215,92 @@ def tested(text: Column) -> Column:
 
     alphabets = F.array(*[F.lit(alphabet) for *_, alphabet in ENCODINGS])
     coded = F.filter(with_fields(found, code=code_of), lambda s: s["code"].isNotNull())
-    judged = battery(
-        with_fields(coded, body=lambda s: F.rtrim(s["match"], F.lit("=")), alphabet=lambda s: F.element_at(alphabets, s["code"] + 1))
+    judged = with_fields(
+        battery(with_fields(coded, body=lambda s: F.rtrim(s["match"], F.lit("=")), alphabet=lambda s: F.element_at(alphabets, s["code"] + 1))),
+        **{"class": lambda s: F.greatest(F.lit(CLASSES[0]), F.least(F.lit(CLASSES[-1]), F.floor(2 * F.log2(s["n"])).cast("int")))},
     )
+    quantiles = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for rows in TEXT_QUANTILES for row in rows])
+    limits = lambda s: F.element_at(quantiles, s["code"] * len(CLASSES) + s["class"] - CLASSES[0] + 1)
     return F.transform(
-        judged,
+        with_fields(judged, limits=limits),
         lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["code"].alias("code"),
-            F.floor(2 * F.log2(s["n"])).cast("int").alias("class"),
-            F.least(F.floor(-F.log(s["p"]) * STEPS_PER_LN), F.lit(MOST_STEPS)).cast("int").alias("step"),
+            s["start"].alias("start"), s["end"].alias("end"), s["code"].alias("code"), s["class"].alias("class"),
+            F.size(F.filter(s["limits"], lambda q: q < s["x"])).alias("step"),
         ),
-    )
+    )
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``secret_base`` (spans of the fixed patterns) and ``secret_tested`` (judged candidates); both are pruned when not used."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns({"secret_base": base_spans(text), "secret_tested": tested(text)})
 
 
-def rejection_steps(docs: DataFrame) -> dict[tuple[int, int], int]:
-    """Per encoding and length class, the least step of -ln(p) at which a candidate counts as text.
+def discovery_rates(found: DataFrame) -> dict[tuple[int, int], list[float]]:
+    """Per encoding and length class, the false discovery rate when all candidates up to each step of p are reported.
 
-    Benjamini-Hochberg over all candidates of all of ``docs``, on counts per step: encodings times
-    length classes times steps, so what reaches the driver does not grow with the input.
+    Benjamini-Hochberg over all candidates of all rows of :func:`scanned`, on counts per step:
+    encodings times classes times steps, so what reaches the driver does not grow with the input.
     """
-    counts = (
-        docs.select(F.explode(tested(F.coalesce("text", F.lit("")))).alias("t"))
-        .groupBy("t.code", "t.class", "t.step")
-        .agg(F.count("*").alias("n"))
-        .collect()
-    )
+    counts = found.select(F.explode("secret_tested").alias("t")).groupBy("t.code", "t.class", "t.step").agg(F.count("*").alias("n")).collect()
     classes: dict[tuple[int, int], dict[int, int]] = {}
     for row in counts:
         classes.setdefault((row["code"], row["class"]), {})[row["step"]] = row["n"]
-    limits = {}
+    rates = {}
     for key, by_step in classes.items():
-        total, seen = sum(by_step.values()), 0
-        for step in sorted(by_step, reverse=True):  # the least p first
-            seen += by_step[step]
-            if 2.718281828459045 ** (-step / STEPS_PER_LN) <= FALSE_REJECTIONS * seen / total:
-                limits[key] = step
-    return limits
+        total, below = sum(by_step.values()), _up_to(by_step)
+        raw = [min(1.0, p * total / n) if n else 1.0 for p, n in zip(P_STEPS, below, strict=True)]
+        rates[key] = [min(raw[k:]) for k in range(len(raw))] + [1.0]  # the last step is of p-values above all
+    return rates
+
+
+def _up_to(by_step: dict[int, int]) -> list[int]:
+    return [sum(n for step, n in by_step.items() if step <= k) for k in range(len(P_STEPS))]
+
+
+def _rate(t: Column, rates: dict[tuple[int, int], list[float]]) -> Column:
+    """The false discovery rate of a candidate (its q-value)."""
+    if not rates:
+        return F.lit(1.0)
+    known = F.create_map(*[x for (code, cls), qs in sorted(rates.items()) for x in (F.lit(code * 100 + cls), F.array(*[F.lit(q) for q in qs]))])
+    return F.coalesce(F.get(F.element_at(known, t["code"] * 100 + t["class"]), t["step"]), F.lit(1.0))
+
+
+def _discovered(found: DataFrame, rates: dict[tuple[int, int], list[float]]) -> DataFrame:
+    """``secret_spans`` from the columns of :func:`scanned`, and ``secret_tests``: all candidates with their p and q."""
+    p_of = F.array(*[F.lit(p) for p in P_STEPS], F.lit(1.0))
+    names = F.array(*[F.lit(name) for name, *_ in ENCODINGS])
+    judged = F.transform(
+        "secret_tested",
+        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.element_at(names, t["code"] + 1).alias("encoding"), F.element_at(p_of, t["step"] + 1).alias("p"), _rate(t, rates).alias("q")),
+    )
+    fresh = F.filter(
+        "secret_tests",
+        lambda t: (t["q"] <= FALSE_DISCOVERIES) & ~F.exists("secret_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
+    )
+    more = F.transform(
+        fresh,
+        lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("rank"), t["end"].alias("end"), F.lit(RANDOM).alias("kind"), F.lit("").alias("match")),
+    )
+    out = found.withColumn("secret_tests", judged).withColumn("secret_spans", F.array_sort(F.concat("secret_base", more)))
+    return out.drop("secret_base", "secret_tested")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with ``secret_spans``: per row an array of (start, rank, end, kind, match), by start, then kind.
 
     Kinds: assign, access and hex by pattern; ``random`` for other tokens in a known encoding that
-    the battery cannot tell from random ones, unless they overlap a pattern's span. Offsets count
-    code points, end exclusive. Null texts have no spans. Each row is judged by itself but for the
-    length-aware limits, which come from one pass over all rows; so repeated rows give repeated
-    results and an empty table an empty one. All columns are kept; one named secret_spans is replaced.
+    the battery finds too random for ordinary text, unless they overlap a pattern's span. Beside it
+    ``secret_tests`` lists every token in a known encoding, those of the patterns included: (start,
+    end, encoding, p, q). p is the chance that text of that encoding and length looks as random, q
+    the false discovery rate at which the token is reported. Offsets count code points, end
+    exclusive. Null texts have no spans. Each row is judged by itself but for the rates, which come
+    from one pass over all rows; so repeated rows give repeated results and an empty table an empty
+    one. All columns are kept; those named as the four columns here are replaced.
     """
-    limits = rejection_steps(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = base_spans(text)
-    limit = F.lit(None).cast("int")
-    if limits:
-        known = F.create_map(*[x for (code, cls), step in sorted(limits.items()) for x in (F.lit(code * 100 + cls), F.lit(step))])
-        limit_of = lambda t: F.coalesce(F.element_at(known, t["code"] * 100 + t["class"]), F.lit(MOST_STEPS + 1))
-    else:
-        limit_of = lambda t: F.coalesce(limit, F.lit(MOST_STEPS + 1))
-
-    def more(spans_: Column) -> Column:
-        fresh = F.filter(
-            tested(text),
-            lambda t: (t["step"] < limit_of(t))
-            & ~F.exists(spans_, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-        )
-        return F.transform(
-            fresh,
-            lambda t: F.struct(
-                t["start"].alias("start"),
-                F.lit(len(BASE)).alias("rank"),
-                t["end"].alias("end"),
-                F.lit(RANDOM).alias("kind"),
-                F.lit("").alias("match"),
-            ),
-        )
-
-    with_base = docs.withColumn("secret_spans", base)
-    return with_base.withColumn("secret_spans", F.array_sort(F.concat("secret_spans", more(F.col("secret_spans")))))
+    clean = docs.drop("secret_base", "secret_tested", "secret_tests", "secret_spans")
+    found = scanned(clean)
+    return _discovered(found, discovery_rates(found))
 
 
 def listed(found: Column) -> Column:
@@ -254,14 +308,19 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def scan_report(docs: DataFrame) -> DataFrame:
+    """:func:`report` of ``docs``, whose texts are read once: spans and candidates, which are few, are kept for the second step."""
+    found = cut(scanned(docs.select("doc_id", "text")).drop("text"))
+    return report(_discovered(found, discovery_rates(found)))
+
+
 def report(found: DataFrame) -> DataFrame:
-    """One row per row of :func:`find_secrets`: counts per base kind, digest of the base spans, all spans."""
+    """One row per row of :func:`find_secrets`: counts per base kind, digest of the base spans, all spans, all tests."""
     base = F.filter("secret_spans", lambda s: s["rank"] < len(BASE))
-    counts = [
-        F.size(_of_rank(rank)).cast("long").alias(f"n_{kind}") for rank, (kind, *_) in enumerate(BASE)
-    ]
+    counts = [F.size(_of_rank(rank)).cast("long").alias(f"n_{kind}") for rank, (kind, *_) in enumerate(BASE)]
+    tests = F.transform("secret_tests", lambda t: F.concat_ws(":", t["encoding"], t["start"], t["end"], t["p"], F.round(t["q"], 4)))
     return found.select(
-        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans")
+        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"), F.array_join(tests, ",").alias("tests")
     )
 
 
@@ -282,4 +341,4 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         "secret_spans", start, step,
         lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), ""),
     )
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(text)).drop("secret_spans")
+    return found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(text)).drop("secret_spans", "secret_tests")
