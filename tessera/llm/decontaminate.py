@@ -33,6 +33,8 @@ KEPT = 0.95
 STOP_SHARE, LEAST_TERMS = 0.02, 5
 #: A passage is a candidate by its cosine with a piece, or by its share of the piece's own squared weights, whatever words stand around.
 COSINE, HELD = 0.2, 0.4
+#: Terms whose rows of the tasks' matrices are summed together.
+SUM_TERMS = 64
 #: Words that are worked on at once; longer texts are cut, with an overlap where passages are searched.
 SLICE_WORDS = 100_000
 #: Share of an item's words in common, in order, that counts alone, and with the answer present.
@@ -211,7 +213,7 @@ def groups(items: Items, weights: np.ndarray) -> Iterator[Group]:
 
 
 def _gram_times(ids: DataFrame, basis: np.ndarray, group: Group, weights: np.ndarray, other: float) -> np.ndarray:
-    """A'A times ``basis`` over the passages of all documents; tasks send one matrix each, summed eight at a time."""
+    """A'A times ``basis`` over the passages of all documents; tasks send one matrix each, cut by terms and summed by them."""
     shape, passage, local = basis.shape, BLOCK_WORDS * BLOCKS, group.local
     sent = ids.sparkSession.sparkContext.broadcast((basis * group.weights[:, None]).astype(np.float32))
 
@@ -230,24 +232,25 @@ def _gram_times(ids: DataFrame, basis: np.ndarray, group: Group, weights: np.nda
                     some = turn[k : k + 256]
                     end = turn[k + 256] if k + 256 < len(turn) else len(terms)
                     total[terms[some]] += np.add.reduceat(rows[at[some[0] : end]], some - some[0], axis=0)
-        yield packed(total)
+        yield packed((k, total[k * SUM_TERMS : (k + 1) * SUM_TERMS]) for k in range(-(-shape[0] // SUM_TERMS)))
 
-    def packed(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["m"])
-
-    def added(blobs) -> np.ndarray:
-        return sum((np.frombuffer(m, np.float32).reshape(shape).astype(np.float64) for m in blobs), np.zeros(shape))
+    def packed(chunks: Iterable[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        some = [(k, m.astype(np.float32).tobytes()) for k, m in chunks]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([m for _, m in some], pa.binary())], ["chunk", "m"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield packed(sum((added(m.as_py() for m in batch["m"]) for batch in batches), np.zeros(shape)))
-
-    sums, count = ids.mapInArrow(part, "m binary"), ids.rdd.getNumPartitions()
-    while True:
-        count = max(4, -(-count // 8))
-        sums = sums.repartition(count).mapInArrow(add, "m binary")
-        if count <= 8:
-            break
-    total = np.frombuffer(sums.repartition(1).mapInArrow(add, "m binary").first()["m"], np.float32).reshape(shape)  # of eight at most
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, m in zip(batch["chunk"].to_pylist(), batch["m"], strict=True):
+                part = np.frombuffer(m.as_py(), np.float32).reshape(-1, shape[1])
+                sums[k] = sums[k] + part if k in sums else part.astype(np.float64)
+        yield packed(sums.items())
+
+    # a task sums the same terms of all matrices as they come, and holds no more than its terms
+    sums = ids.mapInArrow(part, "chunk int, m binary").repartition("chunk").mapInArrow(add, "chunk int, m binary")
+    total = np.zeros(shape, np.float32)
+    for row in sums.collect():  # one matrix
+        total[row["chunk"] * SUM_TERMS : (row["chunk"] + 1) * SUM_TERMS] = np.frombuffer(row["m"], np.float32).reshape(-1, shape[1])
     sent.destroy()
     return total * group.weights[:, None].astype(np.float32)
 
