@@ -1,11 +1,13 @@
-"""Elevation rasters: tiles as arrays ``(z, x, y, h)`` row by row, or as pixels ``(z, x, y, px, py, h)``."""
+"""Elevation rasters: a tile is one row ``(z, x, y, h)``, h its heights row by row. Only whole tiles are shuffled, never pixels."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.coverage import LEAST_ELEVATION, maybe_hole
 from tessera.operators.generate import ancestors
+from tessera.operators.lineage import cut
 
 # Offset of the encoding, what counts as no data, the sane band, the least height of tile ranges.
 OFFSET, NO_DATA, LOWEST, HIGHEST, RANGE_FLOOR = 32768.0, -32000.0, -500.0, 9000.0, -1000.0
@@ -64,49 +66,79 @@ def deepest_parent(holes: DataFrame, tiles: DataFrame) -> DataFrame:
     return met.groupBy("z", "x", "y").agg(F.max_by(F.struct("zp", "xp", "yp"), "zp").alias("p")).select("z", "x", "y", "p.*")
 
 
-def overzoom(matches: DataFrame, pixels: DataFrame, width: int) -> DataFrame:
-    """Pixels for tiles from their parents' sub-squares: bilinear, half-pixel centres, clamped at the square's edge.
+def pixels(tiles: DataFrame, width: int) -> DataFrame:
+    """Tiles as rows ``(z, x, y, px, py, h)``, for reports on single pixels."""
+    at = tiles.select("z", "x", "y", F.posexplode("h").alias("at", "h"))
+    return at.select("z", "x", "y", (F.col("at") % width).alias("px"), F.floor(F.col("at") / width).cast("int").alias("py"), "h")
 
-    ``matches(z, x, y, zp, xp, yp)``; ``pixels`` of the parents. Each new pixel meets its four
-    neighbours by an equi-join on parent and pixel.
+
+def _every_pixel(width: int, value) -> Column:
+    """An array of ``value(px, py)`` row by row."""
+    return F.transform(F.sequence(F.lit(0), F.lit(width * width - 1)), lambda p: value(p % width, F.floor(p / width).cast("int")))
+
+
+def _at(h: str, x: Column, y: Column, width: int) -> Column:
+    return F.get(F.col(h), (y * width + x).cast("int"))
+
+
+def overzoom(matches: DataFrame, tiles: DataFrame, width: int) -> DataFrame:
+    """Tiles ``(z, x, y, h)`` from their parents' sub-squares: bilinear, half-pixel centres, clamped at the square's edge.
+
+    ``matches(z, x, y, zp, xp, yp)`` meet the parents among ``tiles(z, x, y, h)`` by an equi-join; a
+    row carries one parent tile.
     """
+    parents = tiles.select(F.col("z").alias("zp"), F.col("x").alias("xp"), F.col("y").alias("yp"), F.col("h").alias("parent"))
     scale = F.expr("shiftleft(1, z - zp)")
-    sub = (F.lit(width) / scale).cast("int")
-    grid = (
-        matches.withColumn("sub", sub)
+    met = (
+        matches.join(parents, ["zp", "xp", "yp"])
+        .withColumn("sub", (F.lit(width) / scale).cast("int"))
         .withColumn("ox", ((F.col("x") - F.col("xp") * scale) * F.col("sub")).cast("int"))
         .withColumn("oy", ((F.col("y") - F.col("yp") * scale) * F.col("sub")).cast("int"))
-        .withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-        .withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     )
+    # per pixel of a line: the two pixels of the parent that it lies between, and the share of the second
+    place = lambda p: F.greatest(F.lit(0.0), F.least(F.col("sub") - 1.0, (p + 0.5) * F.col("sub") / width - 0.5))
+    line = F.transform(
+        F.transform(F.sequence(F.lit(0), F.lit(width - 1)), place),
+        lambda s: F.struct(F.floor(s).cast("int").alias("low"), F.least(F.floor(s) + 1, F.col("sub") - 1).cast("int").alias("high"), (s - F.floor(s)).alias("share")),
+    )
+
+    def value(px: Column, py: Column) -> Column:
+        a, b = F.get("line", px), F.get("line", py)
+        h = lambda x, y: _at("parent", F.col("ox") + x, F.col("oy") + y, width)
+        upper = (1 - a["share"]) * h(a["low"], b["low"]) + a["share"] * h(a["high"], b["low"])
+        lower = (1 - a["share"]) * h(a["low"], b["high"]) + a["share"] * h(a["high"], b["high"])
+        return (1 - b["share"]) * upper + b["share"] * lower
+
+    return met.withColumn("line", line).select("z", "x", "y", _every_pixel(width, value).alias("h"))
+
 
-    def sides(at: str, start: str) -> Column:
-        s = F.greatest(F.lit(0.0), F.least(F.col("sub") - 1.0, (F.col(at) + 0.5) * F.col("sub") / width - 0.5))
-        low = F.floor(s)
-        return F.array(
-            F.struct((F.col(start) + low).cast("int").alias("at"), (1 - (s - low)).alias("w")),
-            F.struct((F.col(start) + F.least(low + 1, F.col("sub") - 1)).cast("int").alias("at"), (s - low).alias("w")),
-        )
+def judged(tiles: DataFrame, width: int) -> DataFrame:
+    """``tiles(z, x, y, h[, length])`` with ``state``: absent (a file too short to be an image), hole or ok.
+
+    A file above the size that a uniform tile compresses to is ok without a look at its pixels.
+    """
+    hole = F.when(is_hole("h", width), "hole").otherwise("ok")
+    if "length" not in tiles.columns:
+        return tiles.withColumn("state", hole)
+    return tiles.withColumn("state", F.when(F.col("length") < LEAST_ELEVATION, "absent").when(~maybe_hole("length"), "ok").otherwise(hole))
 
-    near = grid.withColumn("a", F.explode(sides("px", "ox"))).withColumn("b", F.explode(sides("py", "oy")))
-    parent = pixels.select(F.col("z").alias("zp"), F.col("x").alias("xp"), F.col("y").alias("yp"), F.col("px").alias("sx"), F.col("py").alias("sy"), "h")
-    met = near.withColumn("sx", F.col("a.at")).withColumn("sy", F.col("b.at")).join(parent, ["zp", "xp", "yp", "sx", "sy"])
-    return met.groupBy("z", "x", "y", "px", "py").agg(F.sum(F.col("a.w") * F.col("b.w") * F.col("h")).alias("h"))
 
+def repair(tiles: DataFrame, parents: DataFrame, width: int) -> DataFrame:
+    """``tiles(z, x, y, h[, length])`` as ``(z, x, y, h, outcome)``: fixed holes have their heights from the deepest of ``parents`` with data.
 
-def repair_outcomes(tiles: DataFrame, parents: DataFrame) -> DataFrame:
-    """``tiles(z, x, y, hole)`` with outcome: ok, fixed (a parent has data) or unfixable."""
-    found = deepest_parent(tiles.where("hole"), parents).select("z", "x", "y", F.lit(True).alias("found"))
-    outcome = F.when(~F.col("hole"), "ok").when(F.col("found"), "fixed").otherwise("unfixable")
-    return tiles.join(found, ["z", "x", "y"], "left").select("z", "x", "y", outcome.alias("outcome"))
+    Outcomes: ok, absent, fixed, unfixable (no parent has data).
+    """
+    known = judged(tiles, width)
+    match = deepest_parent(known.where("state = 'hole'"), parents)
+    fixed = overzoom(match, parents, width).withColumnRenamed("h", "fixed")
+    outcome = F.when(F.col("state") != "hole", F.col("state")).when(F.col("fixed").isNotNull(), "fixed").otherwise("unfixable")
+    return known.join(fixed, ["z", "x", "y"], "left").select("z", "x", "y", F.coalesce("fixed", "h").alias("h"), outcome.alias("outcome"))
 
 
-def repair(pixels: DataFrame, parents: DataFrame, width: int) -> DataFrame:
-    """All pixels, with those of fixable holes taken from their parents."""
-    tiles = pixels.groupBy("z", "x", "y").agg((F.max("h") <= NO_DATA).alias("hole"))
-    match = deepest_parent(tiles.where("hole"), parents.select("z", "x", "y").distinct())
-    fixed = overzoom(match, parents, width)
-    return pixels.select("z", "x", "y", "px", "py", "h").join(match.select("z", "x", "y"), ["z", "x", "y"], "left_anti").unionByName(fixed)
+def repair_counts(repaired: DataFrame, *by: str) -> DataFrame:
+    """How many tiles of :func:`repair` were checked, and how each came out."""
+    kinds = ("ok", "fixed", "unfixable", "absent")
+    return repaired.groupBy(*by).agg(F.count("*").alias("checked"), *[F.count_if(F.col("outcome") == k).alias(k) for k in kinds])
 
 
 def grey(h: Column, lo: Column, hi: Column) -> Column:
@@ -114,36 +146,52 @@ def grey(h: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(255.0), (h - lo) / span * 255.0))
 
 
-def hillshade(pixels: DataFrame, lo: float, hi: float) -> DataFrame:
-    """Shaded grey 0-255 per pixel: central differences inside a tile, one-sided ones at its edges."""
-    tile = ["z", "x", "y"]
+def hillshade(tiles: DataFrame, lo: float, hi: float, width: int) -> DataFrame:
+    """Shaded grey 0-255 per pixel, ``(z, x, y, grey)``: central differences inside a tile, one-sided ones at its edges."""
+
+    def slope(before: Column, after: Column, steps: Column) -> Column:
+        return F.when(steps == 0, 0.0).otherwise((after - before) / steps)
+
+    def value(px: Column, py: Column) -> Column:
+        left, right = F.greatest(px - 1, F.lit(0)), F.least(px + 1, F.lit(width - 1))
+        up, down = F.greatest(py - 1, F.lit(0)), F.least(py + 1, F.lit(width - 1))
+        dx = slope(_at("h", left, py, width), _at("h", right, py, width), right - left)
+        dy = slope(_at("h", px, up, width), _at("h", px, down, width), down - up)
+        shade = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 + 0.36 * (dx + dy)))
+        shaded = grey(_at("h", px, py, width), F.lit(lo), F.lit(hi)) * (0.5 + 0.5 * shade)
+        return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), shaded))).cast("int")
 
-    def slope(line: str, at: str) -> Column:
-        w = Window.partitionBy(*tile, line).orderBy(at)
-        before, after = F.lag("h").over(w), F.lead("h").over(w)
-        steps = before.isNotNull().cast("int") + after.isNotNull().cast("int")
-        return F.when(steps == 0, 0.0).otherwise((F.coalesce(after, "h") - F.coalesce(before, "h")) / steps)
+    return tiles.select("z", "x", "y", _every_pixel(width, value).alias("grey"))
 
-    shade = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 + 0.36 * (F.col("dx") + F.col("dy"))))
-    value = grey(F.col("h"), F.lit(lo), F.lit(hi)) * (0.5 + 0.5 * shade)
-    sloped = pixels.withColumn("dx", slope("py", "px")).withColumn("dy", slope("px", "py"))
-    return sloped.select(*tile, "px", "py", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value))).cast("int").alias("grey"))
 
+def downsample(tiles: DataFrame, width: int, k: int = 2) -> DataFrame:
+    """``k`` x ``k`` tiles into one: means of the valid pixels of each square; null where there is none. z falls by log2 k.
 
-def downsample(pixels: DataFrame, width: int, k: int = 2) -> DataFrame:
-    """``k`` x ``k`` tiles into one: means of the valid pixels of each square; null where none is. z falls by log2 k."""
+    One shuffle, in which a parent collects its ``k * k`` children at most.
+    """
     up = k.bit_length() - 1
-    px = F.floor((F.col("x") % k * width + F.col("px")) / k)
-    py = F.floor((F.col("y") % k * width + F.col("py")) / k)
-    parent = [(F.col("z") - up).alias("z"), F.shiftright("x", up).alias("x"), F.shiftright("y", up).alias("y"), px.cast("int").alias("px"), py.cast("int").alias("py")]
-    return pixels.groupBy(*parent).agg(F.avg(F.when(F.col("h") > NO_DATA, F.col("h"))).alias("h"))
+    child = (F.col("x") % k + F.col("y") % k * k).cast("int")
+    grouped = tiles.groupBy((F.col("z") - up).alias("z"), F.shiftright("x", up).alias("x"), F.shiftright("y", up).alias("y")).agg(
+        F.map_from_entries(F.collect_list(F.struct(child.alias("child"), "h"))).alias("children")
+    )
+
+    def value(px: Column, py: Column) -> Column:
+        def sample(i: int, j: int) -> Column:
+            sx, sy = px * k + i, py * k + j
+            held = F.element_at("children", (F.floor(sx / width) + F.floor(sy / width) * k).cast("int"))
+            return F.get(held, ((sy % width) * width + sx % width).cast("int"))
+
+        valid_ones = F.filter(F.array(*[sample(i, j) for j in range(k) for i in range(k)]), lambda h: h > NO_DATA)
+        return F.aggregate(valid_ones, F.lit(0.0), lambda total, h: total + h) / F.nullif(F.size(valid_ones), F.lit(0))
+
+    return grouped.select("z", "x", "y", _every_pixel(width, value).alias("h"))
 
 
-def pyramid(pixels: DataFrame, width: int, levels: int) -> DataFrame:
-    """All levels: the pixels and ``levels`` repeated downsamplings, one aggregate each."""
-    out = level = pixels.select("z", "x", "y", "px", "py", "h")
+def pyramid(tiles: DataFrame, width: int, levels: int) -> DataFrame:
+    """All levels: the tiles and ``levels`` repeated downsamplings, each written to the shared folder and made from the one before."""
+    out = level = tiles.select("z", "x", "y", "h")
     for _ in range(levels):
-        level = downsample(level, width)
+        level = cut(downsample(level, width))
         out = out.unionByName(level)
     return out
 
@@ -158,8 +206,8 @@ def overview(tiles: DataFrame, k: int) -> DataFrame:
     return met.groupBy("tx", "ty").agg(F.avg("mean_m").alias("mean_m"), F.count_if(F.col("mean_m").isNull()).alias("missing"))
 
 
-def upsample(tiles: DataFrame, pixels: DataFrame, zoom: int, width: int) -> DataFrame:
-    """Pixels of ``tiles(z, x, y)`` below the data's ``zoom``: crops of their ancestors there, resampled as in :func:`overzoom`."""
+def upsample(tiles: DataFrame, data: DataFrame, zoom: int, width: int) -> DataFrame:
+    """Tiles ``(z, x, y)`` below the ``zoom`` of ``data(z, x, y, h)``: crops of their ancestors there, resampled as in :func:`overzoom`."""
     shift = lambda c: F.expr(f"shiftright({c}, z - {zoom})")
     match = tiles.where(F.col("z") > zoom).select("z", "x", "y", F.lit(zoom).alias("zp"), shift("x").alias("xp"), shift("y").alias("yp"))
-    return overzoom(match, pixels, width)
+    return overzoom(match, data, width)

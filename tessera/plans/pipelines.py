@@ -66,9 +66,9 @@ def run_report(events: DataFrame, samples: DataFrame, current: DataFrame) -> Dat
     return writers.run_report(runs.run_summary(cells), cells, runs.timeline(samples))
 
 
-def raster_repair(pixels: DataFrame, parents: DataFrame, width: int, levels: int) -> DataFrame:
-    """Pixels with holes repaired from their parents, and the levels above."""
-    return raster.pyramid(raster.repair(pixels, parents, width), width, levels)
+def raster_repair(tiles: DataFrame, parents: DataFrame, width: int, levels: int) -> DataFrame:
+    """Tiles with holes repaired from their parents, and the levels above."""
+    return raster.pyramid(raster.repair(tiles, parents, width), width, levels)
 
 
 def zone_points(points: DataFrame, spec: DataFrame, countries: DataFrame, borders: DataFrame, olat: float, olon: float, scale: float, soft_km: float, hard_km: float) -> DataFrame:

@@ -70,14 +70,14 @@ def zone_points(spark, d):
 
 
 def raster_repair(spark, d):
-    out = pipelines.raster_repair(view(spark, d, "fx_pixel"), view(spark, d, "fx_parent_pixel"), 8, 2)
-    return out.groupBy("z").agg(F.count("*").alias("pixels"), F.count("h").alias("valid"))
+    out = pipelines.raster_repair(rasters._tiles(spark, d), rasters._parent_tiles(spark, d), rasters.W, 2)
+    return raster.pixels(out, rasters.W).where("h is not null").groupBy("z").agg(F.count("*").alias("pixels"), F.count_if(F.col("h") > raster.NO_DATA).alias("valid"), F.round(F.sum(F.when(F.col("h") > raster.NO_DATA, F.col("h"))), 1).alias("total"))
 
 
 def upsample(spark, d):
     tiles = view(spark, d, "fx_raster").where("not is_hole").select((F.col("z") + 1).alias("z"), (F.col("x") * 2).alias("x"), (F.col("y") * 2 + 1).alias("y"))
-    out = raster.upsample(tiles, view(spark, d, "fx_pixel"), 13, 8)
-    return out.select("z", "x", "y", "px", "py", F.round(F.col("h") + 1e-7, 3).alias("h"))
+    out = raster.pixels(raster.upsample(tiles, rasters._tiles(spark, d), 13, rasters.W), rasters.W)
+    return out.withColumn("h", F.round(F.col("h") + 1e-7, 3))
 
 
 def source_extents(spark, d):
@@ -115,6 +115,7 @@ SQL = {
  LEFT JOIN (SELECT f.cell_key, count(*) AS n, count(*) FILTER (own) AS copied, count(*) FILTER (NOT own) AS skipped, count(*) FILTER (own AND (f.reg_x + f.reg_z) % 3 = 0) AS collisions, CASE WHEN bool_or(own) THEN 'region' ELSE '' END AS subs FROM {planning._FILES} f GROUP BY f.cell_key) f ON f.cell_key = p.cell_key""",
     "gap_list": planning.SQL["missing_cells"].replace("WHERE f.reg_x = w.x", "WHERE f.reg_x % 5 <> 0 AND f.reg_x = w.x"),
     "zone_points": f"SELECT point_id, band, CASE WHEN band IN ('inside', 'soft') THEN 'allow' ELSE 'deny' END AS rule FROM {_BAND} b",
+    "raster_repair": f"WITH p0 AS MATERIALIZED (SELECT p.z, p.x, p.y, p.px, p.py, coalesce(o.h, p.h) AS h FROM fx_pixel p LEFT JOIN {rasters._OZ} o ON o.x = p.x AND o.y = p.y AND o.px = p.px AND o.py = p.py), p1 AS MATERIALIZED {rasters._DOWN.format('p0')}, p2 AS {rasters._DOWN.format('p1')} SELECT z, count(*) AS pixels, count(*) FILTER (h > -32000) AS valid, round(sum(h) FILTER (h > -32000), 1) AS total FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2) u WHERE h IS NOT NULL GROUP BY z",
     "upsample": f"SELECT z, x, y, px, py, round(h + 1e-7, 3) AS h FROM {_UP} u",
     "source_extents": "SELECT CAST(o_custkey % 500 AS VARCHAR) AS path, max(o_orderkey * 10) AS length, arg_max(o_orderkey % 180 - CAST(90.0 AS DOUBLE), o_orderkey) AS south FROM orders GROUP BY 1",
 }

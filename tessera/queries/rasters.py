@@ -45,23 +45,33 @@ def deepest_parent(spark, d):
     return ra.deepest_parent(_holes(spark, d), _parents(spark, d))
 
 
+def _parent_tiles(spark, d):
+    """Whole tiles of the levels above, from the view of their pixels."""
+    p = view(spark, d, "fx_parent_pixel").groupBy("z", "x", "y").agg(F.sort_array(F.collect_list(F.struct("py", "px", "h"))).alias("s"))
+    return p.select("z", "x", "y", F.transform("s", lambda v: v["h"]).alias("h"))
+
+
 def overzoom(spark, d):
-    out = ra.overzoom(deepest_parent(spark, d), view(spark, d, "fx_parent_pixel"), W)
-    return out.select("z", "x", "y", "px", "py", F.round(F.col("h") + 1e-7, 3).alias("h"))  # no ties to round
+    out = ra.pixels(ra.overzoom(deepest_parent(spark, d), _parent_tiles(spark, d), W), W)
+    return out.withColumn("h", F.round(F.col("h") + 1e-7, 3))  # no ties to round
+
+
+def _repaired(spark, d):
+    """Files of three lengths: too short, uniform, too large to be a hole."""
+    length = F.when(F.col("vec_id") % 13 == 0, 60).when(F.col("vec_id") % 21 == 0, 5000).otherwise(700)
+    return ra.repair(_tiles(spark, d).withColumn("length", length), _parent_tiles(spark, d), W)
 
 
 def repair_tiles(spark, d):
-    return ra.repair_outcomes(view(spark, d, "fx_raster").select("z", "x", "y", F.col("is_hole").alias("hole")), _parents(spark, d))
+    return _repaired(spark, d).select("z", "x", "y", "outcome")
 
 
 def repair_counts(spark, d):
-    from tessera.operators.coverage import outcome_counts
-
-    return outcome_counts(repair_tiles(spark, d), ("ok", "fixed", "unfixable"), "z")
+    return ra.repair_counts(_repaired(spark, d), "z")
 
 
 def repair_pixels(spark, d):
-    out = ra.repair(view(spark, d, "fx_pixel"), view(spark, d, "fx_parent_pixel"), W)
+    out = ra.pixels(ra.repair(_tiles(spark, d), _parent_tiles(spark, d), W), W)
     return out.groupBy("x", "y").agg(F.round(F.sum("h") + 1e-6, 2).alias("total"), F.count_if(F.col("h") <= ra.NO_DATA).alias("holes"))
 
 
@@ -70,16 +80,22 @@ def grey(spark, d):
     return p.select("vec_id", "px", "py", F.round(ra.grey(F.col("h"), F.lit(-200.0), F.lit(300.0)), 6).alias("grey"), (F.col("h") < ra.NO_DATA).alias("mask"))
 
 
+def _whole(spark, d):
+    return _tiles(spark, d).where(~ra.is_hole("h", W))
+
+
 def hillshade(spark, d):
-    return ra.hillshade(view(spark, d, "fx_pixel").where("h > -32000").select("z", "x", "y", "px", "py", "h"), -200.0, 300.0)
+    shaded = ra.hillshade(_whole(spark, d), -200.0, 300.0, W)
+    return ra.pixels(shaded.withColumnRenamed("grey", "h"), W).withColumnRenamed("h", "grey")
 
 
 def downsample(spark, d):
-    return ra.downsample(view(spark, d, "fx_pixel"), W).select("z", "x", "y", "px", "py", F.round("h", 6).alias("h"))
+    return ra.pixels(ra.downsample(_tiles(spark, d), W), W).where("h is not null").withColumn("h", F.round("h", 6))
 
 
 def pyramid(spark, d):
-    return ra.pyramid(view(spark, d, "fx_pixel").where("h > -32000"), W, 3).groupBy("z").agg(F.count("*").alias("pixels"), F.round(F.sum("h"), 2).alias("total"))
+    out = ra.pixels(ra.pyramid(_whole(spark, d), W, 3), W).where("h is not null")
+    return out.groupBy("z").agg(F.count("*").alias("pixels"), F.round(F.sum("h"), 2).alias("total"))
 
 
 def encode_decode(spark, d):
@@ -177,7 +193,8 @@ _OZ = f"""(SELECT g.z, g.x, g.y, g.px, g.py, sum(wx * wy * p.h) AS h FROM (
  CROSS JOIN range(8) r(i) CROSS JOIN range(8) s(j) CROSS JOIN (VALUES (0), (1)) u(a) CROSS JOIN (VALUES (0), (1)) v(b)) q) w) g
  JOIN fx_parent_pixel p ON p.z = g.zp AND p.x = g.xp AND p.y = g.yp AND p.px = g.qx AND p.py = g.qy GROUP BY ALL)"""
 _OZ = _OZ.replace("GROUP BY ALL", "GROUP BY g.z, g.x, g.y, g.px, g.py")
-_OUT = f"(SELECT r.z, r.x, r.y, CASE WHEN NOT is_hole THEN 'ok' WHEN p.x IS NOT NULL THEN 'fixed' ELSE 'unfixable' END AS outcome FROM fx_raster r LEFT JOIN {_DEEP} p ON p.x = r.x AND p.y = r.y)"
+_STATE = "CASE WHEN r.vec_id % 13 = 0 THEN 'absent' WHEN r.vec_id % 21 = 0 OR NOT r.is_hole THEN 'ok' ELSE 'hole' END"
+_OUT = f"(SELECT r.z, r.x, r.y, CASE WHEN {_STATE} <> 'hole' THEN {_STATE} WHEN p.x IS NOT NULL THEN 'fixed' ELSE 'unfixable' END AS outcome FROM fx_raster r LEFT JOIN {_DEEP} p ON p.x = r.x AND p.y = r.y)"
 _GREY = "greatest(0.0, least(255.0, (h - -200.0) / 500.0 * 255.0))"
 
 
@@ -216,11 +233,11 @@ SQL = {
     "deepest_parent": f"SELECT * FROM {_DEEP} d",
     "overzoom": f"SELECT z, x, y, px, py, round(h + 1e-7, 3) AS h FROM {_OZ} o",
     "repair_tiles": f"SELECT * FROM {_OUT} o",
-    "repair_counts": f"SELECT z, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'fixed') AS fixed, count(*) FILTER (outcome = 'unfixable') AS unfixable FROM {_OUT} o GROUP BY z",
+    "repair_counts": f"SELECT z, count(*) AS checked, count(*) FILTER (outcome = 'absent') AS absent, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'fixed') AS fixed, count(*) FILTER (outcome = 'unfixable') AS unfixable FROM {_OUT} o GROUP BY z",
     "repair_pixels": f"SELECT x, y, round(sum(h) + 1e-6, 2) AS total, count(*) FILTER (h <= -32000) AS holes FROM (SELECT p.x, p.y, p.px, p.py, coalesce(o.h, p.h) AS h FROM fx_pixel p LEFT JOIN {_OZ} o ON o.x = p.x AND o.y = p.y AND o.px = p.px AND o.py = p.py) q GROUP BY x, y",
     "grey": f"SELECT vec_id, px, py, round({_GREY}, 6) AS grey, FALSE AS mask FROM fx_pixel WHERE h > -32000",
     "hillshade": f"SELECT z, x, y, px, py, CAST(floor(greatest(0.0, least(255.0, {_GREY} * (0.5 + 0.5 * greatest(0.0, least(1.0, 0.6 + 0.36 * (dx + dy))))))) AS INT) AS grey FROM (SELECT *, {_slope('py', 'px')} AS dx, {_slope('px', 'py')} AS dy FROM fx_pixel WHERE h > -32000) s",
-    "downsample": f"SELECT z, x, y, px, py, round(h, 6) AS h FROM {_DOWN.format('fx_pixel')} p",
+    "downsample": f"SELECT z, x, y, px, py, round(h, 6) AS h FROM {_DOWN.format('fx_pixel')} p WHERE h IS NOT NULL",
     "pyramid": f"SELECT z, count(*) AS pixels, round(sum(h), 2) AS total FROM (SELECT * FROM {_P0} a UNION ALL SELECT * FROM {_P1} b UNION ALL SELECT * FROM {_P2} c UNION ALL SELECT * FROM {_P3} d) u GROUP BY z",
     "encode_decode": "SELECT vec_id, px, py, CAST(floor(w / 256.0) % 256 AS BIGINT) AS red, CAST(w % 256 AS BIGINT) AS green, CAST(floor((e - w) * 256) AS BIGINT) AS blue, round(floor(w / 256.0) % 256 * 256.0 + w % 256 + floor((e - w) * 256) / 256.0 - 32768.0, 6) AS metres FROM (SELECT *, floor(e) AS w FROM (SELECT vec_id, px, py, greatest(0.0, least(65535.99, h + 32768.0)) AS e FROM fx_pixel) a) b",
     "overview": "SELECT tx, ty, round(avg(m), 4) AS mean_m, count(*) - count(m) AS missing FROM (SELECT t.tx, t.ty, p.m FROM (SELECT DISTINCT x >> 2 AS tx, y >> 2 AS ty FROM fx_pixel WHERE h > -32000) t CROSS JOIN range(4) i(i) CROSS JOIN range(4) j(j) LEFT JOIN (SELECT x, y, avg(h) AS m FROM fx_pixel WHERE h > -32000 GROUP BY x, y) p ON p.x = t.tx * 4 + i.i AND p.y = t.ty * 4 + j.j) q GROUP BY tx, ty",

@@ -52,8 +52,7 @@ def scan_raster(spark: SparkSession, path: str) -> DataFrame:
     """Elevation images as heights row by row; the image source gives bytes as blue, green, red."""
     images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
     named = [F.regexp_extract("origin", r"z(\d+)_x(\d+)_y(\d+)\.png", k).cast("int").alias(n) for k, n in ((1, "z"), (2, "x"), (3, "y"))]
-    hexed = F.hex("data")
-    byte = lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    byte = lambda i: F.conv(F.hex(F.substring(F.col("data"), i + 1, F.lit(1))), 16, 10).cast("int")
     pixel = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
     channels = F.col("nChannels")
     heights = F.transform(pixel, lambda p: raster.decode(byte(p * channels + 2), byte(p * channels + 1), byte(p * channels)))
