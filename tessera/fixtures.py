@@ -22,10 +22,10 @@ VIEWS = {
     """,
     "fx_way_ref": """
         SELECT l_orderkey AS way_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS
-        seq, l_partkey AS ref FROM lineitem WHERE l_orderkey % 10 = 0
+        seq, l_partkey AS ref FROM lineitem
     """,
     "fx_rel_member": """
-        SELECT o_custkey AS rel_id, 'way' AS member_type, o_orderkey AS ref, o_orderpriority AS role FROM orders WHERE o_orderkey % 10 = 0
+        SELECT o_custkey AS rel_id, 'way' AS member_type, o_orderkey AS ref, o_orderpriority AS role FROM orders
     """,
     "fx_raster": """
         SELECT vec_id, 13 AS z, CAST(vec_id % 25 AS INT) AS x, CAST(floor(vec_id / 25.0) AS INT) AS y, label, CASE WHEN vec_id % 7 = 0 THEN TRUE ELSE FALSE

@@ -146,6 +146,13 @@ def expand_bbox(bbox: dict[str, Column], chunks: int, olat, olon, scale) -> dict
     return snap_bbox(grow_bbox(bbox, blocks / METRES_PER_DEGREE, blocks / metres_per_lon(olat)), olat, olon, scale)
 
 
+def generation_bbox(bbox: dict[str, Column], scale, seam_chunks: int = 8, margin_m: float = 256.0) -> dict[str, Column]:
+    """What generating a selection reads: one region (edge cells reach to the region grid), the seam and a margin more on every side."""
+    pad = F.when(col(scale) > 0, (REGION + seam_chunks * CHUNK) / col(scale)).otherwise(0.0) + margin_m
+    mid = (col(bbox["south"]) + col(bbox["north"])) / 2
+    return grow_bbox(bbox, pad / METRES_PER_DEGREE, pad / metres_per_lon(mid))
+
+
 def margin_degrees(metres, lat) -> tuple[Column, Column]:
     """Degrees of latitude and longitude of a distance in metres; none or less is 0."""
     metres = F.greatest(col(metres), F.lit(0.0))
@@ -159,15 +166,20 @@ def area_km2(bbox: dict[str, Column]) -> Column:
     return F.abs(high * wide)
 
 
-def tile_x(lon, z: int) -> Column:
-    n = 1 << z
-    return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((col(lon) + 180.0) / 360.0 * n))).cast("int")
+def tiles_across(z: int | str | Column) -> Column:
+    """Tiles in a row of zoom ``z``, a number or a column."""
+    return F.lit(1 << z) if isinstance(z, int) else F.expr("shiftleft(1, {})".format(z)) if isinstance(z, str) else F.call_function("shiftleft", F.lit(1), z)
+
+
+def tile_x(lon, z: int | str | Column) -> Column:
+    n = tiles_across(z)
+    return F.greatest(F.lit(0), F.least(n - 1, F.floor((col(lon) + 180.0) / 360.0 * n))).cast("int")
 
 
-def tile_y(lat, z: int) -> Column:
-    n = 1 << z
+def tile_y(lat, z: int | str | Column) -> Column:
+    n = tiles_across(z)
     y = (F.lit(1.0) - F.asinh(F.tan(F.radians(col(lat)))) / F.pi()) / 2.0 * n
-    return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(y))).cast("int")
+    return F.greatest(F.lit(0), F.least(n - 1, F.floor(y))).cast("int")
 
 
 def tile_bbox(x, y, z: int) -> dict[str, Column]:
@@ -186,6 +198,15 @@ def recommended_zoom(scale, lat) -> Column:
     return F.greatest(F.lit(ZOOM_MIN), F.least(F.lit(ZOOM_MAX), z)).cast("int")
 
 
+def regions_in(size) -> Column:
+    return col(size) * col(size)
+
+
+def megabytes_of(regions) -> Column:
+    """Expected megabytes of so many regions."""
+    return col(regions) * MEGABYTES_PER_REGION
+
+
 def tile_name(z, x, y) -> Column:
     return F.format_string("osm_g1_z%d_%d_%d.json", col(z).cast("int"), col(x).cast("int"), col(y).cast("int"))
 

@@ -84,6 +84,11 @@ def fetch_class(text) -> Column:
     return out
 
 
+def fetch_again(text) -> Column:
+    """Whether a fetch failed for a passing reason, so that it is tried again as it is; other marked failures need a smaller box."""
+    return F.coalesce(fetch_class(text).isin(*RETRY_MARKERS), F.lit(False))
+
+
 def tile_outcome(code, size) -> Column:
     return F.when(col(code).isin(403, 404), "absent").when((col(code) != 200) | (col(size) < 67), "fail").otherwise("ok")
 

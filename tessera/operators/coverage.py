@@ -73,7 +73,7 @@ def plan_groups(cells: DataFrame, budget_km2: float | None = None, max_depth: in
 
     A group splits at the middle indices of its cells while it has more than one, its depth is
     below the limit and the box around it is larger than the budget. Each level is one aggregate by
-    group and one join; at most ``max_depth`` levels.
+    group, of at most 4 ** level rows, which is sent to all cells; at most ``max_depth`` levels.
     """
     if budget_km2 is None:
         whole = union_bbox(cells).select(geo.area_km2({s: F.col(s) for s in SIDES}).alias("km2")).first()["km2"]
@@ -88,7 +88,7 @@ def plan_groups(cells: DataFrame, budget_km2: float | None = None, max_depth: in
         splits = (F.col("n") > 1) & (area > budget_km2) & (F.length("grp") == depth)
         facts = facts.select("grp", "mx", "mz", splits.alias("splits"))
         digit = ((F.col("rx") >= F.col("mx")).cast("int") + 2 * (F.col("rz") >= F.col("mz")).cast("int")).cast("string")
-        joined = out.join(facts, "grp")
+        joined = out.join(F.broadcast(facts), "grp")  # at most 4 ** max_depth rows
         out = joined.withColumn("grp", F.when(F.col("splits"), F.concat("grp", digit)).otherwise(F.col("grp"))).drop("mx", "mz", "splits")
     return out
 
@@ -109,3 +109,20 @@ def import_new(incoming: DataFrame, existing: DataFrame, *key: str) -> DataFrame
     first = Window.partitionBy(*key).orderBy(*[c for c in incoming.columns if c not in key] or key)
     fresh = incoming.join(existing.select(*key).distinct(), list(key), "left_anti")
     return fresh.withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy")
+
+
+def import_counts(incoming: DataFrame, existing: DataFrame, kind: str, *key: str) -> DataFrame:
+    """Per ``kind`` of ``incoming``: how many keys came, how many are new and how many were there."""
+    have = existing.select(*key).distinct().withColumn("have", F.lit(1))
+    met = incoming.select(*dict.fromkeys([kind, *key])).distinct().join(have, list(key), "left")
+    return met.groupBy(kind).agg(F.count("*").alias("incoming"), F.count_if(F.col("have").isNull()).alias("added"), F.count("have").alias("skipped"))
+
+
+def cache_info(catalogue: DataFrame) -> DataFrame:
+    """Files and megabytes (1 decimal) per kind of ``catalogue(kind, length)``."""
+    return catalogue.groupBy("kind").agg(F.count("*").alias("files"), F.round(F.sum("length") / 1048576.0, 1).alias("mb"))
+
+
+def fresh_only(catalogue: DataFrame) -> DataFrame:
+    """Tiles ``(z, x, y)`` of ``catalogue(z, x, y, size, age_days, tail)`` whose files can be used as they are."""
+    return catalogue.where(is_fresh("size", "age_days", "tail")).select(*TILE).distinct()

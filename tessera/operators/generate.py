@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
@@ -29,11 +29,30 @@ def cells_for_bbox(boxes: DataFrame, olat: float, olon: float, scale: float, siz
     return out.where(overlap).withColumn("size", F.lit(size)).withColumn("cell_key", geo.cell_key("rx", "rz", "size"))
 
 
-def tiles_for_bbox(boxes: DataFrame, z: int) -> DataFrame:
-    """Tiles of zoom ``z`` that cover each box: the boxes' columns with z, x, y added."""
+def tiles_for_bbox(boxes: DataFrame, z: int | str) -> DataFrame:
+    """Tiles of zoom ``z``, a number or a column's name, that cover each box: the boxes' columns with z, x, y added."""
     xs = F.sequence(geo.tile_x("west", z), geo.tile_x("east", z))
     ys = F.sequence(geo.tile_y("north", z), geo.tile_y("south", z))
-    return boxes.withColumn("z", F.lit(z)).withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
+    zoom = F.lit(z) if isinstance(z, int) else F.col(z)
+    return boxes.withColumn("z", zoom).withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """SQL table functions for the session: ``tiles_for_box(south, west, north, east, zoom)`` and ``cells_for_box(south, west, north, east, olat, olon, scale, size)``."""
+    box = "south DOUBLE, west DOUBLE, north DOUBLE, east DOUBLE"
+    column = lambda lon: f"CAST(greatest(0, least(shiftleft(1, zoom) - 1, floor(({lon} + 180D) / 360D * shiftleft(1, zoom)))) AS INT)"
+    line = lambda lat: f"CAST(greatest(0, least(shiftleft(1, zoom) - 1, floor((1D - asinh(tan(radians({lat}))) / pi()) / 2D * shiftleft(1, zoom)))) AS INT)"
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION tiles_for_box({box}, zoom INT) RETURNS TABLE (z INT, x INT, y INT)
+        RETURN SELECT zoom, xs.x, ys.y FROM explode(sequence({column("west")}, {column("east")})) AS xs(x), explode(sequence({line("north")}, {line("south")})) AS ys(y)"""
+    )
+    high, wide = f"(size * {geo.REGION}D / scale / {geo.METRES_PER_DEGREE}D)", f"(size * {geo.REGION}D / scale / ({geo.METRES_PER_DEGREE}D * cos(radians(olat))))"
+    span = lambda low, top, zero, step: f"explode(sequence(floor(({low} - {zero}) / {step}), greatest(ceil(({top} - {zero}) / {step}) - 1, floor(({low} - {zero}) / {step}))))"
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION cells_for_box({box}, olat DOUBLE, olon DOUBLE, scale DOUBLE, size INT) RETURNS TABLE (rx BIGINT, rz BIGINT)
+        RETURN SELECT rx, rz FROM {span("west", "east", "olon", wide)} AS a(rx), {span("south", "north", "olat", high)} AS b(rz)
+        WHERE olat + (rz + 1) * {high} > south AND olat + rz * {high} < north AND olon + (rx + 1) * {wide} > west AND olon + rx * {wide} < east"""
+    )
 
 
 def regions_of(cells: DataFrame) -> DataFrame:

@@ -65,6 +65,15 @@ def water_share(surface: DataFrame, limit: float = 35.0) -> DataFrame:
     return surface.groupBy("reg_x", "reg_z").agg(F.round(share, 6).alias("pct")).withColumn("wet", F.col("pct") > limit)
 
 
+def world_totals(plan: DataFrame, files: DataFrame, *by: str) -> DataFrame:
+    """Per world ``by``, a column of ``plan`` and ``files``: its cells, merged cells, regions and megabytes."""
+    cells = plan.groupBy(*by).agg(F.count("*").alias("cells"), F.count_if(F.col("status") == "merged").alias("merged"))
+    sizes = files.groupBy(*by).agg(F.count("*").alias("regions"), F.sum("length").alias("bytes"))
+    return cells.join(sizes, list(by), "left").select(
+        *by, "cells", "merged", F.coalesce("regions", F.lit(0)).cast("long").alias("regions"), F.round(F.coalesce("bytes", F.lit(0)) / 1048576.0, 1).alias("mb")
+    )
+
+
 def worlds(plan: DataFrame, files: DataFrame) -> DataFrame:
     """Per cell its status, whether files exist, and their megabytes (``files`` carry length)."""
     sizes = files.groupBy("cell_key").agg(F.count("*").alias("regions"), F.sum("length").alias("bytes"))

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that range bounds are taken from, and ranges. Bounds only balance the ranges.
-SAMPLE, RANGES = 4096, 64
+#: Rows that range bounds are taken from, rows of a range that are aimed at, and the fewest ranges. Bounds only balance the ranges.
+SAMPLE, RANGE_ROWS, LEAST_RANGES = 4096, 250_000, 64
 
 
 def global_rank(df: DataFrame, name: str, *order: str) -> DataFrame:
     """``df`` with ``name``: the row's place from 1 in the order of columns ``order`` (which must tell rows apart).
 
     Rows are dealt to value ranges, numbered inside each, and shifted by the sizes of the ranges
-    before. Only the range bounds and sizes, at most RANGES rows, meet in one task.
+    before. Ranges grow in number with the rows, up to SAMPLE; only their bounds and sizes meet in
+    one task.
     """
     key = F.struct(*order)
     sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
     spread = F.sort_array(F.collect_list("k"))
-    step = F.greatest(F.lit(1), F.floor(F.size("ks") / RANGES).cast("int"))
-    bounds = sample.agg(spread.alias("ks")).select(F.filter("ks", lambda _, i: i % step == step - 1).alias("bounds"))
+    ranges = F.greatest(F.lit(LEAST_RANGES), F.ceil(F.col("rows") / RANGE_ROWS))
+    step = F.greatest(F.lit(1), F.floor(F.size("ks") / ranges).cast("int"))
+    bounds = sample.agg(spread.alias("ks")).join(df.agg(F.count("*").alias("rows"))).select(F.filter("ks", lambda _, i: i % step == step - 1).alias("bounds"))
     ranged = df.join(F.broadcast(bounds)).withColumn("range_", F.size(F.filter("bounds", lambda b: b <= key))).drop("bounds")
     inside = F.row_number().over(Window.partitionBy("range_").orderBy(*order))
     sizes = ranged.groupBy("range_").agg(F.count("*").alias("n_"))

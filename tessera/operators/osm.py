@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
+from tessera.operators.lineage import cut
 
 
 def home_tiles(nodes: DataFrame, z: int = 11) -> DataFrame:
@@ -18,7 +19,10 @@ def home_tiles(nodes: DataFrame, z: int = 11) -> DataFrame:
 
 
 def prune_by_targets(nodes: DataFrame, targets: DataFrame, z: int = 11) -> DataFrame:
-    """Nodes inside the box around all target tiles, as plain ranges of lon and lat that a scan can push down."""
+    """Nodes inside the box around all target tiles, as plain ranges of lon and lat that a scan can push down.
+
+    For nodes that are emitted at home only: a complete way needs its nodes outside the box, too.
+    """
     ends = targets.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if ends[0] is None:
         return nodes.where(F.lit(False))
@@ -30,6 +34,21 @@ def prune_by_targets(nodes: DataFrame, targets: DataFrame, z: int = 11) -> DataF
     return nodes.where(F.col("lat").between(edge["s"] - eps, edge["n"] + eps) & F.col("lon").between(edge["w"] - eps, edge["e"] + eps))
 
 
+def prune_sources(sources: DataFrame, targets: DataFrame, z: int = 11) -> DataFrame:
+    """Of ``sources(..., south, west, north, east)`` those that can hold a target tile; touching counts, and an unknown extent is kept."""
+    tile = geo.tile_bbox("x", "y", z)
+    need = targets.agg(F.min(tile["south"]).alias("t_south"), F.min(tile["west"]).alias("t_west"), F.max(tile["north"]).alias("t_north"), F.max(tile["east"]).alias("t_east"))
+    touches = (F.col("north") >= F.col("t_south")) & (F.col("south") <= F.col("t_north")) & (F.col("east") >= F.col("t_west")) & (F.col("west") <= F.col("t_east"))
+    met = sources.join(F.broadcast(need))  # one row
+    return met.where(F.col("south").isNull() | touches).select(*sources.columns)
+
+
+def first_source(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of each ``key`` from the first ``source`` that has it: border elements come in several sources."""
+    first = F.min("source").over(Window.partitionBy(key))
+    return rows.withColumn("first_", first).where(F.col("source") == F.col("first_")).drop("first_")
+
+
 def way_locations(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each reference of a way with its node's place and home tile, nulls for missing nodes; order kept in seq."""
     place = nodes.select(F.col("id").alias("ref"), "lon", "lat", "x", "y")
@@ -68,14 +87,23 @@ def merge_copies(copies: DataFrame, *key: str, order: str = "source") -> DataFra
 
 
 def elements(nodes: DataFrame, refs: DataFrame, members: DataFrame, targets: DataFrame) -> DataFrame:
-    """All elements of all target tiles: ``(x, y, kind, id)``; foreign nodes are nodes too. The bake as one plan."""
-    located = way_locations(refs, nodes)
-    emitted = way_tiles(located, targets)
+    """All elements of all target tiles: ``(x, y, kind, id)``; foreign nodes are nodes too. The bake as one plan.
+
+    References meet their nodes once; each way is then one row with its places (a way has 2,000
+    nodes at most by the map's own rule) per tile that it is emitted to, which the shared folder
+    keeps for the three kinds made from it.
+    """
+    place = F.struct("ref", "x", "y")
+    ways = way_locations(refs, nodes).where("x is not null").groupBy("way_id").agg(F.collect_set(place).alias("places"))
+    touched = ways.withColumn("tile", F.explode(F.array_distinct(F.transform("places", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))))
+    spread = touched.select("way_id", F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), "places")
+    emitted = cut(spread.join(targets.select("x", "y"), ["x", "y"], "left_semi").select("way_id", "x", "y", "places"))
     home = nodes.join(targets.select("x", "y"), ["x", "y"], "left_semi").select("x", "y", F.lit("node").alias("kind"), "id")
-    foreign = foreign_nodes(located, emitted).select("x", "y", F.lit("foreign").alias("kind"), F.col("ref").alias("id"))
-    ways = emitted.select("x", "y", F.lit("way").alias("kind"), F.col("way_id").alias("id"))
-    relations = relation_tiles(members, emitted, nodes, targets).select("x", "y", F.lit("relation").alias("kind"), F.col("rel_id").alias("id"))
-    return home.unionByName(foreign).unionByName(ways).unionByName(relations)
+    away = F.filter("places", lambda p: (p["x"] != F.col("x")) | (p["y"] != F.col("y")))
+    foreign = emitted.select("x", "y", F.explode(F.transform(away, lambda p: p["ref"])).alias("id")).distinct().select("x", "y", F.lit("foreign").alias("kind"), "id")
+    lines = emitted.select("x", "y", F.lit("way").alias("kind"), F.col("way_id").alias("id"))
+    relations = relation_tiles(members, emitted.select("way_id", "x", "y"), nodes, targets).select("x", "y", F.lit("relation").alias("kind"), F.col("rel_id").alias("id"))
+    return home.unionByName(foreign).unionByName(lines).unionByName(relations)
 
 
 def with_empty(targets: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -89,3 +117,16 @@ def bake_counts(targets: DataFrame, found: DataFrame) -> DataFrame:
     counts = found.groupBy("x", "y").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
     zero = [F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds]
     return targets.select("x", "y").join(counts, ["x", "y"], "left").select("x", "y", *zero, F.col("n_node").isNull().alias("empty"))
+
+
+def bake_summary(targets: DataFrame, cached: DataFrame, counts: DataFrame, written: DataFrame) -> DataFrame:
+    """One row: target tiles in all, skipped as cached, baked, empty, failed (in :func:`bake_counts` but not ``written(x, y)``), and elements."""
+    have = cached.select("x", "y").distinct()
+    skip = targets.select("x", "y").distinct().join(have, ["x", "y"], "left_semi").agg(F.count("*").alias("skip"))
+    total = targets.select("x", "y").distinct().agg(F.count("*").alias("total"))
+    there = F.col("there").isNotNull()
+    done = counts.join(written.select("x", "y", F.lit(True).alias("there")).distinct(), ["x", "y"], "left").agg(
+        F.count_if(there & ~F.col("empty")).alias("baked"), F.count_if(there & F.col("empty")).alias("empty"), F.count_if(~there).alias("fail"),
+        F.coalesce(F.sum(F.when(there, F.col("n_node") + F.col("n_foreign") + F.col("n_way") + F.col("n_relation"))), F.lit(0)).alias("elements"),
+    )
+    return total.join(skip).join(done)  # one row each

@@ -121,6 +121,39 @@ def in_box(lat: Column, lon: Column, south: float, west: float, north: float, ea
     return lat.between(south, north) & lon.between(west, east)
 
 
+def clear_counts(plan: DataFrame, keep_merged: bool = True) -> DataFrame:
+    """One row: how many cells :func:`clear` removes and keeps."""
+    left = clear(plan, keep_merged).agg(F.count("*").alias("kept"))
+    return plan.agg(F.count("*").alias("all")).join(left).select((F.col("all") - F.col("kept")).alias("removed"), "kept")  # one row each
+
+
+def centres(boxes: DataFrame) -> DataFrame:
+    """Cells ``(..., south, west, north, east)`` with lat and lon of their middle."""
+    return boxes.withColumn("lat", (F.col("south") + F.col("north")) / 2).withColumn("lon", (F.col("west") + F.col("east")) / 2)
+
+
+def redo_area(boxes: DataFrame, box: tuple[float, float, float, float] | None = None, rings: DataFrame | None = None) -> DataFrame:
+    """Cells of ``boxes(cell_key, status, south, ...)`` whose centre is in any of ``rings(zone_id, seq, lon, lat)``, or without rings in ``box`` (south, west, north, east)."""
+    from tessera.operators.zones import points_in_zones
+
+    placed = centres(boxes)
+    if rings is not None:
+        return points_in_zones(placed, rings).select(*boxes.columns).distinct()
+    south, west, north, east = box
+    return placed.where(in_box(F.col("lat"), F.col("lon"), south, west, north, east)).select(*boxes.columns)
+
+
+def project_info(plans: DataFrame, *by: str) -> DataFrame:
+    """Cells and merged cells per project ``by`` of ``plans(cell_key, status)``."""
+    return plans.groupBy(*by).agg(F.count_distinct("cell_key").alias("cells"), F.count_if(F.col("status") == "merged").alias("merged"))
+
+
+def size_estimate(plan: DataFrame, *by: str) -> DataFrame:
+    """Regions and expected megabytes of the cells."""
+    sums = plan.groupBy(*by).agg(F.sum(geo.regions_in("size")).cast("long").alias("regions"))
+    return sums.withColumn("mb", geo.megabytes_of("regions").cast("long"))
+
+
 def redo(plan: DataFrame, keys: DataFrame) -> DataFrame:
     """Cells of the plan among ``keys(cell_key)`` (suspects or an explicit list)."""
     return plan.join(keys.select("cell_key").distinct(), KEY, "left_semi")

@@ -50,11 +50,11 @@ def tile_info(tiles: DataFrame, width: int, k: int = 8) -> DataFrame:
     return s.select("z", "x", "y", F.round(lo, 1).alias("min_m"), F.round(hi, 1).alias("max_m"), F.round(total / F.size("s"), 1).alias("mean_m"), (hi - lo < 2).alias("flat"))
 
 
-def survey(tiles: DataFrame, width: int, k: int = 8) -> DataFrame:
-    """Global min and max of sane strided samples (1 decimal), tiles with any, and whether there were any."""
+def survey(tiles: DataFrame, width: int, k: int = 8, *by: str) -> DataFrame:
+    """min and max of sane strided samples (1 decimal), tiles with any, and whether there were any, over all or per group."""
     sane = F.filter(strided("h", width, k), valid)
-    per = tiles.select(F.array_min(sane).alias("lo"), F.array_max(sane).alias("hi"))
-    return per.agg(
+    per = tiles.select(*by, F.array_min(sane).alias("lo"), F.array_max(sane).alias("hi"))
+    return per.groupBy(*by).agg(
         F.round(F.min("lo"), 1).alias("min_m"), F.round(F.max("hi"), 1).alias("max_m"), F.count("lo").alias("tiles"), (F.count("lo") > 0).alias("ok")
     )
 

@@ -30,23 +30,34 @@ def report_cells(timing: DataFrame, plan: DataFrame) -> DataFrame:
     both = t.join(p, F.col("t.cell_key") == F.col("p.cell_key"), "full_outer")
     return both.select(
         F.coalesce("t.cell_key", "p.cell_key").alias("cell_key"), F.coalesce("t.status", "p.status", F.lit("unknown")).alias("status"),
-        "worker", "duration_s", F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"),
+        "worker", "queued", "started", "ended", "duration_s", F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"),
     )
 
 
-def run_summary(cells: DataFrame) -> DataFrame:
-    """One row: merged, failed, incomplete, retries, and durations of merged cells: fastest, slowest, upper median, average."""
+def run_summary(cells: DataFrame, line: DataFrame) -> DataFrame:
+    """One row: counts by outcome, retries, durations of merged cells, the run's span, and load and workers from the timeline ``line``.
+
+    workers_peak is the timeline's most active workers, or without any the number of worker ids.
+    """
     done = F.col("status") == "merged"
     timed = done & (F.col("duration_s") > 0)
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
     totals = cells.agg(
         F.count("*").alias("total"), F.count_if(done).alias("merged"), F.count_if(F.col("status").isin(*FAILED)).alias("failed"),
         F.count_if(~done & ~F.col("status").isin(*FAILED)).alias("incomplete"), F.sum(F.greatest(F.lit(0), F.col("attempts") - 1)).alias("retries"),
         F.min(F.when(timed, F.col("duration_s"))).alias("cell_fastest_s"), F.max(F.when(timed, F.col("duration_s"))).alias("cell_slowest_s"),
-        F.round(F.avg(F.when(timed, F.col("duration_s"))), 1).alias("cell_avg_s"), (F.max("worker") + 1).alias("workers_peak"),
+        F.round(F.avg(F.when(timed, F.col("duration_s"))), 1).alias("cell_avg_s"), (F.max("worker") + 1).alias("worker_ids"),
+        F.round(F.max(seconds("ended")) - F.min(F.least(seconds("queued"), seconds("started"))), 1).alias("elapsed_s"),
         # from above, the discrete median is the upper one
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN status = 'merged' AND duration_s > 0 THEN duration_s END DESC)").alias("cell_median_s"),
     )
-    return totals
+    load = line.agg(
+        F.nullif(F.coalesce(F.max("active"), F.lit(0)), F.lit(0)).alias("active_peak"), F.bround(F.avg("cpu")).cast("long").alias("cpu_avg"),
+        F.max("cpu").alias("cpu_peak"), F.max("ram").alias("ram_peak"), F.bround(F.avg("ram")).cast("long").alias("ram_avg"),
+    )
+    both = totals.join(load)  # one row each
+    peak = F.coalesce("active_peak", "worker_ids", F.lit(0)).cast("long").alias("workers_peak")
+    return both.select(*[c for c in totals.columns if c != "worker_ids"], peak, "cpu_avg", "cpu_peak", "ram_avg", "ram_peak")
 
 
 def timeline(samples: DataFrame) -> DataFrame:
@@ -85,15 +96,42 @@ def progress(lines: DataFrame) -> DataFrame:
     return lines.select("cell_id", "line_no", F.max(text.progress_step("line")).over(sofar).alias("pct"))
 
 
-def ewma(events: DataFrame, by: str, alpha: float = 0.3) -> DataFrame:
+#: Events whose weight in an exponential mean is above 1e-300 at alpha = 0.3; older ones change no digit of a double.
+EWMA_EVENTS = 2000
+
+
+def ewma(events: DataFrame, by: str, alpha: float = 0.3, most: int = EWMA_EVENTS) -> DataFrame:
     """Exponential mean of positive durations ``(ts, event_id, duration_s)`` in order of time; the first one seeds it.
 
-    The group is one cell's or worker's history.
+    Written as a sum over the newest ``most`` events of a group, weighted by how many came after, so
+    no history is held; the limit reaches the tasks before the shuffle. ``most`` suits any
+    alpha of 0.3 or more; give more for less.
+    """
+    newest_first = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("event_id")))
+    ranked = events.where("duration_s > 0").select(by, "ts", "event_id", "duration_s").withColumn("place", newest_first).where(F.col("place") <= most)
+    kept = F.pow(F.lit(1 - alpha), F.col("place") - 1)
+    sums = ranked.groupBy(by).agg(F.sum(alpha * kept * F.col("duration_s")).alias("s"), F.max("place").alias("n"), F.max_by("duration_s", "place").alias("first"))
+    return sums.select(by, (F.col("s") + F.col("first") * F.pow(F.lit(1 - alpha), F.col("n"))).alias("ewma"))
+
+
+def log_labels(lines: DataFrame, reason, *by: str) -> DataFrame:
+    """Failure label per group of ``lines(line_no, line)``, from the last characters that :func:`tessera.functions.text.fail_label` reads.
+
+    Only lines that end among those characters are put together, so a long log is never held whole.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "duration_s")))
-    step = lambda a, e: F.when(a.isNull(), e["duration_s"]).otherwise(alpha * e["duration_s"] + (1 - alpha) * a)
-    grouped = events.where("duration_s > 0").groupBy(by).agg(ordered.alias("h"))
-    return grouped.select(by, F.aggregate("h", F.lit(None).cast("double"), step).alias("ewma"))
+    newest_first = Window.partitionBy(*by).orderBy(F.desc("line_no"))
+    after = F.sum(F.length("line") + 1).over(newest_first.rowsBetween(Window.unboundedPreceding, -1))
+    tail = lines.withColumn("after", F.coalesce(after, F.lit(0))).where(F.col("after") < text.TAIL)
+    log = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return tail.groupBy(*by).agg(log.alias("log")).select(*by, text.fail_label("log", reason).alias("label"))
+
+
+def log_health(lines: DataFrame, *by: str) -> DataFrame:
+    """What makes the cells of ``lines(line)`` suspect, per group: the flags of :func:`tessera.functions.text.health_flags`, without putting a log together."""
+    has = lambda phrase: F.coalesce(F.bool_or(F.contains("line", F.lit(phrase))), F.lit(False))
+    found = lines.groupBy(*by).agg(has("is too small").alias("small"), has("Re-downloading").alias("again"), has("Failed to read ESA tile").alias("esa"))
+    flags = F.array_compact(F.array(F.when(F.col("small") & F.col("again"), "terrain-tile-retry"), F.when(F.col("esa"), "landcover-404")))
+    return found.select(*by, flags.alias("flags"))
 
 
 def gantt(cells: DataFrame) -> DataFrame:

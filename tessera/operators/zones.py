@@ -6,10 +6,11 @@ Rings are tables ``(zone_id, seq, lon, lat)``. Points and rings meet on the squa
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
@@ -22,30 +23,34 @@ def crosses(lat: Column, lon: Column, edge: Column) -> Column:
     return ((yi > lat) != (yj > lat)) & (lon < (xj - xi) * (lat - yi) / (yj - yi + 1e-18) + xi)
 
 
+def usable_edges(vertices: DataFrame) -> DataFrame:
+    """Edges ``(zone_id, lat, lon, lat2, lon2)`` of rings of three points or more, with ``zone_west``, the ring's western end."""
+    whole = Window.partitionBy("zone_id")
+    around = edges(vertices, "zone_id").withColumn("points", F.count("*").over(whole)).withColumn("zone_west", F.min("lon").over(whole))
+    return around.where("points >= 3").select("zone_id", "lat", "lon", "lat2", "lon2", "zone_west")
+
+
 def rings(vertices: DataFrame) -> DataFrame:
-    """One row per zone: its box and its edges as an array; rings of fewer than three points are left out."""
-    around = edges(vertices, "zone_id")
-    return (
-        around.groupBy("zone_id")
-        .agg(
-            F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"),
-            F.collect_list(F.struct("lat", "lon", "lat2", "lon2")).alias("edges"),
-        )
-        .where(F.size("edges") >= 3)
-    )
+    """Zones with usable rings: ``(zone_id, south, west, north, east)``."""
+    return usable_edges(vertices).groupBy("zone_id").agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
 
 
 def points_in_zones(points: DataFrame, vertices: DataFrame, step: float = 0.25) -> DataFrame:
-    """Pairs ``(point columns, zone_id)`` of points ``(lat, lon)`` inside a zone's ring (holes aren't subtracted)."""
-    square = lambda c: F.floor(F.col(c) / step)
-    zones = rings(vertices)
-    spread = zones.withColumn("gx", F.explode(F.sequence(square("west"), square("east")))).withColumn(
-        "gy", F.explode(F.sequence(square("south"), square("north")))
-    )
-    met = points.withColumn("gx", square("lon")).withColumn("gy", square("lat")).join(spread, ["gx", "gy"])
-    met = met.where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
-    odd = F.size(F.filter("edges", lambda e: crosses(F.col("lat"), F.col("lon"), e))) % 2 == 1
-    return met.where(odd).select(*points.columns, "zone_id")
+    """Pairs ``(point columns, zone_id)`` of points ``(lat, lon)`` inside a zone's ring (holes aren't subtracted).
+
+    A ray east of a point counts the edges it crosses. An edge is sent to the grid squares of its
+    latitudes from its ring's western end to its own eastern one, which are those that such rays
+    start in, and meets their places there, each place once however many points stand on it.
+    """
+    square = lambda c: F.floor(c / step)
+    spread = usable_edges(vertices).select(
+        "zone_id", F.struct("lat", "lon", "lat2", "lon2").alias("edge"), F.explode(F.sequence(square(F.col("zone_west")), square(F.greatest("lon", "lon2")))).alias("gx"),
+        F.least("lat", "lat2").alias("low"), F.greatest("lat", "lat2").alias("high"),
+    ).withColumn("gy", F.explode(F.sequence(square(F.col("low")), square(F.col("high")))))
+    places = points.select("lat", "lon").distinct().withColumn("gx", square(F.col("lon"))).withColumn("gy", square(F.col("lat")))
+    met = places.join(spread, ["gx", "gy"]).where(crosses(F.col("lat"), F.col("lon"), F.col("edge")))
+    inside = met.groupBy("lat", "lon", "zone_id").agg(F.count("*").alias("crossed")).where("crossed % 2 = 1")
+    return points.join(inside, ["lat", "lon"]).select(*points.columns, "zone_id")
 
 
 def segment_distance(x: Column, z: Column, x1: Column, z1: Column, x2: Column, z2: Column) -> Column:
@@ -130,14 +135,18 @@ def zone_members(spec: DataFrame, countries: DataFrame) -> DataFrame:
     return found
 
 
-def realm_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
+def realm_join(points: DataFrame, boxes: DataFrame, step: float = 5.0) -> DataFrame:
     """Points ``(point_id, lat, lon)`` with the code of the first box ``(code, south, north, west, east, priority)`` that holds them.
 
-    The boxes are a fixed list and small, hence the broadcast.
+    Points and boxes meet on grid squares of ``step`` degrees. For the fixed boxes
+    :func:`tessera.functions.geo.realm_of` needs no join.
     """
+    square = lambda c: F.floor(F.col(c) / step)
+    spread = boxes.withColumn("gx", F.explode(F.sequence(square("west"), square("east")))).withColumn("gy", F.explode(F.sequence(square("south"), square("north"))))
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
-    met = points.join(F.broadcast(boxes), inside, "left").groupBy("point_id")
-    return met.agg(F.coalesce(F.min_by("code", "priority"), F.lit(geo.NO_REALM)).alias("realm"))
+    met = points.withColumn("gx", square("lon")).withColumn("gy", square("lat")).join(spread, ["gx", "gy"]).where(inside)
+    first = met.groupBy(F.col("point_id").alias("met_id")).agg(F.min_by("code", "priority").alias("code"))
+    return points.join(first, F.col("point_id") == F.col("met_id"), "left").select("point_id", F.coalesce("code", F.lit(geo.NO_REALM)).alias("realm"))
 
 
 def _distance(p: tuple[float, float], a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -159,15 +168,19 @@ def reduce_line(points: list[tuple[float, float]], eps: float) -> list[tuple[flo
     return [points[k] for k in sorted(keep)]
 
 
+# The range that tolerances are searched in, in blocks, and the number of halvings.
+LEAST_TOLERANCE, MOST_TOLERANCE, HALVINGS = 0.0, 200000.0, 28
+
+
 def reduce_to(points: list[tuple[float, float]], target: int) -> list[tuple[float, float]]:
-    """About ``target`` points: the tolerance is found by 28 bisections."""
+    """At most ``target`` points, with the least tolerance on a grid of 2 ** HALVINGS steps over its range that gives so few."""
     if len(points) <= target:
         return points
-    low, high = 0.0, 200000.0
-    for _ in range(28):
-        mid = (low + high) / 2
-        low, high = (mid, high) if len(reduce_line(points, mid)) > target else (low, mid)
-    return reduce_line(points, high)
+    steps = 1 << HALVINGS
+    width = (MOST_TOLERANCE - LEAST_TOLERANCE) / steps
+    few = lambda k: len(reduce_line(points, LEAST_TOLERANCE + k * width)) <= target
+    least = bisect.bisect_left(range(1, steps), True, key=few) + 1
+    return reduce_line(points, LEAST_TOLERANCE + least * width)
 
 
 def _per_ring(vertices: DataFrame, work) -> DataFrame:

@@ -6,27 +6,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
+from tessera.operators.lineage import cut
 from tessera.operators import coverage, generate, merge, osm, plan, raster, runs, zones
 from tessera.sources import writers
 
 
-def bake(nodes: DataFrame, refs: DataFrame, members: DataFrame, targets: DataFrame, cached: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Elements of the target tiles that aren't cached, and the count per tile."""
-    todo = targets if cached is None else targets.join(cached.select("x", "y"), ["x", "y"], "left_anti")
+def bake(nodes: DataFrame, refs: DataFrame, members: DataFrame, targets: DataFrame, cached: DataFrame | None = None, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Elements of the target tiles that aren't cached, and the count per tile.
+
+    With ``sources(source, south, west, north, east)`` the three element tables carry their source:
+    sources that can't hold a tile are left out, and what several sources have comes from the first.
+    """
+    todo = coverage.todo(targets.withColumn("z", F.lit(11)), cached.select(F.lit(11).alias("z"), "x", "y")).select("x", "y") if cached is not None else targets.select("x", "y").distinct()
+    if sources is not None:
+        near = osm.prune_sources(sources, todo).select("source").distinct()
+        nodes, refs, members = (osm.first_source(df.join(near, "source", "left_semi"), key) for df, key in ((nodes, "id"), (refs, "way_id"), (members, "rel_id")))
     homed = osm.home_tiles(nodes)
     found = osm.elements(homed, refs, members, todo)
     return found, osm.bake_counts(todo, found)
 
 
-def pack_status(boxes: DataFrame, cached: DataFrame, zoom: int) -> DataFrame:
-    """Coverage per pack ``(region_id, south, west, north, east)``."""
-    return coverage.coverage(generate.tiles_for_bbox(boxes, zoom), cached, "region_id")
+def pack_status(boxes: DataFrame, cached: DataFrame, scale: float, seam_chunks: int = 8, margin_m: float = 256.0) -> DataFrame:
+    """Packs ``boxes(name, south, west, north, east)`` with id, zoom and coverage of what generating them reads.
+
+    The zoom follows from the scale at the box's middle; tiles cover the box with its margins.
+    """
+    box = generate.box(boxes)
+    zoomed = boxes.withColumn("zoom", geo.recommended_zoom(scale, (F.col("south") + F.col("north")) / 2)).withColumn("region_id", geo.region_id(box, "name"))
+    wide = geo.generation_bbox(box, scale, seam_chunks, margin_m)
+    read = zoomed.select("region_id", "zoom", *[c.alias(s) for s, c in wide.items()])
+    counted = coverage.coverage(generate.tiles_for_bbox(read, "zoom"), cached, "region_id")
+    return zoomed.select("region_id", "name", "zoom", F.struct(*generate.SIDES).alias("bbox")).join(counted, "region_id", "left")
+
+
+def write_packs(status: DataFrame, path: str) -> None:
+    """The packs of :func:`pack_status` as manifests."""
+    coverage_of = F.struct("total", "cached", "pct").alias("elevation")
+    writers.write_manifest(status.select("region_id", "name", "bbox", "zoom", coverage_of), path)
 
 
-def elevation_lock(box: DataFrame, tiles: DataFrame, width: int, zoom: int = 10, stride: int = 8) -> DataFrame:
-    """min and max height under a selection, from its tiles at ``zoom``."""
-    wanted = generate.tiles_for_bbox(box, zoom).select("z", "x", "y").distinct()
-    return raster.survey(tiles.join(wanted, ["z", "x", "y"], "left_semi"), width, stride)
+def elevation_lock(boxes: DataFrame, tiles: DataFrame, width: int, zoom: int = 10, stride: int = 8) -> DataFrame:
+    """min and max height under each selection ``(box_id, south, west, north, east)``, from its tiles at ``zoom``."""
+    wanted = generate.tiles_for_bbox(boxes, zoom).select("box_id", "z", "x", "y").distinct()
+    return raster.survey(wanted.join(tiles, ["z", "x", "y"]), width, stride, "box_id")
 
 
 def plan_selection(current: DataFrame, vertices: DataFrame, olat: float, olon: float, scale: float, size: int, removing: bool = False) -> DataFrame:
@@ -42,10 +64,11 @@ def plan_selection(current: DataFrame, vertices: DataFrame, olat: float, olon: f
     return plan.remove(current, chosen) if removing else plan.add(current, chosen)
 
 
-def download_plan(cells: DataFrame, cached: DataFrame, chunks: int, olat: float, olon: float, scale: float, budget_km2: float | None = None) -> DataFrame:
-    """Groups ``(grp, n_cells, n_served, state)`` of cells ``(cell_key, rx, rz, south, ...)`` with seams, by what is cached."""
+def download_plan(cells: DataFrame, catalogue: DataFrame, chunks: int, olat: float, olon: float, scale: float, budget_km2: float | None = None) -> DataFrame:
+    """Groups ``(grp, n_cells, n_served, state)`` of cells ``(cell_key, rx, rz, south, ...)`` with seams, by the fresh tiles of ``catalogue(z, x, y, size, age_days, tail)``."""
     seam = geo.expand_bbox(generate.box(cells), chunks, olat, olon, scale)
     grown = cells.select("cell_key", "rx", "rz", *[c.alias(s) for s, c in seam.items()])
+    cached = coverage.fresh_only(catalogue)
     grouped = coverage.plan_groups(grown, budget_km2).select("cell_key", "grp")
     covering = generate.tiles_for_bbox(grown, 11).select("cell_key", "z", "x", "y")
     served = coverage.cells_served(covering, cached.withColumn("ok", F.lit(True)))
@@ -60,10 +83,19 @@ def merge_check(files: DataFrame, cells: DataFrame, master: DataFrame) -> DataFr
     return merge.drift_check(files.where("sub = 'region'"), cells).join(counts, "cell_key", "left")
 
 
+def merge_into(files: DataFrame, cells: DataFrame, path: str) -> DataFrame:
+    """Write the regions that cells own over the master's at ``path``, those of cells that pass the drift check only; returns what was written."""
+    passed = merge.drift_check(files.where("sub = 'region'"), cells).where(F.col("check") == "ok").select("cell_key")
+    taken = cut(merge.owned(files, cells).where("own").join(passed, "cell_key", "left_semi"))
+    writers.merge_owned(taken, path)
+    return taken
+
+
 def run_report(events: DataFrame, samples: DataFrame, current: DataFrame) -> DataFrame:
-    """The nested report row of a run."""
-    cells = runs.report_cells(runs.attempts(events), current)
-    return writers.run_report(runs.run_summary(cells), cells, runs.timeline(samples))
+    """The nested report row of a run: summary, worst cells, timeline with merges per step, worker lanes."""
+    timing = runs.attempts(events)
+    cells, line = runs.report_cells(timing, current), runs.merged_per_step(runs.timeline(samples))
+    return writers.run_report(runs.run_summary(cells, line), cells, line, runs.gantt(timing.where("ended >= started")))
 
 
 def raster_repair(tiles: DataFrame, parents: DataFrame, width: int, levels: int) -> DataFrame:
@@ -71,16 +103,27 @@ def raster_repair(tiles: DataFrame, parents: DataFrame, width: int, levels: int)
     return raster.pyramid(raster.repair(tiles, parents, width), width, levels)
 
 
-def zone_points(points: DataFrame, spec: DataFrame, countries: DataFrame, borders: DataFrame, olat: float, olon: float, scale: float, soft_km: float, hard_km: float) -> DataFrame:
-    """``points`` with band and rule against the union of the countries that ``spec(zone, names)`` lists.
-
-    ``countries(name, country_id)``; ``borders(zone_id, seq, lon, lat)`` holds their rings by country.
-    """
+def zone_rings(spec: DataFrame, countries: DataFrame, borders: DataFrame) -> DataFrame:
+    """Rings ``(zone_id, seq, lon, lat)`` of the countries that ``spec(zone, names)`` lists; ``borders`` holds them by country."""
     members = zones.zone_members(spec, countries).select(F.col("country_id").alias("zone_id")).distinct()
-    rings = borders.join(members, "zone_id", "left_semi")
+    return borders.join(members, "zone_id", "left_semi")
+
+
+def zone_points(points: DataFrame, spec: DataFrame, countries: DataFrame, borders: DataFrame, olat: float, olon: float, scale: float, soft_km: float, hard_km: float) -> DataFrame:
+    """``points`` with band and rule against the union of the countries that ``spec(zone, names)`` lists (``countries(name, country_id)``)."""
+    rings = zone_rings(spec, countries, borders)
     return zones.zone_rule(zones.zone_band(points, rings, olat, olon, scale, soft_km, hard_km))
 
 
+def zone_outlines(spec: DataFrame, countries: DataFrame, borders: DataFrame, olat: float, olon: float, scale: float, target: int) -> tuple[DataFrame, DataFrame]:
+    """Rings in blocks of at most ``target`` points, ``(zone_id, seq, x, z, lon, lat)``, for ``writers.write_points``, and the vertices on shared borders."""
+    rings = zone_rings(spec, countries, borders)
+    blocks = rings.select("zone_id", "seq", geo.block_xf("lon", olat, olon, scale).alias("lon"), geo.block_zf("lat", olat, scale).alias("lat"))
+    fewer = zones.simplify_to(blocks, target).select("zone_id", "seq", F.col("lon").alias("x"), F.col("lat").alias("z"))
+    outline = fewer.select("*", geo.lon_of_block("x", olat, olon, scale).alias("lon"), geo.lat_of_block("z", olat, scale).alias("lat"))
+    return outline, zones.shared_border(rings, olat, olon, scale)
+
+
 def gap_list(current: DataFrame, files: DataFrame) -> DataFrame:
     """Merged cells with a region missing, to run again."""
     return merge.missing_cells(current, files)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.fixtures import view
-from tessera.operators import generate, raster
+from tessera.functions import geo
+from tessera.operators import coverage, generate, raster
+from tessera.operators.lineage import shared_folder
 from tessera.operators.plan import PLAN
 from tessera.plans import pipelines
-from tessera.queries import planning, rasters
+from tessera.queries import coords, planning, rasters
+from tessera.queries import runs as _runs
 from tessera.sources import readers
 
 OLAT, OLON, SCALE = 45.0, 25.0, 0.3
@@ -19,22 +24,33 @@ def _plan(spark, d):
 
 
 def bake_incremental(spark, d):
-    """Counts of the target tiles that aren't cached yet."""
-    nodes, targets = view(spark, d, "fx_node"), view(spark, d, "fx_node_tile").select("x", "y").distinct()
-    cached = view(spark, d, "fx_cached_tile").select("x", "y")
-    return pipelines.bake(nodes, view(spark, d, "fx_way_ref"), view(spark, d, "fx_rel_member"), targets, cached)[1]
+    """Counts of the target tiles that aren't cached yet, from three sources: one that has all, one with copies, and one elsewhere.
+
+    The one elsewhere has its elements under the same ids and comes first in order, so it counts unless it is left out.
+    """
+    nodes, refs, members = view(spark, d, "fx_node"), view(spark, d, "fx_way_ref"), view(spark, d, "fx_rel_member")
+    targets = view(spark, d, "fx_node_tile").select("x", "y").distinct()
+    ends = nodes.agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
+    named = F.explode(F.array(*[F.lit(n) for n in ("a elsewhere", "b", "c copies")])).alias("source")
+    far = lambda c: F.when(F.col("source") == "a elsewhere", F.col(c) - 30.0).otherwise(F.col(c)).alias(c)
+    sources = ends.select("*", named).select("source", *[far(c) for c in generate.SIDES])
+    each = [df.select("*", named).select("source", *[far(c) if c == "lat" else c for c in df.columns]) for df in (nodes, refs, members)]
+    return pipelines.bake(*each, targets, view(spark, d, "fx_cached_tile").select("x", "y"), sources)[1]
 
 
 def pack_status(spark, d):
-    boxes = view(spark, d, "fx_cell_box").select(F.col("cell_key").alias("region_id"), *generate.SIDES)
-    return pipelines.pack_status(boxes, view(spark, d, "fx_cached_tile"), 11)
+    """Packs of cells in degrees, at the zoom and with the margins that generating them needs."""
+    boxes = view(spark, d, "fx_cell_box").select(F.col("cell_key").alias("name"), *generate.SIDES)
+    cached = view(spark, d, "fx_tile_level").where("has_data").select("z", (F.col("x") + 4660).alias("x"), (F.col("y") + 2940).alias("y"))
+    return pipelines.pack_status(boxes, cached, SCALE).drop("bbox")
 
 
 def elevation_lock(spark, d):
-    """Heights under the box of the first raster tiles, at their own zoom."""
+    """Heights under boxes around five columns of raster tiles each, at the tiles' own zoom."""
     tiles = rasters._tiles(spark, d).select("z", "x", "y", "h")
-    box = spark.createDataFrame([(84.0, -180.0, 85.0, -179.6)], "south double, west double, north double, east double")
-    return pipelines.elevation_lock(box, tiles, 8, 13, 2)
+    box = geo.tile_bbox("x", "y", 13)
+    inner = tiles.select(F.floor(F.col("x") / 5).cast("int").alias("box_id"), *[(c + (1e-7 if s in ("south", "west") else -1e-7)).alias(s) for s, c in box.items()])
+    return pipelines.elevation_lock(coverage.union_bbox(inner, "box_id"), tiles, rasters.W, 13, 2)
 
 
 def plan_selection(spark, d):
@@ -42,7 +58,9 @@ def plan_selection(spark, d):
 
 
 def download_plan(spark, d):
-    return pipelines.download_plan(view(spark, d, "fx_cell_box"), view(spark, d, "fx_cached_tile"), 2, OLAT, OLON, SCALE, 3000.0)
+    fresh = F.col("x") % 4 != 0
+    catalogue = view(spark, d, "fx_cached_tile").select("z", "x", "y", F.lit(900).alias("size"), F.when(fresh, 3).otherwise(90).alias("age_days"), F.lit("}").alias("tail"))
+    return pipelines.download_plan(view(spark, d, "fx_cell_box"), catalogue, 2, OLAT, OLON, SCALE, 3000.0)
 
 
 def merge_check(spark, d):
@@ -50,6 +68,14 @@ def merge_check(spark, d):
     return pipelines.merge_check(files, _plan(spark, d), planning._master(spark, d))
 
 
+def merge_into(spark, d):
+    """What a merge leaves in the master: the regions that cells own, read again from where they were written."""
+    files = view(spark, d, "fx_region_file").withColumn("sub", F.lit("region"))
+    path = f"{shared_folder(spark)}/master-{uuid.uuid4().hex}"
+    pipelines.merge_into(files, _plan(spark, d), path)
+    return spark.read.parquet(path).select("cell_key", "reg_x", "reg_z")
+
+
 def gap_list(spark, d):
     files = view(spark, d, "fx_region_file").where("reg_x % 5 <> 0")
     return pipelines.gap_list(_plan(spark, d), files)
@@ -58,15 +84,28 @@ def gap_list(spark, d):
 def run_report(spark, d):
     from tessera.queries.runs import _samples
 
-    return pipelines.run_report(view(spark, d, "fx_cell_event"), _samples(spark, d), _plan(spark, d)).select(F.to_json("summary").alias("summary"), F.size("cells").alias("cells"), F.size("timeline").alias("buckets"))
+    report = pipelines.run_report(view(spark, d, "fx_cell_event"), _samples(spark, d), _plan(spark, d))
+    total = lambda f: F.aggregate("timeline", F.lit(0).cast("long"), lambda n, b: n + b[f])
+    names = ("total", "merged", "failed", "incomplete", "retries", "cell_median_s", "elapsed_s", "workers_peak", "cpu_avg", "ram_peak")
+    return report.select(*[F.col(f"summary.{n}").alias(n) for n in names], F.size("cells").alias("n_cells"), F.size("timeline").alias("buckets"), total("merged").alias("steps"), F.size("lanes").alias("n_lanes"))
 
 
-def zone_points(spark, d):
-    points = view(spark, d, "fx_point").select("point_id", "lat", "lon")
+def _zones(spark, d):
     borders = view(spark, d, "fx_zone_vertex")
     countries = borders.select(F.col("zone").alias("name"), F.col("zone_id").alias("country_id")).distinct()
-    spec = countries.where("country_id % 3 = 0").select(F.concat(F.lit("z"), (F.col("country_id") % 2).cast("string")).alias("zone"), F.array(F.upper("name")).alias("names"))
-    return pipelines.zone_points(points, spec, countries, borders, OLAT, OLON, SCALE, 5.0, 15.0).select("point_id", "band", "rule")
+    spec = countries.select(F.concat(F.lit("z"), (F.col("country_id") % 2).cast("string")).alias("zone"), F.array(F.upper("name")).alias("names"))
+    return spec, countries, borders
+
+
+def zone_points(spark, d):
+    points = view(spark, d, "fx_point").select("point_id", "lat", "lon")
+    return pipelines.zone_points(points, *_zones(spark, d), OLAT, OLON, SCALE, 5.0, 15.0).select("point_id", "band", "rule")
+
+
+def zone_outlines(spark, d):
+    """Outlines in whole blocks; the target is above the rings' points, so that SQL can follow."""
+    outline = pipelines.zone_outlines(*_zones(spark, d), OLAT, OLON, SCALE, 7)[0]
+    return outline.select("zone_id", "seq", "x", "z", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 def raster_repair(spark, d):
@@ -89,15 +128,52 @@ def source_extents(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bake_incremental, pack_status, elevation_lock, plan_selection, download_plan, merge_check, gap_list, run_report, zone_points,
-        raster_repair, upsample, source_extents,
+        bake_incremental, pack_status, elevation_lock, plan_selection, download_plan, merge_check, merge_into, gap_list, run_report,
+        zone_points, zone_outlines, raster_repair, upsample, source_extents,
     )
 }
 
 _C = "(SELECT DISTINCT x, y FROM fx_node_tile n WHERE NOT EXISTS (SELECT 1 FROM fx_cached_tile t WHERE t.x = n.x AND t.y = n.y))"
 _LOC = "(SELECT w.way_id, w.ref, n.lon, n.lat, n.x, n.y FROM fx_way_ref w JOIN fx_node_tile n ON n.id = w.ref)"
 _EMIT = f"(SELECT DISTINCT l.way_id, l.x, l.y FROM {_LOC} l JOIN {_C} c ON c.x = l.x AND c.y = l.y)"
-_BAND = rasters._BAND.replace("FROM fx_point p JOIN", "FROM fx_point p JOIN").replace("fx_zone_vertex", "(SELECT * FROM fx_zone_vertex WHERE zone_id % 3 = 0)")
+_BAND = rasters._BAND
+_PAD_LAT, _PAD_LON = f"((512 + 8 * 16) / CAST(0.3 AS DOUBLE) + 256) / {coords.M}", f"((512 + 8 * 16) / CAST(0.3 AS DOUBLE) + 256) / ({coords.M} * cos(radians((south + north) / 2)))"
+
+
+def _tiles_of(side, lat, z="zoom"):
+    at = f"(1.0 - asinh(tan(radians({side}))) / pi()) / 2.0 * (1 << {z})" if lat else f"({side} + 180.0) / 360.0 * (1 << {z})"
+    return f"CAST(greatest(0, least((1 << {z}) - 1, floor({at}))) AS INT)"
+
+
+_PACKS = f"""(SELECT *, CAST(greatest(11, least(15, round_even(15.0 - log2((1.0 / CAST(0.3 AS DOUBLE)) / (40075016.0 / (256.0 * 32768.0) * cos(radians((south + north) / 2)))), 0))) AS INT) AS zoom,
+ substr(sha1(printf('%.4f,%.4f,%.4f,%.4f|%s', south, west, north, east, lower(trim(cell_key)))), 1, 16) AS region_id FROM fx_cell_box)"""
+_READ = f"""(SELECT *, unnest(range({_tiles_of(f'(south - {_PAD_LAT})', True)}, {_tiles_of('n', True)} - 1, -1)) AS y FROM (SELECT *, unnest(range({_tiles_of(f'(west - {_PAD_LON})', False)}, {_tiles_of(f'(east + {_PAD_LON})', False)} + 1)) AS x, north + {_PAD_LAT} AS n FROM {_PACKS} a) b)"""
+
+
+def _quadtree(cells, budget, levels=6):
+    """Common table expressions ``q0`` to ``q<levels>`` of cells with their group after each level."""
+    out = [f"q0 AS MATERIALIZED (SELECT *, '' AS grp FROM {cells} c)"]
+    for k in range(levels):
+        area = f"abs((max(north) - min(south)) * {coords.M} / 1000 * (max(east) - min(west)) * {coords.M} * cos(radians((min(south) + max(north)) / 2)) / 1000)"
+        out.append(
+            f"q{k + 1} AS MATERIALIZED (SELECT q.* EXCLUDE (grp), CASE WHEN f.n > 1 AND f.km2 > {budget} AND length(q.grp) = {k} THEN q.grp || CAST(CAST(rx >= mx AS INT) + 2 * CAST(rz >= mz AS INT) AS VARCHAR) ELSE q.grp END AS grp"
+            f" FROM q{k} q JOIN (SELECT grp, count(*) AS n, floor((min(rx) + max(rx) + 1) / 2.0) AS mx, floor((min(rz) + max(rz) + 1) / 2.0) AS mz, {area} AS km2 FROM q{k} GROUP BY grp) f ON f.grp = q.grp)"
+        )
+    return ", ".join(out)
+
+
+_SEAM = "(SELECT cell_key, rx, rz, " + ", ".join(f"{c} AS {s}" for s, c in coords._EXP.items()) + " FROM fx_cell_box)"
+_SEAM_TILES = f"(SELECT cell_key, grp, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT *, unnest(range({coords._ty('north', 11)}, {coords._ty('south', 11)} + 1)) AS y FROM (SELECT *, unnest(range({coords._tx('west', 11)}, {coords._tx('east', 11)} + 1)) AS x FROM q6) a) b)"
+_FRESH = "(SELECT x, y FROM fx_cached_tile WHERE x % 4 <> 0)"
+#: Douglas-Peucker on rings of six points: intervals, each split at its farthest point while that is further off than ``eps``.
+_DEEP_SPLIT = """keep AS (WITH RECURSIVE v AS MATERIALIZED (SELECT zone_id, seq, {lon} AS lon, {lat} AS lat FROM fx_zone_vertex),
+ s(zone_id, a, b) AS (SELECT zone_id, min(seq), max(seq) FROM v GROUP BY zone_id UNION ALL
+ SELECT zone_id, unnest([a, k]), unnest([k, b]) FROM (SELECT s.zone_id, s.a, s.b, arg_max(v.seq, (d, -v.seq)) AS k, max(d) AS far FROM (SELECT s.zone_id, s.a, s.b, v.seq,
+ sqrt(pow(v.lat - p.lat - t * (q.lat - p.lat), 2) + pow(v.lon - p.lon - t * (q.lon - p.lon), 2)) AS d FROM (SELECT s.*, v.seq, greatest(0.0, least(1.0, ((v.lat - p.lat) * (q.lat - p.lat) + (v.lon - p.lon) * (q.lon - p.lon)) / (pow(q.lat - p.lat, 2) + pow(q.lon - p.lon, 2)))) AS t
+ FROM s JOIN v ON v.zone_id = s.zone_id AND v.seq > s.a AND v.seq < s.b JOIN v p ON p.zone_id = s.zone_id AND p.seq = s.a JOIN v q ON q.zone_id = s.zone_id AND q.seq = s.b) s
+ JOIN v ON v.zone_id = s.zone_id AND v.seq = s.seq JOIN v p ON p.zone_id = s.zone_id AND p.seq = s.a JOIN v q ON q.zone_id = s.zone_id AND q.seq = s.b) s JOIN v ON v.zone_id = s.zone_id AND v.seq = s.seq GROUP BY s.zone_id, s.a, s.b) f WHERE far > {eps})
+ SELECT zone_id, a AS seq FROM s UNION SELECT zone_id, b FROM s)"""
+_RING = "(SELECT v.* FROM fx_zone_vertex v JOIN keep k ON k.zone_id = v.zone_id AND k.seq = v.seq WHERE (SELECT count(*) FROM keep n WHERE n.zone_id = v.zone_id) >= 3 UNION ALL SELECT * FROM fx_zone_vertex w WHERE (SELECT count(*) FROM keep n WHERE n.zone_id = w.zone_id) < 3)"
 _UP = """(SELECT z + 1 AS z, x * 2 AS x, y * 2 + 1 AS y, i AS px, j AS py, (1 - fx) * (1 - fy) * p00 + fx * (1 - fy) * p10 + (1 - fx) * fy * p01 + fx * fy * p11 AS h FROM (
  SELECT t.z, t.x, t.y, g.i, g.j, g.sx - floor(g.sx) AS fx, g.sy - floor(g.sy) AS fy, a.h AS p00, b.h AS p10, c.h AS p01, e.h AS p11
  FROM (SELECT z, x, y FROM fx_raster WHERE NOT is_hole) t
@@ -110,7 +186,14 @@ SQL = {
  FROM {_C} t LEFT JOIN (SELECT x, y, 'node' AS kind FROM fx_node_tile UNION ALL SELECT x, y, 'way' FROM {_EMIT} e
  UNION ALL SELECT x, y, 'foreign' FROM (SELECT DISTINCT e.x, e.y, l.ref FROM {_EMIT} e JOIN {_LOC} l ON l.way_id = e.way_id WHERE l.x <> e.x OR l.y <> e.y) f
  UNION ALL SELECT x, y, 'relation' FROM (SELECT DISTINCT m.rel_id, e.x, e.y FROM fx_rel_member m JOIN {_EMIT} e ON m.ref = e.way_id) r) k ON k.x = t.x AND k.y = t.y GROUP BY t.x, t.y""",
-    "pack_status": f"SELECT cell_key AS region_id, count(*) AS total, count(t.x) AS cached, {planning._PCT} AS pct FROM {planning._COVER} c LEFT JOIN fx_cached_tile t ON t.x = c.x AND t.y = c.y GROUP BY cell_key",
+    "pack_status": f"SELECT region_id, cell_key AS name, CAST(zoom AS INT) AS zoom, count(*) AS total, count(t.x) AS cached, {planning._PCT} AS pct FROM {_READ} r LEFT JOIN (SELECT z, x + 4660 AS x, y + 2940 AS y FROM fx_tile_level WHERE has_data) t ON t.z = r.zoom AND t.x = r.x AND t.y = r.y GROUP BY region_id, cell_key, zoom",
+    "elevation_lock": f"SELECT round(min(h) FILTER (ok), 1) AS min_m, round(max(h) FILTER (ok), 1) AS max_m, count(DISTINCT vec_id) FILTER (ok) AS tiles, count(*) FILTER (ok) > 0 AS ok, box_id FROM (SELECT *, h BETWEEN -500 AND 9000 AS ok, CAST(floor(x / 5.0) AS INT) AS box_id FROM {rasters._S} s) b GROUP BY box_id",
+    "download_plan": f"WITH {_quadtree(_SEAM, 3000.0)}, t AS MATERIALIZED (SELECT c.*, f.x IS NOT NULL AS ok FROM {_SEAM_TILES} c LEFT JOIN {_FRESH} f ON f.x = c.x AND f.y = c.y), s AS (SELECT grp, cell_key, bool_and(ok) AS served FROM t GROUP BY grp, cell_key) SELECT grp, count(*) AS n_cells, count(*) FILTER (served) AS n_served, CASE WHEN count(*) FILTER (served) = 0 THEN 'failed' ELSE 'cached' END AS state FROM s GROUP BY grp",
+    "merge_into": f"SELECT cell_key, CAST(reg_x AS INT) AS reg_x, CAST(reg_z AS INT) AS reg_z FROM {planning._FILES} f WHERE own",
+    "run_report": f"""SELECT total, merged, failed, incomplete, retries, cell_median_s, elapsed_s, workers_peak, cpu_avg, ram_peak, CAST(least(200, total) AS INT) AS n_cells,
+ (SELECT CAST(least(360, count(*)) AS INT) FROM {_runs._LINE} a) AS buckets, (SELECT CAST(sum(m) AS BIGINT) FROM (SELECT greatest(0, coalesce(done - lag(done) OVER (ORDER BY t), 0)) AS m, row_number() OVER (ORDER BY t DESC) AS place FROM {_runs._LINE} b) c WHERE place <= 360) AS steps,
+ (SELECT CAST(count(*) AS INT) FROM {_runs._TIMING} w WHERE ended >= started AND worker IS NOT NULL) AS n_lanes FROM {_runs._SUMMARY_ALL} s""",
+    "zone_outlines": f"SELECT zone_id, seq, x, z, round(25.0 + x / (111320.0 * cos(radians(45.0)) * 0.3), 6) AS lon, round(45.0 - z / (111320.0 * CAST(0.3 AS DOUBLE)), 6) AS lat FROM (SELECT zone_id, seq, round_even({rasters._BX.format(lon='lon')}, 0) AS x, round_even({rasters._BZ.format(lat='lat')}, 0) AS z FROM fx_zone_vertex) v",
     "merge_check": f"""SELECT p.cell_key, CASE WHEN f.n IS NULL THEN 'empty' ELSE 'ok' END AS "check", f.copied, f.skipped, f.collisions, f.subs FROM fx_plan p
  LEFT JOIN (SELECT f.cell_key, count(*) AS n, count(*) FILTER (own) AS copied, count(*) FILTER (NOT own) AS skipped, count(*) FILTER (own AND (f.reg_x + f.reg_z) % 3 = 0) AS collisions, CASE WHEN bool_or(own) THEN 'region' ELSE '' END AS subs FROM {planning._FILES} f GROUP BY f.cell_key) f ON f.cell_key = p.cell_key""",
     "gap_list": planning.SQL["missing_cells"].replace("WHERE f.reg_x = w.x", "WHERE f.reg_x % 5 <> 0 AND f.reg_x = w.x"),
@@ -119,3 +202,15 @@ SQL = {
     "upsample": f"SELECT z, x, y, px, py, round(h + 1e-7, 3) AS h FROM {_UP} u",
     "source_extents": "SELECT CAST(o_custkey % 500 AS VARCHAR) AS path, max(o_orderkey * 10) AS length, arg_max(o_orderkey % 180 - CAST(90.0 AS DOUBLE), o_orderkey) AS south FROM orders GROUP BY 1",
 }
+_CENTRED = "(SELECT *, (south + north) / 2 AS lat, (west + east) / 2 AS lon FROM (SELECT rx, rz, cell_key, 45.0 + rz * {h} AS south, 45.0 + (rz + 1) * {h} AS north, 25.0 + rx * {w} AS west, 25.0 + (rx + 1) * {w} AS east FROM (SELECT DISTINCT rx, rz, concat(CAST(rx AS VARCHAR), ',', CAST(rz AS VARCHAR), ',16') AS cell_key FROM (SELECT *, unnest(range(CAST(floor((west - 25.0) / {w}) AS BIGINT), CAST(ceil((east - 25.0) / {w}) AS BIGINT))) AS rx FROM (SELECT *, unnest(range(CAST(floor((south - 45.0) / {h}) AS BIGINT), CAST(ceil((north - 45.0) / {h}) AS BIGINT))) AS rz FROM (SELECT zone_id, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east FROM ring GROUP BY zone_id) b) c) e) g) k)".format(
+    h="(16 * 512 / CAST(0.3 AS DOUBLE) / 111320.0)", w="(16 * 512 / CAST(0.3 AS DOUBLE) / (111320.0 * cos(radians(45.0))))"
+)
+_CHOSEN = f"(SELECT DISTINCT cell_key FROM (SELECT p.cell_key, e.zone_id FROM {_CENTRED} p JOIN edge e ON (e.lat2 > p.lat) <> (e.lat > p.lat) AND p.lon < (e.lon - e.lon2) * (p.lat - e.lat2) / (e.lat - e.lat2 + 1e-18) + e.lon2 GROUP BY p.cell_key, e.zone_id HAVING count(*) % 2 = 1) i)"
+_EPS = "0.7 * greatest(16 * 512 / CAST(0.3 AS DOUBLE) / 111320.0, 16 * 512 / CAST(0.3 AS DOUBLE) / (111320.0 * cos(radians((SELECT avg(lat) FROM fx_zone_vertex)))))"
+SQL["plan_selection"] = f"""WITH {_DEEP_SPLIT.format(lon='lon', lat='lat', eps=f'({_EPS})')}, ring AS MATERIALIZED {_RING},
+ edge AS (SELECT zone_id, lon, lat, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS lon2, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS lat2 FROM ring WINDOW w AS (PARTITION BY zone_id ORDER BY seq))
+ SELECT cell_key, status FROM fx_plan UNION ALL SELECT cell_key, 'planned' FROM {_CHOSEN} c WHERE cell_key NOT IN (SELECT cell_key FROM fx_plan)"""
+rasters.SQL["simplify_ring"] = f"WITH {_DEEP_SPLIT.format(lon='lon', lat='lat', eps='0.11')}, ring AS {_RING} SELECT zone_id, CAST(row_number() OVER (PARTITION BY zone_id ORDER BY seq) - 1 AS INT) AS seq, lon, lat FROM ring"
+planning.SQL["download_groups"] = f"""WITH {_quadtree('fx_cell_box', 3000.0)} SELECT grp, substr(sha1(printf('%.7f,%.7f,%.7f,%.7f|groups', south, west, north, east)), 1, 16) AS id, n_cells, cells, round(south, 6) AS south, round(west, 6) AS west, round(north, 6) AS north, round(east, 6) AS east FROM (
+ SELECT grp, n_cells, cells, s - 250.0 / {coords.M} AS south, w - 250.0 / ({coords.M} * cos(radians((s + n) / 2))) AS west, n + 250.0 / {coords.M} AS north, e + 250.0 / ({coords.M} * cos(radians((s + n) / 2))) AS east FROM (
+ SELECT grp, count(*) AS n_cells, string_agg(cell_key, ';' ORDER BY cell_key) AS cells, min(south) AS s, min(west) AS w, max(north) AS n, max(east) AS e FROM q6 GROUP BY grp) g) h"""

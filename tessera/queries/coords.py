@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.fixtures import view
 from tessera.functions import geo
 from tessera.operators import generate as g
+from tessera.operators import plan
 
 OLAT, OLON, SCALE = 45.0, 25.0, 0.3
 M = "111320.0"
@@ -97,6 +98,20 @@ def expand_bbox(spark, d):
     return b.select("point_id", *[r(c).alias(s) for s, c in seam.items()], r(pad["south"]).alias("pad_south"), r(pad["east"]).alias("pad_east"))
 
 
+def generation_bbox(spark, d):
+    b = _point_boxes(spark, d)
+    return b.select("point_id", *[r(c).alias(s) for s, c in geo.generation_bbox(g.box(b), SCALE).items()])
+
+
+def boxes_in_sql(spark, d):
+    """Tiles and cells of each box by the SQL table functions."""
+    g.register_table_functions(spark)
+    _point_boxes(spark, d).createOrReplaceTempView("tessera_boxes")
+    tiles = spark.sql("SELECT b.point_id, 'tile' AS kind, CAST(t.x AS BIGINT) AS a, CAST(t.y AS BIGINT) AS b FROM tessera_boxes b, LATERAL tiles_for_box(b.south, b.west, b.north, b.east, 13) t")
+    cells = spark.sql(f"SELECT b.point_id, 'cell' AS kind, c.rx AS a, c.rz AS b FROM tessera_boxes b, LATERAL cells_for_box(b.south, b.west, b.north, b.east, {OLAT}D, {OLON}D, {SCALE}D, 4) c")
+    return tiles.unionByName(cells)
+
+
 def bbox_area(spark, d):
     b = _point_boxes(spark, d)
     lat, lon = geo.margin_degrees(1000.0, "south")
@@ -115,8 +130,7 @@ def bbox_keys(spark, d):
 
 
 def plan_size(spark, d):
-    p = view(spark, d, "fx_plan")
-    return p.groupBy("status").agg(F.sum(F.col("size") * F.col("size")).cast("long").alias("regions"), (F.sum(F.col("size") * F.col("size")) * geo.MEGABYTES_PER_REGION).cast("long").alias("mb"))
+    return plan.size_estimate(view(spark, d, "fx_plan"), "status")
 
 
 def realm_of_point(spark, d):
@@ -162,7 +176,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         block_of_point, block_round_trip, region_of_point, tile_of_point, tile_bounds, cell_keys, cell_bbox, snap_region, snap_bbox,
-        expand_bbox, bbox_area, recommended_zoom, bbox_keys, plan_size, realm_of_point, cells_for_bbox, tiles_for_bbox,
+        expand_bbox, generation_bbox, boxes_in_sql, bbox_area, recommended_zoom, bbox_keys, plan_size, realm_of_point, cells_for_bbox, tiles_for_bbox,
         regions_of_cell, split_bbox, tile_ancestors, cell_neighbours, ring_edges,
     )
 }
@@ -219,6 +233,7 @@ SQL = {
     "snap_region": f"SELECT point_id, round({_S0[0]}, 6) AS lat, round({_S0[1]}, 6) AS lon, round({_S1[0]}, 6) AS lat_a, round({_S1[1]}, 6) AS lon_a FROM fx_point",
     "snap_bbox": "SELECT point_id, " + ", ".join(f"round({c}, 6) AS {s}" for s, c in _SNAP.items()) + f" FROM {BOXES} b",
     "expand_bbox": "SELECT point_id, " + ", ".join(f"round({c}, 6) AS {s}" for s, c in _EXP.items()) + f", round({_EXP['south']} - 500.0 / {M}, 6) AS pad_south, round({_EXP['east']} + 500.0 / ({M} * cos(radians((south + north) / 2))), 6) AS pad_east FROM {BOXES} b",
+    "generation_bbox": "SELECT point_id, " + ", ".join(f"round({s} {'-' if s in ('south', 'west') else '+'} ((512 + 8 * 16) / CAST(0.3 AS DOUBLE) + 256) / {M if s in ('south', 'north') else f'({M} * cos(radians((south + north) / 2)))'}, 6) AS {s}" for s in g.SIDES) + f" FROM {BOXES} b",
     "bbox_area": f"SELECT point_id, round((north - south) * {M} * (east - west) * {M} * cos(radians((south + north) / 2)) / 1e6, 4) AS km2, round(1000.0 / {M}, 8) AS margin_lat, round(1000.0 / ({M} * cos(radians(south))), 8) AS margin_lon FROM {BOXES} b",
     "recommended_zoom": "SELECT point_id, CAST(greatest(11, least(15, round_even(15.0 - log2((1.0 / ((point_id % 50 + 1) / CAST(50.0 AS DOUBLE))) / (40075016.0 / (256.0 * 32768.0) * cos(radians(lat)))), 0))) AS INT) AS zoom FROM fx_point",
     "bbox_keys": f"SELECT point_id, substr(sha1(printf('%.7f,%.7f,%.7f,%.7f|v1', south, west, north, east)), 1, 16) AS bbox_key, substr(sha1(printf('%.4f,%.4f,%.4f,%.4f|area', south, west, north, east)), 1, 16) AS region_id, printf('osm_g1_z11_%d_%d.json', {_tx('west', 11)}, {_ty('south', 11)}) AS tile_name FROM {BOXES} b",
@@ -232,3 +247,4 @@ SQL = {
     "cell_neighbours": "SELECT cell_key, rx + dx AS n_rx, rz + dz AS n_rz, w AS ways FROM fx_plan CROSS JOIN (VALUES (-1), (0), (1)) a(dx) CROSS JOIN (VALUES (-1), (0), (1)) b(dz) CROSS JOIN (VALUES (8), (4)) c(w) WHERE (dx <> 0 OR dz <> 0) AND (w = 8 OR dx * dz = 0)",
     "ring_edges": "SELECT a.zone_id, a.seq, a.lon, a.lat, b.lon AS lon2, b.lat AS lat2 FROM fx_zone_vertex a JOIN fx_zone_vertex b ON a.zone_id = b.zone_id AND b.seq = (a.seq + 1) % 6",
 }
+SQL["boxes_in_sql"] = f"SELECT point_id, 'tile' AS kind, CAST(x AS BIGINT) AS a, CAST(y AS BIGINT) AS b FROM ({SQL['tiles_for_bbox']}) t UNION ALL SELECT point_id, 'cell', CAST(rx AS BIGINT), CAST(rz AS BIGINT) FROM ({SQL['cells_for_bbox']}) c"

@@ -24,8 +24,7 @@ def osm_home_tiles(spark, d):
 
 def osm_pruned_nodes(spark, d):
     nodes, _, _, targets = _parts(spark, d)
-    near = targets.where("x % 4 = 0")
-    return osm.prune_by_targets(nodes, near).join(near, ["x", "y"], "left_semi").select("id", "x", "y")
+    return osm.prune_by_targets(nodes, targets).join(targets, ["x", "y"], "left_semi").select("id", "x", "y")
 
 
 def osm_way_locations(spark, d):
@@ -68,20 +67,19 @@ def osm_bake_counts(spark, d):
 
 
 def osm_bake_total(spark, d):
-    c = osm_bake_counts(spark, d)
-    return c.agg(
-        F.count("*").alias("total"), F.count_if(~F.col("empty")).alias("baked"), F.count_if("empty").alias("empty"),
-        F.sum(F.col("n_node") + F.col("n_foreign") + F.col("n_way") + F.col("n_relation")).alias("elements"),
-    )
+    """The account of a bake: some targets are cached already, and some writes failed."""
+    nodes, refs, members, targets = _parts(spark, d)
+    cached = view(spark, d, "fx_cached_tile")
+    todo = targets.join(cached.select("x", "y"), ["x", "y"], "left_anti")
+    counts = osm.bake_counts(todo, osm.elements(nodes, refs, members, todo))
+    return osm.bake_summary(targets, cached, counts, todo.where("(x * 7 + y) % 31 <> 0"))
 
 
 def osm_source_prune(spark, d):
     """Sources (suppliers' boxes; every tenth unknown) that can hold a target tile."""
     s = view(spark, d, "fx_zone_vertex").groupBy("zone_id").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
     s = s.select("zone_id", *[F.when(F.col("zone_id") % 10 != 0, F.col(c)).alias(c) for c in ("south", "west", "north", "east")])
-    box = view(spark, d, "fx_node").agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("e")).first()
-    touches = (F.col("north") >= box["a"]) & (F.col("south") <= box["b"]) & (F.col("east") >= box["c"]) & (F.col("west") <= box["e"])
-    return s.where(F.col("south").isNull() | touches).select("zone_id", F.col("south").isNull().alias("unknown"))
+    return osm.prune_sources(s, _parts(spark, d)[3]).select("zone_id", F.col("south").isNull().alias("unknown"))
 
 
 QUERIES = {
@@ -104,7 +102,7 @@ _COUNTS = f"""(SELECT t.x, t.y, CAST(count(*) FILTER (kind = 'node') AS BIGINT)
 
 SQL = {
     "osm_home_tiles": "SELECT n.id, t.x, t.y, n.tag_name FROM fx_node n JOIN fx_node_tile t ON t.id = n.id",
-    "osm_pruned_nodes": f"SELECT id, x, y FROM fx_node_tile WHERE {TARGET} AND x % 4 = 0",
+    "osm_pruned_nodes": f"SELECT id, x, y FROM fx_node_tile WHERE {TARGET}",
     "osm_way_locations": f"SELECT * FROM {_LOC} l",
     "osm_way_tiles": f"SELECT * FROM {_EMIT} e",
     "osm_foreign_nodes": f"SELECT * FROM {_FOREIGN} f",
@@ -112,6 +110,10 @@ SQL = {
     "osm_seam_merge": "SELECT x, y, id, CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source FROM fx_node_tile",
     "osm_empty_tiles": f"SELECT x, y FROM {_TARGET} t WHERE NOT EXISTS (SELECT 1 FROM fx_node_tile n WHERE n.id % 3 = 0 AND n.x = t.x AND n.y = t.y)",
     "osm_bake_counts": f"SELECT * FROM {_COUNTS} c",
-    "osm_bake_total": f"SELECT count(*) AS total, count(*) FILTER (NOT empty) AS baked, count(*) FILTER (empty) AS empty, CAST(sum(n_node + n_foreign + n_way + n_relation) AS BIGINT) AS elements FROM {_COUNTS} c",
-    "osm_source_prune": "SELECT zone_id, zone_id % 10 = 0 AS unknown FROM (SELECT zone_id, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM fx_zone_vertex GROUP BY zone_id) z CROSS JOIN (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS f FROM fx_node) o WHERE zone_id % 10 = 0 OR (n >= a AND s <= b AND e >= c AND w <= f)",
+    "osm_bake_total": f"""SELECT (SELECT count(*) FROM {_TARGET} t) AS total, (SELECT count(*) FROM {_TARGET} t SEMI JOIN fx_cached_tile c ON c.x = t.x AND c.y = t.y) AS skip,
+ count(*) FILTER (ok AND NOT empty) AS baked, count(*) FILTER (ok AND empty) AS empty, count(*) FILTER (NOT ok) AS fail, CAST(coalesce(sum(n_node + n_foreign + n_way + n_relation) FILTER (ok), 0) AS BIGINT) AS elements
+ FROM (SELECT *, (x * 7 + y) % 31 <> 0 AS ok FROM {_COUNTS} k WHERE NOT EXISTS (SELECT 1 FROM fx_cached_tile c WHERE c.x = k.x AND c.y = k.y)) q""",
+    "osm_source_prune": f"""SELECT zone_id, zone_id % 10 = 0 AS unknown FROM (SELECT zone_id, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM fx_zone_vertex GROUP BY zone_id) z
+ CROSS JOIN (SELECT min(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 2048.0))))) AS a, max(degrees(atan(sinh(pi() * (1 - 2 * y / 2048.0))))) AS b, min(x / 2048.0 * 360.0 - 180.0) AS c, max((x + 1) / 2048.0 * 360.0 - 180.0) AS f FROM {_TARGET} t) o
+ WHERE zone_id % 10 = 0 OR (n >= a AND s <= b AND e >= c AND w <= f)""",
 }

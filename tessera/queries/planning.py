@@ -9,6 +9,7 @@ from tessera.functions import geo
 from tessera.operators import coverage as cov
 from tessera.operators import generate as g
 from tessera.operators import merge, plan
+from tessera.sources import writers
 
 OLAT, OLON, SCALE = 45.0, 25.0, 0.3
 
@@ -45,7 +46,7 @@ def fresh_tiles(spark, d):
 
 def cache_info(spark, d):
     e = view(spark, d, "events").select("event_type", (F.col("event_id") % 9000).alias("length"))
-    return e.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("files"), F.round(F.sum("length") / 1048576.0, 1).alias("mb"))
+    return cov.cache_info(e.withColumnRenamed("event_type", "kind"))
 
 
 def selection_bbox(spark, d):
@@ -68,7 +69,8 @@ def download_groups_depth1(spark, d):
 
 def download_groups(spark, d):
     cells = view(spark, d, "fx_cell_box")
-    return cov.preview_groups(cov.plan_groups(cells, 3000.0), 250.0)
+    groups = cov.preview_groups(cov.plan_groups(cells, 3000.0), 250.0)
+    return groups.select("grp", "id", "n_cells", "cells", *[F.round(s, 6).alias(s) for s in g.SIDES])
 
 
 def group_state(spark, d):
@@ -84,6 +86,11 @@ def import_new(spark, d):
     return cov.import_new(incoming, known, "z", "x", "y")
 
 
+def import_counts(spark, d):
+    incoming = view(spark, d, "fx_tile_level").select("z", "x", "y")
+    return cov.import_counts(incoming, view(spark, d, "fx_tile_level").where("has_data"), "z", "z", "x", "y")
+
+
 def pack_list(spark, d):
     """Coverage of packs (suppliers' boxes), computed again from the catalogue."""
     packs = cov.union_bbox(view(spark, d, "fx_zone_vertex").select("zone", F.col("lat").alias("south"), F.col("lon").alias("west"), F.col("lat").alias("north"), F.col("lon").alias("east")), "zone")
@@ -116,8 +123,7 @@ def plan_toggle(spark, d):
 
 
 def plan_clear(spark, d):
-    p = _p(spark, d)
-    return p.agg(F.count_if(F.col("status") != "merged").alias("removed"), F.count_if(F.col("status") == "merged").alias("kept"))
+    return plan.clear_counts(_p(spark, d)).unionByName(plan.clear_counts(_p(spark, d), keep_merged=False))
 
 
 def plan_grow(spark, d):
@@ -164,9 +170,10 @@ def set_status(spark, d):
 
 
 def redo_area(spark, d):
-    b = view(spark, d, "fx_cell_box")
-    lat, lon = (F.col("south") + F.col("north")) / 2, (F.col("west") + F.col("east")) / 2
-    return b.where(plan.in_box(lat, lon, 44.93, 24.8, 45.2, 25.25)).select("cell_key", "status")
+    """By a drawn box, and by drawn rings."""
+    b, rings = view(spark, d, "fx_cell_box"), view(spark, d, "fx_zone_vertex")
+    boxed = plan.redo_area(b, box=(44.93, 24.8, 45.2, 25.25)).select("cell_key", "status", F.lit("box").alias("by"))
+    return boxed.unionByName(plan.redo_area(b, rings=rings).select("cell_key", "status", F.lit("rings").alias("by")))
 
 
 def redo_suspect(spark, d):
@@ -190,13 +197,12 @@ def param_drift(spark, d):
 
 
 def project_info(spark, d):
-    e = view(spark, d, "fx_cell_event")
-    return e.groupBy(F.col("user_id").alias("project")).agg(F.count_distinct("cell_key").alias("cells"), F.count_if(F.col("status") == "merged").alias("merged"))
+    return plan.project_info(view(spark, d, "fx_cell_event").withColumnRenamed("user_id", "project"), "project")
 
 
 def world_meta(spark, d):
-    p = _p(spark, d)
-    return p.groupBy("rx").agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == "merged", F.col("cell_key")))), ";").alias("merged_cells"), F.count("*").alias("cells"))
+    meta = writers.world_meta(_p(spark, d), "w", OLAT, OLON, True, {"scale": "0.3", "name": "x"})
+    return meta.select("world", F.col("origin.lat").alias("lat"), F.col("origin.locked").alias("locked"), F.element_at("settings", "scale").alias("scale"), F.array_join("merged_cells", ";").alias("merged_cells"))
 
 
 def owned_regions(spark, d):
@@ -237,6 +243,16 @@ def worlds(spark, d):
     return merge.worlds(_p(spark, d), files)
 
 
+def world_totals(spark, d):
+    p = _p(spark, d).withColumn("w", F.col("rx"))
+    files = view(spark, d, "fx_region_file").withColumn("length", F.lit(1500000) + F.col("reg_x") * 1000).join(p.select("cell_key", "w"), "cell_key")
+    return merge.world_totals(p, files, "w")
+
+
+def todo_forced(spark, d):
+    return cov.todo(_needed(spark, d), view(spark, d, "fx_cached_tile"), force=True)
+
+
 def water_share(spark, d):
     e = view(spark, d, "events").select((F.col("user_id") % 20).alias("reg_x"), (F.col("user_id") % 7).alias("reg_z"), F.when(F.col("event_id") % 5 < F.col("user_id") % 4, "minecraft:water").otherwise("minecraft:stone").alias("block"))
     return merge.water_share(e)
@@ -249,11 +265,12 @@ QUERIES = {
         download_groups, group_state, import_new, pack_list, plan_add, plan_remove, plan_toggle, plan_clear, plan_grow, ocean_cells,
         plan_trim, plan_resume, plan_reset, plan_delete, master_reset, set_status, redo_area, redo_suspect, spiral_order,
         sub_world_numbers, param_drift, project_info, world_meta, owned_regions, region_owner, drift_check, collisions, merge_counts,
-        missing_cells, worlds, water_share,
+        missing_cells, worlds, water_share, import_counts, world_totals, todo_forced,
     )
 }
 
 from tessera.queries.coords import _tx, _ty  # noqa: E402
+from tessera.queries.rasters import _inside  # noqa: E402
 
 _COVER = f"(SELECT cell_key, 11 AS z, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT *, unnest(range({_ty('north', 11)}, {_ty('south', 11)} + 1)) AS y FROM (SELECT *, unnest(range({_tx('west', 11)}, {_tx('east', 11)} + 1)) AS x FROM fx_cell_box) a) b)"
 _AREA = "(SELECT DISTINCT rx + 3 AS rx, rz - 2 AS rz, size, concat(CAST(rx + 3 AS VARCHAR), ',', CAST(rz - 2 AS VARCHAR), ',', CAST(size AS VARCHAR)) AS cell_key FROM fx_plan)"
@@ -277,11 +294,14 @@ SQL = {
     "download_groups_depth1": f"SELECT * FROM {_GRP} g",
     "group_state": f"SELECT g.grp, count(*) AS n_cells, count(*) FILTER (s.served) AS n_served, CASE WHEN count(*) FILTER (s.served) = 0 THEN 'failed' WHEN any_value(d.n) > 0 THEN 'done' ELSE 'cached' END AS state FROM {_GRP} g JOIN {_SERVED} s ON s.cell_key = g.cell_key LEFT JOIN (SELECT g.grp, count(*) FILTER (t.x % 5 = 0) AS n FROM {_GRP} g JOIN {_COVER} c ON c.cell_key = g.cell_key JOIN fx_cached_tile t ON t.x = c.x AND t.y = c.y GROUP BY g.grp) d ON d.grp = g.grp GROUP BY g.grp",
     "import_new": "SELECT z, x, y FROM fx_tile_level WHERE NOT has_data",
+    "import_counts": "SELECT z, count(*) AS incoming, count(*) FILTER (NOT has_data) AS added, count(*) FILTER (has_data) AS skipped FROM fx_tile_level GROUP BY z",
+    "todo_forced": "SELECT DISTINCT 11 AS z, x, y FROM fx_node_tile",
+    "world_totals": "SELECT p.w, p.cells, p.merged, coalesce(f.n, 0) AS regions, round(coalesce(f.b, 0) / 1048576.0, 1) AS mb FROM (SELECT rx AS w, count(*) AS cells, count(*) FILTER (status = 'merged') AS merged FROM fx_plan GROUP BY rx) p LEFT JOIN (SELECT p.rx AS w, count(*) AS n, sum(1500000 + reg_x * 1000) AS b FROM fx_region_file f JOIN fx_plan p ON p.cell_key = f.cell_key GROUP BY p.rx) f ON f.w = p.w",
     "pack_list": f"SELECT region_id, zone, total, cached, pct FROM (SELECT zone, count(*) AS total, count(t.x) AS cached, {_PCT} AS pct, substr(sha1(printf('%.4f,%.4f,%.4f,%.4f|%s', any_value(south), any_value(west), any_value(north), any_value(east), lower(zone))), 1, 16) AS region_id FROM (SELECT *, unnest(range({_ty('north', 11)}, {_ty('south', 11)} + 1)) AS y FROM (SELECT *, unnest(range({_tx('west', 11)}, {_tx('east', 11)} + 1)) AS x FROM (SELECT zone, min(lat) AS south, min(lon) AS west, max(lat) AS north, max(lon) AS east FROM fx_zone_vertex GROUP BY zone) p) a) b LEFT JOIN fx_cached_tile t ON t.x = b.x AND t.y = b.y GROUP BY zone) q",
     "plan_add": f"SELECT cell_key, status FROM fx_plan UNION ALL SELECT cell_key, 'planned' FROM {_AREA} a WHERE cell_key NOT IN (SELECT cell_key FROM fx_plan)",
     "plan_remove": f"SELECT cell_key, status FROM fx_plan WHERE status = 'merged' OR cell_key NOT IN (SELECT cell_key FROM {_AREA} a)",
     "plan_toggle": f"SELECT cell_key, rx, rz, status FROM fx_plan WHERE status = 'merged' OR cell_key NOT IN (SELECT cell_key FROM {_AREA} a) UNION ALL SELECT cell_key, rx, rz, 'planned' FROM {_AREA} b WHERE cell_key NOT IN (SELECT cell_key FROM fx_plan)",
-    "plan_clear": "SELECT count(*) FILTER (status <> 'merged') AS removed, count(*) FILTER (status = 'merged') AS kept FROM fx_plan",
+    "plan_clear": "SELECT count(*) FILTER (status <> 'merged') AS removed, count(*) FILTER (status = 'merged') AS kept FROM fx_plan UNION ALL SELECT count(*), 0 FROM fx_plan",
     "plan_grow": "SELECT DISTINCT concat(CAST(c.rx + a.i AS VARCHAR), ',', CAST(c.rz + b.i AS VARCHAR), ',4') AS cell_key, coalesce(q.status, 'planned') AS status, w.i AS ways FROM fx_plan c CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) a(i) CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) b(i) CROSS JOIN (VALUES (8), (4)) w(i) LEFT JOIN fx_plan q ON q.rx = c.rx + a.i AND q.rz = c.rz + b.i WHERE w.i = 8 OR abs(a.i) + abs(b.i) <= 2",
     "ocean_cells": f"SELECT * FROM {_OCEAN} o",
     "plan_trim": f"SELECT cell_key, status FROM fx_plan WHERE status NOT IN ('planned', 'queued') OR cell_key NOT IN (SELECT cell_key FROM {_OCEAN} o)",
@@ -290,13 +310,13 @@ SQL = {
     "plan_delete": "SELECT cell_key, CASE WHEN rx = 0 THEN 'planned' ELSE status END AS what FROM fx_plan UNION ALL SELECT cell_key, concat('file ', CAST(reg_x AS VARCHAR), ',', CAST(reg_z AS VARCHAR)) FROM fx_region_file f WHERE NOT EXISTS (SELECT 1 FROM fx_plan p WHERE p.rx = 0 AND f.reg_x BETWEEN p.rx * p.size AND p.rx * p.size + p.size - 1 AND f.reg_z BETWEEN -p.rz * p.size - p.size AND -p.rz * p.size - 1)",
     "master_reset": "SELECT cell_key, CASE WHEN status = 'merged' THEN 'planned' ELSE status END AS status FROM fx_plan",
     "set_status": "SELECT cell_key, arg_max(status, event_id) AS status, max(event_id) AS event_id FROM fx_cell_event GROUP BY cell_key",
-    "redo_area": "SELECT cell_key, status FROM fx_cell_box WHERE (south + north) / 2 BETWEEN 44.93 AND 45.2 AND (west + east) / 2 BETWEEN 24.8 AND 25.25",
+    "redo_area": f"SELECT cell_key, status, 'box' AS by FROM fx_cell_box WHERE (south + north) / 2 BETWEEN 44.93 AND 45.2 AND (west + east) / 2 BETWEEN 24.8 AND 25.25 UNION ALL SELECT cell_key, status, 'rings' FROM fx_cell_box SEMI JOIN {_inside('(SELECT cell_key, (south + north) / 2 AS lat, (west + east) / 2 AS lon FROM fx_cell_box)', 'cell_key')} i USING (cell_key)",
     "redo_suspect": "SELECT cell_key, status FROM fx_plan WHERE cell_key IN (SELECT concat(CAST(cell_id % 12 - 6 AS VARCHAR), ',0,4') FROM fx_log_line WHERE line LIKE '%ESA%')",
     "spiral_order": "SELECT cell_key, row_number() OVER (ORDER BY greatest(abs(rx - cx), abs(rz - cz)), atan2(rz - cz, rx - cx), cell_key) AS place FROM fx_plan CROSS JOIN (SELECT avg(rx) AS cx, avg(rz) AS cz FROM fx_plan) m",
     "sub_world_numbers": "SELECT cell_key AS key, CAST(CASE WHEN status = 'merged' THEN rx * 100 + rz + 5000 ELSE m + row_number() OVER (PARTITION BY status = 'merged' ORDER BY cell_key) END AS BIGINT) AS number FROM fx_plan CROSS JOIN (SELECT max(rx * 100 + rz + 5000) AS m FROM fx_plan WHERE status = 'merged') t",
     "param_drift": "SELECT c_name AS world, c_custkey % 4 > 0 AND c_custkey % 3 = 2 AS drift FROM customer",
     "project_info": "SELECT user_id AS project, count(DISTINCT cell_key) AS cells, count(*) FILTER (status = 'merged') AS merged FROM fx_cell_event GROUP BY user_id",
-    "world_meta": "SELECT rx, coalesce(string_agg(cell_key, ';' ORDER BY cell_key) FILTER (status = 'merged'), '') AS merged_cells, count(*) AS cells FROM fx_plan GROUP BY rx",
+    "world_meta": "SELECT 'w' AS world, CAST(45.0 AS DOUBLE) AS lat, TRUE AS locked, '0.3' AS scale, coalesce(string_agg(cell_key, ';' ORDER BY cell_key) FILTER (status = 'merged'), '') AS merged_cells FROM fx_plan",
     "owned_regions": f"SELECT cell_key, reg_x, reg_z, own FROM {_FILES} f",
     "region_owner": "SELECT cell_key, reg_x, reg_z, concat(CAST(CAST(floor(reg_x / 4.0) AS BIGINT) AS VARCHAR), ',', CAST(CAST(-floor(reg_z / 4.0) - 1 AS BIGINT) AS VARCHAR), ',4') AS owner_key FROM fx_region_file",
     "drift_check": "SELECT p.cell_key, CASE WHEN x0 IS NULL THEN 'empty' WHEN x1 < p.rx * p.size - 2 OR x0 > p.rx * p.size + p.size + 1 OR z1 < -p.rz * p.size - p.size - 2 OR z0 > -p.rz * p.size + 1 THEN 'drift' ELSE 'ok' END AS \"check\" FROM fx_plan p LEFT JOIN (SELECT cell_key, min(rx1) AS x0, max(rx1) AS x1, min(reg_z) AS z0, max(reg_z) AS z1 FROM (SELECT *, reg_x + CASE WHEN cell_key LIKE '1%' THEN 40 ELSE 0 END AS rx1 FROM fx_region_file) m GROUP BY cell_key) f ON f.cell_key = p.cell_key",

@@ -13,9 +13,8 @@ OLAT, OLON, SCALE = 45.0, 25.0, 0.3
 
 
 def fail_label(spark, d):
-    lines = view(spark, d, "fx_log_line")
-    logs = lines.where("line_no % 3 <> 0").groupBy("cell_id", (F.col("line_no") % 50).alias("part")).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])).alias("log"))
-    return logs.select("cell_id", "part", text.fail_label("log", F.lit(" generation failed ")).alias("label"))
+    parts = view(spark, d, "fx_log_line").withColumn("part", F.col("line_no") % 50)
+    return runs.log_labels(parts, F.lit(" generation failed "), "cell_id", "part")
 
 
 def line_labels(spark, d):
@@ -23,8 +22,8 @@ def line_labels(spark, d):
 
 
 def health_flags(spark, d):
-    lines = view(spark, d, "fx_log_line").groupBy("cell_id", (F.col("line_no") % 9).alias("part")).agg(F.concat_ws("\n", F.collect_list("line")).alias("log"))
-    return lines.select("cell_id", "part", F.array_join(text.health_flags("log"), ",").alias("flags"))
+    parts = view(spark, d, "fx_log_line").withColumn("part", F.col("line_no") % 9)
+    return runs.log_health(parts, "cell_id", "part").withColumn("flags", F.array_join("flags", ","))
 
 
 def retryable(spark, d):
@@ -33,7 +32,7 @@ def retryable(spark, d):
 
 
 def fetch_class(spark, d):
-    return view(spark, d, "fx_log_line").select("line_no", text.fetch_class("line").alias("marker"))
+    return view(spark, d, "fx_log_line").select("line_no", text.fetch_class("line").alias("marker"), text.fetch_again("line").alias("again"))
 
 
 def tile_outcome(spark, d):
@@ -76,11 +75,12 @@ def _cells(spark, d):
 
 
 def report_cells(spark, d):
-    return _cells(spark, d)
+    times = [F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us") for c in ("queued", "started", "ended")]
+    return _cells(spark, d).select("cell_key", "status", "worker", *times, "duration_s", "attempts")
 
 
 def run_summary(spark, d):
-    return runs.run_summary(_cells(spark, d))
+    return runs.run_summary(_cells(spark, d), runs.timeline(_samples(spark, d)))
 
 
 def _samples(spark, d):
@@ -166,21 +166,26 @@ _SURF = f"NOT {_any('line', text.NOISE)} AND {_any('line', text.SURFACE)}"
 _PROG = "greatest(" + ", ".join(f"CASE WHEN contains(lower(line), '{w}') THEN {p} ELSE 0 END" for w, p in text.PROGRESS)
 _PROG += r", CASE WHEN a > 0 AND a <= b AND b > 10 THEN least(95, CAST(floor(35 + a / b * 53) AS INT)) ELSE 0 END)"
 _END = "status IN ('merged', 'failed', 'drift', 'collision')"
-_TIMING = f"(SELECT cell_key, count(*) FILTER (status = 'started') AS attempts, arg_max(status, (ts, event_id)) AS status, arg_max(worker, (ts, event_id)) AS worker, max(ts) FILTER (status = 'started') AS started, max(ts) FILTER ({_END}) AS ended, arg_max(round(duration_s, 2), (ts, event_id)) FILTER ({_END}) AS duration_s FROM fx_cell_event GROUP BY cell_key)"
-_CELLS = f"(SELECT coalesce(t.cell_key, p.cell_key) AS cell_key, coalesce(t.status, p.status, 'unknown') AS status, t.worker, t.duration_s, coalesce(t.attempts, 0) AS attempts FROM (SELECT * FROM {_TIMING} q WHERE cell_key NOT LIKE '0,%') t FULL OUTER JOIN fx_plan p ON p.cell_key = t.cell_key)"
+_TIMING = f"(SELECT cell_key, count(*) FILTER (status = 'started') AS attempts, arg_max(status, (ts, event_id)) AS status, arg_max(worker, (ts, event_id)) AS worker, min(ts) FILTER (status = 'queued') AS queued, max(ts) FILTER (status = 'started') AS started, max(ts) FILTER ({_END}) AS ended, arg_max(round(duration_s, 2), (ts, event_id)) FILTER ({_END}) AS duration_s FROM fx_cell_event GROUP BY cell_key)"
+_CELLS = f"(SELECT coalesce(t.cell_key, p.cell_key) AS cell_key, coalesce(t.status, p.status, 'unknown') AS status, t.worker, t.queued, t.started, t.ended, t.duration_s, coalesce(t.attempts, 0) AS attempts FROM (SELECT * FROM {_TIMING} q WHERE cell_key NOT LIKE '0,%') t FULL OUTER JOIN fx_plan p ON p.cell_key = t.cell_key)"
 _LINE = "(SELECT CAST(floor(epoch(ts) / 20) AS BIGINT) * 20 AS t, max(event_id % 9) AS active, arg_max(event_id * 2, (ts, event_id)) AS done, arg_max(event_id % 5, (ts, event_id)) AS failed, CAST(round_even(avg(user_id % 101), 0) AS BIGINT) AS cpu, CAST(round_even(avg(user_id % 64), 0) AS BIGINT) AS ram FROM events GROUP BY 1)"
 _OK = "status = 'merged' AND duration_s > 0"
 _FAILS = "status IN ('failed', 'drift', 'collision')"
+_SUMMARY = f"""(SELECT c.*, l.* FROM (SELECT count(*) AS total, count(*) FILTER (status = 'merged') AS merged, count(*) FILTER ({_FAILS}) AS failed, count(*) FILTER (status <> 'merged' AND NOT {_FAILS}) AS incomplete, CAST(sum(greatest(0, attempts - 1)) AS BIGINT) AS retries,
+ min(duration_s) FILTER ({_OK}) AS cell_fastest_s, max(duration_s) FILTER ({_OK}) AS cell_slowest_s, round(avg(duration_s) FILTER ({_OK}), 1) AS cell_avg_s, round(max(epoch_us(ended)) / 1e6 - min(least(epoch_us(queued), epoch_us(started))) / 1e6, 1) AS elapsed_s,
+ list_sort(list(duration_s) FILTER ({_OK}))[CAST(floor(count(*) FILTER ({_OK}) / 2.0) AS INT) + 1] AS cell_median_s FROM {_CELLS} c) c
+ CROSS JOIN (SELECT max(active) AS workers_peak, CAST(round_even(avg(cpu), 0) AS BIGINT) AS cpu_avg, max(cpu) AS cpu_peak, CAST(round_even(avg(ram), 0) AS BIGINT) AS ram_avg, max(ram) AS ram_peak FROM {_LINE} t) l)"""
+_SUMMARY_ALL = _SUMMARY.replace(_CELLS, f"(SELECT coalesce(t.cell_key, p.cell_key) AS cell_key, coalesce(t.status, p.status, 'unknown') AS status, t.worker, t.queued, t.started, t.ended, t.duration_s, coalesce(t.attempts, 0) AS attempts FROM {_TIMING} t FULL OUTER JOIN fx_plan p ON p.cell_key = t.cell_key)")
 _POS = _inside("fx_position", "event_id")
 _BANDED = f"""(SELECT p.mover, p.ts, p.event_id, CASE WHEN i.event_id IS NOT NULL THEN 'inside' WHEN d <= 1500.0 THEN 'soft' WHEN d <= 4500.0 THEN 'hard' WHEN d <= 6000.0 THEN 'trim' ELSE 'outside' END AS band
  FROM fx_position p LEFT JOIN (SELECT DISTINCT event_id FROM {_POS} i) i ON i.event_id = p.event_id JOIN (SELECT event_id, min({_DIST}) AS d FROM (SELECT event_id, {_BX.format(lon='lon')} AS x, {_BZ.format(lat='lat')} AS z FROM fx_position) q CROSS JOIN {_EB} e GROUP BY event_id) m ON m.event_id = p.event_id)"""
 
 SQL = {
-    "fail_label": f"SELECT cell_id, part, {_label('log', "'generation failed'")} AS label FROM (SELECT cell_id, line_no % 50 AS part, string_agg(line, chr(10) ORDER BY line_no) AS log FROM fx_log_line WHERE line_no % 3 <> 0 GROUP BY 1, 2) t",
+    "fail_label": f"SELECT cell_id, part, {_label('log', "'generation failed'")} AS label FROM (SELECT cell_id, line_no % 50 AS part, string_agg(line, chr(10) ORDER BY line_no) AS log FROM fx_log_line GROUP BY 1, 2) t",
     "line_labels": f"SELECT line_no, {_LAB} AS label FROM fx_log_line",
     "health_flags": "SELECT cell_id, line_no % 9 AS part, concat_ws(',', CASE WHEN bool_or(line LIKE '%is too small%') AND bool_or(line LIKE '%Re-downloading%') THEN 'terrain-tile-retry' END, CASE WHEN bool_or(line LIKE '%Failed to read ESA tile%') THEN 'landcover-404' END) AS flags FROM fx_log_line GROUP BY 1, 2",
     "retryable": f"SELECT line_no, {_any('l', text.TRANSIENT)} AND NOT (line_no % 7 = 0 OR {_any('l', text.FINAL)}) AND line_no % 4 < 2 AS again FROM (SELECT line_no, {_LAB} AS l FROM fx_log_line) t",
-    "fetch_class": f"SELECT line_no, CASE {' '.join(f"WHEN contains(lower(line), '{m}') THEN '{m}'" for m in text.SPLIT_MARKERS)} END AS marker FROM fx_log_line",
+    "fetch_class": f"SELECT line_no, CASE {' '.join(f"WHEN contains(lower(line), '{m}') THEN '{m}'" for m in text.SPLIT_MARKERS)} END AS marker, coalesce(CASE {' '.join(f"WHEN contains(lower(line), '{m}') THEN {str(m in text.RETRY_MARKERS).upper()}" for m in text.SPLIT_MARKERS)} END, FALSE) AS again FROM fx_log_line",
     "tile_outcome": "SELECT event_id, CASE WHEN event_id % 5 IN (3, 4) THEN 'absent' WHEN event_id % 5 <> 0 OR event_id % 99 < 67 THEN 'fail' ELSE 'ok' END AS outcome FROM events".replace("IN (3, 4)", "= 3 OR event_id % 5 = 4"),
     "surfaced_lines": f"SELECT line_no, cell_id, line FROM fx_log_line WHERE {_SURF}",
     "warm_totals": "SELECT event_type, CAST(sum(event_id % 7) AS BIGINT) AS cached, CAST(sum(user_id % 3) AS BIGINT) AS failed FROM events GROUP BY event_type",
@@ -188,8 +193,8 @@ SQL = {
     "progress": rf"SELECT cell_id, line_no, max(p) OVER (PARTITION BY cell_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS pct FROM (SELECT cell_id, line_no, {_PROG} AS p FROM (SELECT *, TRY_CAST(regexp_extract(line, '(\d+)\s*/\s*(\d+)', 1) AS DOUBLE) AS a, TRY_CAST(regexp_extract(line, '(\d+)\s*/\s*(\d+)', 2) AS DOUBLE) AS b FROM fx_log_line) l) t",
     "newest_lines": "SELECT line_no, line FROM fx_log_line ORDER BY line_no DESC LIMIT 150",
     "attempts": f"SELECT cell_key, attempts, status, worker, duration_s, epoch_us(started) AS started_us FROM {_TIMING} t",
-    "report_cells": f"SELECT * FROM {_CELLS} c",
-    "run_summary": f"SELECT count(*) AS total, count(*) FILTER (status = 'merged') AS merged, count(*) FILTER ({_FAILS}) AS failed, count(*) FILTER (status <> 'merged' AND NOT {_FAILS}) AS incomplete, CAST(sum(greatest(0, attempts - 1)) AS BIGINT) AS retries, min(duration_s) FILTER ({_OK}) AS cell_fastest_s, max(duration_s) FILTER ({_OK}) AS cell_slowest_s, round(avg(duration_s) FILTER ({_OK}), 1) AS cell_avg_s, max(worker) + 1 AS workers_peak, list_sort(list(duration_s) FILTER ({_OK}))[CAST(floor(count(*) FILTER ({_OK}) / 2.0) AS INT) + 1] AS cell_median_s FROM {_CELLS} c",
+    "report_cells": f"SELECT cell_key, status, worker, epoch_us(queued) AS queued_us, epoch_us(started) AS started_us, epoch_us(ended) AS ended_us, duration_s, attempts FROM {_CELLS} c",
+    "run_summary": f"SELECT * FROM {_SUMMARY} s",
     "timeline": f"SELECT * FROM {_LINE} t",
     "merged_per_step": f"SELECT t, greatest(0, coalesce(done - lag(done) OVER (PARTITION BY CAST(floor(t / 86400.0) AS BIGINT) ORDER BY t), 0)) AS merged FROM {_LINE} l",
     "newest_buckets": f"SELECT t, active FROM {_LINE} l ORDER BY t DESC LIMIT 360",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import shared_folder
 from tessera.streaming import monitor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,10 +32,9 @@ def shaped(e: DataFrame) -> DataFrame:
 def _ended(spark: SparkSession, sf_dir: str, build, mode: str = "append") -> DataFrame:
     """Run ``build(stream)`` over all events now there; its result as a table in the shared folder."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = build(shaped(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")))
+    stream = build(shaped(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")))
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
     if mode == "append":
         writer.format("parquet").start(f"{folder}/out").awaitTermination()
@@ -80,13 +79,12 @@ def stream_log_tail(spark, d):
 
 def stream_upsert(spark, d):
     """Latest status per cell, kept by batches of the stream."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    changes = shaped(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")).select(F.col("cell_key").alias("id"), F.col("event_id").alias("version"), "status")
+    changes = shaped(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet*")).select(F.col("cell_key").alias("id"), F.col("event_id").alias("version"), "status")
     query = monitor.chunk_upsert(changes, f"{folder}/table").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/table/batch={query.lastProgress['batchId']}").select("id", "version", "status")
+    return monitor.latest_chunks(spark, f"{folder}/table", changes.schema).select("id", "version", "status")
 
 
 QUERIES = {
@@ -112,6 +110,7 @@ SQL = {
     "stream_lifecycle": f"SELECT cell_key, attempts, status, round((us - last) / 1e6, 2) AS duration_s FROM (SELECT *, epoch_us(ts) AS us, CAST(count(*) FILTER (status = 'started') OVER (PARTITION BY cell_key ORDER BY ts, event_id) AS INT) AS attempts, max(epoch_us(ts)) FILTER (status = 'started') OVER (PARTITION BY cell_key, island ORDER BY ts, event_id) AS last FROM {_ISLAND} i) t WHERE {FAILS}",
     "stream_timeline": "SELECT CAST(floor(epoch(ts) / 20) AS BIGINT) * 20 AS t, max(event_id % 9) AS active, arg_max(event_id * 2, (ts, event_id)) AS done, arg_max(event_id % 5, (ts, event_id)) AS failed, CAST(round_even(avg(user_id % 101), 0) AS BIGINT) AS cpu, CAST(round_even(avg(user_id % 64), 0) AS BIGINT) AS ram FROM events GROUP BY 1",
     "stream_retries": f"SELECT cell_key, CAST(retry AS INT) AS retry, epoch_us(ts) AS ts_us FROM (SELECT *, row_number() OVER (PARTITION BY cell_key ORDER BY ts, event_id) AS retry FROM {_E} e WHERE status = 'failed' AND third = 0) t WHERE retry <= 2",
+    "stream_ewma": f"SELECT worker, event_id, round(list_reduce(list(duration_s) OVER (PARTITION BY worker ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), lambda a, e: 0.3 * e + 0.7 * a), 6) AS ewma FROM {_E} e WHERE duration_s > 0",
     "stream_run_end": f"SELECT run_id, CAST(d AS INT) AS done, CAST(f AS INT) AS failed FROM (SELECT *, count(*) FILTER (status = 'merged') OVER w AS d, count(*) FILTER (status = 'failed') OVER w AS f FROM {_E} e WHERE {FAILS} WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)) t WHERE d + f = 25",
     "stream_transitions": f"SELECT mover, event_id, before, band FROM (SELECT *, lag(band) {_OVER}) AS before FROM {_E} e) t WHERE before <> band",
     "stream_dwell_penalty": f"SELECT mover, event_id, CAST(step AS BIGINT) AS step, pow(2.0, least(step, 20) - 1) AS penalty FROM (SELECT *, max(step) OVER (PARTITION BY mover, island ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM (SELECT *, floor((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY mover, island)) / 1e6 / 43200.0) + 1 AS step FROM (SELECT *, count(*) FILTER (band = 'soft') {_OVER} ROWS UNBOUNDED PRECEDING) AS island FROM {_E} e) b WHERE band = 'hard') c) f WHERE earlier IS NULL OR step > earlier",

@@ -116,10 +116,7 @@ def list_packs(spark: SparkSession, path: str, cached: DataFrame) -> DataFrame:
     from tessera.operators import coverage, generate
 
     packs = _json(spark, path, PACK).select("region_id", "name", "zoom", "bbox.*")
-    tiles = None
-    for zoom in range(11, 16):  # the zooms that packs come in
-        part = generate.tiles_for_bbox(packs.where(F.col("zoom") == zoom), zoom)
-        tiles = part if tiles is None else tiles.unionByName(part)
+    tiles = generate.tiles_for_bbox(packs, "zoom")
     return packs.join(coverage.coverage(tiles, cached, "region_id"), "region_id", "left")
 
 

@@ -33,13 +33,15 @@ def write_points(rings: DataFrame, path: str) -> None:
     rows.repartition("zone").sortWithinPartitions("zone", "seq").drop("seq").write.mode("overwrite").partitionBy("zone").csv(path, header=True)
 
 
-def run_report(summary: DataFrame, cells: DataFrame, timeline: DataFrame, most: int = 200) -> DataFrame:
-    """One nested row: summary, its ``most`` worst cells and newest 360 buckets."""
+def run_report(summary: DataFrame, cells: DataFrame, timeline: DataFrame, lanes: DataFrame, most: int = 200) -> DataFrame:
+    """One nested row: summary, its ``most`` worst cells, newest 360 buckets, and worker lanes of those cells."""
     from tessera.operators import runs
 
-    top = runs.top_cells(cells, most).agg(F.array_sort(F.collect_list(F.struct("place", "cell_key", "status"))).alias("cells"))
+    worst = runs.top_cells(cells, most)
+    top = worst.agg(F.array_sort(F.collect_list(F.struct("place", "cell_key", "status"))).alias("cells"))
     line = runs.newest(timeline, 360, "t").agg(F.array_sort(F.collect_list(F.struct(*timeline.columns))).alias("timeline"))
-    return summary.select(F.struct(*summary.columns).alias("summary")).join(top).join(line)  # one row each
+    bars = lanes.join(worst.select("cell_key"), "cell_key", "left_semi").agg(F.array_sort(F.collect_list(F.struct("lane", "from", "to", "cell_key"))).alias("lanes"))
+    return summary.select(F.struct(*summary.columns).alias("summary")).join(top).join(line).join(bars)  # one row each
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -1,7 +1,9 @@
 """Live monitoring: cell life cycles, retries, timelines, zone events and penalties as structured streams.
 
-Keyed logic is a fold: a small state per key and a step for each row, in order of event time within
-a micro-batch. State lives in Spark's state store (RocksDB), so a restart goes on from the checkpoint.
+Keyed logic is a fold: a small state per key and a step for each row. Rows are taken in order of event
+time within a micro-batch and as they come between micro-batches; a task holds one key's rows of one
+micro-batch, which the source's rate limit bounds. State lives in Spark's state store (RocksDB), so a
+restart goes on from the checkpoint; it has no time-out: a key's state, a few numbers, stays.
 """
 
 from __future__ import annotations
@@ -9,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.functions import text
 from tessera.operators.plan import upsert
@@ -152,14 +155,31 @@ def timeline(samples: DataFrame) -> DataFrame:
     )
 
 
+BUCKETS = 64
+
+
 def chunk_upsert(stream: DataFrame, path: str, key: str = "id", version: str = "version"):
-    """A writer that keeps the latest row per key in Parquet folders ``path/<batch>``; the newest folder is the table."""
+    """A writer that keeps the latest row per key: each micro-batch writes anew only the buckets of keys that it changes.
+
+    Folders are ``path/batch=<n>/bucket=<k>``; :func:`latest_chunks` reads the newest of each bucket.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, columns = batch.sparkSession, batch.columns
         known = spark.createDataFrame([], batch.schema)
         if batch_id:
-            known = spark.read.schema(batch.schema).parquet(f"{path}/batch={batch_id - 1}")
-        upsert(known, batch.select(*columns), key, version).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            changed = batch.select(bucket).distinct()  # at most BUCKETS rows
+            known = latest_chunks(spark, path, batch.schema, batch_id).join(F.broadcast(changed), "bucket", "left_semi").select(*columns)
+        merged = upsert(known, batch.select(*columns), key, version).select(*columns, bucket)
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write)
+
+
+def latest_chunks(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
+    """The table of :func:`chunk_upsert`, with ``bucket``, as of all micro-batches or of those ``before`` one."""
+    every = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])).parquet(path)
+    seen = every if before is None else every.where(F.col("batch") < before)
+    newest = seen.groupBy("bucket").agg(F.max("batch").alias("batch"))  # at most BUCKETS rows
+    return seen.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("batch")

@@ -144,7 +144,7 @@ def test_systematic(spark):
     assert [r["k"] for r in runs.systematic(df, 10, "k").orderBy("k").collect()] == [1 + i * 10 for i in range(10)]
 
 
-def test_pipelines(spark, sf_dir):
+def test_pipelines(spark, sf_dir, tmp_path):
     nodes = view(spark, sf_dir, "fx_node")
     targets = view(spark, sf_dir, "fx_node_tile").select("x", "y").distinct()
     found, counts = pipelines.bake(nodes, view(spark, sf_dir, "fx_way_ref"), view(spark, sf_dir, "fx_rel_member"), targets)
@@ -153,33 +153,68 @@ def test_pipelines(spark, sf_dir):
     chosen = pipelines.plan_selection(p, view(spark, sf_dir, "fx_zone_vertex"), 45.0, 25.0, 0.3, 16)
     assert chosen.count() > p.count()
     assert pipelines.plan_selection(chosen, view(spark, sf_dir, "fx_zone_vertex"), 45.0, 25.0, 0.3, 16, removing=True).count() <= p.count()
-    cells = view(spark, sf_dir, "fx_cell_box")
-    groups = pipelines.download_plan(cells, view(spark, sf_dir, "fx_cached_tile"), 2, 45.0, 25.0, 0.3, 2000.0)
-    assert groups.agg(F.sum("n_cells")).first()[0] == cells.count()
-    files = view(spark, sf_dir, "fx_region_file").withColumn("sub", F.lit("region"))
-    checked = pipelines.merge_check(files, p, files.select("sub", "reg_x", "reg_z").where("reg_x % 2 = 0"))
-    assert checked.count() == p.count()
-    events = view(spark, sf_dir, "fx_cell_event")
-    samples = view(spark, sf_dir, "events").select("event_id", "ts", F.lit(1).alias("active"), "event_id", F.col("event_id").alias("done"), F.lit(0).alias("failed"), F.lit(1.0).alias("cpu"), F.lit(1.0).alias("ram")).drop("event_id").withColumn("event_id", F.col("done"))
-    report = pipelines.run_report(events, samples, p).first()
-    assert report["summary"]["total"] >= p.count() and len(report["timeline"]) <= 360
-    lock = pipelines.elevation_lock(spark.createDataFrame([(-85.0, -180.0, 85.0, 180.0)], "south double, west double, north double, east double"), view(spark, sf_dir, "fx_raster").select(F.lit(0).alias("z"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.transform("embedding", lambda e: e.cast("double")).alias("h")), 8, zoom=0)
-    assert lock.first()["ok"]
-
-
-@pytest.mark.parametrize("names", [["osm_bake_counts", "zone_band", "repair_counts", "timeline", "plan_grow"]])
-def test_queries_equal_their_sql(spark, sf_dir, names):
-    import duckdb
+    packs = pipelines.pack_status(spark.createDataFrame([("A", 45.0, 25.0, 45.1, 25.1)], "name string, south double, west double, north double, east double"), view(spark, sf_dir, "fx_cached_tile"), 0.3)
+    pipelines.write_packs(packs, str(tmp_path / "packs"))
+    assert spark.read.json(str(tmp_path / "packs")).first()["elevation"]["total"] == packs.first()["total"]
+    outline, _ = pipelines.zone_outlines(spark.createDataFrame([("z", ["ZONE1"])], "zone string, names array<string>"), spark.createDataFrame([("zone1", 1)], "name string, country_id int"), view(spark, sf_dir, "fx_zone_vertex"), 45.0, 25.0, 0.3, 4)
+    assert 3 <= outline.count() <= 4
 
-    from tessera.queries import ORACLE_SQL, QUERIES
+
+def test_repeated_points_count_once_each(spark):
+    square = [(1, k, lon, lat) for k, (lon, lat) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])]
+    rings = spark.createDataFrame(square + [(2, 0, 0.0, 0.0), (2, 1, 1.0, 1.0)], "zone_id int, seq int, lon double, lat double")
+    points = spark.createDataFrame([(0.5, 0.5)] * 3 + [(0.5, 1.5), (-0.1, 0.5)], "lat double, lon double")
+    assert [tuple(r) for r in zones.points_in_zones(points, rings).collect()] == [(0.5, 0.5, 1)] * 3
+
+
+def test_ewma_is_exact(spark):
+    events = spark.createDataFrame([(k % 2, k, k, float(k % 7 + 1)) for k in range(200)], "worker int, ts int, event_id int, duration_s double")
+    for worker, got in ((r["worker"], r["ewma"]) for r in runs.ewma(events, "worker").collect()):
+        mean = None
+        for k in range(worker, 200, 2):
+            mean = k % 7 + 1 if mean is None else 0.3 * (k % 7 + 1) + 0.7 * mean
+        assert abs(got - mean) < 1e-9
+
+
+def duck(sf_dir):
+    import duckdb
 
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
     for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
         con.execute(f"create view {table} as select * from read_parquet('{sf_dir}/{table}.parquet')")
-    for name in names:
-        df = QUERIES[name](spark, sf_dir)
-        cursor = con.execute(ORACLE_SQL[name])
-        columns = [d[0] for d in cursor.description]
-        want = sorted(str(tuple(r[columns.index(c)] for c in df.columns)) for r in cursor.fetchall())
-        assert sorted(str(tuple(r)) for r in df.collect()) == want, name
+    return con
+
+
+def geo_queries():
+    from tessera.queries import ORACLE_SQL
+
+    return sorted(ORACLE_SQL)
+
+
+@pytest.mark.parametrize("name", geo_queries())
+def test_query_equals_its_sql(spark, sf_dir, name):
+    from tessera.queries import ORACLE_SQL, QUERIES
+
+    df = QUERIES[name](spark, sf_dir)
+    cursor = duck(sf_dir).execute(ORACLE_SQL[name])
+    columns = [d[0] for d in cursor.description]
+    assert sorted(columns) == sorted(df.columns)
+    want = sorted(str(tuple(r[columns.index(c)] for c in df.columns)) for r in cursor.fetchall())
+    assert sorted(str(tuple(r)) for r in df.collect()) == want
+
+
+def test_simplified_to_few_points(spark, sf_dir):
+    """The one query without SQL: rings of six points in whole numbers, at most four of them, against a search in plain Python."""
+    from tessera.queries import QUERIES
+
+    got = {}
+    for r in QUERIES["simplify_to"](spark, sf_dir).collect():
+        got.setdefault(r["zone_id"], []).append((r["lat"], r["lon"]))
+    rings = {}
+    for r in view(spark, sf_dir, "fx_zone_vertex").orderBy("seq").collect():
+        rings.setdefault(r["zone_id"], []).append((r["lat"] * 1000, r["lon"] * 1000))
+    assert set(got) == set(rings)
+    for zone, points in rings.items():
+        fewest = next(zones.reduce_line(points, eps / 100) for eps in range(100_000) if len(zones.reduce_line(points, eps / 100)) <= 4)
+        assert got[zone] == [(float(round(a)), float(round(b))) for a, b in fewest]

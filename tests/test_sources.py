@@ -38,6 +38,14 @@ def test_rasters(spark, tmp_path):
     assert [r["y"] for r in readers.tile_catalog(spark, str(tmp_path), 13).collect()] == [5]
 
 
+def test_large_raster(spark, tmp_path):
+    """A tile of the usual size, every pixel."""
+    pixel = lambda x, y: (128 + x % 4, (x * 7 + y) % 256, y)
+    (tmp_path / "z13_x4_y5.png").write_bytes(png([[pixel(x, y) for x in range(256)] for y in range(256)]))
+    h = readers.scan_raster(spark, str(tmp_path)).first()["h"]
+    assert h == [r * 256 + g + b / 256 - 32768 for r, g, b in (pixel(x, y) for y in range(256) for x in range(256))]
+
+
 def test_countries(spark, tmp_path):
     ring = [[0, 0], [1, 0], [1, 1]]
     features = [{"properties": {"name": "Aland"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"properties": {"name": "BLAND"}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring, ring]]}}]
@@ -70,6 +78,8 @@ def test_regions_packs_sources(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps(pack))
     listed = readers.list_packs(spark, str(tmp_path / "p.json"), spark.createDataFrame([(11, 1166, 737)], "z int, x int, y int")).first()
     assert listed["total"] >= 1 and listed["pct"] in (0.0, 50.0, 100.0)
+    (tmp_path / "p.json").write_text(json.dumps(pack | {"zoom": 9}))
+    assert readers.list_packs(spark, str(tmp_path / "p.json"), spark.createDataFrame([(9, 291, 184)], "z int, x int, y int")).first()["pct"] == 100.0
     files = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, None)], "path string, length int, south double")
     assert {r["path"]: r["length"] for r in readers.scan_sources(files).collect()} == {"a": 2, "b": 1}
 
@@ -144,11 +154,23 @@ def test_retries_ends_and_tails(events, tmp_path):
     assert tail.count() == batch.select("cell_id").distinct().count()
 
 
+def test_chunk_upsert_in_batches(spark, tmp_path):
+    """Two micro-batches: the second writes anew only the buckets that it changes."""
+    rows = lambda some: spark.createDataFrame(some, "id long, version long, status string")
+    stream = spark.readStream.schema("id long, version long, status string").parquet(str(tmp_path / "in"))
+    for first, some in enumerate(([(k, 1, "a") for k in range(300)], [(5, 2, "b"), (6, 0, "old"), (300, 1, "new")])):
+        rows(some).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        monitor.chunk_upsert(stream, str(tmp_path / "table")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
+    table = {r["id"]: r["status"] for r in monitor.latest_chunks(spark, str(tmp_path / "table"), stream.schema).collect()}
+    assert table == {k: "a" for k in range(300)} | {5: "b", 300: "new"}
+    assert len(list((tmp_path / "table/batch=1").glob("bucket=*"))) <= 3 < len(list((tmp_path / "table/batch=0").glob("bucket=*")))
+
+
 def test_chunk_upsert(spark, events, tmp_path):
     batch, stream = events
     changes = stream.select((F.col("event_id") % 10).alias("id"), F.col("event_id").alias("version"), "status")
     monitor.chunk_upsert(changes, str(tmp_path / "table")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
-    table = spark.read.parquet(str(tmp_path / "table/batch=0"))
+    table = monitor.latest_chunks(spark, str(tmp_path / "table"), changes.schema)
     assert table.count() == 10 and table.agg(F.min("version")).first()[0] >= 190 - 10
     state = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "id int, version int, v string")
     assert {r["id"]: r["v"] for r in plan.upsert(state, spark.createDataFrame([(1, 2, "c"), (2, 4, "d")], state.schema), "id", "version").collect()} == {1: "c", 2: "b"}
