@@ -103,7 +103,7 @@ def _line(text: str) -> str:
 
 _KNOWN = " UNION ".join(
     f"SELECT {_text(name)} AS license, sha256({_line(_canonical(_text(text)))}) AS digest" for name, text in licenses.KNOWN
-)
+) + "".join(f" UNION SELECT {_text(name)}, {_text(digest)}" for name, _, digest in licenses.DIGESTS)
 _ESCAPED = r"replace(replace(replace(text, '\', '\\'), '<turn:', '<\turn:'), '</turn>', '<\/turn>')"
 _TURNS = rf"""SELECT *, sum(length('<turn:' || url_encode(role) || '>' || {_ESCAPED} || '</turn>') + 1) OVER (PARTITION BY conv_id ORDER BY rn) AS upto FROM (
  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM (
