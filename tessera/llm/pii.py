@@ -16,13 +16,17 @@ KINDS = ("card", "phone", "ip", "iban", "ssn", "date", "email")
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<phone>(?<![0-9A-Za-z.-])(?:\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}"
-    r"|[0-9]{3}(?P<gap>[ .-])[0-9]{3}(?P=gap)[0-9]{4})(?![0-9-]))"
+    r"|(?P<phone>(?<![0-9A-Za-z.+-])(?:\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9]{1,12}){1,6}|\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}"
+    r"|[0-9]{3}(?P<gap>[ .-])[0-9]{3}(?P=gap)[0-9]{4}|0[0-9]{2,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}|[2-9][0-9]{2}[2-9][0-9]{6})(?![0-9-]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<date>(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
     r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
 )
+# Country calling codes of one and two digits; all others have three.
+SHORT_CODES = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
@@ -63,9 +67,7 @@ def iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
-def _parse_date(text: str) -> date | None:
-    parts = [int(x) for x in re.split("[-./]", text)]
-    year, month, day = parts if text[4:5] == "-" else parts[::-1]
+def _date_of(year: int, month: int, day: int) -> date | None:
     try:
         found = date(year, month, day)
     except ValueError:
@@ -73,6 +75,34 @@ def _parse_date(text: str) -> date | None:
     return found if FIRST_DAY <= found.toordinal() <= LAST_DAY else None
 
 
+def _parse_date(text: str) -> tuple[date | None, bool]:
+    """The date, and whether its month stands first: so it is read where the day can't come first."""
+    first, second, third = (int(x) for x in re.split("[-./]", text))
+    if text[4:5] == "-":
+        return _date_of(first, second, third), False
+    found = _date_of(third, second, first)
+    return (found, False) if found else (_date_of(third, first, second), True)
+
+
+def country_code(digits: str) -> str:
+    """The calling code that the digits of an international number begin with."""
+    return next((c for c in SHORT_CODES if digits.startswith(c)), digits[:3])
+
+
+def _american(ten: str) -> bool:
+    """Whether ten digits are a number of the North American plan."""
+    return ten[0] in "23456789" and ten[3] in "23456789"
+
+
+def _phone_parts(text: str) -> tuple[str, str]:
+    """What stays and what is permuted: calling code or leading 0, and the rest. Ten digits without either are of code 1."""
+    digits = re.sub("[^0-9]", "", text)
+    if text[0] == "+":
+        code = country_code(digits)
+        return code, digits[len(code):]
+    return ("0", digits[1:]) if digits[0] == "0" and not re.match(r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$", text) else ("", digits)
+
+
 def valid(kind: str, text: str) -> bool:
     digits = re.sub("[^0-9]", "", text)
     if kind == "card":
@@ -82,7 +112,9 @@ def valid(kind: str, text: str) -> bool:
     if kind == "iban":
         return iban_rest(text.replace(" ", "")) == 1
     if kind == "date":
-        return _parse_date(text) is not None
+        return _parse_date(text)[0] is not None
+    if kind == "phone":  # at most 15 digits by the international plan
+        return len(_phone_parts(text)[1]) >= 5 and 8 <= len(digits) <= 15
     if kind == "ssn":
         return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
     return True
@@ -107,8 +139,12 @@ def pseudonym(kind: str, text: str, key: bytes, inverse: bool = False) -> str:
             body = _digits(body, 10 ** (len(digits) - 1), key, f"card{len(digits)}", inverse)
         return _refill(text, body + luhn_digit(body), "[0-9]")
     if kind == "phone":
-        country, rest = digits[:-10], digits[-10:]
-        return _refill(text, country + _digits(rest, 10**10, key, "phone" + country, inverse), "[0-9]")
+        code, rest = _phone_parts(text)
+        plan = "1" if code in ("", "1") and len(rest) == 10 else code  # one pseudonym whatever the spelling
+        fresh = _digits(rest, 10 ** len(rest), key, f"phone{plan}|{len(rest)}", inverse)
+        while (code == "0" and fresh[0] == "0") != (code == "0" and rest[0] == "0") or (plan == "1" and _american(fresh) != _american(rest)):
+            fresh = _digits(fresh, 10 ** len(rest), key, f"phone{plan}|{len(rest)}", inverse)  # walk on to a number of the same sort
+        return _refill(text, code + fresh, "[0-9]")
     if kind == "ip":
         number = int.from_bytes(bytes(int(x) for x in text.split(".")), "big")
         return ".".join(map(str, permute(number, 1 << 32, key, "ip", inverse).to_bytes(4, "big")))
@@ -122,9 +158,13 @@ def pseudonym(kind: str, text: str, key: bytes, inverse: bool = False) -> str:
             if valid("ssn", digits):
                 return _refill(text, digits, "[0-9]")
     if kind == "date":
-        day = permute(_parse_date(text).toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", inverse)
-        fresh = date.fromordinal(day + FIRST_DAY)
-        return fresh.isoformat() if text[4] == "-" else fresh.strftime(f"%d{text[2]}%m{text[5]}%Y")
+        found, month_first = _parse_date(text)
+        while True:
+            found = date.fromordinal(permute(found.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", inverse) + FIRST_DAY)
+            if not month_first:
+                return found.isoformat() if text[4] == "-" else found.strftime(f"%d{text[2]}%m{text[5]}%Y")
+            if found.day > 12:  # only such dates are read month first
+                return found.strftime(f"%m{text[2]}%d{text[5]}%Y")
     name, _, host = text.rpartition("@")
     return _alike(name, key, "email", inverse) + "@" + host
 
@@ -164,8 +204,10 @@ def rewrite(text: str, key: bytes, inverse: bool = False) -> tuple[str, dict[str
 def pseudonymise(docs: DataFrame, key: bytes, inverse: bool = False) -> DataFrame:
     """``doc_id``, ``text`` with pseudonyms, and ``n_<kind>`` per kind, one row per row of ``docs(doc_id, text)``.
 
-    Kinds: cards (Luhn), phones with country code, IPv4 addresses (octets below 256), IBANs
-    (remainder 97), US social security numbers, dates of 1900-2099 (calendar), e-mail names.
+    Kinds: cards (Luhn), phones (international, of the North American plan, or with a leading 0;
+    a number has one pseudonym with and without +1), IPv4 addresses (octets below 256), IBANs
+    (remainder 97), US social security numbers, dates of 1900-2099 (calendar; month first
+    where the day can't be), e-mail names (hosts stay).
     Each is permuted within its format under ``key``; formatting characters stay, so a value gives
     the same pseudonym wherever it stands, and ``inverse`` restores the text. What fails its
     check stays as it is. A null text stays null with zero counts; whole texts are read; equal rows
