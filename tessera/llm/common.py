@@ -6,6 +6,7 @@ import re
 import tempfile
 from itertools import count
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +76,22 @@ def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
         stars = cut(small.distinct())
     nodes = stars.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return nodes.unionAll(stars.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+
+
+def forest(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest links that connect what the links ``hit[i, j]`` between two chunks connect: at most a node less one."""
+    n = len(left)
+    label = np.arange(n + len(right))
+    while True:
+        new = label.copy()
+        to_right = np.where(hit, label[:n, None], len(label)).min(0, initial=len(label))
+        new[n:] = np.minimum(new[n:], to_right)
+        to_left = np.where(hit, new[None, n:], len(label)).min(1, initial=len(label))
+        new[:n] = np.minimum(new[:n], to_left)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    nodes = np.concatenate((left, right))
+    child = np.flatnonzero(label != np.arange(len(label)))
+    return nodes[child], nodes[label[child]]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut
+from tessera.llm.common import components, cut, forest
 
 THRESHOLD = 0.95
 #: Vectors of a tile's chunk; two chunks meet in one task.
 CHUNK = 4096
-#: Tiles (leaves of a tree of median cuts) at most; their boxes and pairs are what the driver holds.
-MAX_LEAVES = 512
-#: Vectors that the cuts are taken from, drawn by hash. Cuts only balance tiles; every vector is compared.
-CUT_SAMPLE = 20_000
+#: Tiles (leaves of a tree of median cuts) grow in number with the vectors up to this; the driver holds their boxes and near pairs.
+MAX_LEAVES = 8192
+#: Vectors per tile that the cuts are taken from, drawn by hash. Cuts only balance tiles; every vector is compared.
+LEAF_SAMPLE = 32
 #: Dimensions added to the partial products at a time.
 STEP = 16
 #: Room for rounding in bounds; survivors are checked exactly.
@@ -41,21 +41,36 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def principal_axes(vectors: DataFrame, size: int) -> np.ndarray:
-    """Columns: axes of the unit vectors by falling variance. Partitions send one size x size sum each."""
+    """Columns: axes of the unit vectors by falling variance.
+
+    A partition sends its size x size sum in bands of rows, which meet band by band; the driver
+    gets one matrix, 134 MB at 4,096 dimensions.
+    """
+    band = 64
+
+    def packed(bands: Iterable[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        some = [(k, m.tobytes()) for k, m in bands]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([m for _, m in some], pa.binary())], ["band", "m"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
         for batch in batches:
             units = _unit(_matrix(batch["v"], size)) if batch.num_rows else np.zeros((0, size))
             total += units.T @ units
-        cells = np.arange(size * size)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel())], ["cell", "x"])
-
-    rows = vectors.select("v").mapInArrow(sums, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()
-    gram = np.zeros(size * size)
-    for row in rows:
-        gram[row["cell"]] = row["x"]
-    values, axes = np.linalg.eigh(gram.reshape(size, size))
+        yield packed((k, total[k * band : (k + 1) * band]) for k in range(-(-size // band)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, m in zip(batch["band"].to_pylist(), batch["m"], strict=True):
+                part = np.frombuffer(m.as_py()).reshape(-1, size)
+                held[k] = held[k] + part if k in held else part
+        yield packed(held.items())
+
+    gram = np.zeros((size, size))
+    for row in vectors.select("v").mapInArrow(sums, "band int, m binary").repartition("band").mapInArrow(add, "band int, m binary").collect():
+        gram[row["band"] * band : (row["band"] + 1) * band] = np.frombuffer(row["m"]).reshape(-1, size)
+    values, axes = np.linalg.eigh(gram)
     return axes[:, np.argsort(-values)]
 
 
@@ -89,12 +104,7 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame | None, size: int, axes: np
     a_turned, b_turned = a @ axes, b @ axes
     a_tail, b_tail = (np.sqrt(np.maximum(0, np.cumsum((x * x)[:, ::-1], 1)[:, ::-1])) for x in (a_turned, b_turned))
     a_links, b_links = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    edges: list[np.ndarray] = []
 
     tile = 1024
     for i in range(0, len(a), tile):
@@ -114,21 +124,22 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame | None, size: int, axes: np
             p, q = p + i, q + j
             if right is None:
                 p, q = p[p < q], q[p < q]
+            hit = np.zeros((len(x), len(y)), bool)
             for at in range(0, len(p), 1 << 16):  # survivors, exactly
                 pp, qq = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
                 near = (a[pp] * b[qq]).sum(1) >= threshold
                 pp, qq = pp[near], qq[near]
                 np.add.at(a_links, pp, b_copies[qq])
                 np.add.at(b_links if right is not None else a_links, qq, a_copies[pp])
-                for u, v in zip(a_ids[pp].tolist(), b_ids[qq].tolist(), strict=True):
-                    u, v = root(u), root(v)
-                    if u != v:
-                        parent[max(u, v)] = min(u, v)
-    edges = [(x, root(x), 0) for x in parent if root(x) != x]
+                hit[pp - i, qq - j] = True
+            if hit.any():  # what connects the tile's vectors as all its links do
+                edges.append(np.stack(forest(a_ids[i : i + tile], b_ids[j : j + tile], hit), 1))
+    joined = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+    edges_out = [(int(u), int(v), 0) for u, v in joined if u != v]
     counts = [(int(k), int(k), int(n)) for ids, found in ((a_ids, a_links), (b_ids, b_links)) for k, n in zip(ids, found, strict=True) if n]
     if right is None:
         counts = [(int(k), int(k), int(n)) for k, n in zip(a_ids, a_links, strict=True) if n]
-    return pd.DataFrame(edges + counts, columns=["a", "b", "n"], dtype="int64")
+    return pd.DataFrame(edges_out + counts, columns=["a", "b", "n"], dtype="int64")
 
 
 def _chunk(rows: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,9 +153,15 @@ def _links_of_size(distinct: DataFrame, size: int, count: int, threshold: float)
     single = dict(distinct.dtypes)["v"] == "array<float>"
     depth = min(MAX_LEAVES, max(1, count // CHUNK)).bit_length() - 1
     lead = min(size, 8)
-    sample = distinct.orderBy(F.xxhash64("rep")).limit(CUT_SAMPLE).select("v").toPandas()["v"] if depth else []
-    points = _unit(np.array([np.asarray(v, np.float64) for v in sample])) @ axes[:, :lead] if depth else np.zeros((0, lead))
-    tree = median_cuts(points, depth)
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                turned = _unit(_matrix(batch["v"], size)) @ axes[:, :lead]
+                yield pa.RecordBatch.from_arrays([pa.array(turned.tolist(), pa.list_(pa.float64()))], ["p"])
+
+    drawn = distinct.orderBy(F.xxhash64("rep")).limit(LEAF_SAMPLE << depth).select("v").mapInArrow(leading, "p array<double>").toPandas()["p"] if depth else []
+    tree = median_cuts(np.array([np.asarray(p) for p in drawn]).reshape(-1, lead), depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +228,9 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD)
     (smallest vec_id reachable), kept (vec_id = component_id). Cosines are in double precision.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing;
     vectors of different lengths never link. Equal vectors are one vector with copies, which link
-    with each other and with all that one links with. vec_id must be unique and not null; other
-    columns are ignored.
+    with each other and with all that one links with. vec_id must not be null; a repeated one
+    stands for its rows one by one, which share what is said of that vector. Other columns are
+    ignored.
 
     Unit vectors are turned to principal axes; median cuts over the leading ones give compact
     tiles. Pairs of tiles whose boxes are further apart than the threshold allows are never sent.

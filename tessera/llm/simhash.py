@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut
+from tessera.llm.common import components, cut, forest
 
 SHINGLE_WORDS, HASH_SEED = 4, 42
 #: Fingerprints link at so many differing bits at most.
@@ -104,25 +104,6 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _forest(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest links that connect what the links ``hit[i, j]`` between two chunks connect: at most a node less one."""
-    n = len(left)
-    label = np.arange(n + len(right))
-    while True:
-        new = label.copy()
-        to_right = np.where(hit, label[:n, None], len(label)).min(0, initial=len(label))
-        new[n:] = np.minimum(new[n:], to_right)
-        to_left = np.where(hit, new[None, n:], len(label)).min(1, initial=len(label))
-        new[:n] = np.minimum(new[:n], to_left)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    nodes = np.concatenate((left, right))
-    child = np.flatnonzero(label != np.arange(len(label)))
-    return nodes[child], nodes[label[child]]
-
-
 def _linked(a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray) -> np.ndarray:
     """Matrix of links between two sets: pairs whose pivot distances differ too much are discarded, the rest verified."""
     if not len(a) or not len(b):
@@ -168,7 +149,7 @@ def _links_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for start, size in zip(starts[sizes > small], sizes[sizes > small], strict=True):
             some, far, sides = fp[start : start + size], table[start : start + size], side[start : start + size]
             one, two = (sides == 0, sides == 1) if sides.any() else (slice(None), slice(None))
-            a, b = _forest(some[one], some[two], _linked(some[one], some[two], far[one], far[two]))
+            a, b = forest(some[one], some[two], _linked(some[one], some[two], far[one], far[two]))
             found[0].append(a)
             found[1].append(b)
         return emit(*[np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found])
