@@ -342,3 +342,10 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), ""),
     )
     return found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(text)).drop("secret_spans", "secret_tests")
+
+
+def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with the secrets in ``text`` replaced by ``mark``, all columns as they were, those of any name included."""
+    packed = docs.select(F.struct(*docs.columns).alias("secret_row"), "text")
+    clean = redact(find_secrets(packed), mark)
+    return clean.select(*[F.col("text") if c == "text" else F.col("secret_row")[c].alias(c) for c in docs.columns])

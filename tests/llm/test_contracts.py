@@ -289,3 +289,80 @@ def test_mix_is_written_with_its_documents(spark, sf_dir, edge_docs, tmp_path):
                 assert any(" " + " ".join(part) + " " in t for t in texts[p["doc_id"]])
                 got[p["doc_id"]] += len(part)
         assert {d: t for d, t in taken.items() if t} == dict(got)
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of integers (32 bits), longs and texts, given as (size in bytes, value)."""
+    state = 42
+    for size, value in values:
+        if value is not None:
+            state = xxhash.xxh64_intdigest(value.encode() if size is str else value.to_bytes(size, "little", signed=True), state)
+    return state - (1 << 64) if state >> 63 else state
+
+
+def naive_permuted(x, n, keys):
+    for key in keys:
+        other = (key - x) % n
+        if spark_hash((8, key), (8, max(x, other))) & 1:
+            x = other
+    return x
+
+
+def naive_mix(rows, seed=7):
+    """What the mix takes of each row, packed and drawn in plain Python."""
+    docs = [(d, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), spark_hash((str, t))) for d, t, s in rows]
+    sizes = defaultdict(int)
+    for _, s, n, _ in docs:
+        sizes[s] += n
+    want = naive_targets(sizes)
+    out = []
+    for rank, source in enumerate(sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])):
+        mine = [d for d in docs if d[1] == source]
+        count = max(1, -(-sizes[source] // mixing.PART_WORDS))
+        parts = defaultdict(list)
+        for d in mine:
+            parts[spark_hash((4, seed), (8, d[0]), (8, d[2]), (8, d[3])) % count].append(d)
+        blocks, held = [], []
+        for part in sorted(parts):
+            line = []
+            for d in sorted(parts[part], key=lambda d: (spark_hash((4, seed + 1), (8, d[0])), d[0] is not None, d[0] or 0, d[2], d[3])):
+                held.append([d[0], d[2], 0])
+                line += [len(held) - 1] * d[2]
+            blocks += [line[k : k + mixing.BLOCK_WORDS] for k in range(0, len(line), mixing.BLOCK_WORDS)]
+        n = len(blocks)
+        slots = int(want[source] * n / sizes[source] + 0.5) if n else 0
+        for k in range(slots):
+            keys = [spark_hash((4, seed), (4, rank), (8, k // n), (4, r)) % n for r in range(1, mixing.ROUNDS + 1)]
+            for who in blocks[naive_permuted(k % n, n, keys)]:
+                held[who][2] += 1
+        out += [tuple(h) for h in held]
+    return sorted(out, key=str)
+
+
+def test_mixing_against_plain_python(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 3000)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source").unionByName(spark.createDataFrame(EDGES, "doc_id long, text string, source string"))
+    got = sorted([(r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs).collect()], key=str)
+    assert got == naive_mix([tuple(r) for r in docs.collect()])
+
+
+def test_permutations_of_huge_sources(spark):
+    """Indices far past 32 bits: each stays in range, and different ones stay different."""
+    n = 10**12 + 39
+    df = spark.range(n - 2000, n).select(F.col("id").alias("x"), F.lit(n).cast("long").alias("n")).withColumn("keys", mixing.round_keys(7, F.col("n"), F.lit(3)))
+    out = [r["y"] for r in df.select(mixing.permuted(F.col("x"), F.col("n"), F.col("keys")).alias("y")).collect()]
+    assert len(set(out)) == 2000 and min(out) >= 0 and max(out) < n and max(out) - min(out) > n / 2
+    small = spark.range(1000).select(F.col("id").alias("x"), F.lit(1000).cast("long").alias("n")).withColumn("keys", mixing.round_keys(1, F.col("n")))
+    assert sorted(r["y"] for r in small.select(mixing.permuted(F.col("x"), F.col("n"), F.col("keys")).alias("y")).collect()) == list(range(1000))
+
+
+def test_empty_and_repeated_inputs(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/es/"), (1, "http://a.net/es/"), (None, None)], "page_id long, url string")
+    rules = url_filter.rules_frame(spark, queries.URL_RULES)
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+    assert [r["verdict"] for r in url_filter.filter_urls(pages, rules).collect()].count("block") == 2
+    assert {r["verdict"] for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "word " * 40_000)], "conv_id long, turn long, role string, text string")
+    assert chat.digest_examples(chat.format_examples(turns.limit(0))).count() == 0
+    row = chat.digest_examples(chat.format_examples(turns)).first()
+    assert row["n_turns"] == 3 and row["loss_chars"] == 200_000

@@ -76,6 +76,8 @@ def test_licenses(spark):
     got = {r["doc_id"]: (r["license"], r["licenses"], r["n_lines"]) for r in licenses.scan_licenses(docs, licenses.registry(spark)).collect()}
     assert got[1] == ("MIT", "MIT", 0) and got[4] == got[5] == got[6] == (None, "", 0)
     assert got[3] == (None, "Apache-2.0,MIT", 2) and got[7] == ("CC-BY-NC-4.0", "CC-BY-NC-4.0", 1) and got[8][1] == "MIT" and len(got) == len(rows)
+    twice = licenses.scan_licenses(docs.where("doc_id = 3").unionByName(docs.where("doc_id = 3")), licenses.registry(spark)).collect()
+    assert [(r["licenses"], r["n_lines"]) for r in twice] == [("Apache-2.0,MIT", 4)]
     assert licenses.scan_licenses(docs.limit(0), licenses.registry(spark)).count() == 0
 
 
@@ -188,6 +190,23 @@ def test_leaks_of_short_items_of_common_words(spark):
     assert [k for k in range(len(items)) if k not in got[k]] == []
 
 
+def test_leaks_of_paraphrases(spark, sf_dir):
+    """Items with a third of their words but the answer replaced and neighbours swapped, inside long texts: most are found, and found by their answer."""
+    docs, benchmark = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
+    rng = random.Random(9)
+    plain = decontaminate.word_list(docs.where("length(text) > 3000").first()["text"])
+    items = [(r["item_id"], decontaminate.word_list(r["text"])) for r in benchmark.collect()]
+    rows = []
+    for k, words in items:
+        head = [rng.choice(plain) if rng.random() < 0.33 else w for w in words[:-5]]
+        for at in range(0, len(head) - 1, 7):
+            head[at], head[at + 1] = head[at + 1], head[at]
+        rows.append((10_000 + k, " ".join(plain[:150] + head + words[-5:] + plain[150:300])))
+    got = {r["doc_id"]: {h["item_id"] for h in r["hits"]} for r in decontaminate.leaks(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), benchmark).collect()}
+    caught = sum(k in got[10_000 + k] for k, _ in items)
+    assert caught >= 0.9 * len(items), (caught, len(items))
+
+
 def test_answers(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "beta gamma one two zeta eta three four")], "doc_id long, text string")
     docs = docs.unionByName(spark.range(100, 400).select("id", F.lit("other words of no interest").alias("text")).toDF("doc_id", "text"))
@@ -251,6 +270,23 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in queries.QUERIES
 
 
+def test_pipeline_on_edges(spark, sf_dir, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns and an empty table pass all stages."""
+    import corpus_pipeline
+
+    docs = read(spark, sf_dir, "documents")
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", None, 0), (-2, "word " * 20_000, None, "long", None), (-3, "same row", "en", "a", 8), (-3, "same row", "en", "a", 8)], docs.schema)
+    for name in ("secret_spans", "part", "hits", "fp"):
+        docs, odd = docs.withColumn(name, F.lit(1)), odd.withColumn(name, F.lit(1))
+    for k, rows in enumerate((docs.limit(60).unionByName(odd), docs.limit(0))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, rows, sf_dir).write.parquet(f"{tmp_path}/{k}-{name}")
+            rows = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+            assert rows.columns == docs.columns, name
+        mixed = corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir)
+        assert mixed.count() == rows.count() and (k or {-2, -3} <= {r["doc_id"] for r in mixed.collect()})
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="needs the pipeline")
 def test_entry_lists_all(spark):
     import __spark_entry__
