@@ -32,7 +32,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark, and n_chars counted again."""
-    clean = secret_scan.redact(secret_scan.find_secrets(docs))
+    clean = secret_scan.redact_documents(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
