@@ -6,6 +6,7 @@ fold and one for all rows, are fitted side by side. Scoring is one pass over all
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -176,21 +177,28 @@ class ChainModel:
 
     def scorer(self) -> Callable[[str | None], list[float]]:
         """A function from a text to the categories' probabilities, each link fed with those before it."""
-        remembered: dict[str, frozenset[int]] = {}
-        nothing: frozenset[int] = frozenset()
-
-        def terms(word: str) -> frozenset[int]:
-            if len(remembered) >= REMEMBERED:
-                remembered.clear()
-            remembered[word] = found = frozenset(terms_of_word(word) & self.known) or nothing
-            return found
+        telling: dict[str, set[int]] = {}
+        dull: set[str] = set()
 
         def probabilities(text: str | None) -> list[float]:
-            held = nothing.union(*[remembered.get(w) or terms(w) if w not in remembered else remembered[w] for w in words_of(text)])
+            held: set[int] = set()
+            for word in words_of(text) - dull:
+                found = telling.get(word)
+                if found is None:
+                    if len(telling) + len(dull) >= REMEMBERED:
+                        telling.clear()
+                        dull.clear()
+                    found = terms_of_word(word) & self.known
+                    if found:
+                        telling[word] = found
+                    else:
+                        dull.add(word)
+                held |= found
             out: list[float] = []
+            terms = sorted(held)  # so that equal texts get equal sums
             for bias, weights, earlier in self.links:
-                score = bias + sum(weights.get(t, 0.0) for t in sorted(held)) + sum(w * p for w, p in zip(earlier, out, strict=True))
-                out.append(float(_logistic(np.float64(score))))
+                score = bias + sum(weights.get(t, 0.0) for t in terms) + sum(w * p for w, p in zip(earlier, out, strict=True))
+                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, score)))))
             return out
 
         return probabilities
