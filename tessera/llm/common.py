@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import cut, shared_folder
+
+__all__ = ["WORD", "components", "cut", "forest", "read", "shared_folder", "small"]
+
 #: One word: what stands between ASCII spaces, tabs and line ends.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,23 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which all executors see."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))  # one machine: its own folder will do
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs little."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` to be broadcast if it has at most ``most`` rows, which are counted; larger ones are joined as Spark sees fit."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
