@@ -157,6 +157,7 @@ def test_retries_ends_and_tails(events, tmp_path):
 def test_chunk_upsert_in_batches(spark, tmp_path):
     """Two micro-batches: the second writes anew only the buckets that it changes."""
     rows = lambda some: spark.createDataFrame(some, "id long, version long, status string")
+    (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("id long, version long, status string").parquet(str(tmp_path / "in"))
     for first, some in enumerate(([(k, 1, "a") for k in range(300)], [(5, 2, "b"), (6, 0, "old"), (300, 1, "new")])):
         rows(some).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
