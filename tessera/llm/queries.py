@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, embeddings, licenses, mixing, pii, secret_scan, simhash, toxicity, url_filter
 from tessera.llm.common import read

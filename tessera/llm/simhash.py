@@ -16,8 +16,8 @@ from tessera.llm.common import components, cut, forest
 SHINGLE_WORDS, HASH_SEED = 4, 42
 #: Fingerprints link at so many differing bits at most.
 MOST_BITS = 4
-#: Blocks that a key holds at least, and fingerprints per key value that are aimed at.
-LEAST_KEPT, PER_KEY = 1, 8
+#: Blocks that a key holds at least (enough for 20 million fingerprints), and fingerprints per key value that are aimed at.
+LEAST_KEPT, PER_KEY = 2, 8
 #: Reference fingerprints of the distance table, 8 distances to a long.
 PIVOTS = 16
 #: Width of the bands that the distance to the first pivot is cut into: links are in the same band or in neighbouring ones.
