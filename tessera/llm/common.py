@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.lineage import cut, shared_folder
 
-__all__ = ["WORD", "components", "cut", "forest", "read", "shared_folder", "small"]
+__all__ = ["WORD", "components", "cut", "forest", "read", "salted_join", "shared_folder", "small"]
 
 #: One word: what stands between ASCII spaces, tabs and line ends.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,26 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Parts that the rows of a join are dealt into at most where keys are hot, and the fewest rows of such a part.
+HOT_PARTS, HOT_ROWS = 50_000, 10_000
+
+
+def salted_join(many: DataFrame, once: DataFrame, keys: list[str], weight: str, spread: list[str]) -> DataFrame:
+    """Inner join on ``keys``, which are not null and tell the rows of ``once`` apart, without a hot task.
+
+    ``weight`` of ``once`` says how many rows of ``many`` have its key; it is left out of the result.
+    Keys with more than a HOT_PARTS-th of all of them (so fewer than HOT_PARTS keys, which is what
+    makes them fit for a broadcast) are dealt over parts by a hash of ``spread`` and meet copies of
+    their row there. ``once`` is read three times: pass something that has been cut.
+    """
+    part = F.greatest(F.lit(HOT_ROWS), F.ceil(F.sum(weight) / HOT_PARTS)).alias("part_")
+    sized = once.join(F.broadcast(once.agg(part)))
+    hot = sized.where(F.col(weight) > F.col("part_")).select(*keys, F.ceil(F.col(weight) / F.col("part_")).alias("parts_"))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(*spread), "parts_"), F.lit(0)).cast("long"))
+    copies = F.explode_outer(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col(weight) / F.col("part_"))).cast("long") - 1))
+    return dealt.drop("parts_").join(sized.withColumn("salt_", copies).drop("part_", weight), [*keys, "salt_"]).drop("salt_")
+
+
 def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Connected components of undirected edges ``(a, b)``: rows ``(node, root)``, root the smallest node.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, embeddings, licenses, mixing, pii, secret_scan, simhash, toxicity, url_filter
+from tessera.llm import chat, decontaminate, embeddings, licenses, line_dedup, mixing, pii, secret_scan, simhash, toxicity, url_filter
 from tessera.llm.common import read
 
 # The rules of op4 as (verdict, host, path), the conversation added by op7, and the demonstration key of op8.
@@ -64,6 +64,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii_pseudonyms,
         op9_decontamination,
         op10_mixing,
+        op13_line_dedup,
     )
 }
 
@@ -132,4 +137,11 @@ ORACLE_SQL: dict[str, str] = {
  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(upto) FILTER (role = 'assistant' OR rn = n) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op13_line_dedup": f"""WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+ lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM cut),
+ keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_UPPER_LOWER}) AS key FROM lines),
+ shared AS (SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+ marked AS (SELECT k.*, s.key IS NOT NULL AND s.keep <> k.doc_id AS gone FROM keyed k LEFT JOIN shared s ON s.key = k.key)
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+ FROM marked GROUP BY doc_id""",
 }
