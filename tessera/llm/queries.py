@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, embeddings, licenses, line_dedup, mixing, pii, secret_scan, simhash, toxicity, url_filter
+from tessera.llm import chat, decontaminate, embeddings, licenses, line_dedup, mixing, pii, secret_scan, simhash, toxicity, url_filter, whitening
 from tessera.llm.common import read
 
 # The rules of op4 as (verdict, host, path), the conversation added by op7, and the demonstration key of op8.
@@ -64,6 +64,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii_pseudonyms,
         op9_decontamination,
         op10_mixing,
+        op12_embedding_whitening,
         op13_line_dedup,
     )
 }
