@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, embeddings, licenses, line_dedup, mixing, pii, secret_scan, simhash, toxicity, url_filter, whitening
+from tessera.llm import chat, decontaminate, embeddings, licenses, line_dedup, mixing, phrases, pii, secret_scan, simhash, toxicity, url_filter, whitening
 from tessera.llm.common import read
 
 # The rules of op4 as (verdict, host, path), the conversation added by op7, and the demonstration key of op8.
@@ -64,6 +64,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii_pseudonyms,
         op9_decontamination,
         op10_mixing,
+        op11_phrases,
         op12_embedding_whitening,
         op13_line_dedup,
     )
@@ -149,4 +154,19 @@ ORACLE_SQL: dict[str, str] = {
  marked AS (SELECT k.*, s.key IS NOT NULL AND s.keep <> k.doc_id AS gone FROM keyed k LEFT JOIN shared s ON s.key = k.key)
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
  FROM marked GROUP BY doc_id""",
+    "op11_phrases": f"""WITH docs AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), {_UPPER_LOWER}), '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+ pieces AS (SELECT lang, unnest(pieces) AS piece FROM docs),
+ w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+ n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+ f AS MATERIALIZED (SELECT lang, len, phrase, count(*) AS f FROM (
+ SELECT lang, len, unnest(list_transform(range(1, len(w) - len + 2), lambda i: array_to_string(w[i:i + len - 1], ' '))) AS phrase
+ FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS len) ls WHERE len(w) >= len) g GROUP BY lang, len, phrase HAVING count(*) >= 100),
+ parts AS (SELECT lang, phrase, f AS a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp FROM (
+ SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, len)) AS k FROM f WHERE len > 1) p),
+ scored AS (SELECT p.lang, p.phrase, p.a, p.k, l.f AS l, r.f AS r, n.n, CAST(1000 * CAST(p.a AS HUGEINT) * n.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+ FROM parts p JOIN f l ON l.lang = p.lang AND l.phrase = p.lp JOIN f r ON r.lang = p.lang AND r.phrase = p.rp JOIN n ON n.lang = p.lang),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.lang = b.lang AND o.len > len(string_split(b.phrase, ' ')) AND o.f >= b.a AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }
