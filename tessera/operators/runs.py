@@ -172,22 +172,28 @@ def zone_transitions(positions: DataFrame) -> DataFrame:
     return positions.withColumn("before", F.lag("band").over(w)).where(F.col("before").isNotNull() & (F.col("before") != F.col("band")))
 
 
-def dwell_penalty(positions: DataFrame, interval: float = 60.0, base: int = 1, doubles: bool = True, most: int = 20) -> DataFrame:
-    """Penalty steps while a mover stays in the hard band: step floor(dwell / interval) + 1, charged once each.
+def dwell_penalty(positions: DataFrame, interval: float = 60.0, base: int = 1, doubles: bool = True, most: int = 20, end: int | None = None) -> DataFrame:
+    """Penalties of movers that stay in the hard band, up to ``end`` (micros; without it, the last position): ``(mover, at, step, penalty)``.
 
-    Islands of equal band are numbered per mover; an island starts the dwell anew. The exponent is
-    held at ``most``.
+    ``positions(mover, ts, event_id, band, died)``. The first step is charged on entering, the next
+    ones each ``interval`` seconds later, heard of or not, until a row outside the band or a death,
+    which is not charged any more; the next row in the band starts a new dwell. Steps cost
+    base * 2^(step - 1), the exponent held at ``most``, or base * step.
     """
-    w = Window.partitionBy("mover").orderBy("ts", "event_id")
-    turn = F.coalesce((F.lag("band").over(w) != F.col("band")).cast("int"), F.lit(1))
-    island = positions.withColumn("turn", turn).withColumn("island", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    inside = Window.partitionBy("mover", "island")
-    hard = island.where("band = 'hard'").withColumn("step", F.floor((seconds - F.min(seconds).over(inside)) / interval) + 1)
-    earlier = F.max("step").over(inside.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = hard.withColumn("earlier", earlier).where(F.col("earlier").isNull() | (F.col("step") > F.col("earlier")))
+    every = int(interval * 1e6)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = F.coalesce("died", F.lit(False)) | F.coalesce(F.col("band") != "hard", F.lit(True))
+    w = Window.partitionBy("mover").orderBy("us", "event_id")
+    marked = positions.select("mover", us.alias("us"), "event_id", ends.alias("ends"))
+    island = marked.withColumn("island", F.count_if("ends").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spells = island.groupBy("mover", "island").agg(F.min(F.when(~F.col("ends"), F.col("us"))).alias("since"), F.min(F.when(F.col("ends"), F.col("us"))).alias("began"))
+    closed = spells.withColumn("until", F.lead("began").over(Window.partitionBy("mover").orderBy("island"))).where("since is not null")
+    now = F.lit(end) if end is not None else F.col("now")
+    timed = closed if end is not None else closed.join(F.broadcast(marked.agg(F.max("us").alias("now"))))  # one row
+    stay = F.coalesce(F.col("until") - 1, now) - F.col("since")  # the end itself counts, the moment of leaving does not
+    charged = timed.where(stay >= 0).select("mover", "since", F.explode_outer(F.sequence(F.lit(1).cast("long"), F.floor(stay / every) + 1)).alias("step"))
     size = F.pow(F.lit(2.0), F.least(F.col("step"), F.lit(most)) - 1) if doubles else F.col("step").cast("double")
-    return fresh.select("mover", "ts", "event_id", F.col("step").cast("long").alias("step"), (base * size).alias("penalty"))
+    return charged.select("mover", F.timestamp_micros(F.col("since") + (F.col("step") - 1) * every).alias("at"), "step", (base * size).alias("penalty"))
 
 
 def tier_stats(models: DataFrame) -> DataFrame:

@@ -132,8 +132,8 @@ def zone_transitions(spark, d):
 
 
 def dwell_penalty(spark, d):
-    e = view(spark, d, "events").select(F.col("user_id").alias("mover"), "ts", "event_id", F.when(F.col("event_id") % 17 == 0, "soft").otherwise("hard").alias("band"))
-    return runs.dwell_penalty(e, 43200.0).select("mover", "event_id", "step", "penalty")
+    e = view(spark, d, "events").select(F.col("user_id").alias("mover"), "ts", "event_id", F.when(F.col("event_id") % 17 == 0, "soft").otherwise("hard").alias("band"), (F.col("event_id") % 23 == 0).alias("died"))
+    return runs.dwell_penalty(e, 43200.0).select("mover", F.unix_micros("at").alias("at_us"), "step", "penalty")
 
 
 def tier_stats(spark, d):
@@ -150,6 +150,7 @@ QUERIES = {
     )
 }
 
+from tessera.queries.streams import dwells  # noqa: E402
 from tessera.queries.rasters import _DIST, _EB, _inside, _BX, _BZ  # noqa: E402
 
 
@@ -203,6 +204,6 @@ SQL = {
     "top_cells": f"SELECT cell_key, status, CAST(place AS INT) AS place FROM (SELECT cell_key, status, row_number() OVER (ORDER BY CASE WHEN {_FAILS} THEN 0 WHEN status <> 'merged' THEN 1 ELSE 2 END, coalesce(duration_s, 0) DESC, cell_key) AS place FROM {_CELLS} c) t WHERE place <= 40",
     "systematic_sample": "SELECT point_id, kind FROM (SELECT point_id, kind, row_number() OVER (ORDER BY point_id) - 1 AS p FROM fx_point) t WHERE p IN (SELECT CAST(floor(i * n / 64.0) AS BIGINT) FROM range(64) r(i) CROSS JOIN (SELECT count(*) AS n FROM fx_point) c)",
     "zone_transitions": f"SELECT mover, event_id, before, band FROM (SELECT *, lag(band) OVER (PARTITION BY mover ORDER BY ts, event_id) AS before FROM {_BANDED} b) t WHERE before <> band",
-    "dwell_penalty": "SELECT mover, event_id, CAST(step AS BIGINT) AS step, pow(2.0, least(step, 20) - 1) AS penalty FROM (SELECT *, max(step) OVER (PARTITION BY mover, island ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM (SELECT *, floor((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY mover, island)) / 1e6 / 43200.0) + 1 AS step FROM (SELECT *, sum(turn) OVER (PARTITION BY mover ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, coalesce(CAST(lag(band) OVER (PARTITION BY mover ORDER BY ts, event_id) <> band AS INT), 1) AS turn FROM (SELECT user_id AS mover, ts, event_id, CASE WHEN event_id % 17 = 0 THEN 'soft' ELSE 'hard' END AS band FROM events) a) b) c WHERE band = 'hard') e) f WHERE earlier IS NULL OR step > earlier",
+    "dwell_penalty": dwells("(SELECT user_id AS mover, epoch_us(ts) AS us, event_id, CASE WHEN event_id % 17 = 0 THEN 'soft' ELSE 'hard' END AS band, event_id % 23 = 0 AS died FROM events)", 43200000000, "(SELECT max(epoch_us(ts)) FROM events)"),
     "tier_stats": "SELECT coalesce(realm, 'ALL') AS realm, tier, species, variants FROM (SELECT p_brand AS realm, p_size % 3 AS tier, count(DISTINCT p_type) AS species, count(*) AS variants FROM part GROUP BY GROUPING SETS ((p_brand, p_size % 3), (p_size % 3))) t",
 }

@@ -1,6 +1,8 @@
 """Sources and sinks on small files, and streams against their batch twins."""
 
+import datetime
 import json
+import random
 import struct
 import zlib
 
@@ -128,30 +130,97 @@ def rows(df, *columns):
     return sorted(str(tuple(r)) for r in df.select(*columns).collect())
 
 
+def in_time(batch, at="ts"):
+    """What the last watermark, a minute before the last row, has passed."""
+    now = batch.agg(F.max(F.unix_millis("ts"))).first()[0] - 60_000
+    return batch.where(F.unix_micros(at) <= now * 1000), now * 1000
+
+
 def test_streams_equal_batch(events, tmp_path):
     batch, stream = events
+    seen, now = in_time(batch)
     got = run_stream(monitor.zone_transitions(stream), tmp_path, "moves")
-    assert rows(got, "mover", "event_id", "before", "band") == rows(runs.zone_transitions(batch), "mover", "event_id", "before", "band")
-    got = run_stream(monitor.dwell_penalty(stream, 3600.0), tmp_path, "dwell")
-    assert rows(got, "mover", "event_id", "step", "penalty") == rows(runs.dwell_penalty(batch, 3600.0), "mover", "event_id", "step", "penalty")
-    got = run_stream(monitor.timeline(stream), tmp_path, "line", "complete")
-    assert rows(got, "t", "active", "done", "cpu") == rows(runs.timeline(batch), "t", "active", "done", "cpu")
-    got = run_stream(monitor.ewma(stream), tmp_path, "mean").groupBy("worker").agg(F.max_by("ewma", F.struct("event_id")).alias("e"), F.count("*").alias("n"))
-    assert {r["worker"]: r["n"] for r in got.collect()} == {r["worker"]: r["count"] for r in batch.where("duration_s > 0").groupBy("worker").count().collect()}
-    got = run_stream(monitor.lifecycle(stream), tmp_path, "life")
-    assert got.count() == batch.where("status in ('merged', 'failed')").count()
+    assert rows(got, "mover", "event_id", "before", "band") == rows(runs.zone_transitions(seen), "mover", "event_id", "before", "band")
+    died = F.col("event_id") % 11 == 0
+    got = run_stream(monitor.dwell_penalty(stream.withColumn("died", died), 3600.0), tmp_path, "dwell")
+    assert rows(got, "mover", "at", "step", "penalty") == rows(runs.dwell_penalty(seen.withColumn("died", died), 3600.0, end=now), "mover", "at", "step", "penalty")
+    got = run_stream(monitor.timeline(stream), tmp_path, "line")
+    want = runs.timeline(batch).where(F.unix_micros("t") + 20_000_000 <= now)
+    assert rows(got, "t", "active", "done", "cpu") == rows(want, "t", "active", "done", "cpu")
+    got = run_stream(monitor.ewma(stream), tmp_path, "mean").groupBy("worker").agg(F.count("*").alias("n"))
+    assert {r["worker"]: r["n"] for r in got.collect()} == {r["worker"]: r["count"] for r in seen.where("duration_s > 0").groupBy("worker").count().collect()}
+    got = run_stream(monitor.lifecycle(stream, 1e9), tmp_path, "life")
+    assert got.count() == seen.where("status in ('merged', 'failed')").count()
     latest = got.groupBy("cell_key").agg(F.max("attempts").alias("n"))
     assert {r["cell_key"]: r["n"] for r in latest.collect()}.items() <= {r["cell_key"]: r["attempts"] for r in runs.attempts(batch).collect()}.items() or latest.count() == 5
 
 
-def test_retries_ends_and_tails(events, tmp_path):
+@pytest.fixture()
+def delivered(spark, tmp_path):
+    """Rows of three movers, ten seconds apart, in twelve files that are read one by one; rows come up to 50 seconds late, one comes an hour late."""
+    rng = random.Random(5)
+    start = datetime.datetime(2026, 1, 1)
+    made = [(k, k % 3, start + datetime.timedelta(seconds=10 * k), "hard" if k % 13 else "soft", k % 31 == 0, ("queued", "started", "merged", "failed")[k // 3 % 4]) for k in range(240)]
+    order = sorted(made, key=lambda r: (r[2] + datetime.timedelta(seconds=rng.uniform(0, 50)), r[0]))
+    late = (999, 0, start - datetime.timedelta(hours=1), "soft", False, "merged")
+    schema = "event_id long, mover long, ts timestamp, band string, died boolean, status string"
+    for k in range(12):
+        some = order[20 * k : 20 * k + 20] + [late] * (k == 8)
+        spark.createDataFrame(some, schema).withColumn("cell_key", F.col("mover").cast("string")).coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    batch = spark.read.parquet(str(tmp_path / "late")).where("event_id <> 999")
+    return in_time(batch), spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
+
+
+def test_order_holds_across_micro_batches(delivered, tmp_path):
+    (batch, now), stream = delivered
+    got = run_stream(monitor.zone_transitions(stream), tmp_path, "moves_late")
+    assert rows(got, "mover", "event_id", "before", "band") == rows(runs.zone_transitions(batch), "mover", "event_id", "before", "band")
+    got = run_stream(monitor.dwell_penalty(stream, 25.0), tmp_path, "dwell_late")
+    want = rows(runs.dwell_penalty(batch, 25.0, end=now), "mover", "at", "step", "penalty")
+    assert rows(got, "mover", "at", "step", "penalty") == want and len(want) > 60
+    got = run_stream(monitor.lifecycle(stream), tmp_path, "life_late")
+    assert {r["duration_s"] for r in got.where("status = 'merged'").collect()} == {30.0}
+
+
+def test_state_ends_with_silence(spark, tmp_path):
+    """Retries are granted anew to a cell that was silent for long enough, and the state of silent keys goes."""
+    at = lambda s: datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=s)
+    failures = [(k, "a", at(s), "failed", "timeout") for k, s in enumerate((0, 10, 20, 5000, 5010, 5020))] + [(9, "b", at(90_000), "failed", "disk full")]
+    spark.createDataFrame(failures, "event_id long, cell_key string, ts timestamp, status string, reason string").write.parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    got = run_stream(monitor.retries(stream, idle=3600.0), tmp_path, "ended")
+    assert sorted((r["ts"], r["retry"]) for r in got.collect()) == [(at(0), 1), (at(10), 2), (at(5000), 1), (at(5010), 2)]
+    left = spark.read.format("statestore").option("path", str(tmp_path / "cp-ended")).option("stateVarName", "state").load()
+    assert left.count() == 0
+
+
+def test_retries_and_ends(events, tmp_path):
     batch, stream = events
-    again = run_stream(monitor.retries(stream.where("status = 'failed'")), tmp_path, "again")
+    again = run_stream(monitor.retries(stream.where("status = 'failed'"), idle=1e9), tmp_path, "again")
     assert again.groupBy("cell_key").count().where("count > 2").count() == 0 and again.count() > 0
-    ends = run_stream(monitor.run_end(stream), tmp_path, "ends")
+    ends = run_stream(monitor.run_end(stream, 1e9), tmp_path, "ends")
     assert ends.count() == 2 and all(r["done"] + r["failed"] == 20 for r in ends.collect())
-    tail = run_stream(monitor.log_tail(stream), tmp_path, "tail")
-    assert tail.count() == batch.select("cell_id").distinct().count()
+
+
+def test_tail_of_growing_logs(spark, tmp_path):
+    """Two runs: a log that grows by a file goes on where it was, others come new; each line comes once, repeats in a row don't."""
+    first = {"cell-1_-2_4.log": ["ok", "ERROR: out of memory", "ERROR: out of memory", "ok", "ERROR: still missing"], "notes.txt": ["ERROR: not a log"]}
+    second = {"more/cell-1_-2_4.log": ["ERROR: still missing", "ERROR: panicked"], "cell-0_0_4.log": ["ERROR: panicked", "ok", "ERROR: panicked", "ERROR: x"]}
+    got = []
+    for files in (first, second):
+        for name, lines in files.items():
+            (tmp_path / "logs" / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / "logs" / name).write_text("".join(x + "\n" for x in lines))
+        tail = monitor.log_tail(spark, str(tmp_path / "logs"))
+        query = tail.writeStream.format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        query.awaitTermination(120)
+        got.append(sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("cell_key", "place", "line").collect()))
+    assert got[0] == [("1,-2,4", 1, "ERROR: out of memory"), ("1,-2,4", 2, "ERROR: still missing")]
+    assert got[1] == [("0,0,4", 1, "ERROR: panicked"), ("0,0,4", 2, "ERROR: x"), *got[0], ("1,-2,4", 3, "ERROR: panicked")]
+    every = [(cell, n, line) for cell, lines in (("1,-2,4", first["cell-1_-2_4.log"] + second["more/cell-1_-2_4.log"]), ("0,0,4", second["cell-0_0_4.log"])) for n, line in enumerate(lines)]
+    batch = runs.dedupe_runs(spark.createDataFrame(every, "cell_id string, line_no int, line string"))
+    assert sorted((r["cell_id"], r["line"]) for r in batch.collect()) == sorted((k, line) for k, _, line in got[1])
 
 
 def test_chunk_upsert_in_batches(spark, tmp_path):
@@ -165,6 +234,11 @@ def test_chunk_upsert_in_batches(spark, tmp_path):
     table = {r["id"]: r["status"] for r in monitor.latest_chunks(spark, str(tmp_path / "table"), stream.schema).collect()}
     assert table == {k: "a" for k in range(300)} | {5: "b", 300: "new"}
     assert len(list((tmp_path / "table/batch=1").glob("bucket=*"))) <= 3 < len(list((tmp_path / "table/batch=0").glob("bucket=*")))
+    before = monitor.bucket_versions(spark, str(tmp_path / "table"))
+    rows([(5, 3, "c")]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # the next one removes what the second has superseded
+    monitor.chunk_upsert(stream, str(tmp_path / "table")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
+    after = monitor.bucket_versions(spark, str(tmp_path / "table"))
+    assert {v for v in before if v[1] == 0} - set(after) == {(k, 0) for k, b in before if b == 1} and (5, "c") in {(r["id"], r["status"]) for r in monitor.latest_chunks(spark, str(tmp_path / "table"), stream.schema).collect()}
 
 
 def test_chunk_upsert(spark, events, tmp_path):
