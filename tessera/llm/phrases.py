@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,10 @@ from tessera.llm.common import cut, salted_join, small
 PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: Words of a phrase at most, its least occurrences, phrases returned per language, per cent of a phrase that a longer one must cover to replace it.
 LONGEST, LEAST, TOP, COVERED = 5, 100, 2000, 100
-#: Occurrences that a hash partition is meant to get (its summary has a hundredth of that), and hash partitions at least.
-PARTITION_MASS, LEAST_PARTITIONS = 1 << 27, 64
+#: Occurrences that a hash partition is meant to get, and hash partitions at least.
+PARTITION_MASS, LEAST_PARTITIONS = 1 << 25, 64
+#: Counters of a summary, as a multiple of its occurrences divided by the least frequency: more than one, so that few survive that aren't frequent.
+SPARE = 8
 #: Bits of the table of survivors at most (it is broadcast; where it fills up, more is counted exactly, nothing is lost), and per counter.
 MOST_BITS, BITS_PER_COUNTER = 1 << 28, 16
 #: Bytes of text that are cut at a time, counters that a task holds before it sends them, counters of a sent row.
@@ -154,9 +157,9 @@ def summaries(rows: DataFrame, lengths: tuple[int, int], known: Broadcast | None
 def survivors(sent: DataFrame, least: int, partitions: int, bits: int) -> DataFrame:
     """Per hash partition its slice of the table of survivors, packed: bits of all hashes that may have ``least`` occurrences.
 
-    A partition's rows come mass first, so that its summary has a capacity of mass / least + 1
-    counters: what is taken off all of them stays below ``least``, and a hash without a counter, or
-    with one that stays below it with all that was taken off, has fewer occurrences.
+    A partition's rows come mass first, so that its summary has a capacity of SPARE * mass / least + 1
+    counters: what is taken off all of them stays below ``least`` / SPARE, and a hash without a
+    counter, or with one that stays below ``least`` with all that was taken off, has fewer occurrences.
     """
     slice_bits = bits // partitions
     shift = np.uint64(64 - bits.bit_length() + 1)
@@ -168,7 +171,7 @@ def survivors(sent: DataFrame, least: int, partitions: int, bits: int) -> DataFr
 
         def settle() -> None:
             nonlocal off, waiting
-            h, c, taken = reduced(*merged(hs, cs), mass // least + 1)
+            h, c, taken = reduced(*merged(hs, cs), SPARE * mass // least + 1)
             hs[:], cs[:], off, waiting = [h], [c], off + taken, 0
 
         def finish() -> Iterator[pa.RecordBatch]:
@@ -193,22 +196,25 @@ def survivors(sent: DataFrame, least: int, partitions: int, bits: int) -> DataFr
                     hs.append(np.frombuffer(h, np.uint64))
                     cs.append(np.frombuffer(c, np.int64))
                     waiting += len(hs[-1])
-                    if waiting > max(1 << 16, mass // least):
+                    if waiting > max(1 << 16, SPARE * mass // least):
                         settle()
         yield from finish()
 
     return sent.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(merge, "part long, packed binary")
 
 
-def frequent_table(rows: DataFrame, least: int, longest: int, size: int) -> np.ndarray:
+def hash_partitions(least: int, size: int) -> tuple[int, int]:
+    """Hash partitions, and bits of the table of survivors, for texts of at most ``size`` words."""
+    bits = 1 << max(17, min(MOST_BITS, BITS_PER_COUNTER * size // least).bit_length() - 1)
+    return min(1 << max(LEAST_PARTITIONS, -(-size // PARTITION_MASS) - 1).bit_length(), bits // 8), bits
+
+
+def frequent_table(rows: DataFrame, least: int, longest: int, partitions: int, bits: int) -> np.ndarray:
     """Table of hashes that may be frequent, in three goes: words, pairs of such words, longer phrases of such pairs.
 
-    ``size`` is a bound on the words. Every frequent n-gram is in the table; others may be.
+    Every frequent n-gram is in the table; others may be.
     """
     sc = rows.sparkSession.sparkContext
-    partitions = 1 << max(LEAST_PARTITIONS, -(-size // PARTITION_MASS) - 1).bit_length()
-    bits = 1 << max(17, min(MOST_BITS, BITS_PER_COUNTER * size // least).bit_length() - 1)
-    partitions = min(partitions, bits // 8)
     table, known = np.zeros(bits // 8, np.uint8), None
     for lengths in [(1, 1), (2, 2), (3, longest)]:
         if lengths[1] < lengths[0]:
@@ -224,11 +230,11 @@ def frequent_table(rows: DataFrame, least: int, longest: int, size: int) -> np.n
     return table
 
 
-def exact_counts(stretch: Words, longest: int, known: np.ndarray | None) -> tuple[list[bytes], np.ndarray]:
-    """Phrases of a stretch and their occurrences, all its words first, under the empty phrase; a phrase may come more than once."""
-    phrases, counts = [b""], [np.array([stretch.count])]
+def exact_counts(stretch: Words, longest: int, known: np.ndarray | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Phrases of a stretch, their occurrences and hashes, all its words first, under the empty phrase; a phrase may come more than once."""
+    phrases, counts, hashes = [b""], [np.array([stretch.count])], [stretch.hashes[:1]]
     for n, at, h in stretch.grams(longest, known, longest):
-        _, first, inverse, c = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        u, first, inverse, c = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         equal = np.ones(len(at), bool)
         for k in range(n):  # words behind one hash that aren't the same words are counted by themselves
             equal &= stretch.ids[at + k] == stretch.ids[at[first][inverse] + k]
@@ -237,23 +243,55 @@ def exact_counts(stretch: Words, longest: int, known: np.ndarray | None) -> tupl
         starts = np.concatenate((at[first], at[other]))
         phrases += [b" ".join([stretch.words[w] for w in ids]) for ids in stretch.ids[starts[:, None] + np.arange(n)].tolist()]
         counts += [c, np.ones(len(other), np.int64)]
-    return phrases, np.concatenate(counts)
+        hashes += [u, h[other]]
+    return phrases, np.concatenate(counts), np.concatenate(hashes)
 
 
 def counted(rows: DataFrame, least: int, longest: int) -> DataFrame:
-    """``(lang, phrase, f)``, written to the shared folder: exact counts of all phrases of up to ``longest`` words with ``least`` occurrences, and under the phrase '' of all words."""
+    """``(lang, phrase, f)``, written to the shared folder: exact counts of all phrases of up to ``longest`` words with ``least`` occurrences, and under the phrase '' of all words.
+
+    Tasks send what survives in rows of up to ROW phrases of one language and hash partition; a
+    partition's phrases, no more than its summaries have counters, are added up by one task.
+    """
     size = rows.agg(F.sum(F.octet_length("text_"))).first()[0] or 0
-    table = rows.sparkSession.sparkContext.broadcast(frequent_table(rows, least, longest, size // 2 + 1).tobytes())
+    partitions, bits = hash_partitions(least, size // 2 + 1)
+    shift = np.uint64(64 - partitions.bit_length() + 1)
+    table = rows.sparkSession.sparkContext.broadcast(frequent_table(rows, least, longest, partitions, bits).tobytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(table.value, np.uint8)
         for stretch in _stretches(batches):
-            phrases, counts = exact_counts(stretch, longest, known)
-            yield pa.RecordBatch.from_arrays([pa.array([stretch.lang] * len(phrases)), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
+            phrases, counts, hashes = exact_counts(stretch, longest, known)
+            parts = (hashes >> shift).astype(np.int64)
+            order = np.argsort(parts, kind="stable")
+            edges = np.flatnonzero(np.concatenate(([True], np.diff(parts[order]) != 0, [True]))).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                for k in range(a, b, ROW):
+                    some = order[k : min(b, k + ROW)]
+                    blob = b"\n".join([phrases[i] for i in some.tolist()])  # line ends are in no phrase
+                    yield pa.RecordBatch.from_arrays([pa.array([int(parts[some[0]])]), pa.array([stretch.lang]), pa.array([blob], pa.binary()), pa.array([counts[some].tobytes()], pa.binary())], ["part", "lang", "phrases", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: int | None = None
+        held: Counter[tuple[str, bytes]] = Counter()
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            found = [(lang, phrase, f) for (lang, phrase), f in held.items() if f >= least or not phrase]
+            held.clear()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "phrase", "f"])
 
-    found = rows.mapInArrow(count, "lang string, phrase binary, f long")
-    summed = found.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
-    done = cut(summed.where((F.col("f") >= least) | (F.col("phrase") == "")))
+        for batch in batches:
+            for p, lang, phrases, counts in zip(*(batch[k].to_pylist() for k in ("part", "lang", "phrases", "counts")), strict=True):
+                if p != part:
+                    yield from kept()
+                    part = p
+                for phrase, f in zip(phrases.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), strict=True):
+                    held[lang, phrase] += f
+        yield from kept()
+
+    sent = rows.mapInArrow(count, "part long, lang string, phrases binary, counts binary").repartition("part").sortWithinPartitions("part")
+    done = cut(sent.mapInArrow(add, "lang string, phrase binary, f long").withColumn("phrase", F.col("phrase").cast("string")))
     table.destroy()
     return done
 

@@ -132,7 +132,7 @@ def test_words_behind_one_hash_are_counted_apart(monkeypatch):
     text = b"a b c d. a b, a c. e f g h i j k a b; a b c d"
     monkeypatch.setattr(phrases, "_mixed", lambda h: h % np.uint64(7) << np.uint64(61))
     got = Counter()
-    for phrase, f in zip(*phrases.exact_counts(phrases.Words("en", [text]), 3, None), strict=True):
+    for phrase, f, _ in zip(*phrases.exact_counts(phrases.Words("en", [text]), 3, None), strict=True):
         got[phrase.decode()] += int(f)
     want = Counter({"": 21})
     for piece in re.split("[.,;]", text.decode()):
