@@ -230,3 +230,24 @@ def realm_of(lat, lon) -> Column:
     for code, south, north, west, east in reversed(REALM_BOXES):
         out = F.when(col(lat).between(south, north) & col(lon).between(west, east), code).otherwise(out)
     return out
+
+
+#: Masks of the steps that spread 32 bits to every second of 64, as (shift, mask).
+SPREAD = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
+
+
+def z_order(x: Column | str, y: Column | str) -> Column:
+    """Place on the Z-order curve: the bits of x and y (from 0, under 31 bits) in turn, as a long."""
+
+    def spread(v: Column | str) -> Column:
+        out = (F.col(v) if isinstance(v, str) else v).cast("long")
+        for shift, mask in SPREAD:
+            out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask))
+        return out
+
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+
+
+def z_order_of(x: int, y: int) -> int:
+    """:func:`z_order` of two numbers."""
+    return sum((x >> k & 1) << 2 * k | (y >> k & 1) << 2 * k + 1 for k in range(31))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.operators.generate import SIDES
+from tessera.operators.lineage import cut
 
 TILE = ["z", "x", "y"]
 # Least bytes of an elevation and a map tile, most bytes of a uniform one, days that a tile stays fresh.
@@ -73,24 +76,29 @@ def plan_groups(cells: DataFrame, budget_km2: float | None = None, max_depth: in
 
     A group splits at the middle indices of its cells while it has more than one, its depth is
     below the limit and the box around it is larger than the budget. Each level is one aggregate by
-    group, of at most 4 ** level rows, which is sent to all cells; at most ``max_depth`` levels.
+    group, of at most 4 ** level rows, and goes on with the cells of groups that split alone, which
+    the shared folder keeps, so no level is computed again; at most ``max_depth`` levels.
     """
     if budget_km2 is None:
         whole = union_bbox(cells).select(geo.area_km2({s: F.col(s) for s in SIDES}).alias("km2")).first()["km2"]
         budget_km2 = min(whole or DEFAULT_BUDGET_KM2, DEFAULT_BUDGET_KM2)
-    out = cells.withColumn("grp", F.lit(""))
+    frontier = cells.withColumn("grp", F.lit(""))
+    done = []
     for depth in range(max_depth):
-        facts = out.groupBy("grp").agg(
+        facts = frontier.groupBy("grp").agg(
             F.count("*").alias("n"), F.floor((F.min("rx") + F.max("rx") + 1) / 2).alias("mx"), F.floor((F.min("rz") + F.max("rz") + 1) / 2).alias("mz"),
             *[(F.min if s in ("south", "west") else F.max)(s).alias(f"u_{s}") for s in SIDES],
         )
         area = geo.area_km2({s: F.col(f"u_{s}") for s in SIDES})
-        splits = (F.col("n") > 1) & (area > budget_km2) & (F.length("grp") == depth)
-        facts = facts.select("grp", "mx", "mz", splits.alias("splits"))
+        splits = ((F.col("n") > 1) & (area > budget_km2)).alias("splits")
         digit = ((F.col("rx") >= F.col("mx")).cast("int") + 2 * (F.col("rz") >= F.col("mz")).cast("int")).cast("string")
-        joined = out.join(F.broadcast(facts), "grp")  # at most 4 ** max_depth rows
-        out = joined.withColumn("grp", F.when(F.col("splits"), F.concat("grp", digit)).otherwise(F.col("grp"))).drop("mx", "mz", "splits")
-    return out
+        joined = frontier.join(F.broadcast(facts.select("grp", "mx", "mz", splits)), "grp")  # at most 4 ** depth rows
+        level = cut(joined.select(*cells.columns, F.when(F.col("splits"), F.concat("grp", digit)).otherwise(F.col("grp")).alias("grp"), "splits"))
+        done.append(level.where("not splits").drop("splits"))
+        frontier = level.where("splits").drop("splits")
+        if frontier.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, [*done, frontier])
 
 
 def preview_groups(grouped: DataFrame, margin_m: float = 0.0) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +30,13 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever it is; nothing happens if it isn't there."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, which are counted; larger ones are joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

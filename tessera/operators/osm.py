@@ -95,12 +95,12 @@ def elements(nodes: DataFrame, refs: DataFrame, members: DataFrame, targets: Dat
     """
     place = F.struct("ref", "x", "y")
     ways = way_locations(refs, nodes).where("x is not null").groupBy("way_id").agg(F.collect_set(place).alias("places"))
-    touched = ways.withColumn("tile", F.explode(F.array_distinct(F.transform("places", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))))
+    touched = ways.withColumn("tile", F.explode_outer(F.array_distinct(F.transform("places", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))))
     spread = touched.select("way_id", F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), "places")
     emitted = cut(spread.join(targets.select("x", "y"), ["x", "y"], "left_semi").select("way_id", "x", "y", "places"))
     home = nodes.join(targets.select("x", "y"), ["x", "y"], "left_semi").select("x", "y", F.lit("node").alias("kind"), "id")
     away = F.filter("places", lambda p: (p["x"] != F.col("x")) | (p["y"] != F.col("y")))
-    foreign = emitted.select("x", "y", F.explode(F.transform(away, lambda p: p["ref"])).alias("id")).distinct().select("x", "y", F.lit("foreign").alias("kind"), "id")
+    foreign = emitted.select("x", "y", F.explode_outer(F.transform(away, lambda p: p["ref"])).alias("id")).where("id is not null").distinct().select("x", "y", F.lit("foreign").alias("kind"), "id")
     lines = emitted.select("x", "y", F.lit("way").alias("kind"), F.col("way_id").alias("id"))
     relations = relation_tiles(members, emitted.select("way_id", "x", "y"), nodes, targets).select("x", "y", F.lit("relation").alias("kind"), F.col("rel_id").alias("id"))
     return home.unionByName(foreign).unionByName(lines).unionByName(relations)

@@ -95,17 +95,13 @@ def upsert(state: DataFrame, changes: DataFrame, key: str, version: str) -> Data
 def spiral(cells: DataFrame) -> DataFrame:
     """Centre-out order: place (from 1) by ring around the mean, then angle.
 
-    A global order needs global ranks; rows carry keys only. Ranks are taken inside each ring and
-    added to the ring's offset, so the sort is split by ring.
+    A global order needs global ranks; rows carry keys only.
     """
     mean = cells.agg(F.avg("rx").alias("cx"), F.avg("rz").alias("cz"))
     both = cells.join(F.broadcast(mean))  # one row
     dx, dz = F.col("rx") - F.col("cx"), F.col("rz") - F.col("cz")
-    ringed = both.withColumn("ring", F.greatest(F.abs(dx), F.abs(dz))).withColumn("angle", F.atan2(dz, dx))
-    counts = ringed.groupBy("ring").agg(F.count("*").alias("n"))
-    before = counts.select("ring", (F.sum("n").over(Window.orderBy("ring")) - F.col("n")).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("ring").orderBy("angle", "cell_key"))
-    return ringed.withColumn("inner", inner).join(before, "ring").select("cell_key", (F.col("before") + F.col("inner")).alias("place"))
+    ringed = both.select("cell_key", F.greatest(F.abs(dx), F.abs(dz)).alias("ring"), F.atan2(dz, dx).alias("angle"))
+    return global_rank(ringed, "place", "ring", "angle", "cell_key").select("cell_key", "place")
 
 
 def assign_numbers(known: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -67,8 +67,9 @@ def deepest_parent(holes: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def pixels(tiles: DataFrame, width: int) -> DataFrame:
-    """Tiles as rows ``(z, x, y, px, py, h)``, for reports on single pixels."""
-    at = tiles.select("z", "x", "y", F.posexplode("h").alias("at", "h"))
+    """Tiles as rows ``(z, x, y, px, py, h)``, for reports on single pixels; a tile without heights has none."""
+    # outer: else Spark tests the size of the array first, below the projection that makes it, and makes it again for each pixel
+    at = tiles.select("z", "x", "y", F.posexplode_outer("h").alias("at", "h")).where("at is not null")
     return at.select("z", "x", "y", (F.col("at") % width).alias("px"), F.floor(F.col("at") / width).cast("int").alias("py"), "h")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators.ordering import global_rank
+from tessera.operators.lineage import cut, small
+from tessera.operators.ordering import global_rank, nth_value
 
 FAILED = ["failed", "drift", "collision"]
 BUCKET = "20 seconds"
@@ -48,9 +51,9 @@ def run_summary(cells: DataFrame, line: DataFrame) -> DataFrame:
         F.min(F.when(timed, F.col("duration_s"))).alias("cell_fastest_s"), F.max(F.when(timed, F.col("duration_s"))).alias("cell_slowest_s"),
         F.round(F.avg(F.when(timed, F.col("duration_s"))), 1).alias("cell_avg_s"), (F.max("worker") + 1).alias("worker_ids"),
         F.round(F.max(seconds("ended")) - F.min(F.least(seconds("queued"), seconds("started"))), 1).alias("elapsed_s"),
-        # from above, the discrete median is the upper one
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN status = 'merged' AND duration_s > 0 THEN duration_s END DESC)").alias("cell_median_s"),
     )
+    times = cut(cells.where(timed).select("duration_s"))
+    totals = totals.withColumn("cell_median_s", F.lit(nth_value(times, "duration_s", times.count() // 2)).cast("double"))  # the upper of two middle ones
     load = line.agg(
         F.nullif(F.coalesce(F.max("active"), F.lit(0)), F.lit(0)).alias("active_peak"), F.bround(F.avg("cpu")).cast("long").alias("cpu_avg"),
         F.max("cpu").alias("cpu_peak"), F.max("ram").alias("ram_peak"), F.bround(F.avg("ram")).cast("long").alias("ram_avg"),
@@ -96,17 +99,14 @@ def progress(lines: DataFrame) -> DataFrame:
     return lines.select("cell_id", "line_no", F.max(text.progress_step("line")).over(sofar).alias("pct"))
 
 
-#: Events whose weight in an exponential mean is above 1e-300 at alpha = 0.3; older ones change no digit of a double.
-EWMA_EVENTS = 2000
-
-
-def ewma(events: DataFrame, by: str, alpha: float = 0.3, most: int = EWMA_EVENTS) -> DataFrame:
+def ewma(events: DataFrame, by: str, alpha: float = 0.3) -> DataFrame:
     """Exponential mean of positive durations ``(ts, event_id, duration_s)`` in order of time; the first one seeds it.
 
-    Written as a sum over the newest ``most`` events of a group, weighted by how many came after, so
-    no history is held; the limit reaches the tasks before the shuffle. ``most`` suits any
-    alpha of 0.3 or more; give more for less.
+    Written as a sum over the newest events of a group, weighted by how many came after, so no
+    history is held; those whose weight is below 1e-300 change no digit of a double and are left
+    out before the shuffle.
     """
+    most = math.ceil(math.log(1e-300) / math.log1p(-alpha)) if alpha < 1 else 1
     newest_first = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("event_id")))
     ranked = events.where("duration_s > 0").select(by, "ts", "event_id", "duration_s").withColumn("place", newest_first).where(F.col("place") <= most)
     kept = F.pow(F.lit(1 - alpha), F.col("place") - 1)
@@ -139,10 +139,10 @@ def gantt(cells: DataFrame) -> DataFrame:
     ran = cells.where("started is not null and ended is not null and worker is not null")
     seconds = lambda c: F.col(c).cast("timestamp").cast("double")
     span = ran.agg(F.min(seconds("started")).alias("t0"), F.max(seconds("ended")).alias("t1"))
-    lanes = ran.select("worker").distinct().withColumn("lane", F.dense_rank().over(Window.orderBy("worker")) - 1)
+    lanes = small(global_rank(ran.select("worker").distinct(), "lane", "worker").withColumn("lane", (F.col("lane") - 1).cast("int")))
     length = F.greatest(F.lit(1e-6), F.col("t1") - F.col("t0"))
     share = lambda c: F.round((seconds(c) - F.col("t0")) / length, 6)
-    return ran.join(F.broadcast(lanes), "worker").join(F.broadcast(span)).select("cell_key", "lane", share("started").alias("from"), share("ended").alias("to"))
+    return ran.join(lanes, "worker").join(F.broadcast(span)).select("cell_key", "lane", share("started").alias("from"), share("ended").alias("to"))
 
 
 def top_cells(cells: DataFrame, n: int = 200) -> DataFrame:

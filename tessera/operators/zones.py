@@ -1,7 +1,8 @@
 """Points against zones: rays, distance bands, shared borders, priorities; ring simplification.
 
-Rings are tables ``(zone_id, seq, lon, lat)``. Points and rings meet on the squares of a grid first
-(an equi-join), then exactly; no pair further apart than a square is looked at.
+Rings are tables ``(zone_id, seq, lon, lat)``. Points meet a cover of the rings first, in cells as
+large as the rings' edges allow (an equi-join), then the edges of their cell; distances are taken to
+the segments of the few boxes that can hold the nearest one.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ def crosses(lat: Column, lon: Column, edge: Column) -> Column:
 
 
 def usable_edges(vertices: DataFrame) -> DataFrame:
-    """Edges ``(zone_id, lat, lon, lat2, lon2)`` of rings of three points or more, with ``zone_west``, the ring's western end."""
+    """Edges ``(zone_id, lat, lon, lat2, lon2)`` of rings of three points or more, with ``mean_edge``, the ring's mean length of edge in degrees."""
     whole = Window.partitionBy("zone_id")
-    around = edges(vertices, "zone_id").withColumn("points", F.count("*").over(whole)).withColumn("zone_west", F.min("lon").over(whole))
-    return around.where("points >= 3").select("zone_id", "lat", "lon", "lat2", "lon2", "zone_west")
+    length = F.greatest(F.abs(F.col("lat2") - F.col("lat")), F.abs(F.col("lon2") - F.col("lon")))
+    around = edges(vertices, "zone_id").withColumn("points", F.count("*").over(whole)).withColumn("mean_edge", F.avg(length).over(whole))
+    return around.where("points >= 3").select("zone_id", "lat", "lon", "lat2", "lon2", "mean_edge")
 
 
 def rings(vertices: DataFrame) -> DataFrame:
@@ -35,22 +37,90 @@ def rings(vertices: DataFrame) -> DataFrame:
     return usable_edges(vertices).groupBy("zone_id").agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
 
 
-def points_in_zones(points: DataFrame, vertices: DataFrame, step: float = 0.25) -> DataFrame:
+#: Cell sizes in degrees that a ring's cover is made of; a ring has the smallest that is EDGES times its mean edge, or the largest.
+CELL_SIZES, EDGES = (4.0, 0.5, 1 / 16, 1 / 128, 1 / 1024, 1 / 8192), 4.0
+#: Cells of a row that runs of inner cells are cut at, as a power of two, and room for rounding in what an edge touches, in cells.
+RUN_BITS, TOUCH = 6, 1e-6
+#: Where the grid starts, in cells: off round numbers, so that no vertex is on a line of it.
+START = 0.27182818284590454
+
+
+def cell_of(c: Column) -> Column:
+    return F.floor(c / F.col("size") + START)
+
+
+def line_at(g: Column) -> Column:
+    """The western or southern line of cells ``g``."""
+    return (g - START) * F.col("size")
+
+
+def _at_latitude(lat: Column) -> Column:
+    """Where an edge is at a latitude, as :func:`crosses` has it."""
+    return (F.col("lon") - F.col("lon2")) * (lat - F.col("lat2")) / (F.col("lat") - F.col("lat2") + 1e-18) + F.col("lon2")
+
+
+def ring_cover(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rings as cells: border cells with the edges that touch them, and runs of inner cells, which no edge touches.
+
+    The first table has a row per edge and border cell ``(zone_id, size, gx, gy, ref_lat, ref_lon,
+    ref_in, edge)``, with the middle of the cell's eastern line and whether it is inside; the second has runs
+    ``(zone_id, size, gy, block, first, last)`` of cells that are inside whole, cut at blocks of a row.
+    Cells are as small as the ring's edges ask for, so the rows of both are about as many as the
+    vertices, however large the ring is.
+    """
+    size = F.lit(CELL_SIZES[0])
+    for smaller in CELL_SIZES[1:]:
+        size = F.when(F.col("mean_edge") * EDGES <= smaller, smaller).otherwise(size)
+    sized = usable_edges(vertices).withColumn("size", size)
+    low, high = F.least("lat", "lat2"), F.greatest("lat", "lat2")
+    room = F.col("size") * TOUCH
+    rows = sized.withColumn("gy", F.explode(F.sequence(cell_of(low - room), cell_of(high + room))))
+    ends = [F.least(high, F.greatest(low, v)) for v in (line_at(F.col("gy")) - room, line_at(F.col("gy") + 1) + room)]
+    west, east = F.least("lon", "lon2"), F.greatest("lon", "lon2")
+    places = [F.when(high - low < room, v).otherwise(_at_latitude(end)) for v, end in zip((west, east), ends, strict=True)]
+    span = [F.greatest(west, F.least(*places)) - room, F.least(east, F.greatest(*places)) + room]
+    edge = F.struct("lat", "lon", "lat2", "lon2").alias("edge")
+    touched = rows.withColumn("gx", F.explode(F.sequence(cell_of(span[0]), cell_of(span[1])))).select("zone_id", "size", "gx", "gy", edge)
+
+    # whether the middles of border cells' eastern lines are inside: by the crossings east of them on the middle line of their row of cells
+    middle, eastern = line_at(F.col("gy") + 0.5), line_at(F.col("gx") + 1)
+    crossings = rows.where((F.col("lat2") > middle) != (F.col("lat") > middle)).select("zone_id", "size", "gy", _at_latitude(middle).alias("at"), F.lit(None).cast("long").alias("gx"), F.lit(1).alias("crossing"))
+    border = touched.select("zone_id", "size", "gx", "gy").distinct()
+    asked = border.select("zone_id", "size", "gy", eastern.alias("at"), "gx", F.lit(0).alias("crossing"))
+    from_east = Window.partitionBy("zone_id", "size", "gy").orderBy(F.desc("at"), "crossing")
+    known = asked.unionByName(crossings).withColumn("ref_in", F.sum("crossing").over(from_east.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1)
+    # the next border cell to the east: the last one before in this order
+    known = known.withColumn("next", F.last("gx", ignorenulls=True).over(from_east.rowsBetween(Window.unboundedPreceding, -1))).where("crossing = 0")
+
+    refs = known.select("zone_id", "size", "gx", "gy", middle.alias("ref_lat"), F.col("at").alias("ref_lon"), "ref_in")
+    edged = touched.join(refs, ["zone_id", "size", "gx", "gy"])
+    runs = known.where("ref_in and next > gx + 1").withColumn("gx", F.col("gx") + 1)
+    blocks = runs.withColumn("block", F.explode(F.sequence(F.shiftright("gx", RUN_BITS), F.shiftright(F.col("next") - 1, RUN_BITS))))
+    first, last = F.shiftleft("block", RUN_BITS), F.shiftleft(F.col("block") + 1, RUN_BITS) - 1
+    inner = blocks.select("zone_id", "size", "gy", "block", F.greatest("gx", first).alias("first"), F.least(F.col("next") - 1, last).alias("last"))
+    return edged, inner
+
+
+def points_in_zones(points: DataFrame, vertices: DataFrame) -> DataFrame:
     """Pairs ``(point columns, zone_id)`` of points ``(lat, lon)`` inside a zone's ring (holes aren't subtracted).
 
-    A ray east of a point counts the edges it crosses. An edge is sent to the grid squares of its
-    latitudes from its ring's western end to its own eastern one, which are those that such rays
-    start in, and meets their places there, each place once however many points stand on it.
+    Places, each once however many points stand on it, meet the rings' covers (:func:`ring_cover`)
+    on their cell of every cell size. A place in an inner cell is inside. In a border cell, the way
+    east to the cell's edge and along it to the reference point is followed: the place is inside if
+    that point is, but for each edge that the way crosses.
     """
-    square = lambda c: F.floor(c / step)
-    spread = usable_edges(vertices).select(
-        "zone_id", F.struct("lat", "lon", "lat2", "lon2").alias("edge"), F.explode(F.sequence(square(F.col("zone_west")), square(F.greatest("lon", "lon2")))).alias("gx"),
-        F.least("lat", "lat2").alias("low"), F.greatest("lat", "lat2").alias("high"),
-    ).withColumn("gy", F.explode(F.sequence(square(F.col("low")), square(F.col("high")))))
-    places = points.select("lat", "lon").distinct().withColumn("gx", square(F.col("lon"))).withColumn("gy", square(F.col("lat")))
-    met = places.join(spread, ["gx", "gy"]).where(crosses(F.col("lat"), F.col("lon"), F.col("edge")))
-    inside = met.groupBy("lat", "lon", "zone_id").agg(F.count("*").alias("crossed")).where("crossed % 2 = 1")
-    return points.join(inside, ["lat", "lon"]).select(*points.columns, "zone_id")
+    edged, inner = ring_cover(vertices)
+    sizes = F.explode(F.array(*[F.lit(c) for c in CELL_SIZES])).alias("size")
+    places = points.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).distinct().select("p_lat", "p_lon", sizes)
+    placed = places.select("p_lat", "p_lon", "size", cell_of(F.col("p_lon")).alias("gx"), cell_of(F.col("p_lat")).alias("gy"))
+    met = placed.join(edged, ["size", "gx", "gy"]).select("p_lat", "p_lon", "zone_id", "ref_lat", "ref_lon", "ref_in", "edge.*")
+    east = crosses(F.col("p_lat"), F.col("p_lon"), F.struct("lat", "lon", "lat2", "lon2")) & (_at_latitude(F.col("p_lat")) <= F.col("ref_lon"))
+    passed = F.col("lat2") + (F.col("ref_lon") - F.col("lon2")) * (F.col("lat") - F.col("lat2")) / (F.col("lon") - F.col("lon2"))
+    along = F.when((F.col("lon") > F.col("ref_lon")) != (F.col("lon2") > F.col("ref_lon")), (passed > F.col("p_lat")) != (passed > F.col("ref_lat"))).otherwise(False)
+    near = met.groupBy("p_lat", "p_lon", "zone_id").agg(F.count_if(east != along).alias("crossed"), F.first("ref_in").alias("ref_in"))
+    border = near.where((F.col("crossed") % 2 == 1) != F.col("ref_in")).select(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"), "zone_id")
+    within = placed.withColumn("block", F.shiftright("gx", RUN_BITS)).join(inner, ["size", "gy", "block"]).where("gx between first and last").select(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"), "zone_id")
+    return points.join(border.unionByName(within), ["lat", "lon"]).select(*points.columns, "zone_id")
 
 
 def segment_distance(x: Column, z: Column, x1: Column, z1: Column, x2: Column, z2: Column) -> Column:
@@ -76,13 +146,49 @@ def _near(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
     return placed.join(spread, ["gx", "gz"]).withColumn("distance", distance).where(F.col("distance") <= reach)
 
 
+#: Parts of the reach that segments are gathered in.
+PARTS = 16
+
+
+def nearest(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
+    """Points ``(point_id, x, z)`` with the distance to their nearest segment, as far as one is within ``reach`` blocks.
+
+    Segments are gathered by the square that their middle is in, a sixteenth of the reach wide, and
+    the squares' boxes meet the points first. Of the boxes near a point only those go on that can
+    hold something as near as the farthest corner of the best one; their segments are compared.
+    """
+    part = max(reach, 1.0) / PARTS
+    at = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / part)
+    gathered = segments.select("x1", "z1", "x2", "z2", at("x1", "x2").alias("sx"), at("z1", "z2").alias("sz"))
+    sides = {"left": F.min(F.least("x1", "x2")), "right": F.max(F.greatest("x1", "x2")), "low": F.min(F.least("z1", "z2")), "high": F.max(F.greatest("z1", "z2"))}
+    boxes = gathered.groupBy("sx", "sz").agg(*[v.alias(k) for k, v in sides.items()])
+    grid = max(reach, 1.0)
+    ends = lambda a, b: F.sequence(F.floor((F.col(a) - reach) / grid), F.floor((F.col(b) + reach) / grid))
+    spread = boxes.withColumn("gx", F.explode(ends("left", "right"))).withColumn("gz", F.explode(ends("low", "high")))
+    placed = points.withColumn("gx", F.floor(F.col("x") / grid)).withColumn("gz", F.floor(F.col("z") / grid))
+    outside = lambda v, a, b: F.greatest(F.lit(0.0), F.col(a) - F.col(v), F.col(v) - F.col(b))
+    across = lambda v, a, b: F.greatest(F.abs(F.col(v) - F.col(a)), F.abs(F.col(v) - F.col(b)))
+    met = placed.join(spread, ["gx", "gz"]).select(
+        "point_id", "x", "z", "sx", "sz",
+        F.hypot(outside("x", "left", "right"), outside("z", "low", "high")).alias("least"), F.hypot(across("x", "left", "right"), across("z", "low", "high")).alias("most"),
+    ).where(F.col("least") <= reach)
+    bound = met.groupBy("point_id").agg(F.min("most").alias("bound"))
+    open_ = met.join(bound, "point_id").where(F.col("least") <= F.col("bound") * (1 + 1e-12)).select("point_id", "x", "z", "sx", "sz")
+    distance = segment_distance(*[F.col(c) for c in ("x", "z", "x1", "z1", "x2", "z2")])
+    return open_.join(gathered, ["sx", "sz"]).groupBy("point_id").agg(F.min(distance).alias("distance")).where(F.col("distance") <= reach)
+
+
 def zone_band(points: DataFrame, vertices: DataFrame, olat: float, olon: float, scale: float, soft_km: float, hard_km: float, trim_km: float = 5.0) -> DataFrame:
-    """``points(point_id, lat, lon)`` with band: inside, soft, hard, trim or outside the union of all zones, by exact distance."""
+    """``points(point_id, lat, lon)`` with band: inside, soft, hard, trim or outside the union of all zones, by exact distance.
+
+    Only points that are inside no zone have their distance taken. point_id tells points apart.
+    """
     inside = points_in_zones(points, vertices).select(F.col("point_id").alias("in_id")).distinct()
-    placed = points.select("point_id", geo.block_xf("lon", olat, olon, scale).alias("x"), geo.block_zf("lat", olat, scale).alias("z"))
+    flagged = points.join(inside, F.col("point_id") == F.col("in_id"), "left")
+    placed = flagged.where("in_id is null").select("point_id", geo.block_xf("lon", olat, olon, scale).alias("x"), geo.block_zf("lat", olat, scale).alias("z"))
     blocks = [km * 1000.0 * scale for km in (soft_km, hard_km, hard_km + trim_km)]
-    least = _near(placed, _block_edges(vertices, olat, olon, scale), blocks[-1]).groupBy(F.col("point_id").alias("d_id")).agg(F.min("distance").alias("distance"))
-    both = points.join(inside, F.col("point_id") == F.col("in_id"), "left").join(least, F.col("point_id") == F.col("d_id"), "left")
+    least = nearest(placed, _block_edges(vertices, olat, olon, scale), blocks[-1]).select(F.col("point_id").alias("d_id"), "distance")
+    both = flagged.join(least, F.col("point_id") == F.col("d_id"), "left")
     band = F.when(F.col("in_id").isNotNull(), "inside")
     for name, limit in zip(("soft", "hard", "trim"), blocks, strict=True):
         band = band.when(F.col("distance") <= limit, name)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import raster
@@ -48,15 +51,25 @@ def osm_catalog(spark: SparkSession, path: str, zoom: int = 11) -> DataFrame:
     return _catalogue(spark, path, r"osm_g1_z(\d+)_(\d+)_(\d+)\.json$", ["z", "x", "y"], LEAST_MAP).where(F.col("z") == zoom)
 
 
-def scan_raster(spark: SparkSession, path: str) -> DataFrame:
-    """Elevation images as heights row by row; the image source gives bytes as blue, green, red."""
+def scan_raster(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
+    """Elevation images as heights row by row; the image source gives bytes as blue, green, red.
+
+    With ``stride`` k only every k-th pixel of every k-th row becomes a height, and width and height
+    are those of the sample: what :func:`tessera.operators.raster.strided` takes of whole tiles,
+    without the work for the others.
+    """
     images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
     named = [F.regexp_extract("origin", r"z(\d+)_x(\d+)_y(\d+)\.png", k).cast("int").alias(n) for k, n in ((1, "z"), (2, "x"), (3, "y"))]
     byte = lambda i: F.conv(F.hex(F.substring(F.col("data"), i + 1, F.lit(1))), 16, 10).cast("int")
-    pixel = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
+    across, down = ((F.ceil(F.col(c) / stride)).cast("int") for c in ("width", "height"))
+    sample = F.sequence(F.lit(0), across * down - 1)
     channels = F.col("nChannels")
-    heights = F.transform(pixel, lambda p: raster.decode(byte(p * channels + 2), byte(p * channels + 1), byte(p * channels)))
-    return images.select(*named, heights.alias("h"), "width", "height")
+
+    def height(k: Column) -> Column:
+        at = (F.floor(k / across).cast("int") * stride * F.col("width") + k % across * stride) * channels
+        return raster.decode(byte(at + 2), byte(at + 1), byte(at))
+
+    return images.select(*named, F.transform(sample, height).alias("h"), across.alias("width"), down.alias("height"))
 
 
 def scan_countries(spark: SparkSession, path: str) -> DataFrame:
@@ -66,9 +79,9 @@ def scan_countries(spark: SparkSession, path: str) -> DataFrame:
     single = F.array(F.from_json("f.geometry", "coordinates array<array<array<double>>>")["coordinates"])
     multi = F.from_json("f.geometry", "coordinates array<array<array<array<double>>>>")["coordinates"]
     shapes = features.select(F.lower("f.properties.name").alias("name"), F.when(kind == "MultiPolygon", multi).otherwise(single).alias("parts"))
-    parts = shapes.select("name", F.posexplode("parts").alias("part", "rings"))
-    rings = parts.select("name", "part", F.posexplode("rings").alias("ring", "points"))
-    points = rings.select("name", "part", "ring", F.posexplode("points").alias("seq", "p"))
+    parts = shapes.select("name", F.posexplode_outer("parts").alias("part", "rings"))  # outer: the shapes are parsed once
+    rings = parts.select("name", "part", F.posexplode_outer("rings").alias("ring", "points"))
+    points = rings.select("name", "part", "ring", F.posexplode_outer("points").alias("seq", "p")).where("p is not null")
     return points.select("name", "part", "ring", "seq", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
 
 
@@ -96,11 +109,31 @@ def scan_trees(spark: SparkSession, path: str) -> DataFrame:
     return tiered.select("realm", "community", "habitat", "species", F.col("t.tier").alias("tier"), F.explode("t.models").alias("model"))
 
 
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with ``(path, start)``, as a task reads them, with line_no: it rises along a file, however it is split.
+
+    A block's lines are counted from its first byte, and none of them is shorter than a byte.
+    """
+    block, n = None, 0
+    for batch in batches:
+        out = []
+        for at in zip(batch["path"].to_pylist(), batch["start"].to_pylist(), strict=True):
+            block, n = at, n + 1 if at == block else 0
+            out.append(at[1] + n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "line_no"])
+
+
+def log_key(path: str = "path") -> Column:
+    """Cell key of a log called, or in a folder called, ``cell-rx_rz_size.log``; else empty."""
+    return F.translate(F.regexp_extract(path, r"cell-(-?\d+_-?\d+_\d+)\.log", 1), "_", ",")
+
+
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Whole cell logs ``cell-rx_rz_size.log`` as ``(cell_key, log)``."""
-    logs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    key = F.replace(F.regexp_extract("file", r"cell-(-?\d+_-?\d+_\d+)\.log$", 1), F.lit("_"), F.lit(","))
-    return logs.where("file rlike 'cell-.*\\\\.log$'").select(key.alias("cell_key"), F.col("value").alias("log"))
+    """Lines of cell logs ``cell-rx_rz_size.log`` as ``(cell_key, line_no, line)``; line_no rises along a log. No log is held whole."""
+    logs = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = logs.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    shown = lines.where(log_key() != "").mapInArrow(numbered, "line string, path string, start long, line_no long")
+    return shown.select(log_key().alias("cell_key"), "line_no", "line")
 
 
 def scan_regions(spark: SparkSession, path: str) -> DataFrame:

@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import geo
+from tessera.operators.lineage import cut, exists, small
 
-def write_tiles(elements: DataFrame, path: str, salts: int = 1) -> None:
-    """``elements(z, x, y, type, id, ...)`` as Parquet by z and x, sorted by tile; ``salts`` > 1 splits dense tiles over files."""
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts))
-    spread = elements.repartition("z", "x", "y", salt) if salts > 1 else elements.repartition("z", "x", "y")
-    spread.sortWithinPartitions("z", "x", "y", "type", "id").write.mode("overwrite").partitionBy("z", "x").parquet(path)
+
+#: Halvings of the grid that a folder stands for: folders hold blocks of 2^n x 2^n tiles. Regions of a side of a master's folder.
+BLOCK_LEVELS, MASTER_SIDE = 4, 32
+
+
+def write_tiles(elements: DataFrame, path: str, files: int | None = None, levels: int = BLOCK_LEVELS) -> None:
+    """``elements(z, x, y, type, id, ...)`` as Parquet along a space-filling curve: near tiles lie in the same few files.
+
+    Rows are dealt by ranges of (z, place on the curve, id), so a dense tile is split like any
+    other rows, and sorted along the curve, so that row groups hold small boxes. Folders are blocks
+    of ``2^levels`` x ``2^levels`` tiles; :func:`read_tiles` opens those that a box touches.
+    ``files`` is the number of ranges, by default that of the session's shuffles.
+    """
+    curve = geo.z_order("x", "y")
+    placed = elements.withColumn("curve", curve).withColumn("block", F.shiftright("curve", 2 * levels))
+    ranged = placed.repartitionByRange(files, "z", "curve", "id") if files else placed.repartitionByRange("z", "curve", "id")
+    ranged.sortWithinPartitions("z", "curve", "type", "id").write.mode("overwrite").partitionBy("z", "block").parquet(path)
+
+
+def read_tiles(spark: SparkSession, path: str, z: int, west: int, north: int, east: int, south: int, levels: int = BLOCK_LEVELS) -> DataFrame:
+    """Elements of :func:`write_tiles` in the tiles x from ``west`` to ``east`` and y from ``north`` to ``south``.
+
+    Only folders of blocks that the box touches are listed and read; inside, row groups are skipped
+    by their place on the curve and by x and y.
+    """
+    sides = [(v >> levels, w >> levels) for v, w in ((west, east), (north, south))]
+    (bx0, bx1), (by0, by1) = sides
+    low, high = geo.z_order_of(west, north), geo.z_order_of(east, south)  # the curve rises with x and y
+    whole = spark.read.parquet(path).where((F.col("z") == z) & F.col("block").between(low >> 2 * levels, high >> 2 * levels))
+    if (bx1 - bx0 + 1) * (by1 - by0 + 1) <= 1000:
+        whole = whole.where(F.col("block").isin([geo.z_order_of(i, j) for i in range(bx0, bx1 + 1) for j in range(by0, by1 + 1)]))
+    return whole.where(F.col("curve").between(low, high) & F.col("x").between(west, east) & F.col("y").between(north, south)).drop("curve", "block")
 
 
 def tile_json(elements: DataFrame, generator: str) -> DataFrame:
@@ -56,7 +85,21 @@ def world_meta(plan: DataFrame, world: str, lat: float, lon: float, locked: bool
     return plan.agg(merged.alias("merged_cells")).select(F.lit(world).alias("world"), origin.alias("origin"), kept.alias("settings"), "merged_cells")
 
 
-def merge_owned(regions: DataFrame, path: str) -> None:
-    """Rows ``(reg_x, reg_z, ...)`` replace exactly the regions they belong to; all others stay."""
-    writer = regions.repartition("reg_x", "reg_z").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("reg_x", "reg_z").parquet(path)
+def merge_owned(regions: DataFrame, path: str, side: int = MASTER_SIDE) -> None:
+    """Rows ``([sub,] reg_x, reg_z, ...)`` replace exactly the regions they belong to (of their sub-folder); all others stay.
+
+    Regions lie in folders of ``side`` x ``side`` of them. Folders that the rows touch are written
+    anew, with what stays; the new content is in the shared folder first, so a lost executor or a
+    failed write can be repeated.
+    """
+    spark = regions.sparkSession
+    keys = [c for c in ("sub", "reg_x", "reg_z") if c in regions.columns]
+    folder = [F.floor(F.col(c) / side).cast("int").alias(f"folder_{c[-1]}") for c in ("reg_x", "reg_z")]
+    names = ["folder_x", "folder_z"]
+    new = regions.select("*", *folder)
+    if exists(spark, path):
+        held = spark.read.parquet(path).select(*new.columns)
+        touched = small(new.select(*names).distinct())
+        new = new.unionByName(held.join(touched, names, "left_semi").join(new.select(*keys).distinct(), keys, "left_anti"))
+    writer = cut(new).repartition(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*names).parquet(path)

@@ -14,7 +14,6 @@ from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +22,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from tessera.functions import text
 from tessera.operators.lineage import remove
 from tessera.operators.plan import upsert
+from tessera.sources.readers import log_key, numbered
 
 WATERMARK = "1 minute"
 FAILED = ("failed", "drift", "collision")
@@ -234,7 +234,7 @@ class Follow(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         line, place = self.state.get() if self.state.exists() else (None, 0)
         out = []
-        for row in pd.concat(list(rows)).sort_values(["modified", "path", "start", "n"]).itertuples(index=False):
+        for row in pd.concat(list(rows)).sort_values(["modified", "path", "line_no"]).itertuples(index=False):
             if row.line != line:
                 line, place = row.line, place + 1
                 out.append((*key, place, line))
@@ -250,8 +250,7 @@ def log_tail(spark: SparkSession, folder: str, ttl: float | None = None, **optio
 
     A log is a file or folder named ``cell-rx_rz_size.log``; it grows by further files of that name
     (in other folders, or with a suffix), which are read once each, in order of modification. Lines
-    are numbered where they are read, repeats within a file are left out there, and only lines that
-    are surfaced go on. Places count from 1 per log. With ``ttl`` the state of a log that has been
+    are numbered where they are read, and only those that are surfaced go on. Places count from 1 per log. With ``ttl`` the state of a log that has been
     silent for so many seconds ends; that goes by the clock, so such a stream never has nothing to
     do, and needs a trigger other than availableNow. ``options`` go to the file source, such as
     maxFilesPerTrigger.
@@ -259,22 +258,8 @@ def log_tail(spark: SparkSession, folder: str, ttl: float | None = None, **optio
     source = spark.readStream.options(**{"recursiveFileLookup": "true"} | options).text(folder)
     meta = F.col("_metadata")
     lines = source.select(F.col("value").alias("line"), meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.unix_micros(meta["file_modification_time"]).alias("modified"))
-    key = F.translate(F.regexp_extract("path", r"cell-(-?\d+_-?\d+_\d+)\.log", 1), "_", ",")
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, before = 0, None
-        for batch in batches:
-            keep = []
-            for k, (path, line) in enumerate(zip(batch["path"].to_pylist(), batch["line"].to_pylist(), strict=True)):
-                if (path, line) != before:
-                    keep.append(k)
-                    before = path, line
-            kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(range(n, n + len(keep)), pa.int64())], [*batch.schema.names, "n"])
-            n += len(keep)
-
-    shown = lines.where(text.surfaces("line")).mapInArrow(numbered, "line string, path string, start long, modified long, n long")
-    keyed = shown.withColumn("cell_key", key).where("cell_key <> ''")
+    shown = lines.mapInArrow(numbered, "line string, path string, start long, modified long, line_no long").where(text.surfaces("line"))
+    keyed = shown.withColumn("cell_key", log_key()).where("cell_key <> ''")
     return keyed.groupBy("cell_key").transformWithStateInPandas(Follow(None if ttl is None else int(ttl * 1000)), "cell_key string, place long, line string", "Append", "None" if ttl is None else "ProcessingTime")
 
 

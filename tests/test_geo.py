@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
-from tessera.operators import generate, merge, osm, plan, raster, runs, zones
+from tessera.operators import generate, merge, ordering, osm, plan, raster, runs, zones
 from tessera.fixtures import view
 from tessera.operators.ordering import global_rank
 from tessera.plans import pipelines
@@ -218,3 +220,77 @@ def test_simplified_to_few_points(spark, sf_dir):
     for zone, points in rings.items():
         fewest = next(zones.reduce_line(points, eps / 100) for eps in range(100_000) if len(zones.reduce_line(points, eps / 100)) <= 4)
         assert got[zone] == [(float(round(a)), float(round(b))) for a, b in fewest]
+
+
+def test_country_sized_rings(spark):
+    """A coast of 100,000 vertices and its islands: points as by ray casting in numpy, distances as by brute force, rows about as many as vertices."""
+    rng = np.random.default_rng(11)
+    n = 100_000
+    angle = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    rough = sum(np.sin(k * angle + rng.uniform(0, 6)) / k**1.1 for k in rng.integers(2, 4000, 60))
+    radius = 4 + 0.3 * rough + 0.0005 * rng.standard_normal(n)
+    ring = np.stack((10 + radius * np.cos(angle), 47 + 0.7 * radius * np.sin(angle)), 1)
+    square = np.array([(13.0, 47.0), (15.0, 47.0), (15.0, 49.0), (13.0, 49.0)])  # vertices on round numbers, overlapping
+    shapes = {1: ring, 2: square, 3: square[:2]}
+    vertices = spark.createDataFrame(pd.concat([pd.DataFrame({"zone_id": z, "seq": range(len(s)), "lon": s[:, 0], "lat": s[:, 1]}) for z, s in shapes.items()]))
+    edged, inner = zones.ring_cover(vertices)
+    assert edged.count() + inner.count() < 4 * n
+    at = np.concatenate((rng.uniform((4, 42.5), (16, 51.5), (300, 2)), ring[rng.integers(0, n, 300)] + 0.002 * rng.standard_normal((300, 2)), [(13.5, 48.0), (13.0, 48.5), (14.0, 47.0)]))
+    points = spark.createDataFrame(pd.DataFrame({"point_id": range(len(at)), "lat": at[:, 1], "lon": at[:, 0]}))
+    got = {(r["point_id"], r["zone_id"]) for r in zones.points_in_zones(points, vertices).collect()}
+    want = set()
+    for z in (1, 2):
+        (x1, y1), (x2, y2) = np.roll(shapes[z], -1, 0).T, shapes[z].T
+        for k, (lon, lat) in enumerate(at):
+            spans = (y1 > lat) != (y2 > lat)
+            with np.errstate(all="ignore"):
+                if np.count_nonzero(spans & (lon < (x2 - x1) * (lat - y1) / (y2 - y1 + 1e-18) + x1)) % 2:
+                    want.add((k, z))
+    assert got == want and len({k for k, z in want if z == 1}) > 200
+    some = points.where("point_id % 5 = 0").select("point_id", F.col("lon").alias("x"), F.col("lat").alias("z"))
+    segments = vertices.where("zone_id < 3")
+    lines = generate.edges(segments, "zone_id").select("zone_id", F.col("lon").alias("x1"), F.col("lat").alias("z1"), F.col("lon2").alias("x2"), F.col("lat2").alias("z2"))
+    found = {r["point_id"]: r["distance"] for r in zones.nearest(some.select("point_id", (F.col("x") * 1000).alias("x"), (F.col("z") * 1000).alias("z")), lines.select("zone_id", *[(F.col(c) * 1000).alias(c) for c in ("x1", "z1", "x2", "z2")]), 600.0).collect()}
+    for k in range(0, len(at), 5):
+        best = np.inf
+        for z in (1, 2):
+            a, b = 1000 * shapes[z], 1000 * np.roll(shapes[z], -1, 0)
+            d, p = b - a, 1000 * at[k]
+            t = np.clip(((p - a) * d).sum(1) / (d * d).sum(1), 0, 1)
+            best = min(best, np.hypot(*(p - a - t[:, None] * d).T).min())
+        assert (abs(found[k] - best) < 1e-6) if best < 599.9 else best <= 600.1 or k not in found
+
+
+def test_global_rank_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 5000)
+    df = spark.range(120_000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("a"), F.col("id").alias("b"))
+    ranked = global_rank(df, "place", "a", "b").toPandas().sort_values("place")
+    assert (ranked["place"].to_numpy() == np.arange(1, 120_001)).all()
+    pairs = ranked[["a", "b"]].to_numpy()
+    assert ((pairs[1:, 0] > pairs[:-1, 0]) | ((pairs[1:, 0] == pairs[:-1, 0]) & (pairs[1:, 1] > pairs[:-1, 1]))).all()
+
+
+def test_values_by_place(spark):
+    rng = np.random.default_rng(1)
+    for values in (rng.standard_normal(20_000) * 1e3, np.exp(rng.standard_normal(20_000) * 40), np.repeat([1.5, 2.0, 7.0], 4000), np.r_[-1.7e308, rng.uniform(0, 1, 9000), 1.7e308]):
+        df = spark.createDataFrame(pd.DataFrame({"v": values})).unionByName(spark.createDataFrame([(None,)], "v double"))
+        for place in (0, len(values) // 2, len(values) - 1):
+            assert ordering.nth_value(df, "v", place) == np.sort(values)[place]
+        assert ordering.nth_value(df, "v", len(values)) is None
+    assert ordering.nth_value(df.limit(0), "v", 0) is None
+
+
+def test_pixels_are_made_once(spark, sf_dir):
+    """No filter looks at the size of an array that is computed below it."""
+    from tessera.queries import QUERIES
+
+    for name in ("hillshade", "overzoom", "downsample"):
+        plan_ = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(transform" not in plan_, name
+
+
+def test_space_filling_curve(spark):
+    pairs = [(0, 0), (1, 0), (0, 1), (2047, 1023), (2**30, 2**30 + 5), (123456, 654321)]
+    got = spark.createDataFrame(pairs, "x int, y int").select("x", "y", geo.z_order("x", "y").alias("k")).collect()
+    assert all(r["k"] == geo.z_order_of(r["x"], r["y"]) for r in got)
+    assert [geo.z_order_of(x, y) for x, y in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0))] == [0, 1, 2, 3, 4]

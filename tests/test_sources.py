@@ -9,7 +9,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import plan, runs
+from tessera.fixtures import view
+from tessera.operators import plan, raster, runs
 from tessera.sources import readers, writers
 from tessera.streaming import monitor
 
@@ -48,6 +49,57 @@ def test_large_raster(spark, tmp_path):
     assert h == [r * 256 + g + b / 256 - 32768 for r, g, b in (pixel(x, y) for y in range(256) for x in range(256))]
 
 
+def test_survey_from_image_files(spark, tmp_path):
+    """Only the pixels of the stride are decoded, and the survey, facts and hole test are those of whole tiles."""
+    for k, (w, h) in enumerate(((256, 256), (50, 37), (8, 8))):
+        (tmp_path / f"z13_x{k}_y5.png").write_bytes(png([[(128 + (x * y + k) % 3, (x * 7 + y) % 256, y % 256) for x in range(w)] for y in range(h)]))
+    (tmp_path / "z13_x9_y5.png").write_bytes(png([[(0, 0, 0)] * 64] * 64))
+    for stride in (8, 32):
+        sample = {r["x"]: r for r in readers.scan_raster(spark, str(tmp_path), stride).collect()}
+        for r in readers.scan_raster(spark, str(tmp_path)).collect():
+            some = [h for at, h in enumerate(r["h"]) if at // r["width"] % stride == 0 and at % r["width"] % stride == 0]
+            assert sample[r["x"]]["h"] == some and sample[r["x"]]["width"] * sample[r["x"]]["height"] == len(some)
+    whole, sampled = (readers.scan_raster(spark, str(tmp_path), k).where("x in (0, 9)") for k in (1, 8))
+    square = whole.where("x = 0")
+    assert raster.survey(sampled.where("x = 0"), 1, 1).collect() == raster.survey(square, 256, 8).collect()
+    assert raster.tile_info(sampled, 1, 1).where("x = 0").collect() == raster.tile_info(square, 256, 8).collect()
+    assert {r["x"]: r["hole"] for r in sampled.select("x", raster.is_hole("h", 1).alias("hole")).collect()} == {0: False, 9: True}
+
+
+def test_tiles_along_the_curve(spark, tmp_path):
+    """A box of tiles is read from under a tenth of the files; a dense tile is split over several; rows are all there."""
+    dense = spark.range(20_000).select(F.lit(11).alias("z"), F.lit(1170).alias("x"), F.lit(730).alias("y"), F.lit("node").alias("type"), F.col("id"))
+    nodes = view(spark, "/root/testdata/sf0.1", "fx_node_tile").select(F.lit(11).alias("z"), "x", "y", F.lit("node").alias("type"), F.col("id") + 10**6)
+    rows = dense.unionByName(nodes.toDF("z", "x", "y", "type", "id"))
+    path = str(tmp_path / "tiles")
+    writers.write_tiles(rows, path, files=16, levels=1)
+    assert spark.read.parquet(path).count() == rows.count()
+    spans = rows.agg(F.min("x"), F.min("y")).first()
+    box = (spans[0] + 2, spans[1] + 2, spans[0] + 4, spans[1] + 3)
+    got = writers.read_tiles(spark, path, 11, *box, levels=1)
+    inside = F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3])
+    assert sorted(map(tuple, got.select("x", "y", "id").collect())) == sorted(map(tuple, rows.where(inside).select("x", "y", "id").collect())) and got.count() > 0
+    files = len(list((tmp_path / "tiles").rglob("*.parquet")))
+    read = {r["f"] for r in got.select(F.input_file_name().alias("f")).distinct().collect()}
+    scanned = got._jdf.queryExecution().executedPlan().toString()
+    assert len(read) * 10 < files and "PartitionFilters" in scanned and "block" in scanned.split("PartitionFilters")[1][:400]
+    split = spark.read.parquet(path).where("x = 1170 and y = 730").select(F.input_file_name()).distinct().count()
+    assert split > 1
+
+
+def test_owned_regions_replace_themselves_alone(spark, tmp_path):
+    path = str(tmp_path / "master")
+    regions = lambda some: spark.createDataFrame(some, "sub string, reg_x int, reg_z int, v int")
+    writers.merge_owned(regions([("region", x, z, 1) for x in range(-40, 40, 5) for z in range(-40, 40, 5)] + [("entities", 0, 0, 1)]), path)
+    writers.merge_owned(regions([("region", 0, 0, 2), ("region", 0, 0, 3), ("region", 90, 0, 2)]), path)
+    got = {}
+    for r in spark.read.parquet(path).collect():
+        got.setdefault((r["sub"], r["reg_x"], r["reg_z"]), []).append(r["v"])
+    assert sorted(got.pop(("region", 0, 0))) == [2, 3] and got.pop(("region", 90, 0)) == [2]
+    assert set(map(tuple, got.values())) == {(1,)} and len(got) == 16 * 16 and ("entities", 0, 0) in got
+    assert len(list((tmp_path / "master").glob("folder_x=*/folder_z=*"))) < 20
+
+
 def test_countries(spark, tmp_path):
     ring = [[0, 0], [1, 0], [1, 1]]
     features = [{"properties": {"name": "Aland"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"properties": {"name": "BLAND"}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring, ring]]}}]
@@ -66,8 +118,12 @@ def test_plan_trees_logs_worlds(spark, tmp_path):
     assert {tuple(r) for r in models.select("tier", "model").collect()} == {("w1", "a"), ("w1", "b"), ("w2", "c")}
     assert runs.tier_stats(models).where("realm = 'ALL' and tier = 'w1'").first()["variants"] == 2
     (tmp_path / "logs").mkdir()
-    (tmp_path / "logs/cell--1_2_4.log").write_text("a\nb")
-    assert tuple(readers.scan_logs(spark, str(tmp_path / "logs")).first()) == ("-1,2,4", "a\nb")
+    (tmp_path / "logs/cell--1_2_4.log").write_text("a\nb\n\n" + "".join(f"{k}\n" for k in range(500)))
+    (tmp_path / "logs/other.log").write_text("not a cell's")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300)  # so that the log is read in many blocks
+    got = sorted(map(tuple, readers.scan_logs(spark, str(tmp_path / "logs")).collect()), key=lambda r: r[1])
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r[0] for r in got} == {"-1,2,4"} and len({r[1] for r in got}) == len(got) and [r[2] for r in got] == ["a", "b", ""] + [str(k) for k in range(500)]
     (tmp_path / "w.json").write_text('{"world": "w", "origin": {"lat": 1.0, "lon": 2.0, "locked": true}, "merged_cells": ["1,1,4"]}')
     assert readers.read_world_meta(spark, str(tmp_path / "w.json")).first()["origin"]["locked"]
 
@@ -88,8 +144,9 @@ def test_regions_packs_sources(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(11, 1, 1, "node", 5), (11, 1, 2, "way", 6), (11, 2, 1, "node", 7)], "z int, x int, y int, type string, id long")
-    writers.write_tiles(rows, str(tmp_path / "tiles"), salts=2)
+    writers.write_tiles(rows, str(tmp_path / "tiles"))
     assert spark.read.parquet(str(tmp_path / "tiles")).count() == 3
+    assert {tuple(r) for r in writers.read_tiles(spark, str(tmp_path / "tiles"), 11, 1, 2, 1, 2).collect()} == {(1, 2, "way", 6, 11)}
     docs = {(r["x"], r["y"]): json.loads(r["value"]) for r in writers.tile_json(rows, "g").collect()}
     assert docs[(1, 2)]["elements"] == [{"type": "way", "id": 6}]
     ring = spark.createDataFrame([("a", 1, 10, 20, 1.23456789, 2.0), ("a", 0, 11, 21, 1.0, 2.0)], "zone string, seq int, x int, z int, lon double, lat double")
