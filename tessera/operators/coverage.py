@@ -43,7 +43,7 @@ def cells_served(covering: DataFrame, tiles: DataFrame) -> DataFrame:
 
 def is_fresh(size, age_days, tail) -> Column:
     """A tile file is fresh: more than 2 bytes, younger than 30 days, and its text ends in a brace."""
-    return (geo.col(size) > 2) & (geo.col(age_days) < FRESH_DAYS) & F.rtrim(geo.col(tail)).endswith("}")
+    return (geo.col(size) > 2) & (geo.col(age_days) < FRESH_DAYS) & F.rtrim(geo.col(tail), F.lit(" \t\n\x0b\x0c\r")).endswith("}")
 
 
 def is_junk(size) -> Column:

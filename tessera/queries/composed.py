@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.fixtures import view
 from tessera.functions import geo
-from tessera.operators import coverage, generate, raster
+from tessera.operators import coverage, generate, raster, zones
 from tessera.operators.lineage import shared_folder
 from tessera.operators.plan import PLAN
 from tessera.plans import pipelines
@@ -59,7 +59,7 @@ def plan_selection(spark, d):
 
 def download_plan(spark, d):
     fresh = F.col("x") % 4 != 0
-    catalogue = view(spark, d, "fx_cached_tile").select("z", "x", "y", F.lit(900).alias("size"), F.when(fresh, 3).otherwise(90).alias("age_days"), F.lit("}").alias("tail"))
+    catalogue = view(spark, d, "fx_cached_tile").select("z", "x", "y", F.when(F.col("y") % 11 == 0, 2).otherwise(900).alias("size"), F.when(fresh, 3).otherwise(90).alias("age_days"), F.when(F.col("y") % 13 == 0, "]").otherwise("} \n").alias("tail"))
     return pipelines.download_plan(view(spark, d, "fx_cell_box"), catalogue, 2, OLAT, OLON, SCALE, 3000.0)
 
 
@@ -85,9 +85,16 @@ def run_report(spark, d):
     from tessera.queries.runs import _samples
 
     report = pipelines.run_report(view(spark, d, "fx_cell_event"), _samples(spark, d), _plan(spark, d))
-    total = lambda f: F.aggregate("timeline", F.lit(0).cast("long"), lambda n, b: n + b[f])
+    lines = lambda of, *parts: F.array_join(F.transform(of, lambda r: F.concat_ws(":", *[p(r) for p in parts])), ";").alias(of)
+    part = lambda name: lambda r: r[name].cast("string")
+    share = lambda name: lambda r: F.round(r[name] * 10000).cast("long").cast("string")
+    nested = [
+        lines("cells", part("place"), part("cell_key"), part("status")),
+        lines("timeline", lambda r: F.unix_seconds(r["t"].cast("timestamp")).cast("string"), *map(part, ("active", "done", "failed", "cpu", "ram", "merged"))),
+        lines("lanes", part("lane"), part("cell_key"), share("from"), share("to")),
+    ]
     names = ("total", "merged", "failed", "incomplete", "retries", "cell_median_s", "elapsed_s", "workers_peak", "cpu_avg", "ram_peak")
-    return report.select(*[F.col(f"summary.{n}").alias(n) for n in names], F.size("cells").alias("n_cells"), F.size("timeline").alias("buckets"), total("merged").alias("steps"), F.size("lanes").alias("n_lanes"))
+    return report.select(*[F.col(f"summary.{n}").alias(n) for n in names], *nested)
 
 
 def _zones(spark, d):
@@ -103,9 +110,12 @@ def zone_points(spark, d):
 
 
 def zone_outlines(spark, d):
-    """Outlines in whole blocks; the target is above the rings' points, so that SQL can follow."""
-    outline = pipelines.zone_outlines(*_zones(spark, d), OLAT, OLON, SCALE, 7)[0]
-    return outline.select("zone_id", "seq", "x", "z", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    """Outlines of at most four points in whole blocks, and the vertices on shared borders."""
+    spec, countries, borders = _zones(spark, d)
+    uneven = borders.withColumns({"lon": F.col("lon") + F.col("seq") * 0.002, "lat": F.col("lat") + F.col("seq") % 3 * 0.003})  # so that no two points are as far off
+    outline, shared = pipelines.zone_outlines(spec, countries, uneven, OLAT, OLON, SCALE, 4)
+    shown = outline.select("zone_id", "seq", "x", "z", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    return shown.unionByName(shared.select("zone_id", "seq", "other_id"), allowMissingColumns=True)
 
 
 def raster_repair(spark, d):
@@ -164,7 +174,7 @@ def _quadtree(cells, budget, levels=6):
 
 _SEAM = "(SELECT cell_key, rx, rz, " + ", ".join(f"{c} AS {s}" for s, c in coords._EXP.items()) + " FROM fx_cell_box)"
 _SEAM_TILES = f"(SELECT cell_key, grp, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT *, unnest(range({coords._ty('north', 11)}, {coords._ty('south', 11)} + 1)) AS y FROM (SELECT *, unnest(range({coords._tx('west', 11)}, {coords._tx('east', 11)} + 1)) AS x FROM q6) a) b)"
-_FRESH = "(SELECT x, y FROM fx_cached_tile WHERE x % 4 <> 0)"
+_FRESH = "(SELECT x, y FROM fx_cached_tile WHERE x % 4 <> 0 AND y % 11 <> 0 AND y % 13 <> 0)"
 #: Douglas-Peucker on rings of six points: intervals, each split at its farthest point while that is further off than ``eps``.
 _DEEP_SPLIT = """keep AS (WITH RECURSIVE v AS MATERIALIZED (SELECT zone_id, seq, {lon} AS lon, {lat} AS lat FROM fx_zone_vertex),
  s(zone_id, a, b) AS (SELECT zone_id, min(seq), max(seq) FROM v GROUP BY zone_id UNION ALL
@@ -173,6 +183,26 @@ _DEEP_SPLIT = """keep AS (WITH RECURSIVE v AS MATERIALIZED (SELECT zone_id, seq,
  FROM s JOIN v ON v.zone_id = s.zone_id AND v.seq > s.a AND v.seq < s.b JOIN v p ON p.zone_id = s.zone_id AND p.seq = s.a JOIN v q ON q.zone_id = s.zone_id AND q.seq = s.b) s
  JOIN v ON v.zone_id = s.zone_id AND v.seq = s.seq JOIN v p ON p.zone_id = s.zone_id AND p.seq = s.a JOIN v q ON q.zone_id = s.zone_id AND q.seq = s.b) s JOIN v ON v.zone_id = s.zone_id AND v.seq = s.seq GROUP BY s.zone_id, s.a, s.b) f WHERE far > {eps})
  SELECT zone_id, a AS seq FROM s UNION SELECT zone_id, b FROM s)"""
+
+
+def _few(lon, lat, target):
+    """Common table expressions ending in ``few``: rings of six points with ``target`` of them at most.
+
+    A point stays as long as the tolerance is below all distances on its way down the splits; so the
+    least tolerance on the grid of halvings is the next one from the first of those distances that has to go.
+    """
+    width = f"({zones.MOST_TOLERANCE} / {1 << zones.HALVINGS})"
+    return f"""v AS MATERIALIZED (SELECT zone_id, seq, {lon} AS lon, {lat} AS lat FROM fx_zone_vertex),
+ worth AS MATERIALIZED (WITH RECURSIVE s(zone_id, a, b, least_far) AS (SELECT zone_id, min(seq), max(seq), 1e300 FROM v GROUP BY zone_id UNION ALL
+ SELECT zone_id, unnest([a, k]), unnest([k, b]), least(least_far, far) FROM (SELECT s.zone_id, s.a, s.b, s.least_far, arg_max(v.seq, (d, -v.seq)) AS k, max(d) AS far FROM (SELECT s.*, sqrt(pow(v.lat - p.lat - t * (q.lat - p.lat), 2) + pow(v.lon - p.lon - t * (q.lon - p.lon), 2)) AS d FROM (
+ SELECT s.*, v.seq, greatest(0.0, least(1.0, ((v.lat - p.lat) * (q.lat - p.lat) + (v.lon - p.lon) * (q.lon - p.lon)) / (pow(q.lat - p.lat, 2) + pow(q.lon - p.lon, 2)))) AS t
+ FROM s JOIN v ON v.zone_id = s.zone_id AND v.seq > s.a AND v.seq < s.b JOIN v p ON p.zone_id = s.zone_id AND p.seq = s.a JOIN v q ON q.zone_id = s.zone_id AND q.seq = s.b) s
+ JOIN v ON v.zone_id = s.zone_id AND v.seq = s.seq JOIN v p ON p.zone_id = s.zone_id AND p.seq = s.a JOIN v q ON q.zone_id = s.zone_id AND q.seq = s.b) s JOIN v ON v.zone_id = s.zone_id AND v.seq = s.seq GROUP BY s.zone_id, s.a, s.b, s.least_far) f)
+ SELECT zone_id, seq, max(far) AS far FROM (SELECT zone_id, a AS seq, least_far AS far FROM s UNION ALL SELECT zone_id, b, 1e300 FROM s WHERE least_far = 1e300) e GROUP BY zone_id, seq),
+ tolerance AS (SELECT zone_id, greatest(1, ceil(max(far) / {width})) * {width} AS eps FROM (SELECT zone_id, far, row_number() OVER (PARTITION BY zone_id ORDER BY far DESC) AS place FROM worth) w WHERE place > {target} GROUP BY zone_id),
+ few AS (SELECT v.zone_id, CAST(row_number() OVER (PARTITION BY v.zone_id ORDER BY v.seq) - 1 AS INT) AS seq, v.lon, v.lat FROM v JOIN worth w ON w.zone_id = v.zone_id AND w.seq = v.seq LEFT JOIN tolerance t ON t.zone_id = v.zone_id WHERE t.eps IS NULL OR w.far > t.eps)"""
+
+
 _RING = "(SELECT v.* FROM fx_zone_vertex v JOIN keep k ON k.zone_id = v.zone_id AND k.seq = v.seq WHERE (SELECT count(*) FROM keep n WHERE n.zone_id = v.zone_id) >= 3 UNION ALL SELECT * FROM fx_zone_vertex w WHERE (SELECT count(*) FROM keep n WHERE n.zone_id = w.zone_id) < 3)"
 _UP = """(SELECT z + 1 AS z, x * 2 AS x, y * 2 + 1 AS y, i AS px, j AS py, (1 - fx) * (1 - fy) * p00 + fx * (1 - fy) * p10 + (1 - fx) * fy * p01 + fx * fy * p11 AS h FROM (
  SELECT t.z, t.x, t.y, g.i, g.j, g.sx - floor(g.sx) AS fx, g.sy - floor(g.sy) AS fy, a.h AS p00, b.h AS p10, c.h AS p01, e.h AS p11
@@ -181,6 +211,8 @@ _UP = """(SELECT z + 1 AS z, x * 2 AS x, y * 2 + 1 AS y, i AS px, j AS py, (1 -
  JOIN fx_pixel a ON a.x = t.x AND a.y = t.y AND a.px = floor(sx) AND a.py = 4 + floor(sy) JOIN fx_pixel b ON b.x = t.x AND b.y = t.y AND b.px = least(floor(sx) + 1, 3) AND b.py = 4 + floor(sy)
  JOIN fx_pixel c ON c.x = t.x AND c.y = t.y AND c.px = floor(sx) AND c.py = 4 + least(floor(sy) + 1, 3) JOIN fx_pixel e ON e.x = t.x AND e.y = t.y AND e.px = least(floor(sx) + 1, 3) AND e.py = 4 + least(floor(sy) + 1, 3)) q)"""
 
+_WORST = f"(SELECT * FROM (SELECT cell_key, status, row_number() OVER (ORDER BY CASE WHEN {_runs._FAILS} THEN 0 WHEN status <> 'merged' THEN 1 ELSE 2 END, coalesce(duration_s, 0) DESC, cell_key) AS place FROM {_runs._CELLS_ALL} c) r WHERE place <= 200)"
+
 SQL = {
     "bake_incremental": f"""SELECT t.x, t.y, count(*) FILTER (kind = 'node') AS n_node, count(*) FILTER (kind = 'foreign') AS n_foreign, count(*) FILTER (kind = 'way') AS n_way, count(*) FILTER (kind = 'relation') AS n_relation, count(kind) = 0 AS empty
  FROM {_C} t LEFT JOIN (SELECT x, y, 'node' AS kind FROM fx_node_tile UNION ALL SELECT x, y, 'way' FROM {_EMIT} e
@@ -190,10 +222,15 @@ SQL = {
     "elevation_lock": f"SELECT round(min(h) FILTER (ok), 1) AS min_m, round(max(h) FILTER (ok), 1) AS max_m, count(DISTINCT vec_id) FILTER (ok) AS tiles, count(*) FILTER (ok) > 0 AS ok, box_id FROM (SELECT *, h BETWEEN -500 AND 9000 AS ok, CAST(floor(x / 5.0) AS INT) AS box_id FROM {rasters._S} s) b GROUP BY box_id",
     "download_plan": f"WITH {_quadtree(_SEAM, 3000.0)}, t AS MATERIALIZED (SELECT c.*, f.x IS NOT NULL AS ok FROM {_SEAM_TILES} c LEFT JOIN {_FRESH} f ON f.x = c.x AND f.y = c.y), s AS (SELECT grp, cell_key, bool_and(ok) AS served FROM t GROUP BY grp, cell_key) SELECT grp, count(*) AS n_cells, count(*) FILTER (served) AS n_served, CASE WHEN count(*) FILTER (served) = 0 THEN 'failed' ELSE 'cached' END AS state FROM s GROUP BY grp",
     "merge_into": f"SELECT cell_key, CAST(reg_x AS INT) AS reg_x, CAST(reg_z AS INT) AS reg_z FROM {planning._FILES} f WHERE own",
-    "run_report": f"""SELECT total, merged, failed, incomplete, retries, cell_median_s, elapsed_s, workers_peak, cpu_avg, ram_peak, CAST(least(200, total) AS INT) AS n_cells,
- (SELECT CAST(least(360, count(*)) AS INT) FROM {_runs._LINE} a) AS buckets, (SELECT CAST(sum(m) AS BIGINT) FROM (SELECT greatest(0, coalesce(done - lag(done) OVER (ORDER BY t), 0)) AS m, row_number() OVER (ORDER BY t DESC) AS place FROM {_runs._LINE} b) c WHERE place <= 360) AS steps,
- (SELECT CAST(count(*) AS INT) FROM {_runs._TIMING} w WHERE ended >= started AND worker IS NOT NULL) AS n_lanes FROM {_runs._SUMMARY_ALL} s""",
-    "zone_outlines": f"SELECT zone_id, seq, x, z, round(25.0 + x / (111320.0 * cos(radians(45.0)) * 0.3), 6) AS lon, round(45.0 - z / (111320.0 * CAST(0.3 AS DOUBLE)), 6) AS lat FROM (SELECT zone_id, seq, round_even({rasters._BX.format(lon='lon')}, 0) AS x, round_even({rasters._BZ.format(lat='lat')}, 0) AS z FROM fx_zone_vertex) v",
+    "run_report": f"""SELECT total, merged, failed, incomplete, retries, cell_median_s, elapsed_s, workers_peak, cpu_avg, ram_peak,
+ (SELECT string_agg(concat_ws(':', place, cell_key, status), ';' ORDER BY place) FROM {_WORST} w) AS cells,
+ (SELECT string_agg(concat_ws(':', t, active, done, failed, cpu, ram, m), ';' ORDER BY t) FROM (SELECT *, greatest(0, coalesce(done - lag(done) OVER (ORDER BY t), 0)) AS m, row_number() OVER (ORDER BY t DESC) AS place FROM {_runs._LINE} b) c WHERE place <= 360) AS timeline,
+ (SELECT coalesce(string_agg(concat_ws(':', lane, cell_key, CAST(round(f * 10000) AS BIGINT), CAST(round(u * 10000) AS BIGINT)), ';' ORDER BY lane, f, u, cell_key), '') FROM (
+ SELECT cell_key, dense_rank() OVER (ORDER BY worker) - 1 AS lane, round((s - min(s) OVER ()) / (max(e) OVER () - min(s) OVER ()), 6) AS f, round((e - min(s) OVER ()) / (max(e) OVER () - min(s) OVER ()), 6) AS u FROM (
+ SELECT cell_key, worker, epoch_us(started) / 1e6 AS s, epoch_us(ended) / 1e6 AS e FROM {_runs._TIMING} x WHERE ended >= started AND worker IS NOT NULL) y) l WHERE cell_key IN (SELECT cell_key FROM {_WORST} w)) AS lanes FROM {_runs._SUMMARY_ALL} s""",
+    "zone_outlines": f"""WITH {_few(rasters._BX.format(lon='(lon + seq * 0.002)'), rasters._BZ.format(lat='(lat + seq % 3 * 0.003)'), 4)}
+ SELECT zone_id, seq, x, z, round(25.0 + x / (111320.0 * cos(radians(45.0)) * 0.3), 6) AS lon, round(45.0 - z / (111320.0 * CAST(0.3 AS DOUBLE)), 6) AS lat, CAST(NULL AS INT) AS other_id FROM (
+ SELECT zone_id, seq, round_even(lon, 0) AS x, round_even(lat, 0) AS z FROM few) o UNION ALL SELECT zone_id, seq, NULL, NULL, NULL, NULL, other_id FROM ({rasters.SQL['shared_border'].replace('fx_zone_vertex', '(SELECT zone_id, seq, lon + seq * 0.002 AS lon, lat + seq % 3 * 0.003 AS lat FROM fx_zone_vertex)')}) b""",
     "merge_check": f"""SELECT p.cell_key, CASE WHEN f.n IS NULL THEN 'empty' ELSE 'ok' END AS "check", f.copied, f.skipped, f.collisions, f.subs FROM fx_plan p
  LEFT JOIN (SELECT f.cell_key, count(*) AS n, count(*) FILTER (own) AS copied, count(*) FILTER (NOT own) AS skipped, count(*) FILTER (own AND (f.reg_x + f.reg_z) % 3 = 0) AS collisions, CASE WHEN bool_or(own) THEN 'region' ELSE '' END AS subs FROM {planning._FILES} f GROUP BY f.cell_key) f ON f.cell_key = p.cell_key""",
     "gap_list": planning.SQL["missing_cells"].replace("WHERE f.reg_x = w.x", "WHERE f.reg_x % 5 <> 0 AND f.reg_x = w.x"),
@@ -214,3 +251,4 @@ rasters.SQL["simplify_ring"] = f"WITH {_DEEP_SPLIT.format(lon='lon', lat='lat',
 planning.SQL["download_groups"] = f"""WITH {_quadtree('fx_cell_box', 3000.0)} SELECT grp, substr(sha1(printf('%.7f,%.7f,%.7f,%.7f|groups', south, west, north, east)), 1, 16) AS id, n_cells, cells, round(south, 6) AS south, round(west, 6) AS west, round(north, 6) AS north, round(east, 6) AS east FROM (
  SELECT grp, n_cells, cells, s - 250.0 / {coords.M} AS south, w - 250.0 / ({coords.M} * cos(radians((s + n) / 2))) AS west, n + 250.0 / {coords.M} AS north, e + 250.0 / ({coords.M} * cos(radians((s + n) / 2))) AS east FROM (
  SELECT grp, count(*) AS n_cells, string_agg(cell_key, ';' ORDER BY cell_key) AS cells, min(south) AS s, min(west) AS w, max(north) AS n, max(east) AS e FROM q6 GROUP BY grp) g) h"""
+rasters.SQL["simplify_to"] = f"WITH {_few('lon * 1000', 'lat * 1000', 4)} SELECT zone_id, seq, round_even(lon, 0) AS lon, round_even(lat, 0) AS lat FROM few"

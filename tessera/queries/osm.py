@@ -57,8 +57,11 @@ def osm_seam_merge(spark, d):
 
 
 def osm_empty_tiles(spark, d):
-    nodes, _, _, targets = _parts(spark, d)
-    return osm.with_empty(targets, nodes.where("id % 3 = 0"))
+    """Of all tiles of the box around the nodes, and of one more to each side, those without a node."""
+    nodes, _, _, _ = _parts(spark, d)
+    box = nodes.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))])
+    across = box.select("*", F.explode(F.sequence(F.col("low_x") - 1, F.col("high_x") + 1)).alias("x"))
+    return osm.with_empty(across.select("x", F.explode(F.sequence(F.col("low_y") - 1, F.col("high_y") + 1)).alias("y")), nodes)
 
 
 def osm_bake_counts(spark, d):
@@ -108,7 +111,7 @@ SQL = {
     "osm_foreign_nodes": f"SELECT * FROM {_FOREIGN} f",
     "osm_relation_tiles": f"SELECT * FROM {_REL} r",
     "osm_seam_merge": "SELECT x, y, id, CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source FROM fx_node_tile",
-    "osm_empty_tiles": f"SELECT x, y FROM {_TARGET} t WHERE NOT EXISTS (SELECT 1 FROM fx_node_tile n WHERE n.id % 3 = 0 AND n.x = t.x AND n.y = t.y)",
+    "osm_empty_tiles": "SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT x, unnest(range(y0 - 1, y1 + 2)) AS y FROM (SELECT y0, y1, unnest(range(x0 - 1, x1 + 2)) AS x FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fx_node_tile) b) a) t WHERE NOT EXISTS (SELECT 1 FROM fx_node_tile n WHERE n.x = t.x AND n.y = t.y)",
     "osm_bake_counts": f"SELECT * FROM {_COUNTS} c",
     "osm_bake_total": f"""SELECT (SELECT count(*) FROM {_TARGET} t) AS total, (SELECT count(*) FROM {_TARGET} t SEMI JOIN fx_cached_tile c ON c.x = t.x AND c.y = t.y) AS skip,
  count(*) FILTER (ok AND NOT empty) AS baked, count(*) FILTER (ok AND empty) AS empty, count(*) FILTER (NOT ok) AS fail, CAST(coalesce(sum(n_node + n_foreign + n_way + n_relation) FILTER (ok), 0) AS BIGINT) AS elements

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.fixtures import view
@@ -9,7 +11,8 @@ from tessera.functions import geo
 from tessera.operators import coverage as cov
 from tessera.operators import generate as g
 from tessera.operators import merge, plan
-from tessera.sources import writers
+from tessera.operators.lineage import shared_folder
+from tessera.sources import readers, writers
 
 OLAT, OLON, SCALE = 45.0, 25.0, 0.3
 
@@ -92,12 +95,14 @@ def import_counts(spark, d):
 
 
 def pack_list(spark, d):
-    """Coverage of packs (suppliers' boxes), computed again from the catalogue."""
+    """Packs (suppliers' boxes) listed from their manifests, their coverage computed again from the catalogue."""
     packs = cov.union_bbox(view(spark, d, "fx_zone_vertex").select("zone", F.col("lat").alias("south"), F.col("lon").alias("west"), F.col("lat").alias("north"), F.col("lon").alias("east")), "zone")
-    needed = g.tiles_for_bbox(packs, 11)
-    out = cov.coverage(needed, view(spark, d, "fx_cached_tile"), "zone")
     box = {s: F.col(s) for s in g.SIDES}
-    return out.join(packs, "zone").select(geo.region_id(box, "zone").alias("region_id"), "zone", "total", "cached", "pct")
+    unknown = F.struct(F.lit(0).alias("total"), F.lit(0).alias("cached"), F.lit(0.0).alias("pct"))
+    path = f"{shared_folder(spark)}/packs-{uuid.uuid4().hex}"
+    writers.write_manifest(packs.select(geo.region_id(box, "zone").alias("region_id"), F.col("zone").alias("name"), F.struct(*g.SIDES).alias("bbox"), F.lit(11).alias("zoom"), unknown.alias("elevation"), unknown.alias("osm")), path)
+    listed = readers.list_packs(spark, path, view(spark, d, "fx_cached_tile"))
+    return listed.select("region_id", F.col("name").alias("zone"), "total", "cached", "pct")
 
 
 def _p(spark, d):

@@ -76,7 +76,7 @@ def repair_pixels(spark, d):
 
 
 def grey(spark, d):
-    p = view(spark, d, "fx_pixel").where("h > -32000")
+    p = view(spark, d, "fx_pixel")
     return p.select("vec_id", "px", "py", F.round(ra.grey(F.col("h"), F.lit(-200.0), F.lit(300.0)), 6).alias("grey"), (F.col("h") < ra.NO_DATA).alias("mask"))
 
 
@@ -235,7 +235,7 @@ SQL = {
     "repair_tiles": f"SELECT * FROM {_OUT} o",
     "repair_counts": f"SELECT z, count(*) AS checked, count(*) FILTER (outcome = 'absent') AS absent, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'fixed') AS fixed, count(*) FILTER (outcome = 'unfixable') AS unfixable FROM {_OUT} o GROUP BY z",
     "repair_pixels": f"SELECT x, y, round(sum(h) + 1e-6, 2) AS total, count(*) FILTER (h <= -32000) AS holes FROM (SELECT p.x, p.y, p.px, p.py, coalesce(o.h, p.h) AS h FROM fx_pixel p LEFT JOIN {_OZ} o ON o.x = p.x AND o.y = p.y AND o.px = p.px AND o.py = p.py) q GROUP BY x, y",
-    "grey": f"SELECT vec_id, px, py, round({_GREY}, 6) AS grey, FALSE AS mask FROM fx_pixel WHERE h > -32000",
+    "grey": f"SELECT vec_id, px, py, round({_GREY}, 6) AS grey, h < -32000 AS mask FROM fx_pixel",
     "hillshade": f"SELECT z, x, y, px, py, CAST(floor(greatest(0.0, least(255.0, {_GREY} * (0.5 + 0.5 * greatest(0.0, least(1.0, 0.6 + 0.36 * (dx + dy))))))) AS INT) AS grey FROM (SELECT *, {_slope('py', 'px')} AS dx, {_slope('px', 'py')} AS dy FROM fx_pixel WHERE h > -32000) s",
     "downsample": f"SELECT z, x, y, px, py, round(h, 6) AS h FROM {_DOWN.format('fx_pixel')} p WHERE h IS NOT NULL",
     "pyramid": f"SELECT z, count(*) AS pixels, round(sum(h), 2) AS total FROM (SELECT * FROM {_P0} a UNION ALL SELECT * FROM {_P1} b UNION ALL SELECT * FROM {_P2} c UNION ALL SELECT * FROM {_P3} d) u GROUP BY z",

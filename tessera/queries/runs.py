@@ -176,7 +176,8 @@ _SUMMARY = f"""(SELECT c.*, l.* FROM (SELECT count(*) AS total, count(*) FILTER
  min(duration_s) FILTER ({_OK}) AS cell_fastest_s, max(duration_s) FILTER ({_OK}) AS cell_slowest_s, round(avg(duration_s) FILTER ({_OK}), 1) AS cell_avg_s, round(max(epoch_us(ended)) / 1e6 - min(least(epoch_us(queued), epoch_us(started))) / 1e6, 1) AS elapsed_s,
  list_sort(list(duration_s) FILTER ({_OK}))[CAST(floor(count(*) FILTER ({_OK}) / 2.0) AS INT) + 1] AS cell_median_s FROM {_CELLS} c) c
  CROSS JOIN (SELECT max(active) AS workers_peak, CAST(round_even(avg(cpu), 0) AS BIGINT) AS cpu_avg, max(cpu) AS cpu_peak, CAST(round_even(avg(ram), 0) AS BIGINT) AS ram_avg, max(ram) AS ram_peak FROM {_LINE} t) l)"""
-_SUMMARY_ALL = _SUMMARY.replace(_CELLS, f"(SELECT coalesce(t.cell_key, p.cell_key) AS cell_key, coalesce(t.status, p.status, 'unknown') AS status, t.worker, t.queued, t.started, t.ended, t.duration_s, coalesce(t.attempts, 0) AS attempts FROM {_TIMING} t FULL OUTER JOIN fx_plan p ON p.cell_key = t.cell_key)")
+_CELLS_ALL = f"(SELECT coalesce(t.cell_key, p.cell_key) AS cell_key, coalesce(t.status, p.status, 'unknown') AS status, t.worker, t.queued, t.started, t.ended, t.duration_s, coalesce(t.attempts, 0) AS attempts FROM {_TIMING} t FULL OUTER JOIN fx_plan p ON p.cell_key = t.cell_key)"
+_SUMMARY_ALL = _SUMMARY.replace(_CELLS, _CELLS_ALL)
 _POS = _inside("fx_position", "event_id")
 _BANDED = f"""(SELECT p.mover, p.ts, p.event_id, CASE WHEN i.event_id IS NOT NULL THEN 'inside' WHEN d <= 1500.0 THEN 'soft' WHEN d <= 4500.0 THEN 'hard' WHEN d <= 6000.0 THEN 'trim' ELSE 'outside' END AS band
  FROM fx_position p LEFT JOIN (SELECT DISTINCT event_id FROM {_POS} i) i ON i.event_id = p.event_id JOIN (SELECT event_id, min({_DIST}) AS d FROM (SELECT event_id, {_BX.format(lon='lon')} AS x, {_BZ.format(lat='lat')} AS z FROM fx_position) q CROSS JOIN {_EB} e GROUP BY event_id) m ON m.event_id = p.event_id)"""

@@ -51,8 +51,8 @@ def tile_json(elements: DataFrame, generator: str) -> DataFrame:
 
 
 def write_manifest(packs: DataFrame, path: str) -> None:
-    """Manifests ``(region_id, name, bbox, zoom, elevation, osm)``, one JSON row each, with the time of writing."""
-    packs.withColumn("updated", F.unix_timestamp()).write.mode("append").json(path)
+    """Manifests ``(region_id, name, bbox, zoom, elevation, osm)``, one JSON file each, with the time of writing."""
+    packs.withColumn("updated", F.unix_timestamp()).write.mode("append").option("maxRecordsPerFile", 1).json(path)
 
 
 def write_points(rings: DataFrame, path: str) -> None:
