@@ -26,7 +26,7 @@ SPARE = 8
 #: Bits of the table of survivors at most (it is broadcast; where it fills up, more is counted exactly, nothing is lost), and per counter.
 MOST_BITS, BITS_PER_COUNTER = 1 << 28, 16
 #: Bytes of text that are cut at a time, counters that a task holds before it sends them, counters of a sent row.
-TEXT_BYTES, HELD, ROW = 4 << 20, 1 << 20, 1024
+TEXT_BYTES, HELD, ROW = 4 << 20, 1 << 21, 1024
 
 _BREAK = b"\xff"  # in no UTF-8 text
 _TABLE = bytes(255 if c in PIECE_ENDS else 32 if c in WORD_ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
