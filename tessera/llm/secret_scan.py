@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +42,16 @@ ENCODINGS = [
 ]
 #: Expected share of ordinary text among the tokens that are reported as secrets, per encoding and length class.
 FALSE_DISCOVERIES = 0.1
-#: Steps that p-values are rounded up to, and the length classes (twice the binary logarithm) they are known for.
-P_STEPS, CLASSES = (0.002, 0.01, 0.05, 0.2), range(8, 17)
+#: Length classes: twice the binary logarithm of a token's length; longer tokens count as the last.
+CLASSES = range(8, 17)
+#: Bins of ln x, the battery's statistic: the first one's lower end, their width and number. p is that of a bin's upper end.
+LOWEST, WIDTH, BINS = -3.0, 0.05, 240
+#: ln x above which a random token is not (one in 2,000 is); tokens there, if there are so many, show how the corpus's own text spreads.
+CLEAR, ENOUGH = math.log(12.0), 100
+#: The least p-value that is told apart, and the least spread of ln x that a null has.
+LEAST_P, LEAST_SPREAD = 1e-12, 0.15
+# The p-values of TEXT_QUANTILES and their normal quantiles.
+P_STEPS, P_NORMAL = (0.002, 0.01, 0.05, 0.2), (-2.878, -2.326, -1.645, -0.842)
 # What identifiers, paths and numbers are made of, by encoding; from these come the p-values.
 TEXT_WORDS = (
     "get set user name value item list data file path index count config client server request response handler manager service "
@@ -200,11 +211,7 @@ TEXT_QUANTILES = [
 
 
 def tested(text: Column) -> Column:
-    """Candidate tokens of ``text`` in a known encoding: structs (start, end, code, class, step).
-
-    ``step`` counts the P_STEPS that the token's p-value under :func:`text_null` is above. Lengths
-    past the last class count as that class.
-    """
+    """Candidate tokens of ``text`` in a known encoding: structs (start, end, code, class, step), ``step`` the bin of ln x."""
     found = F.filter(spans(text, CANDIDATE, RANDOM, len(BASE)), lambda s: s["match"].rlike("[A-Za-z]"))
 
     def code_of(s: Column) -> Column:
@@ -219,15 +226,47 @@ def tested(text: Column) -> Column:
         battery(with_fields(coded, body=lambda s: F.rtrim(s["match"], F.lit("=")), alphabet=lambda s: F.element_at(alphabets, s["code"] + 1))),
         **{"class": lambda s: F.greatest(F.lit(CLASSES[0]), F.least(F.lit(CLASSES[-1]), F.floor(2 * F.log2(s["n"])).cast("int")))},
     )
-    quantiles = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for rows in TEXT_QUANTILES for row in rows])
-    limits = lambda s: F.element_at(quantiles, s["code"] * len(CLASSES) + s["class"] - CLASSES[0] + 1)
+    bin_ = lambda x: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.log(F.greatest(x, F.lit(1e-3))) - LOWEST) / WIDTH).cast("int")))
     return F.transform(
-        with_fields(judged, limits=limits),
+        judged,
         lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["code"].alias("code"), s["class"].alias("class"),
-            F.size(F.filter(s["limits"], lambda q: q < s["x"])).alias("step"),
+            s["start"].alias("start"), s["end"].alias("end"), s["code"].alias("code"), s["class"].alias("class"), bin_(s["x"]).alias("step")
         ),
-    )
+    )
+
+
+def normal_tail(z: float) -> float:
+    """P(Z < z) of the standard normal."""
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def built_in_null(code: int, cls: int) -> tuple[float, float]:
+    """Mean and spread of ln x of :func:`text_null`: the line through its least and its most frequent quantile."""
+    quantiles = TEXT_QUANTILES[code][cls - CLASSES[0]]
+    spread = max(LEAST_SPREAD, (math.log(quantiles[-1]) - math.log(quantiles[0])) / (P_NORMAL[-1] - P_NORMAL[0]))
+    return math.log(quantiles[-1]) - P_NORMAL[-1] * spread, spread
+
+
+def corpus_null(counts: list[int]) -> tuple[float, float] | None:
+    """Mean and spread of ln x of the corpus's own text, from bin counts; None where there is too little or it can't be told from random.
+
+    Only what is above CLEAR counts, where there are next to no random tokens, however many the
+    corpus holds: the normal distribution whose part above CLEAR has their mean and variance.
+    """
+    seen = [(LOWEST + (k + 0.5) * WIDTH, n) for k, n in enumerate(counts) if LOWEST + k * WIDTH >= CLEAR]
+    total = sum(n for _, n in seen)
+    if total < ENOUGH:
+        return None
+    mean = sum(x * n for x, n in seen) / total
+    variance = sum((x - mean) ** 2 * n for x, n in seen) / total
+    mu, spread = mean, max(LEAST_SPREAD, math.sqrt(variance))
+    for _ in range(200):
+        a = (CLEAR - mu) / spread
+        if a > 0:  # most of it would be below
+            return None
+        hazard = math.exp(-a * a / 2) / math.sqrt(2 * math.pi) / normal_tail(-a)
+        mu, spread = mean - spread * hazard, max(LEAST_SPREAD, math.sqrt(variance / (1 + a * hazard - hazard * hazard)))
+    return mu, spread
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -236,43 +275,49 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"secret_base": base_spans(text), "secret_tested": tested(text)})
 
 
-def discovery_rates(found: DataFrame) -> dict[tuple[int, int], list[float]]:
-    """Per encoding and length class, the false discovery rate when all candidates up to each step of p are reported.
+def discovery_rates(found: DataFrame) -> dict[tuple[int, int], tuple[list[float], list[float]]]:
+    """Per encoding and length class, p and the false discovery rate (q) of each bin of ln x.
 
-    Benjamini-Hochberg over all candidates of all rows of :func:`scanned`, on counts per step:
-    encodings times classes times steps, so what reaches the driver does not grow with the input.
+    p is the chance that ordinary text of that encoding and length looks as random: the larger one
+    of two normal tails of ln x, that of the built-in null and that of the corpus's own text. q is
+    Benjamini-Hochberg's over all candidates of all rows of :func:`scanned`, on counts per bin:
+    encodings times classes times bins, so what reaches the driver does not grow with the input.
     """
     counts = found.select(F.explode("secret_tested").alias("t")).groupBy("t.code", "t.class", "t.step").agg(F.count("*").alias("n")).collect()
-    classes: dict[tuple[int, int], dict[int, int]] = {}
+    classes: dict[tuple[int, int], list[int]] = {}
     for row in counts:
-        classes.setdefault((row["code"], row["class"]), {})[row["step"]] = row["n"]
-    rates = {}
-    for key, by_step in classes.items():
-        total, below = sum(by_step.values()), _up_to(by_step)
-        raw = [min(1.0, p * total / n) if n else 1.0 for p, n in zip(P_STEPS, below, strict=True)]
-        rates[key] = [min(raw[k:]) for k in range(len(raw))] + [1.0]  # the last step is of p-values above all
-    return rates
-
-
-def _up_to(by_step: dict[int, int]) -> list[int]:
-    return [sum(n for step, n in by_step.items() if step <= k) for k in range(len(P_STEPS))]
+        classes.setdefault((row["code"], row["class"]), [0] * BINS)[row["step"]] = row["n"]
+    return {(code, cls): _rates(code, cls, by_bin) for (code, cls), by_bin in classes.items()}
 
 
-def _rate(t: Column, rates: dict[tuple[int, int], list[float]]) -> Column:
-    """The false discovery rate of a candidate (its q-value)."""
-    if not rates:
-        return F.lit(1.0)
-    known = F.create_map(*[x for (code, cls), qs in sorted(rates.items()) for x in (F.lit(code * 100 + cls), F.array(*[F.lit(q) for q in qs]))])
-    return F.coalesce(F.get(F.element_at(known, t["code"] * 100 + t["class"]), t["step"]), F.lit(1.0))
+def _rates(code: int, cls: int, by_bin: list[int]) -> tuple[list[float], list[float]]:
+    nulls = [built_in_null(code, cls), corpus_null(by_bin)]
+    p, q = [], []
+    total, below = sum(by_bin), 0
+    for k, n in enumerate(by_bin):
+        end = LOWEST + (k + 1) * WIDTH
+        p.append(max(LEAST_P, *(normal_tail((end - null[0]) / null[1]) for null in nulls if null)) if k < BINS - 1 else 1.0)
+        below += n
+        q.append(min(1.0, p[-1] * total / below) if below else 1.0)
+    for k in range(BINS - 2, -1, -1):
+        q[k] = min(q[k], q[k + 1])
+    return p, q
 
 
-def _discovered(found: DataFrame, rates: dict[tuple[int, int], list[float]]) -> DataFrame:
+def _discovered(found: DataFrame, rates: dict[tuple[int, int], tuple[list[float], list[float]]]) -> DataFrame:
     """``secret_spans`` from the columns of :func:`scanned`, and ``secret_tests``: all candidates with their p and q."""
-    p_of = F.array(*[F.lit(p) for p in P_STEPS], F.lit(1.0))
     names = F.array(*[F.lit(name) for name, *_ in ENCODINGS])
+    place = lambda code, cls: code * len(CLASSES) + cls - CLASSES[0]
+    tables = []
+    for k in (0, 1):
+        table: list[list[float]] = [[] for _ in range(len(ENCODINGS) * len(CLASSES))]
+        for (code, cls), both in rates.items():
+            table[place(code, cls)] = [float(f"{v:.4g}") for v in both[k]]
+        tables.append(F.from_json(F.lit(json.dumps(table)), "array<array<double>>"))  # one constant, whatever its size
+    of = lambda table, t: F.coalesce(F.get(F.get(table, place(t["code"], t["class"])), t["step"]), F.lit(1.0))
     judged = F.transform(
         "secret_tested",
-        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.element_at(names, t["code"] + 1).alias("encoding"), F.element_at(p_of, t["step"] + 1).alias("p"), _rate(t, rates).alias("q")),
+        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.element_at(names, t["code"] + 1).alias("encoding"), of(tables[0], t).alias("p"), of(tables[1], t).alias("q")),
     )
     fresh = F.filter(
         "secret_tests",
@@ -318,7 +363,7 @@ def report(found: DataFrame) -> DataFrame:
     """One row per row of :func:`find_secrets`: counts per base kind, digest of the base spans, all spans, all tests."""
     base = F.filter("secret_spans", lambda s: s["rank"] < len(BASE))
     counts = [F.size(_of_rank(rank)).cast("long").alias(f"n_{kind}") for rank, (kind, *_) in enumerate(BASE)]
-    tests = F.transform("secret_tests", lambda t: F.concat_ws(":", t["encoding"], t["start"], t["end"], t["p"], F.round(t["q"], 4)))
+    tests = F.transform("secret_tests", lambda t: F.concat_ws(":", t["encoding"], t["start"], t["end"], F.format_string("%.12f", t["p"]), F.round(t["q"], 4)))
     return found.select(
         "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"), F.array_join(tests, ",").alias("tests")
     )

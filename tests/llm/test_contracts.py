@@ -1,6 +1,7 @@
 """The operators with a fixed result, against brute force in plain Python on whole small tables."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -93,6 +94,74 @@ def test_battery_tells_secrets_from_text(spark):
     assert secret_scan.scan_report(hexed).first()["tests"].startswith("hex:4:44:0.0")
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def identifiers(rng, n, size):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor account balance cursor domain engine filter global handle invoke journal kernel layout module number object packet".split()
+    some = rng.integers(0, len(words), (n, size))
+    return ["".join(words[k].title() for k in row)[: size - 2] + str(10 + i % 90) for i, row in enumerate(some)]
+
+
+@pytest.mark.parametrize(("keys", "texts"), [(300, 300), (30, 3000), (5, 50_000)])
+def test_rare_keys_are_found(spark, keys, texts):
+    """Keys of 64 characters, half of all candidates, one in a hundred and one in ten thousand: the rate of others doesn't hide them."""
+    rng = np.random.default_rng(9)
+    tokens = ["".join(rng.choice(list(LETTERS), 64)) for _ in range(keys)] + identifiers(rng, texts, 64)
+    docs = spark.createDataFrame([(k, f"the key {t} is here") for k, t in enumerate(tokens)], "doc_id long, text string").repartition(8)
+    found = [r["doc_id"] for r in secret_scan.scan_report(docs).where("spans like '%random%'").select("doc_id").collect()]
+    right = sum(k < keys for k in found)
+    assert right >= 0.9 * keys and (right >= 0.9 * len(found) or len(found) - right <= 2), (right, keys, len(found))
+
+
+def tail(z):
+    return max(1e-300, 0.5 * math.erfc(z / math.sqrt(2)))
+
+
+def naive_battery(body, alphabet):
+    """The battery's statistic, from its definition."""
+    n, size = len(body), len(alphabet)
+    values = [alphabet.index(c) for c in body]
+    squares = sum(body.count(c) ** 2 for c in alphabet)
+    middle = (size - 1) / 2
+    runs = 1 + sum((a > middle) != (b > middle) for a, b in zip(values, values[1:], strict=False))
+    high = sum(v > middle for v in values)
+    expected = 2 * high * (n - high) / n + 1
+    spread = math.sqrt(abs((expected - 1) * (expected - 2) / (n - 1)))
+    z_chi = (size * squares / n - n - size + 1) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+    z_runs = abs(runs - expected) / spread if spread > 0 else 99.0
+    z_serial = abs(sum((a - middle) * (b - middle) for a, b in zip(values, values[1:], strict=False))) * 12 / ((size * size - 1) * math.sqrt(n - 1))
+    return -(math.log(tail(z_chi)) + math.log(min(1, 2 * tail(z_runs))) + math.log(min(1, 2 * tail(z_serial))))
+
+
+def test_battery_and_control_against_plain_python(spark):
+    rng = np.random.default_rng(12)
+    tokens = ["".join(rng.choice(list(LETTERS), int(n))) for n in rng.integers(20, 120, 60)] + [t for n in (24, 40, 70) for t in identifiers(rng, 150, n)]
+    tokens += ["".join(rng.choice(list("0123456789abcdef"), 21)) for _ in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(tokens)], "doc_id long, text string")
+    got = {r["doc_id"]: r["tests"].split(":") for r in secret_scan.scan_report(docs).collect() if r["tests"]}
+    names = [name for name, *_ in secret_scan.ENCODINGS]
+    judged = {}
+    for k, parts in got.items():
+        code = names.index(parts[0])
+        body = tokens[k][int(parts[1]) : int(parts[2])]
+        x = naive_battery(body, secret_scan.ENCODINGS[code][2])
+        judged[k] = (code, max(8, min(16, int(2 * math.log2(len(body))))), (math.log(max(x, 1e-3)) + 3) / 0.05)
+    assert len(judged) >= 0.9 * len(tokens)
+    p, q = {k: float(v[3]) for k, v in got.items()}, {k: float(v[4]) for k, v in got.items()}
+    for key in {v[:2] for v in judged.values()}:
+        mine = [k for k, v in judged.items() if v[:2] == key]
+        counts = np.bincount([int(judged[k][2]) for k in mine], minlength=240).tolist()
+        nulls = [secret_scan.built_in_null(*key), secret_scan.corpus_null(counts)]
+        for k in mine:
+            place = judged[k][2]
+            if 0.02 < place % 1 < 0.98:  # the tails are computed to seven digits
+                want = max(1e-12, *(0.5 * math.erfc(-(-3 + 0.05 * (int(place) + 1) - m) / s / math.sqrt(2)) for m, s in filter(None, nulls)))
+                assert abs(p[k] - want) < 1e-3 * want + 1e-12
+            ranked = sorted(p[j] for j in mine)
+            assert abs(q[k] - min(1, min(v * len(mine) / (np.searchsorted(ranked, v, "right")) for v in ranked if v >= p[k]))) < 2e-3
+
+
 def naive_print(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
