@@ -17,12 +17,14 @@ PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<phone>(?<![0-9A-Za-z.+-])(?:\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9]{1,12}){1,6}|\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}"
-    r"|[0-9]{3}(?P<gap>[ .-])[0-9]{3}(?P=gap)[0-9]{4}|0[0-9]{2,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}|[2-9][0-9]{2}[2-9][0-9]{6})(?![0-9-]))"
+    r"|[0-9]{3}(?P<gap>[ .-])[0-9]{3}(?P=gap)[0-9]{4}|0[0-9]{2,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}|[2-9][0-9]{2}[2-9][0-9]{6})(?![0-9A-Za-z-]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<date>(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
     r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
 )
+#: What says that ten digits without any sign are a phone number, right before them.
+PHONE_WORD = re.compile(r"(?i)(?:phone|tel|telephone|mobile|cell|call|fax|text|whatsapp)(?: (?:no|number|me|us|at|on|is))*[ .:#=(]{0,4}$")
 # Country calling codes of one and two digits; all others have three.
 SHORT_CODES = (
     "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
@@ -76,7 +78,7 @@ def _date_of(year: int, month: int, day: int) -> date | None:
 
 
 def _parse_date(text: str) -> tuple[date | None, bool]:
-    """The date, and whether its month stands first: so it is read where the day can't come first."""
+    """The date, and whether its month stands first: so it is read where the day can't come first, that is with a day above 12."""
     first, second, third = (int(x) for x in re.split("[-./]", text))
     if text[4:5] == "-":
         return _date_of(first, second, third), False
@@ -159,12 +161,14 @@ def pseudonym(kind: str, text: str, key: bytes, inverse: bool = False) -> str:
                 return _refill(text, digits, "[0-9]")
     if kind == "date":
         found, month_first = _parse_date(text)
-        while True:
+        late = found.day > 12
+        while True:  # days above 12 among themselves, so that every spelling of a date has the same pseudonym and can write it
             found = date.fromordinal(permute(found.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", inverse) + FIRST_DAY)
-            if not month_first:
-                return found.isoformat() if text[4] == "-" else found.strftime(f"%d{text[2]}%m{text[5]}%Y")
-            if found.day > 12:  # only such dates are read month first
-                return found.strftime(f"%m{text[2]}%d{text[5]}%Y")
+            if (found.day > 12) == late:
+                break
+        if text[4] == "-":
+            return found.isoformat()
+        return found.strftime(f"%m{text[2]}%d{text[5]}%Y" if month_first else f"%d{text[2]}%m{text[5]}%Y")
     name, _, host = text.rpartition("@")
     return _alike(name, key, "email", inverse) + "@" + host
 
@@ -195,6 +199,8 @@ def rewrite(text: str, key: bytes, inverse: bool = False) -> tuple[str, dict[str
         kind = next(k for k in KINDS if match[k] is not None)
         if not valid(kind, found):
             return found
+        if kind == "phone" and found.isdigit() and found[0] != "0" and not PHONE_WORD.search(text, max(0, match.start() - 40), match.start()):
+            return found  # order numbers and the like
         counts[kind] += 1
         return pseudonym(kind, found, key, inverse)
 
@@ -205,9 +211,10 @@ def pseudonymise(docs: DataFrame, key: bytes, inverse: bool = False) -> DataFram
     """``doc_id``, ``text`` with pseudonyms, and ``n_<kind>`` per kind, one row per row of ``docs(doc_id, text)``.
 
     Kinds: cards (Luhn), phones (international, of the North American plan, or with a leading 0;
-    a number has one pseudonym with and without +1), IPv4 addresses (octets below 256), IBANs
+    ten digits without any sign only right after a word for phones; a number has one pseudonym with
+    and without +1), IPv4 addresses (octets below 256), IBANs
     (remainder 97), US social security numbers, dates of 1900-2099 (calendar; month first
-    where the day can't be), e-mail names (hosts stay).
+    where the day can't be; a date has one pseudonym in all spellings), e-mail names (hosts stay).
     Each is permuted within its format under ``key``; formatting characters stay, so a value gives
     the same pseudonym wherever it stands, and ``inverse`` restores the text. What fails its
     check stays as it is. A null text stays null with zero counts; whole texts are read; equal rows

@@ -114,6 +114,56 @@ def test_permutation_is_one_to_one():
         assert sorted(out) == list(range(size)) and [pii.permute(v, size, KEY, "t", True) for v in out] == list(range(size))
 
 
+def test_one_pseudonym_whatever_the_dates_spelling():
+    """Every day of two years: ISO, day first, and month first where that can be told."""
+    import datetime
+
+    ends = set()
+    for k in range(731):
+        day = datetime.date(2000, 1, 1) + datetime.timedelta(days=k)
+        iso = pii.pseudonym("date", day.isoformat(), KEY)
+        other = datetime.date.fromisoformat(iso)
+        ends.add(other)
+        assert pii.pseudonym("date", day.strftime("%d.%m.%Y"), KEY) == other.strftime("%d.%m.%Y")
+        assert pii.pseudonym("date", iso, KEY, inverse=True) == day.isoformat()
+        if day.day > 12:
+            assert pii.pseudonym("date", day.strftime("%m/%d/%Y"), KEY) == other.strftime("%m/%d/%Y")
+            assert pii.pseudonym("date", other.strftime("%m/%d/%Y"), KEY, inverse=True) == day.strftime("%m/%d/%Y")
+    assert len(ends) == 731
+
+
+def test_bare_numbers_are_no_phones():
+    for text in ("id 2147483647", "order 2125551234 of 9876543210", 'token = "9885103314b39ed955fd"'):
+        assert pii.rewrite(text, KEY)[0] == text
+    for text in ("Phone: 2125551234", "call me at 2125551234", "tel 2125551234."):
+        hidden, counts = pii.rewrite(text, KEY)
+        assert hidden != text and counts["phone"] == 1 and pii.rewrite(hidden, KEY, inverse=True)[0] == text
+
+
+def naive_permuted(value, size, key, tweak):
+    """Eight Feistel rounds on left * b + right, repeated until inside the range."""
+    import hashlib
+    import math
+
+    a = max(2, math.isqrt(size - 1) + 1)
+    b = -(-size // a)
+    while True:
+        left, right = value // b, value % b
+        for turn in range(8):
+            mixed = int.from_bytes(hashlib.blake2b(f"{tweak}|{turn}|{left if turn % 2 else right}".encode(), key=key, digest_size=16).digest(), "big")
+            left, right = (left, (right + mixed) % b) if turn % 2 else ((left + mixed) % a, right)
+        value = left * b + right
+        if value < size:
+            return value
+
+
+def test_permutations_against_plain_feistel():
+    for size in (2, 3, 10, 97, 100, 1000):
+        out = [pii.permute(v, size, KEY, "t") for v in range(size)]
+        assert sorted(out) == list(range(size)) and out == [naive_permuted(v, size, KEY, "t") for v in range(size)]
+        assert [pii.permute(v, size, KEY, "t", inverse=True) for v in out] == list(range(size))
+
+
 def test_pseudonymise_round_trip(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     extra = [(-1, None), (-2, ""), (-3, "card 4539578763621486, again 4539578763621486; not 4539578763621487 nor 300.1.1.1 nor 2023-02-30"), (-4, "x 2024-02-29 " * 5000), (None, "mail a.1@b.example.com")]
