@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, forest
+from tessera.llm.common import components, cut, forest, small
 
 THRESHOLD = 0.95
 #: Vectors of a tile's chunk; two chunks meet in one task.
 CHUNK = 4096
-#: Tiles (leaves of a tree of median cuts) grow in number with the vectors up to this; the driver holds their boxes and near pairs.
+#: Tiles (leaves of a tree of median cuts) grow in number with the vectors up to this; the driver and tasks hold their boxes, tasks find the near pairs.
 MAX_LEAVES = 8192
 #: Vectors per tile that the cuts are taken from, drawn by hash. Cuts only balance tiles; every vector is compared.
 LEAF_SAMPLE = 32
@@ -182,21 +182,28 @@ def _links_of_size(distinct: DataFrame, size: int, count: int, threshold: float)
         )
     )
     ends = [f(F.element_at("lead", k + 1)).alias(f"{name}{k}") for k in range(lead) for name, f in (("low", F.min), ("high", F.max))]
-    boxes = placed.groupBy("leaf").agg(F.count("*").alias("n"), *ends).collect()  # at most MAX_LEAVES rows
+    boxed = cut(placed.groupBy("leaf").agg(F.count("*").alias("n"), *ends))
+    boxes = boxed.collect()  # at most MAX_LEAVES rows
     low = np.array([[b[f"low{k}"] for k in range(lead)] for b in boxes]).reshape(-1, lead)
     high = np.array([[b[f"high{k}"] for k in range(lead)] for b in boxes]).reshape(-1, lead)
+    leaves = np.array([b["leaf"] for b in boxes], np.int64)
+    chunks = np.array([-(-b["n"] // CHUNK) for b in boxes], np.int64)
     reach = 2 - 2 * threshold + SLACK  # squared distance of unit vectors at the threshold
-    partners: dict[int, list[int]] = {}
-    for i, box in enumerate(boxes):
-        gap = np.maximum(0, np.maximum(low[i] - high, low - high[i]))
-        partners[box["leaf"]] = [boxes[j]["leaf"] for j in np.flatnonzero((gap * gap).sum(1) <= reach)]
-    chunks = {b["leaf"]: -(-b["n"] // CHUNK) for b in boxes}
-    table = distinct.sparkSession.createDataFrame(
-        [(leaf, p, chunks[leaf], chunks[p]) for leaf, ps in partners.items() for p in ps], "leaf long, partner long, own_chunks long, chunks long"
-    )  # at most MAX_LEAVES squared rows, whatever the input
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for leaf in batch["leaf"].to_pylist():
+                i = int(np.flatnonzero(leaves == leaf)[0])
+                gap = np.maximum(0, np.maximum(low[i] - high, low - high[i]))
+                hit = (gap * gap).sum(1) <= reach
+                columns = (np.full(hit.sum(), leaf), leaves[hit], np.full(hit.sum(), chunks[i]), chunks[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["leaf", "partner", "own_chunks", "chunks"])
+
+    # tasks find the near pairs of tiles, which stay with them unless they are few
+    table = boxed.select("leaf").mapInArrow(near, "leaf long, partner long, own_chunks long, chunks long")
     here = F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("own_chunks"))
     sent = (
-        placed.join(F.broadcast(table), "leaf")
+        placed.join(small(table), "leaf")
         .withColumn("chunk", here)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .withColumn("mine", F.struct(F.col("leaf").alias("leaf"), F.col("chunk").alias("chunk")))
