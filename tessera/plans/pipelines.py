@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.operators.lineage import cut
 from tessera.operators import coverage, generate, merge, osm, plan, raster, runs, zones
-from tessera.sources import writers
+from tessera.sources import readers, writers
 
 
 def bake(nodes: DataFrame, refs: DataFrame, members: DataFrame, targets: DataFrame, cached: DataFrame | None = None, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -26,6 +26,49 @@ def bake(nodes: DataFrame, refs: DataFrame, members: DataFrame, targets: DataFra
     return found, osm.bake_counts(todo, found)
 
 
+def bake_files(spark: SparkSession, source: str, path: str, targets: DataFrame | None = None, zoom: int = 11) -> DataFrame:
+    """From map tile files in ``source`` to baked tiles at ``path`` (see :func:`tessera.sources.writers.write_tiles`); returns the counts per tile.
+
+    Without ``targets(x, y)`` the tiles of the files are baked. Elements that several files have
+    count once. Nodes at home and whole ways and relations keep their tags, foreign nodes don't.
+    """
+    nodes, ways, relations = (df.dropDuplicates(["id"]) for df in readers.scan_osm(spark, source))
+    nodes = cut(nodes)
+    refs = ways.select(F.col("id").alias("way_id"), F.posexplode_outer("refs").alias("seq", "ref")).where("ref is not null")
+    members = relations.select(F.col("id").alias("rel_id"), F.explode_outer("members").alias("m")).where("m is not null")
+    members = members.select("rel_id", F.col("m.type").alias("member_type"), F.col("m.ref").alias("ref"), F.col("m.role").alias("role"))
+    wanted = targets if targets is not None else readers.osm_catalog(spark, source, zoom).select("x", "y")
+    found, counts = bake(nodes.select("id", "lon", "lat"), refs, members, wanted)
+    found = cut(found)
+    of = lambda *kinds: found.where(F.col("kind").isin(*kinds))
+    home = of("node").join(nodes, "id").select("x", "y", F.lit("node").alias("type"), "id", "lon", "lat", "tags")
+    foreign = of("foreign").join(nodes, "id").select("x", "y", F.lit("node").alias("type"), "id", "lon", "lat")
+    lines = of("way").join(ways, "id").select("x", "y", F.lit("way").alias("type"), "id", "refs", "tags")
+    groups = of("relation").join(relations, "id").select("x", "y", F.lit("relation").alias("type"), "id", "members", "tags")
+    whole = home
+    for more in (foreign, lines, groups):
+        whole = whole.unionByName(more, allowMissingColumns=True)
+    writers.write_tiles(whole.withColumn("z", F.lit(zoom)), path)
+    return counts
+
+
+def survey_files(spark: SparkSession, path: str, stride: int = 8) -> DataFrame:
+    """The elevation survey of all images under ``path``, of which only every ``stride``-th pixel of every ``stride``-th row is decoded."""
+    return raster.survey(readers.scan_raster(spark, path, stride), 1, 1)
+
+
+def repair_files(spark: SparkSession, path: str, zoom: int, width: int, levels: int) -> DataFrame:
+    """Images under ``path`` at ``zoom`` with their holes repaired from those of lower zooms, and ``levels`` levels above.
+
+    Files that can't be images are absent; those too large to be a uniform hole aren't looked at.
+    """
+    named = readers.tile_catalog(spark, path).select("z", "x", "y", "length")
+    tiles = cut(readers.scan_raster(spark, path).where(F.col("width") == width).select("z", "x", "y", "h").join(named, ["z", "x", "y"]))
+    parents = tiles.where((F.col("z") < zoom) & ~raster.is_hole("h", width)).select("z", "x", "y", "h")
+    fixed = raster.repair(tiles.where(F.col("z") == zoom), parents, width)
+    return raster.pyramid(fixed.where("outcome <> 'unfixable'"), width, levels)
+
+
 def pack_status(boxes: DataFrame, cached: DataFrame, scale: float, seam_chunks: int = 8, margin_m: float = 256.0) -> DataFrame:
     """Packs ``boxes(name, south, west, north, east)`` with id, zoom and coverage of what generating them reads.
 

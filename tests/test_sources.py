@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.fixtures import view
+from tessera.functions import geo
 from tessera.operators import plan, raster, runs
 from tessera.sources import readers, writers
 from tessera.streaming import monitor
@@ -66,6 +67,40 @@ def test_survey_from_image_files(spark, tmp_path):
     assert {r["x"]: r["hole"] for r in sampled.select("x", raster.is_hole("h", 1).alias("hole")).collect()} == {0: False, 9: True}
 
 
+def test_from_map_files_to_baked_tiles(spark, tmp_path):
+    """Two tile files with a shared way: the bake has every way whole in each of its tiles, border elements once, and reads back by box."""
+    from tessera.plans import pipelines
+
+    west = [{"type": "node", "id": 1, "lat": 45.0, "lon": 25.10, "tags": {"a": "b"}}, {"type": "way", "id": 9, "nodes": [1, 2], "tags": {"highway": "x"}}, {"type": "node", "id": 2, "lat": 45.0, "lon": 25.20}]
+    east = [{"type": "node", "id": 2, "lat": 45.0, "lon": 25.20}, {"type": "way", "id": 9, "nodes": [1, 2], "tags": {"highway": "x"}}, {"type": "relation", "id": 5, "members": [{"type": "way", "ref": 9, "role": "outer"}]}]
+    places = [r["x"] for r in spark.range(2).select(F.when(F.col("id") == 0, 25.10).otherwise(25.20).alias("lon")).select(geo.tile_x("lon", 11).alias("x")).collect()]
+    y = spark.range(1).select(geo.tile_y(F.lit(45.0), 11)).first()[0]
+    assert places[0] != places[1]
+    for x, elements in zip(places, (west, east), strict=True):
+        (tmp_path / f"osm_g1_z11_{x}_{y}.json").write_text(json.dumps({"version": 0.6, "generator": "g", "elements": elements}))
+    counts = {r["x"]: tuple(r)[2:] for r in pipelines.bake_files(spark, str(tmp_path), str(tmp_path / "out")).collect()}
+    assert counts == {x: (1, 1, 1, 1, False) for x in places}
+    for x, own in zip(places, (1, 2), strict=True):
+        got = {(r["type"], r["id"]): r for r in writers.read_tiles(spark, str(tmp_path / "out"), 11, x, y, x, y).collect()}
+        assert set(got) == {("node", 1), ("node", 2), ("way", 9), ("relation", 5)}
+        assert got["way", 9]["refs"] == [1, 2] and got["way", 9]["tags"] == {"highway": "x"} and got["relation", 5]["members"][0]["ref"] == 9
+        assert (got["node", 1]["tags"] == {"a": "b"}) == (own == 1)
+
+
+def test_from_image_files_to_repaired_levels(spark, tmp_path):
+    from tessera.plans import pipelines
+
+    flat = lambda h: png([[((h + 32768) // 256, (h + 32768) % 256, 0)] * 8] * 8)
+    hole = png([[(0, 0, 0)] * 8] * 8)
+    for name, data in (("z13_x0_y0", flat(100)), ("z13_x1_y0", hole), ("z13_x8_y8", hole), ("z12_x0_y0", flat(40)), ("z11_x0_y0", flat(7)), ("z12_x4_y4", hole)):
+        (tmp_path / f"{name}.png").write_bytes(data)
+    got = {(r["z"], r["x"], r["y"]): r["h"] for r in pipelines.repair_files(spark, str(tmp_path), 13, 8, 1).collect()}
+    assert got[13, 0, 0] == [100.0] * 64 and got[13, 1, 0] == [40.0] * 64 and (13, 8, 8) not in got
+    assert got[12, 0, 0][0] == 100.0 and got[12, 0, 0][7] == 40.0
+    survey = pipelines.survey_files(spark, str(tmp_path), 8).first()
+    assert (survey["min_m"], survey["max_m"], survey["tiles"]) == (7.0, 100.0, 3)
+
+
 def test_tiles_along_the_curve(spark, tmp_path):
     """A box of tiles is read from under a tenth of the files; a dense tile is split over several; rows are all there."""
     dense = spark.range(20_000).select(F.lit(11).alias("z"), F.lit(1170).alias("x"), F.lit(730).alias("y"), F.lit("node").alias("type"), F.col("id"))
