@@ -29,6 +29,8 @@ THRESHOLD = 0.3
 ITERATIONS = 30
 #: Penalties of the linear models on the sum of weights' sizes and of half their squares.
 L1, L2 = 0.00045, 0.00005
+#: Terms that a fit works on at once.
+FIT_TERMS = 1 << 20
 #: Words whose terms a scoring task remembers before it starts anew.
 REMEMBERED = 200_000
 
@@ -106,16 +108,25 @@ def fit_logistic(terms: list[np.ndarray], dense: np.ndarray, y: np.ndarray, widt
     last few gradients, and no step takes a weight across 0.
     """
     n, size = max(len(y), 1), width + dense.shape[1]
-    begin = np.concatenate(([0], np.cumsum([len(t) for t in terms]))).astype(np.int64)
-    columns = np.concatenate(terms) if len(terms) else np.zeros(0, np.int32)
-    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(begin))
+    lengths = np.array([len(t) for t in terms], np.int64)
+    # rows are worked on in stretches of about FIT_TERMS terms, so that only their columns are held for all rows
+    turns = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(lengths))) // FIT_TERMS, prepend=-1))
+    stretches = []
+    for a, b in zip(turns, np.append(turns[1:], len(terms)), strict=True):
+        if a < b:
+            stretches.append((slice(a, b), np.concatenate(terms[a:b]), lengths[a:b]))
+            terms[a:b] = [None] * (b - a)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         """Penalised loss, and the gradient of all but the L1 penalty; the intercept comes last and has no penalty."""
-        sums = np.concatenate(([0.0], np.cumsum(w[columns])))
-        margin = sums[begin[1:]] - sums[begin[:-1]] + dense @ w[width:size] + w[size]
+        margin, by_term = dense @ w[width:size] + w[size], np.zeros(width)
+        for some, columns, held in stretches:
+            sums, ends = np.concatenate(([0.0], np.cumsum(w[columns]))), np.cumsum(held)
+            margin[some] += sums[ends] - sums[ends - held]
         rest = _logistic(margin) - y
-        gradient = np.concatenate((np.bincount(columns, rest[rows], width), dense.T @ rest, [rest.sum()])) / n
+        for some, columns, held in stretches:
+            by_term += np.bincount(columns, np.repeat(rest[some], held), width)
+        gradient = np.concatenate((by_term, dense.T @ rest, [rest.sum()])) / n
         gradient[:size] += L2 * w[:size]
         value = np.logaddexp(0, margin).sum() / n - (y * margin).sum() / n + L2 / 2 * (w[:size] ** 2).sum()
         return value + L1 * np.abs(w[:size]).sum(), gradient
@@ -232,8 +243,12 @@ def _fitted(rows: DataFrame, category: str, earlier: Sequence[str], kept: np.nda
     width, padded = len(kept), np.append(kept.astype(np.int64), -1)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        places = [(np.searchsorted(kept, t), t) for t in (np.frombuffer(x, np.uint32) for x in group["terms"])]
-        terms = [at[padded[at] == t].astype(np.int32) for at, t in places]
+        def known(packed: bytes) -> np.ndarray:
+            terms = np.frombuffer(packed, np.uint32)
+            at = np.searchsorted(kept, terms)
+            return at[padded[at] == terms].astype(np.int32)
+
+        terms = [known(x) for x in group.pop("terms")]
         bias, weights = fit_logistic(terms, group[[f"p_{c}" for c in earlier]].to_numpy(float), group[category].to_numpy(float), width)
         some = np.flatnonzero(weights[:width])
         return pd.DataFrame({

@@ -337,6 +337,26 @@ def test_pipeline_on_edges(spark, sf_dir, tmp_path):
         assert mixed.count() == rows.count() and (k or {-2, -3} <= {r["doc_id"] for r in mixed.collect()})
 
 
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="needs the pipeline")
+def test_whole_run_on_edges(spark, sf_dir, tmp_path):
+    """``run`` over odd rows and an empty table; what later stages don't need any more is removed."""
+    import pathlib
+
+    import corpus_pipeline
+    from tessera.llm.common import shared_folder
+
+    docs = read(spark, sf_dir, "documents")
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", None, 0), (-2, "word " * 20_000, None, "long", None), (-3, "same row", "en", "a", 8), (-3, "same row", "en", "a", 8)], docs.schema)
+    for k, rows in enumerate((docs.limit(60).unionByName(odd), docs.limit(0))):
+        rows.withColumn("size", F.lit("x")).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            read(spark, sf_dir, table).write.parquet(f"{tmp_path}/{k}/{table}.parquet")
+        mixed = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
+        assert {-2, -3} <= {r["doc_id"] for r in mixed} if k == 0 else not mixed
+    left = max(pathlib.Path(shared_folder(spark).removeprefix("file:")).glob("pipeline-*"), key=lambda p: p.stat().st_mtime)
+    assert sorted(p.name for p in left.iterdir()) == ["mixing", "secret_scan"]
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="needs the pipeline")
 def test_entry_lists_all(spark):
     import __spark_entry__
