@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, secret_scan, simhash, toxicity
 from tessera.llm.common import read, shared_folder
+from tessera.operators.lineage import remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +55,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each result, and the mix, written to the shared folder and read again."""
+    """Apply the stages to ``documents``, each result, and the mix, written to the shared folder and read again.
+
+    What a stage has read is removed once its own result is written; the last two, which the result
+    is made from, stay for the caller to remove.
+    """
     docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir, f"{folder}/{name}")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.operators.generate import edges
+from tessera.operators.lineage import cut
 
 
 def crosses(lat: Column, lon: Column, edge: Column) -> Column:
@@ -37,10 +38,10 @@ def rings(vertices: DataFrame) -> DataFrame:
     return usable_edges(vertices).groupBy("zone_id").agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
 
 
-#: Cell sizes in degrees that a ring's cover is made of; a ring has the smallest that is EDGES times its mean edge, or the largest.
-CELL_SIZES, EDGES = (4.0, 0.5, 1 / 16, 1 / 128, 1 / 1024, 1 / 8192), 4.0
+#: Cell sizes in degrees that a ring's cover is made of; a ring has the smallest that is as wide as its mean edge, or the largest.
+CELL_SIZES = (4.0, 1.0, 1 / 4, 1 / 16, 1 / 64, 1 / 256, 1 / 1024, 1 / 4096)
 #: Cells of a row that runs of inner cells are cut at, as a power of two, and room for rounding in what an edge touches, in cells.
-RUN_BITS, TOUCH = 6, 1e-6
+RUN_BITS, TOUCH = 10, 1e-6
 #: Where the grid starts, in cells: off round numbers, so that no vertex is on a line of it.
 START = 0.27182818284590454
 
@@ -70,11 +71,11 @@ def ring_cover(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     size = F.lit(CELL_SIZES[0])
     for smaller in CELL_SIZES[1:]:
-        size = F.when(F.col("mean_edge") * EDGES <= smaller, smaller).otherwise(size)
+        size = F.when(F.col("mean_edge") <= smaller, smaller).otherwise(size)
     sized = usable_edges(vertices).withColumn("size", size)
     low, high = F.least("lat", "lat2"), F.greatest("lat", "lat2")
     room = F.col("size") * TOUCH
-    rows = sized.withColumn("gy", F.explode(F.sequence(cell_of(low - room), cell_of(high + room))))
+    rows = cut(sized.withColumn("gy", F.explode(F.sequence(cell_of(low - room), cell_of(high + room)))))  # read three times
     ends = [F.least(high, F.greatest(low, v)) for v in (line_at(F.col("gy")) - room, line_at(F.col("gy") + 1) + room)]
     west, east = F.least("lon", "lon2"), F.greatest("lon", "lon2")
     places = [F.when(high - low < room, v).otherwise(_at_latitude(end)) for v, end in zip((west, east), ends, strict=True)]
@@ -91,6 +92,7 @@ def ring_cover(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = asked.unionByName(crossings).withColumn("ref_in", F.sum("crossing").over(from_east.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1)
     # the next border cell to the east: the last one before in this order
     known = known.withColumn("next", F.last("gx", ignorenulls=True).over(from_east.rowsBetween(Window.unboundedPreceding, -1))).where("crossing = 0")
+    known = cut(known)
 
     refs = known.select("zone_id", "size", "gx", "gy", middle.alias("ref_lat"), F.col("at").alias("ref_lon"), "ref_in")
     edged = touched.join(refs, ["zone_id", "size", "gx", "gy"])
