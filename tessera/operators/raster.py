@@ -42,12 +42,17 @@ def tile_range(tiles: DataFrame) -> DataFrame:
     return tiles.select("z", "x", "y", F.array_min(kept).alias("lo"), F.array_max(kept).alias("hi"))
 
 
+def tenths(x: Column) -> Column:
+    """``x`` to one decimal, halves of its tenfold away from zero: :func:`F.round` goes by the shortest decimal of ``x`` instead, on the other side where that is just below a half."""
+    return F.round(x * 10) / 10
+
+
 def tile_info(tiles: DataFrame, width: int, k: int = 8) -> DataFrame:
     """min, max and mean of the strided samples (1 decimal), and whether the tile is flat (spread below 2 m)."""
     s = tiles.withColumn("s", strided("h", width, k))
     total = F.aggregate("s", F.lit(0.0), lambda a, v: a + v)
     lo, hi = F.array_min("s"), F.array_max("s")
-    return s.select("z", "x", "y", F.round(lo, 1).alias("min_m"), F.round(hi, 1).alias("max_m"), F.round(total / F.size("s"), 1).alias("mean_m"), (hi - lo < 2).alias("flat"))
+    return s.select("z", "x", "y", tenths(lo).alias("min_m"), tenths(hi).alias("max_m"), tenths(total / F.size("s")).alias("mean_m"), (hi - lo < 2).alias("flat"))
 
 
 def survey(tiles: DataFrame, width: int, k: int = 8, *by: str) -> DataFrame:
@@ -55,7 +60,7 @@ def survey(tiles: DataFrame, width: int, k: int = 8, *by: str) -> DataFrame:
     sane = F.filter(strided("h", width, k), valid)
     per = tiles.select(*by, F.array_min(sane).alias("lo"), F.array_max(sane).alias("hi"))
     return per.groupBy(*by).agg(
-        F.round(F.min("lo"), 1).alias("min_m"), F.round(F.max("hi"), 1).alias("max_m"), F.count("lo").alias("tiles"), (F.count("lo") > 0).alias("ok")
+        tenths(F.min("lo")).alias("min_m"), tenths(F.max("hi")).alias("max_m"), F.count("lo").alias("tiles"), (F.count("lo") > 0).alias("ok")
     )
 
 
