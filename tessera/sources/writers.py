@@ -50,9 +50,19 @@ def tile_json(elements: DataFrame, generator: str) -> DataFrame:
     return grouped.select("z", "x", "y", F.to_json(doc).alias("value"))
 
 
-def write_manifest(packs: DataFrame, path: str) -> None:
-    """Manifests ``(region_id, name, bbox, zoom, elevation, osm)``, one JSON file each, with the time of writing."""
-    packs.withColumn("updated", F.unix_timestamp()).write.mode("append").option("maxRecordsPerFile", 1).json(path)
+def write_manifest(packs: DataFrame, path: str, per_file: int = 1000) -> None:
+    """Manifests ``(region_id, name, bbox, zoom, elevation, osm)`` with the time of writing, as JSON files of arrays of about ``per_file`` of them.
+
+    With ``per_file=1`` each has a file of its own, which many packs make slow to commit, list and read.
+    """
+    dated = packs.withColumn("updated", F.unix_timestamp())
+    if per_file == 1:
+        dated.write.mode("append").option("maxRecordsPerFile", 1).json(path)
+        return
+    held = cut(dated)
+    files = max(1, -(-held.count() // per_file))
+    groups = held.groupBy(F.pmod(F.xxhash64("region_id"), F.lit(files)).alias("file")).agg(F.to_json(F.collect_list(F.struct(*dated.columns))).alias("value"))
+    groups.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_points(rings: DataFrame, path: str) -> None:
