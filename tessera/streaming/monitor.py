@@ -4,13 +4,14 @@ Keyed logic is a fold: a small state per key and a step for each row, in order o
 wait in list state until the watermark has passed them, so their order holds across micro-batches
 however files or partitions deliver them; rows later than the watermark are dropped. Event-time
 timers release them, let things happen while a key is silent, and end the state of keys that stay
-silent. A task holds one key's rows between two watermarks, which the source's rate limit bounds.
+silent. Keys share slots by hash; a task holds one slot's rows between two watermarks, which the
+source's rate limit bounds.
 State lives in Spark's state store (RocksDB), so a restart goes on from the checkpoint.
 """
 
 from __future__ import annotations
 
-from collections import namedtuple
+from collections import defaultdict, namedtuple
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,20 +37,25 @@ class Fold(StatefulProcessor):
     ``advance(state, upto, whole)`` says what happens by itself before time ``upto`` (micros; with it,
     if ``whole``): the next state, the rows to emit, and when it wants to be asked again. After
     ``idle`` micros without a row the state ends.
+
+    Spark groups by slot, a share of the keys by hash: calls, timers and state are per slot and
+    micro-batch, not per key. The state of a slot is a list of its keys, each with the time of its last row
+    and the time when it wants to be asked again.
     """
 
-    def __init__(self, fields: StructType, state: str, columns: list[str], step: Callable, advance: Callable | None = None, idle: int | None = None):
+    def __init__(self, fields: StructType, key: StructField, state: str, columns: list[str], step: Callable, advance: Callable | None = None, idle: int | None = None):
         self.fields, self.schema, self.columns, self.step, self.advance, self.idle = fields, state, columns, step, advance, idle
+        self.key = key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.row = namedtuple("Row", self.fields.names)
-        self.waiting = handle.getListState("waiting", self.fields)
-        self.state = handle.getValueState("state", f"{self.schema}, last_us long")
+        self.waiting = handle.getListState("waiting", StructType([self.key, *self.fields.fields]))
+        self.state = handle.getListState("state", f"{self.key.name} {self.key.dataType.simpleString()}, {self.schema}, last_us long, wake_us long")
         self.due = handle.getValueState("due", "ms long")
 
     def _wake(self, us: int | None, fired: int | None = None) -> None:
-        """Have the timer go off once the watermark has reached ``us``; a key has one timer."""
+        """Have the timer go off once the watermark has reached ``us``; a slot has one timer."""
         set_ = self.due.get()[0] if self.due.exists() else None
         if set_ is not None and set_ != fired:
             self.handle.deleteTimer(set_)
@@ -64,9 +70,9 @@ class Fold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for chunk in rows:
-            came = [tuple(None if v is pd.NaT or v != v else v for v in r) for r in chunk[self.fields.names].itertuples(index=False, name=None)]
+            came = [tuple(None if v is pd.NaT or v != v else v for v in r) for r in chunk[[self.key.name, *self.fields.names]].itertuples(index=False, name=None)]
             self.waiting.appendList(came)
-            least = min(r[0] for r in came)
+            least = min(r[1] for r in came)
             first = least if first is None else min(first, least)
         set_ = self.due.get()[0] if self.due.exists() else None
         if first is not None and (set_ is None or -(-first // 1000) - 1 < set_):
@@ -76,54 +82,76 @@ class Fold(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         held = list(self.waiting.get()) if self.waiting.exists() else []
-        rest = [r for r in held if r[0] > now]
-        kept = self.state.get() if self.state.exists() else None
-        seen, last = (tuple(kept[:-1]), kept[-1]) if kept else (None, None)
+        rest = [tuple(r) for r in held if r[1] > now]
+        ready = defaultdict(list)
+        for row in held:
+            if row[1] <= now:
+                ready[row[0]].append(tuple(row[1:]))
+        kept = {r[0]: tuple(r) for r in self.state.get()} if self.state.exists() else {}
+        touched = [*ready, *(k for k, r in kept.items() if k not in ready and r[-1] is not None and r[-1] <= now)]
         out: list[tuple] = []
+        for k in touched:
+            after = self._pass(k, kept.get(k), ready.get(k, []), now, out)
+            if after is None:
+                kept.pop(k, None)
+            else:
+                kept[k] = after
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if kept:
+            self.state.put(list(kept.values()))
+        else:
+            self.state.clear()
+        wishes = [*(r[-1] for r in kept.values() if r[-1] is not None), *(r[1] for r in rest)]
+        self._wake(min(wishes) if wishes else None, expiredTimerInfo.getExpiryTimeInMs())
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def _pass(self, key, kept: tuple | None, ready: list[tuple], now: int, out: list[tuple]) -> tuple | None:
+        """One key up to ``now``: its rows to emit go to ``out``; what is kept of it is returned."""
+        seen, last = (kept[1:-2], kept[-2]) if kept else (None, None)
 
         def ask(upto: int, whole: bool) -> int | None:
             nonlocal seen
             if self.advance is None or seen is None:
                 return None
             seen, made, again = self.advance(seen, upto, whole)
-            out.extend((*key, *r) for r in made)
+            out.extend((key, *r) for r in made)
             return again
 
-        for row in sorted((r for r in held if r[0] <= now), key=lambda r: r[:2]):
+        for row in sorted(ready, key=lambda r: r[:2]):
             ask(row[0], False)
             if self.idle is not None and last is not None and row[0] - last >= self.idle:
                 seen = None
             seen, made = self.step(seen, self.row(*row))
             last = row[0]
-            out.extend((*key, *r) for r in made)
-        wishes = [ask(now, True), *(r[0] for r in rest)]
+            out.extend((key, *r) for r in made)
+        wishes = [ask(now, True)]
         if seen is not None and self.idle is not None:
             if now - last >= self.idle:
                 seen = None
             else:
                 wishes.append(last + self.idle)
-        if held:
-            self.waiting.put(rest) if rest else self.waiting.clear()
         if seen is None:
-            self.state.clear()
-        else:
-            self.state.update((*seen, last))
-        wishes = [w for w in wishes if w is not None]
-        self._wake(min(wishes) if wishes else None, expiredTimerInfo.getExpiryTimeInMs())
-        yield pd.DataFrame(out, columns=self.columns)
+            return None
+        return (key, *seen, last, min((w for w in wishes if w is not None), default=None))
 
     def close(self) -> None:
         pass
 
 
+#: Keys of a fold are dealt to so many slots, whatever their number.
+SLOTS = 256
+
+
 def fold(stream: DataFrame, key: str, state: str, output: str, step: Callable, advance: Callable | None = None, idle: float | None = None) -> DataFrame:
     """Rows that ``step`` emits over ``stream(key, ts, event_id, ...)``; ``output`` starts with the key. Rows carry ``us``, their ts in micros."""
     others = [c for c in stream.columns if c not in (key, "ts", "event_id")]
-    timed = stream.withWatermark("ts", WATERMARK).select(key, "ts", F.unix_micros("ts").alias("us"), "event_id", *others).where("ts is not null")
-    fields = StructType([f for f in timed.schema.fields if f.name not in (key, "ts")])
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("slot_")
+    timed = stream.withWatermark("ts", WATERMARK).select(slot, key, "ts", F.unix_micros("ts").alias("us"), "event_id", *others).where("ts is not null")
+    fields = StructType([f for f in timed.schema.fields if f.name not in (key, "ts", "slot_")])
     columns = [c.split()[0] for c in output.split(", ")]
-    processor = Fold(fields, state, columns, step, advance, None if idle is None else int(idle * 1e6))
-    return timed.groupBy(key).transformWithStateInPandas(processor, output, "Append", "EventTime")
+    processor = Fold(fields, timed.schema[key], state, columns, step, advance, None if idle is None else int(idle * 1e6))
+    return timed.groupBy("slot_").transformWithStateInPandas(processor, output, "Append", "EventTime")
 
 
 def lifecycle(events: DataFrame, idle: float = IDLE) -> DataFrame:
