@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, dealt
 
 
 def home_tiles(nodes: DataFrame, z: int = 11) -> DataFrame:
@@ -46,7 +46,7 @@ def prune_sources(sources: DataFrame, targets: DataFrame, z: int = 11) -> DataFr
 def first_source(rows: DataFrame, key: str) -> DataFrame:
     """Rows of each ``key`` from the first ``source`` that has it: border elements come in several sources."""
     first = F.min("source").over(Window.partitionBy(key))
-    return rows.withColumn("first_", first).where(F.col("source") == F.col("first_")).drop("first_")
+    return dealt(rows, key).withColumn("first_", first).where(F.col("source") == F.col("first_")).drop("first_")
 
 
 def way_locations(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -72,12 +72,21 @@ def foreign_nodes(located: DataFrame, emitted: DataFrame) -> DataFrame:
     )
 
 
-def relation_tiles(members: DataFrame, emitted: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Tiles ``(rel_id, x, y)`` of a relation: of its emitted ways and its nodes; relations inside relations place nothing."""
+def relation_tiles(members: DataFrame, emitted: DataFrame, nodes: DataFrame, targets: DataFrame, rows: int | None = None) -> DataFrame:
+    """Tiles ``(rel_id, x, y)`` of a relation: of its emitted ways and its nodes; relations inside relations place nothing.
+
+    With ``rows``, about how many there are to meet, both sides are dealt to as many partitions as these need.
+    """
     places = emitted.select(F.lit("way").alias("member_type"), F.col("way_id").alias("ref"), "x", "y").unionByName(
         nodes.select(F.lit("node").alias("member_type"), F.col("id").alias("ref"), "x", "y")
     )
-    return members.join(places, ["member_type", "ref"]).select("rel_id", "x", "y").distinct().join(targets.select("x", "y"), ["x", "y"], "left_semi").select("rel_id", "x", "y")
+    if rows is None:
+        met = members.join(places, ["member_type", "ref"])
+    else:  # one key, which stays one where all members are of one type
+        of = F.struct("member_type", "ref").alias("of")
+        held, lying = members.where("member_type is not null and ref is not null").select("rel_id", of), places.select(of, "x", "y")
+        met = dealt(held, "of", rows=rows).join(dealt(lying, "of", rows=rows), "of")
+    return met.select("rel_id", "x", "y").distinct().join(targets.select("x", "y"), ["x", "y"], "left_semi").select("rel_id", "x", "y")
 
 
 def merge_copies(copies: DataFrame, *key: str, order: str = "source") -> DataFrame:
@@ -100,9 +109,10 @@ def elements(nodes: DataFrame, refs: DataFrame, members: DataFrame, targets: Dat
     emitted = cut(spread.join(targets.select("x", "y"), ["x", "y"], "left_semi").select("way_id", "x", "y", "places"))
     home = nodes.join(targets.select("x", "y"), ["x", "y"], "left_semi").select("x", "y", F.lit("node").alias("kind"), "id")
     away = F.filter("places", lambda p: (p["x"] != F.col("x")) | (p["y"] != F.col("y")))
-    foreign = emitted.select("x", "y", F.explode_outer(F.transform(away, lambda p: p["ref"])).alias("id")).where("id is not null").distinct().select("x", "y", F.lit("foreign").alias("kind"), "id")
+    met = emitted.select("x", "y", F.explode_outer(F.transform(away, lambda p: p["ref"])).alias("id")).where("id is not null")
+    foreign = dealt(met, "x", "y", "id").distinct().select("x", "y", F.lit("foreign").alias("kind"), "id")
     lines = emitted.select("x", "y", F.lit("way").alias("kind"), F.col("way_id").alias("id"))
-    relations = relation_tiles(members, emitted.select("way_id", "x", "y"), nodes, targets).select("x", "y", F.lit("relation").alias("kind"), F.col("rel_id").alias("id"))
+    relations = relation_tiles(members, emitted.select("way_id", "x", "y"), nodes, targets, emitted.count()).select("x", "y", F.lit("relation").alias("kind"), F.col("rel_id").alias("id"))
     return home.unionByName(foreign).unionByName(lines).unionByName(relations)
 
 
