@@ -31,13 +31,17 @@ def shaped(e: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of a delivered file, about; a delivery has four files at least.
+FILE_ROWS = 1_000_000
+
+
 def _deliveries(events: DataFrame) -> list[DataFrame]:
     """The events in two deliveries: those of the first half of their time, then the rest, with a few of the first quarter that come too late."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    first, last = events.agg(F.min(us), F.max(us)).first()
+    first, last, rows = events.agg(F.min(us), F.max(us), F.count("*")).first()
     first, last = first or 0, last or 0
     early = (us < first + (last - first) // 2) & ~((F.col("event_id") % 50 == 0) & (us < first + (last - first) // 4))
-    return [events.where(early), events.where(~early)]
+    return [events.where(some).repartition(max(4, -(-rows // 2 // FILE_ROWS)), F.xxhash64("event_id")) for some in (early, ~early)]
 
 
 def _folder(spark: SparkSession) -> str:
@@ -51,7 +55,7 @@ def _ended(spark: SparkSession, sf_dir: str, build) -> DataFrame:
     folder = _folder(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     for some in _deliveries(events):
-        some.repartition(4, F.xxhash64("event_id")).write.mode("append").parquet(f"{folder}/in")
+        some.write.mode("append").parquet(f"{folder}/in")
         stream = build(shaped(spark.readStream.schema(events.schema).parquet(f"{folder}/in")))
         writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
         writer.format("parquet").start(f"{folder}/out").awaitTermination()

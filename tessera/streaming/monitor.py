@@ -5,20 +5,25 @@ wait in list state until the watermark has passed them, so their order holds acr
 however files or partitions deliver them; rows later than the watermark are dropped. Event-time
 timers release them, let things happen while a key is silent, and end the state of keys that stay
 silent. Keys share slots by hash; a task holds one slot's rows between two watermarks, which the
-source's rate limit bounds.
+source's rate limit bounds. Rows and states lie in the state store in chunks, each an Arrow table
+as one value, so reaching the store costs by chunk, not by row.
 State lives in Spark's state store (RocksDB), so a restart goes on from the checkpoint.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, namedtuple
-from collections.abc import Callable, Iterator
+from collections import namedtuple
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tessera.functions import text
 from tessera.operators.lineage import remove
@@ -31,6 +36,23 @@ FAILED = ("failed", "drift", "collision")
 IDLE = 7 * 86400.0
 
 
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(chunks: Iterable[bytes], schema: pa.Schema) -> pa.Table:
+    return pa.concat_tables([schema.empty_table(), *(pa.ipc.open_stream(c).read_all() for c in chunks)])
+
+
+def tuples(table: pa.Table) -> Iterator[tuple]:
+    """The rows of a table; nulls are None."""
+    plain = lambda t: pa.types.is_integer(t) or pa.types.is_floating(t) or pa.types.is_string(t)
+    return zip(*[c.to_numpy().tolist() if plain(c.type) and not c.null_count else c.to_pylist() for c in table.columns], strict=True)
+
+
 class Fold(StatefulProcessor):
     """Keeps one tuple per key; ``step(state, row)`` gives the next state (None drops it) and the rows to emit.
 
@@ -39,19 +61,21 @@ class Fold(StatefulProcessor):
     ``idle`` micros without a row the state ends.
 
     Spark groups by slot, a share of the keys by hash: calls, timers and state are per slot and
-    micro-batch, not per key. The state of a slot is a list of its keys, each with the time of its last row
-    and the time when it wants to be asked again.
+    micro-batch, not per key. Waiting rows are a list of chunks; the state of a slot is one table of its keys, each
+    with the time of its last row and the time when it wants to be asked again.
     """
 
-    def __init__(self, fields: StructType, key: StructField, state: str, columns: list[str], step: Callable, advance: Callable | None = None, idle: int | None = None):
-        self.fields, self.schema, self.columns, self.step, self.advance, self.idle = fields, state, columns, step, advance, idle
-        self.key = key
+    def __init__(self, fields: StructType, key: StructField, state: StructType, columns: list[str], step: Callable, advance: Callable | None = None, idle: int | None = None):
+        self.columns, self.step, self.advance, self.idle = columns, step, advance, idle
+        self.key, self.names = key.name, fields.names
+        self.rows = to_arrow_schema(StructType([key, *fields.fields]))
+        self.states = to_arrow_schema(StructType([key, *state.fields, StructField("last_us", LongType()), StructField("wake_us", LongType())]))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.row = namedtuple("Row", self.fields.names)
-        self.waiting = handle.getListState("waiting", StructType([self.key, *self.fields.fields]))
-        self.state = handle.getListState("state", f"{self.key.name} {self.key.dataType.simpleString()}, {self.schema}, last_us long, wake_us long")
+        self.row = namedtuple("Row", self.names)
+        self.waiting = handle.getListState("waiting", "chunk binary")
+        self.state = handle.getValueState("state", "chunk binary")
         self.due = handle.getValueState("due", "ms long")
 
     def _wake(self, us: int | None, fired: int | None = None) -> None:
@@ -70,9 +94,9 @@ class Fold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for chunk in rows:
-            came = [tuple(None if v is pd.NaT or v != v else v for v in r) for r in chunk[[self.key.name, *self.fields.names]].itertuples(index=False, name=None)]
-            self.waiting.appendList(came)
-            least = min(r[1] for r in came)
+            came = pa.Table.from_arrays([pa.Array.from_pandas(chunk[f.name], type=f.type) for f in self.rows], schema=self.rows)
+            self.waiting.appendValue((packed(came),))
+            least = pc.min(came["us"]).as_py()
             first = least if first is None else min(first, least)
         set_ = self.due.get()[0] if self.due.exists() else None
         if first is not None and (set_ is None or -(-first // 1000) - 1 < set_):
@@ -81,33 +105,41 @@ class Fold(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        rest = [tuple(r) for r in held if r[1] > now]
-        ready = defaultdict(list)
-        for row in held:
-            if row[1] <= now:
-                ready[row[0]].append(tuple(row[1:]))
-        kept = {r[0]: tuple(r) for r in self.state.get()} if self.state.exists() else {}
-        touched = [*ready, *(k for k, r in kept.items() if k not in ready and r[-1] is not None and r[-1] <= now)]
+        held = unpacked((r[0] for r in self.waiting.get()) if self.waiting.exists() else (), self.rows)
+        passed = pc.less_equal(held["us"], now)
+        ready, rest = held.filter(passed), held.filter(pc.invert(passed))
+        ready = ready.sort_by([(c, "ascending") for c in (self.key, "us", "event_id")])
+        kept = {r[0]: r for r in tuples(unpacked(self.state.get(), self.states))} if self.state.exists() else {}
+        asking = {k for k, r in kept.items() if r[-1] is not None and r[-1] <= now}
         out: list[tuple] = []
-        for k in touched:
-            after = self._pass(k, kept.get(k), ready.get(k, []), now, out)
+
+        def go(k, mine: list[tuple]) -> None:
+            after = self._pass(k, kept.get(k), mine, now, out)
             if after is None:
                 kept.pop(k, None)
             else:
                 kept[k] = after
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
+
+        for k, mine in groupby(tuples(ready), lambda r: r[0]):
+            asking.discard(k)
+            go(k, [r[1:] for r in mine])
+        for k in asking:
+            go(k, [])
+        if ready.num_rows:
+            self.waiting.put([(packed(rest.combine_chunks()),)]) if rest.num_rows else self.waiting.clear()
         if kept:
-            self.state.put(list(kept.values()))
+            whole = [pa.array(c, f.type) for c, f in zip(zip(*kept.values(), strict=True), self.states, strict=True)]
+            self.state.update((packed(pa.Table.from_arrays(whole, schema=self.states)),))
         else:
             self.state.clear()
-        wishes = [*(r[-1] for r in kept.values() if r[-1] is not None), *(r[1] for r in rest)]
+        wishes = [r[-1] for r in kept.values() if r[-1] is not None]
+        if rest.num_rows:
+            wishes.append(pc.min(rest["us"]).as_py())
         self._wake(min(wishes) if wishes else None, expiredTimerInfo.getExpiryTimeInMs())
         yield pd.DataFrame(out, columns=self.columns)
 
     def _pass(self, key, kept: tuple | None, ready: list[tuple], now: int, out: list[tuple]) -> tuple | None:
-        """One key up to ``now``: its rows to emit go to ``out``; what is kept of it is returned."""
+        """One key up to ``now``, its ready rows in order: its rows to emit go to ``out``; what is kept of it is returned."""
         seen, last = (kept[1:-2], kept[-2]) if kept else (None, None)
 
         def ask(upto: int, whole: bool) -> int | None:
@@ -118,7 +150,7 @@ class Fold(StatefulProcessor):
             out.extend((key, *r) for r in made)
             return again
 
-        for row in sorted(ready, key=lambda r: r[:2]):
+        for row in ready:
             ask(row[0], False)
             if self.idle is not None and last is not None and row[0] - last >= self.idle:
                 seen = None
@@ -150,7 +182,7 @@ def fold(stream: DataFrame, key: str, state: str, output: str, step: Callable, a
     timed = stream.withWatermark("ts", WATERMARK).select(slot, key, "ts", F.unix_micros("ts").alias("us"), "event_id", *others).where("ts is not null")
     fields = StructType([f for f in timed.schema.fields if f.name not in (key, "ts", "slot_")])
     columns = [c.split()[0] for c in output.split(", ")]
-    processor = Fold(fields, timed.schema[key], state, columns, step, advance, None if idle is None else int(idle * 1e6))
+    processor = Fold(fields, timed.schema[key], StructType.fromDDL(state), columns, step, advance, None if idle is None else int(idle * 1e6))
     return timed.groupBy("slot_").transformWithStateInPandas(processor, output, "Append", "EventTime")
 
 
